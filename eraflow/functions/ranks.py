@@ -26,11 +26,22 @@ MAX_CUTS = 1024
 SALTS = 64
 
 
+_shapes: dict[tuple[str, int], tuple[int, int]] = {}
+
+
 def group_shape(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
-    """(number of groups, rows of the largest group): one pass over the keys."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
-    row = sizes.agg(F.count(F.lit(1)).alias("groups"), F.max("rows").alias("rows")).first()
-    return int(row["groups"]), int(row["rows"] or 0)
+    """(number of groups, rows of the largest group): one pass over the keys alone.
+
+    Remembered per plan, like table statistics. It only chooses a layout; results do
+    not depend on it, so a stale answer costs time and nothing else.
+    """
+    keys = df.select(*by)
+    known = (df.sparkSession.sparkContext.applicationId, keys.semanticHash())
+    if known not in _shapes:
+        sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+        row = sizes.agg(F.count(F.lit(1)).alias("groups"), F.max("rows").alias("rows")).first()
+        _shapes[known] = (int(row["groups"]), int(row["rows"] or 0))
+    return _shapes[known]
 
 
 def with_ranks(
@@ -68,11 +79,12 @@ def _average_rank(window: Window, weight: str | None) -> Column:
 
 
 def _window_ranks(df, by, ranks, stats, weight):
+    # ranks first: the sort of the last rank also serves the unordered statistics
     group = Window.partitionBy(*by)
-    added = {name: agg.over(group) for name, agg in stats.items()}
-    for name, column in ranks.items():
-        added[name] = _average_rank(group.orderBy(column), weight)
-    return df.withColumns(added)
+    ranked = df.withColumns(
+        {name: _average_rank(group.orderBy(column), weight) for name, column in ranks.items()}
+    )
+    return ranked.withColumns({name: agg.over(group) for name, agg in stats.items()})
 
 
 def _bucket_ranks(df, by, ranks, stats, weight, shape):

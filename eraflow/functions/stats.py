@@ -54,59 +54,56 @@ HART_DEN = (
 EULER_GAMMA = 0.5772156649015329
 
 
-def polynomial(coefficients: Sequence[float], x: Column) -> Column:
-    total = F.lit(float(coefficients[0]))
+def polynomial(coefficients: Sequence[float], x: str) -> str:
+    """Horner form as SQL text (one parsed expression instead of many nested calls)."""
+    text = f"{float(coefficients[0])!r}D"
     for coefficient in coefficients[1:]:
-        total = total * x + F.lit(float(coefficient))
-    return total
+        text = f"({text} * {x} + {float(coefficient)!r}D)"
+    return text
 
 
 def with_norm_ppf(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Add the normal quantile of each probability column (new name -> column).
 
-    Minus/plus infinity at 0 and 1, NULL outside. The tail variable is a column of
-    its own, so the generated code evaluates it once instead of once per term.
+    Minus/plus infinity at 0 and 1, NULL outside. The tail variable and the argument
+    of the rational functions are columns of their own and never NULL: the generated
+    code stays small enough for the JIT compiler, which skips very large methods.
     """
-    tails = {
-        f"__tail_{out}": F.sqrt(-F.log(F.least(F.col(p), F.lit(1.0) - F.col(p))))
-        for out, p in columns.items()
-    }
-    quantiles = {out: _ppf(F.col(p), F.col(f"__tail_{out}")) for out, p in columns.items()}
-    return df.withColumns(tails).withColumns(quantiles).drop(*tails)
-
-
-def _ppf(p: Column, tail: Column) -> Column:
-    q = p - F.lit(0.5)
-    central = F.lit(0.180625) - q * q
-    near = tail - F.lit(1.6)
-    far = tail - F.lit(5.0)
-    magnitude = F.when(
-        tail <= 5.0, polynomial(AS241_MIDDLE_NUM, near) / polynomial(AS241_MIDDLE_DEN, near)
-    ).otherwise(polynomial(AS241_TAIL_NUM, far) / polynomial(AS241_TAIL_DEN, far))
-    return (
-        F.when((p < 0.0) | (p > 1.0), F.lit(None).cast("double"))
-        .when(p == 0.0, F.lit(float("-inf")))
-        .when(p == 1.0, F.lit(float("inf")))
-        .when(
-            F.abs(q) <= 0.425,
-            q * polynomial(AS241_CENTRAL_NUM, central) / polynomial(AS241_CENTRAL_DEN, central),
+    tails, arguments, quantiles = {}, {}, {}
+    for out, p in columns.items():
+        tail, x = f"__tail_{out}", f"__arg_{out}"
+        tails[tail] = F.expr(f"coalesce(sqrt(-ln(least({p}, 1.0D - {p}))), 0.0D)")
+        arguments[x] = F.expr(
+            f"coalesce(case when abs({p} - 0.5D) <= 0.425D then 0.180625D - ({p} - 0.5D) * ({p} - 0.5D) "
+            f"when {tail} <= 5.0D then {tail} - 1.6D else {tail} - 5.0D end, 0.0D)"
+        )
+        inner = f"{polynomial(AS241_CENTRAL_NUM, x)} / {polynomial(AS241_CENTRAL_DEN, x)}"
+        middle = f"{polynomial(AS241_MIDDLE_NUM, x)} / {polynomial(AS241_MIDDLE_DEN, x)}"
+        outer = f"{polynomial(AS241_TAIL_NUM, x)} / {polynomial(AS241_TAIL_DEN, x)}"
+        quantiles[out] = F.expr(
+            f"case when {p} < 0 or {p} > 1 then cast(null as double) "
+            f"when {p} = 0 then double('-Infinity') when {p} = 1 then double('Infinity') "
+            f"else (case when abs({p} - 0.5D) <= 0.425D then {p} - 0.5D when {p} < 0.5D then -1.0D else 1.0D end) * "
+            f"(case when abs({p} - 0.5D) <= 0.425D then {inner} when {tail} <= 5.0D then {middle} else {outer} end) end"
         )
-        .when(q < 0.0, -magnitude)
-        .otherwise(magnitude)
+    return (
+        df.withColumns(tails).withColumns(arguments).withColumns(quantiles).drop(*tails, *arguments)
     )
 
 
-def norm_cdf(x: Column) -> Column:
-    """Normal distribution function; give it a plain column, it uses ``x`` often."""
-    size = F.abs(x)
-    decay = F.exp(-size * size / 2.0)
-    body = decay * polynomial(HART_NUM, size) / polynomial(HART_DEN, size)
-    fraction = size + 0.65
-    for step in (4.0, 3.0, 2.0, 1.0):
-        fraction = size + F.lit(step) / fraction
-    tail = decay / fraction / 2.506628274631
-    upper = F.when(size > 37.0, F.lit(0.0)).when(size < 7.07106781186547, body).otherwise(tail)
-    return F.when(x > 0.0, F.lit(1.0) - upper).otherwise(upper)
+def norm_cdf(x: str) -> Column:
+    """Normal distribution function of a column."""
+    size = f"abs({x})"
+    body = f"exp(-{size} * {size} / 2.0D) * {polynomial(HART_NUM, size)} / {polynomial(HART_DEN, size)}"
+    fraction = f"({size} + 0.65D)"
+    for step in (4, 3, 2, 1):
+        fraction = f"({size} + {step}.0D / {fraction})"
+    tail = f"exp(-{size} * {size} / 2.0D) / {fraction} / 2.506628274631D"
+    upper = (
+        f"(case when {size} > 37 then 0.0D when {size} < 7.07106781186547D then {body} "
+        f"else {tail} end)"
+    )
+    return F.expr(f"case when {x} > 0 then 1.0D - {upper} else {upper} end")
 
 
 def is_finite(value: Column) -> Column:

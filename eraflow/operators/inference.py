@@ -297,7 +297,7 @@ def with_deflated_sharpe(
     )
     return (
         df.withColumn("__z", z)
-        .withColumn(out, norm_cdf(F.col("__z")))
+        .withColumn(out, norm_cdf("__z"))
         .drop("__p1", "__p2", "__z1", "__z2", "__inner", "__z")
     )
 

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eraflow.functions.ranks import group_shape
 from eraflow.functions.stats import is_finite, safe_corr
-from eraflow.session import broadcast_checked, materialize
+from eraflow.session import broadcast_checked, materialize, max_group_rows
 
 RCOND = 1e-6
 FLUSH_BYTES = 256 * 2**20
@@ -38,11 +39,16 @@ def _fold(blocks: list[np.ndarray]) -> np.ndarray:
 
 
 def fit_projection(
-    df: DataFrame, preds: Sequence[str], vector: str, by: Sequence[str]
+    df: DataFrame,
+    preds: Sequence[str],
+    vector: str,
+    by: Sequence[str],
+    shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Least-squares coefficients per group: (by, fits), where ``fits`` holds one
     (coefficients, flat) pair per prediction and ``flat`` marks a constant one.
-    Rows must be complete."""
+    Rows must be complete. Factors of oversized groups are folded in two steps."""
+    shape = shape or group_shape(df, by)
     by, preds = list(by), list(preds)
     key_fields = [df.schema[c] for c in by]
     block_schema = T.StructType(
@@ -129,8 +135,9 @@ def fit_projection(
         return pd.DataFrame([{**{c: part[c].iloc[0] for c in by}, "fits": fits}])
 
     blocks = rows.mapInPandas(factor_rows, block_schema)
-    folded = blocks.groupBy(*by, "way").applyInPandas(fold_ways, block_schema)
-    return folded.groupBy(*by).applyInPandas(
+    if shape[1] > max_group_rows(df.sparkSession):
+        blocks = blocks.groupBy(*by, "way").applyInPandas(fold_ways, block_schema)
+    return blocks.groupBy(*by).applyInPandas(
         solve, T.StructType([*key_fields, T.StructField("fits", fit_type)])
     )
 
@@ -148,13 +155,14 @@ def project(
     vector: str,
     by: Sequence[str],
     usable: str | None = None,
+    shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add ``fit`` (or ``fit_<pred>`` for several): the projection of each prediction
     on the features and a constant, within its group. Constant predictions project
     to 0, so subtracting leaves them unchanged."""
     preds = [pred] if isinstance(pred, str) else list(pred)
     rows = df.where(F.col(usable)) if usable else df
-    fits = broadcast_checked(materialize(fit_projection(rows, preds, vector, by), "fits"))
+    fits = broadcast_checked(materialize(fit_projection(rows, preds, vector, by, shape), "fits"))
     out = df.join(fits, list(by), "left")
     for i, name in enumerate(preds):
         fit = F.col("fits")[i]

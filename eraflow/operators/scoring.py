@@ -61,7 +61,10 @@ def per_era_corr(df: DataFrame, pred: str, target: str, by: Sequence[str] = ("er
     """Correlation of the signed 1.5 powers of the prediction's normal score and of
     the centred target."""
     work = _usable(df, by, {"p": pred, "t": target})
-    scored = with_rank_gauss(work, [*by, "ok"], {"z": "p"}, stats={"t_mean": F.avg("t")})
+    shape = group_shape(df, by)
+    scored = with_rank_gauss(
+        work, [*by, "ok"], {"z": "p"}, stats={"t_mean": F.avg("t")}, shape=shape
+    )
     x = F.when(F.col("ok"), signed_power(F.col("z")))
     y = F.when(F.col("ok"), signed_power(F.col("t") - F.col("t_mean")))
     return scored.groupBy(*by).agg(_score(_varies(["p", "t"]), raw_corr(x, y)))
@@ -74,7 +77,7 @@ def per_era_mmc(
     orthogonal to the meta score, times the centred target, averaged over rows.
     Targets that all lie in [0, 1] count on the 0..4 scale."""
     work = _usable(df, by, {"p": pred, "m": meta, "t": target})
-    z = with_rank_gauss(work, [*by, "ok"], {"zp": "p", "zm": "m"})
+    z = with_rank_gauss(work, [*by, "ok"], {"zp": "p", "zm": "m"}, shape=group_shape(df, by))
     return z.groupBy(*by).agg(_mmc_value())
 
 
@@ -116,7 +119,7 @@ def per_era_bmc(
     require_overlap(df, benchmark, by[-1], min_overlap_eras)
     work = _usable(df, by, {"p": pred, "m": benchmark, "t": target})
     covered = F.bool_or(is_finite(F.col("m")))
-    z = with_rank_gauss(work, [*by, "ok"], {"zp": "p", "zm": "m"})
+    z = with_rank_gauss(work, [*by, "ok"], {"zp": "p", "zm": "m"}, shape=group_shape(df, by))
     return (
         z.groupBy(*by).agg(_mmc_value(), covered.alias("covered")).where("covered").drop("covered")
     )
@@ -132,7 +135,7 @@ def per_era_cwmm(
     """Correlation with the meta model, both sides as signed 1.5 powers of normal scores."""
     require_overlap(df, meta, by[-1], min_overlap_eras)
     work = _usable(df, by, {"p": pred, "m": meta})
-    z = with_rank_gauss(work, [*by, "ok"], {"zp": "p", "zm": "m"})
+    z = with_rank_gauss(work, [*by, "ok"], {"zp": "p", "zm": "m"}, shape=group_shape(df, by))
     x = F.when(F.col("ok"), signed_power(F.col("zp")))
     y = F.when(F.col("ok"), signed_power(F.col("zm")))
     covered = F.bool_or(is_finite(F.col("m")))
@@ -156,10 +159,10 @@ def per_era_fnc(
         F.col(target).cast("double").alias("t"),
         flat.alias("features"),
     ).withColumn("ok", all_finite(["p", "t"]) & F.forall("features", is_finite))
-    shape = group_shape(work, [*by, "ok"])
+    shape = group_shape(df, by)
     scored = with_rank_gauss(work, [*by, "ok"], {"z": "p"}, shape=shape)
     scored = scored.withColumn("z_ok", F.when(F.col("ok"), F.col("z")))
-    fitted = project(scored, "z_ok", "features", [*by, "ok"], usable="ok")
+    fitted = project(scored, "z_ok", "features", [*by, "ok"], usable="ok", shape=shape)
     residual = fitted.withColumn("residual", F.col("z_ok") - F.col("fit"))
     # a residual that is rounding noise of an exact fit counts as constant
     residual = residual.withColumn(
