@@ -116,7 +116,8 @@ def per_era_bmc(
     min_overlap_eras: int = MIN_OVERLAP_ERAS,
 ) -> DataFrame:
     """Contribution over a benchmark, on the eras the benchmark covers."""
-    require_overlap(df, benchmark, by[-1], min_overlap_eras)
+    if min_overlap_eras > 0:
+        require_overlap(df, benchmark, by[-1], min_overlap_eras)
     work = _usable(df, by, {"p": pred, "m": benchmark, "t": target})
     covered = F.bool_or(is_finite(F.col("m")))
     z = with_rank_gauss(work, [*by, "ok"], {"zp": "p", "zm": "m"}, shape=group_shape(df, by))
@@ -133,7 +134,8 @@ def per_era_cwmm(
     min_overlap_eras: int = MIN_OVERLAP_ERAS,
 ) -> DataFrame:
     """Correlation with the meta model, both sides as signed 1.5 powers of normal scores."""
-    require_overlap(df, meta, by[-1], min_overlap_eras)
+    if min_overlap_eras > 0:
+        require_overlap(df, meta, by[-1], min_overlap_eras)
     work = _usable(df, by, {"p": pred, "m": meta})
     z = with_rank_gauss(work, [*by, "ok"], {"zp": "p", "zm": "m"}, shape=group_shape(df, by))
     x = F.when(F.col("ok"), signed_power(F.col("zp")))
