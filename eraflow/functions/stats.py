@@ -106,25 +106,25 @@ def norm_cdf(x: str) -> Column:
     return F.expr(f"case when {x} > 0 then 1.0D - {upper} else {upper} end")
 
 
-def is_finite(value: Column) -> Column:
-    """Neither NULL, NaN nor infinite; never NULL itself."""
-    return F.coalesce(
-        ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False)
-    )
+def _finite_sql(name: str) -> str:
+    value = f"cast(`{name}` as double)"
+    return f"coalesce(not isnan({value}) and abs({value}) < double('Infinity'), false)"
+
+
+def is_finite(value: Column | str) -> Column:
+    """Neither NULL, NaN nor infinite; never NULL itself. Takes a column name (one parsed
+    expression) or any column."""
+    if isinstance(value, str):
+        return F.expr(_finite_sql(value))
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
 
 
 def all_finite(columns: Sequence[str]) -> Column:
-    result = F.lit(True)
-    for name in columns:
-        result = result & is_finite(F.col(name).cast("double"))
-    return result
+    return F.expr(" and ".join(_finite_sql(c) for c in columns) or "true")
 
 
 def none_null(columns: Sequence[str]) -> Column:
-    result = F.lit(True)
-    for name in columns:
-        result = result & F.col(name).isNotNull()
-    return result
+    return F.expr(" and ".join(f"`{c}` is not null" for c in columns) or "true")
 
 
 def signed_power(x: Column) -> Column:

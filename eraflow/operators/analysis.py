@@ -71,7 +71,7 @@ def era_structure(df: DataFrame) -> DataFrame:
 
 def target_profile(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     long = unpivot(df, ["era"], targets, "target", "v")
-    value = F.when(is_finite(F.col("v")), F.col("v"))
+    value = F.when(is_finite("v"), F.col("v"))
     per_era = long.groupBy("target", "era").agg(
         F.avg(value).alias("m"),
         ((F.count(value) >= 2) & (F.min(value) == F.max(value))).alias("flat"),
@@ -111,7 +111,7 @@ def target_correlation(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     ]
     keys = ["target_a", "target_b", "era"]
     long = df.select("era", F.explode(F.array(*pairs)).alias("p")).select("era", "p.*")
-    both = is_finite(F.col("va")) & is_finite(F.col("vb"))
+    both = is_finite("va") & is_finite("vb")
     # targets have few distinct values: count value pairs before any ordering
     cells = (
         long.withColumn("ok", both)
@@ -196,7 +196,7 @@ def ic_by_era(df: DataFrame, features: Sequence[str], targets: Sequence[str]) ->
 def vector_ic_by_era(df: DataFrame, vector: str, target: str) -> DataFrame:
     """Plain correlation of every component of an array column with the target. The
     unpivot is folded into partial aggregates before anything is shuffled."""
-    long = df.where(is_finite(F.col(target).cast("double"))).select(
+    long = df.where(is_finite(target)).select(
         "era", F.col(target).cast("double").alias("y"), F.posexplode(vector).alias("feature", "x")
     )
     return long.groupBy("era", "feature").agg(
@@ -206,7 +206,7 @@ def vector_ic_by_era(df: DataFrame, vector: str, target: str) -> DataFrame:
 
 def feature_summary(df: DataFrame, features: Sequence[str]) -> DataFrame:
     long = unpivot(df, [], features, "feature", "v")
-    value = F.when(is_finite(F.col("v")), F.col("v"))
+    value = F.when(is_finite("v"), F.col("v"))
     return long.groupBy("feature").agg(*moments(value))
 
 
@@ -293,7 +293,7 @@ def select_stable(
 
 def nonlinear_flag(threshold: float = MIN_MEAN_CORR) -> Column:
     """Rank correlation above the threshold where the plain one is not."""
-    both = is_finite(F.col("mean_corr")) & is_finite(F.col("mean_spearman"))
+    both = is_finite("mean_corr") & is_finite("mean_spearman")
     return F.coalesce(
         both & (F.abs("mean_corr") <= threshold) & (F.abs("mean_spearman") > threshold),
         F.lit(False),
@@ -428,8 +428,8 @@ def meta_orthogonality(
     ``orthogonal`` features carry target signal the meta model does not."""
     rows = df.where(
         none_null([meta, target, *features])
-        & is_finite(F.col(meta).cast("double"))
-        & is_finite(F.col(target).cast("double"))
+        & is_finite(meta)
+        & is_finite(target)
     )
     m, t = F.col("m"), F.col("t")
     per_era = (
@@ -458,7 +458,7 @@ def meta_orthogonality(
 def benchmark_era_corr(df: DataFrame, benchmarks: Sequence[str], target: str) -> DataFrame:
     """Per-era plain correlation of benchmark columns with the target, on rows where
     all are present; eras with a constant target are absent."""
-    rows = df.where(none_null([*benchmarks, target]) & is_finite(F.col(target).cast("double")))
+    rows = df.where(none_null([*benchmarks, target]) & is_finite(target))
     long = rows.select(
         "era", "era_num", F.col(target).cast("double").alias("t"),
         F.explode(_named(benchmarks, "benchmark", "b")).alias("c"),

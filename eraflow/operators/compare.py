@@ -56,7 +56,7 @@ def gate_report(cards: DataFrame, gate: DataFrame, fields: Sequence[str]) -> Dat
         F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("measured")) for f in fields])
     ).alias("c")
     long = cards.select("model_id", cells).select("model_id", "c.*")
-    bad = F.col("measured").isNotNull() & ~is_finite(F.col("measured"))
+    bad = F.col("measured").isNotNull() & ~is_finite("measured")
     checked = F.when(
         bad, F.raise_error(F.concat(F.lit("non-finite value in scorecard "), "model_id", F.lit("."), "field")).cast("double")
     ).otherwise(F.col("measured"))

@@ -26,7 +26,7 @@ def value_counts(df: DataFrame, features: Sequence[str], is_train: Column) -> Da
     """(feature, v, nt, nv): finite values with their counts on either side."""
     long = unpivot(df.withColumn("__train", is_train), ["__train"], features, "feature", "v")
     return (
-        long.where(is_finite(F.col("v")))
+        long.where(is_finite("v"))
         .groupBy("feature", "v")
         .agg(
             F.count_if("__train").alias("nt"),
@@ -37,7 +37,7 @@ def value_counts(df: DataFrame, features: Sequence[str], is_train: Column) -> Da
 
 def _spread(df: DataFrame, features: Sequence[str], is_train: Column) -> DataFrame:
     long = unpivot(df.withColumn("__train", is_train), ["__train"], features, "feature", "v")
-    value = F.when(is_finite(F.col("v")), F.col("v"))
+    value = F.when(is_finite("v"), F.col("v"))
     train, other = F.when(F.col("__train"), value), F.when(~F.col("__train"), value)
     return long.groupBy("feature").agg(
         F.count(train).alias("n_train"),

@@ -237,7 +237,7 @@ def target_quality(
         )
     ).alias("c")
     long = train.select(F.col(main_target).cast("double").alias("m"), cells).select("m", "c.*")
-    both = is_finite(F.col("m")) & is_finite(F.col("v"))
+    both = is_finite("m") & is_finite("v")
     from eraflow.functions.stats import safe_corr
 
     return long.groupBy("target", "hint", "weight").agg(
@@ -319,7 +319,7 @@ def ridge_stack_search(
     scored = materialize(scored.withColumn("positive", total), "stack-candidates")
     sweep = ensemble.decorrelation_sweep(scored, ["free", "positive"], benchmark, main_target, shares)
     best = ensemble.best_candidate(sweep).first()
-    bench = ensemble.rank_normalize(scored.where(is_finite(F.col(benchmark))), [benchmark])
+    bench = ensemble.rank_normalize(scored.where(is_finite(benchmark)), [benchmark])
     raw = F.col(best["candidate"]) - F.lit(best["share"]) * F.col(benchmark)
     return _blended(bench.select(*KEYS, raw.alias("prediction")), ["prediction"])
 

@@ -54,7 +54,7 @@ def horizon_of(target: Column) -> Column:
 
 def packed_series(series: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """One row per series: its finite values in era order. Bounded by the eras."""
-    rows = with_era_num(series).where(is_finite(F.col(value)))
+    rows = with_era_num(series).where(is_finite(value))
     return rows.groupBy(*by).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("era_num", F.col(value).alias("v")))),
@@ -211,7 +211,7 @@ def benjamini_hochberg(
 ) -> DataFrame:
     """Step-up q-values within ``by``; a missing or non-finite p counts as 1. The
     groups are one row per tested feature."""
-    known = F.when(is_finite(F.col(p)), F.col(p)).otherwise(F.lit(1.0))
+    known = F.when(is_finite(p), F.col(p)).otherwise(F.lit(1.0))
     group = Window.partitionBy(*by)
     ascending = group.orderBy("__p", *order)
     descending = group.orderBy(F.desc("__position")).rowsBetween(
@@ -338,7 +338,7 @@ def deflated_sharpe_fleet(
 def attach_deflation(trials: DataFrame, key: Sequence[str]) -> DataFrame:
     """Deflate the trials whose inputs are all finite and join the result back; the
     others keep a reason."""
-    inputs = is_finite(F.col("sharpe")) & is_finite(F.col("skew")) & is_finite(F.col("kurt"))
+    inputs = is_finite("sharpe") & is_finite("skew") & is_finite("kurt")
     valid = trials.where(inputs & (F.col("n") >= 2))
     deflated = deflated_sharpe_fleet(valid).select(*key, "dsr", "reason")
     return trials.join(deflated, list(key), "left").withColumn(

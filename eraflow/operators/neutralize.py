@@ -206,9 +206,9 @@ def neutralized_ic(
     if not all(0.0 <= p <= 1.0 for p in proportions):
         raise ValueError("proportions must be within [0, 1]")
     vector = feature_vector(features)
-    ok = is_finite(F.col(target).cast("double")) & F.forall(vector, is_finite)
+    ok = is_finite(target) & F.forall(vector, is_finite)
     for s in signals:
-        ok = ok & is_finite(F.col(s).cast("double"))
+        ok = ok & is_finite(s)
     rows = df.select(
         *by,
         F.col(target).cast("double").alias("t"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eraflow.functions.hashing import hash32, uniform
+from eraflow.functions.ranks import group_shape
 from eraflow.functions.running import running_totals
 from eraflow.functions.stats import all_finite
 from eraflow.operators import inference, scoring
@@ -210,7 +211,9 @@ def horizon_stability(
     ).alias("c")
     long = df.select(*by, "era", cells).select(*by, "era", "c.*")
     keys = [*by, "side", "horizon"]
-    series = scoring.per_era_corr(long, "p", "t", [*keys, "era"]).join(resolved, [*by, "era"])
+    groups, largest = group_shape(df, [*by, "era"])
+    series = scoring.per_era_corr(long, "p", "t", [*keys, "era"], (4 * groups, largest))
+    series = series.join(resolved, [*by, "era"])
     series = with_era_num(series)
     ratios = inference.ac_adjusted_sharpe(series.where("horizon = '20D'"), keys, "20D").unionByName(
         inference.ac_adjusted_sharpe(series.where("horizon = '60D'"), keys, "60D")

@@ -17,7 +17,7 @@ EXACT_IN_FLOAT = (T.ByteType, T.ShortType, T.FloatType)
 
 
 def finite_target_rows(df: DataFrame, target: str) -> DataFrame:
-    return df.where(is_finite(F.col(target).cast("double")))
+    return df.where(is_finite(target))
 
 
 def coerce_float(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -30,7 +30,7 @@ def coerce_float(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def benchmark_predictions(benchmarks: DataFrame, column: str) -> DataFrame:
     """A benchmark column as a prediction frame: present, numeric and finite."""
     value = F.col(column).cast("double")
-    return benchmarks.select(*KEYS, value.alias("prediction")).where(is_finite(F.col("prediction")))
+    return benchmarks.select(*KEYS, value.alias("prediction")).where(is_finite("prediction"))
 
 
 def fill_missing(df: DataFrame, features: Sequence[str], value: float = 0.5) -> DataFrame:

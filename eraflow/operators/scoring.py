@@ -57,11 +57,17 @@ def _score(condition: Column, value: Column) -> Column:
     return finite_or(F.when(F.coalesce(condition, F.lit(False)), value), 0.0).alias("value")
 
 
-def per_era_corr(df: DataFrame, pred: str, target: str, by: Sequence[str] = ("era",)) -> DataFrame:
+def per_era_corr(
+    df: DataFrame,
+    pred: str,
+    target: str,
+    by: Sequence[str] = ("era",),
+    shape: tuple[int, int] | None = None,
+) -> DataFrame:
     """Correlation of the signed 1.5 powers of the prediction's normal score and of
-    the centred target."""
+    the centred target. ``shape`` may bound the groups if the caller knows them."""
     work = _usable(df, by, {"p": pred, "t": target})
-    shape = group_shape(df, by)
+    shape = shape or group_shape(df, by)
     scored = with_rank_gauss(
         work, [*by, "ok"], {"z": "p"}, stats={"t_mean": F.avg("t")}, shape=shape
     )
@@ -92,11 +98,35 @@ def _mmc_value() -> Column:
     return _score(_varies(["p", "m", "t"]), value)
 
 
+def core_scores(
+    df: DataFrame, pred: str, meta: str, target: str, by: Sequence[str] = ("era",)
+) -> DataFrame:
+    """(by, corr, meta_corr, mmc, cwmm) in one pass: the normal scores of prediction and
+    meta model are computed once for all four. Only for rows on which all three columns
+    are finite, where the four scores use the same rows."""
+    work = _usable(df, by, {"p": pred, "m": meta, "t": target})
+    z = with_rank_gauss(
+        work, by, {"zp": "p", "zm": "m"}, stats={"t_mean": F.avg("t")}, shape=group_shape(df, by)
+    )
+    x, y, t = signed_power(F.col("zp")), signed_power(F.col("zm")), signed_power(F.col("t") - F.col("t_mean"))
+    scores = {
+        "corr": _score(_varies(["p", "t"]), raw_corr(x, t)),
+        "meta_corr": _score(_varies(["m", "t"]), raw_corr(y, t)),
+        "mmc": _mmc_value(),
+        "cwmm": _score(_varies(["p", "m"]), raw_corr(x, y)),
+    }
+    return z.groupBy(*by).agg(*[score.alias(name) for name, score in scores.items()])
+
+
+def all_rows_finite(df: DataFrame, columns: Sequence[str]) -> bool:
+    return df.where(~all_finite(columns)).limit(1).count() == 0
+
+
 def coverage_eras(df: DataFrame, column: str, by: Sequence[str] = ("era",)) -> DataFrame:
     """Groups in which ``column`` has at least one finite value."""
     return (
         df.groupBy(*by)
-        .agg(F.count_if(is_finite(F.col(column).cast("double"))).alias("n_covered"))
+        .agg(F.count_if(is_finite(column)).alias("n_covered"))
         .where(F.col("n_covered") > 0)
     )
 
@@ -119,7 +149,7 @@ def per_era_bmc(
     if min_overlap_eras > 0:
         require_overlap(df, benchmark, by[-1], min_overlap_eras)
     work = _usable(df, by, {"p": pred, "m": benchmark, "t": target})
-    covered = F.bool_or(is_finite(F.col("m")))
+    covered = F.bool_or(is_finite("m"))
     z = with_rank_gauss(work, [*by, "ok"], {"zp": "p", "zm": "m"}, shape=group_shape(df, by))
     return (
         z.groupBy(*by).agg(_mmc_value(), covered.alias("covered")).where("covered").drop("covered")
@@ -140,7 +170,7 @@ def per_era_cwmm(
     z = with_rank_gauss(work, [*by, "ok"], {"zp": "p", "zm": "m"}, shape=group_shape(df, by))
     x = F.when(F.col("ok"), signed_power(F.col("zp")))
     y = F.when(F.col("ok"), signed_power(F.col("zm")))
-    covered = F.bool_or(is_finite(F.col("m")))
+    covered = F.bool_or(is_finite("m"))
     return (
         z.groupBy(*by)
         .agg(_score(_varies(["p", "m"]), raw_corr(x, y)), covered.alias("covered"))
@@ -261,7 +291,9 @@ def per_era_turnover(
     """1 - rank correlation of the ids two consecutive eras share (at least ten)."""
     pairs = consecutive_pairs(df, pred, by)
     group = [*by, "era", "era_num"]
-    ranked = with_ranks(pairs, group, {"r_now": "now", "r_before": "before"})
+    # the ids two eras share are at most the rows of one of them
+    shape = group_shape(df, [*by, "era"])
+    ranked = with_ranks(pairs, group, {"r_now": "now", "r_before": "before"}, shape=shape)
     return (
         ranked.groupBy(*group)
         .agg(

@@ -264,6 +264,61 @@ def centred_drawdown(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def payout_report(payout: DataFrame, by: Sequence[str] = (), q: float = 0.05) -> DataFrame:
+    """All payout and downside statistics of each series, plus the moments of its raw
+    series, in one pass: every window and the final aggregate share the partitioning by
+    series, so the (era-long) series are shuffled once."""
+    group, order, run = Window.partitionBy(*by), _time(by), _running(by)
+    n = F.count(F.lit(1)).over(group)
+    df = (
+        payout.withColumns({"__cum": F.sum("value").over(run), "__i": F.row_number().over(order)})
+        .withColumn("__peak", F.max("__cum").over(run))
+        .withColumns({"__burn": F.col("value") < 0.0, "__under": F.col("__cum") < F.col("__peak")})
+        .withColumns(
+            {
+                "__burn_island": F.col("__i") - F.sum(F.col("__burn").cast("int")).over(run),
+                "__under_island": F.col("__i") - F.sum(F.col("__under").cast("int")).over(run),
+            }
+        )
+        .withColumns(
+            {
+                "__burn_run": F.sum(F.col("__burn").cast("int")).over(
+                    Window.partitionBy(*by, "__burn_island")
+                ),
+                "__under_run": F.sum(F.col("__under").cast("int")).over(
+                    Window.partitionBy(*by, "__under_island")
+                ),
+                "__tail": F.row_number().over(group.orderBy("value", "era"))
+                <= F.greatest(F.floor(F.lit(q) * n), F.lit(1)),
+            }
+        )
+    )
+    value, raw = F.col("value"), F.col("raw")
+    mean, worst = F.avg(value), F.max(F.col("__peak") - F.col("__cum"))
+    raw_sd = F.stddev_pop(raw)
+    return df.groupBy(*by).agg(
+        F.count(value).alias("n_eras"),
+        mean.alias("mean_payout"),
+        annual_return(value).alias("cagr_1y"),
+        gain_to_pain(value).alias("gain_to_pain_ratio"),
+        kelly(raw).alias("kelly_fraction"),
+        burn_rate(value).alias("burn_rate"),
+        sortino(value).alias("sortino"),
+        F.avg(F.when(F.col("__tail"), value)).alias("cvar5"),
+        worst.alias("max_drawdown"),
+        F.when(worst > 0.0, mean / F.when(worst > 0.0, worst))
+        .when(mean > 0.0, float("inf"))
+        .otherwise(0.0)
+        .alias("calmar"),
+        F.coalesce(F.max("__burn_run"), F.lit(0)).alias("max_burn_streak"),
+        F.coalesce(F.max("__under_run"), F.lit(0)).alias("time_to_recovery"),
+        F.count(raw).alias("n"),
+        F.coalesce(ratio(F.avg(raw), raw_sd), F.lit(0.0)).alias("sharpe"),
+        sample_skew(raw).alias("skew"),
+        sample_kurtosis(raw).alias("kurt"),
+    )
+
+
 def tranche_portfolio(
     series: DataFrame, by: Sequence[str] = (), horizon: int = 20, capital: float = 1.0
 ) -> DataFrame:

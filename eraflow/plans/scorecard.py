@@ -36,16 +36,25 @@ def per_era_scores(
     base: DataFrame, target: str, meta: str, features: Sequence[str], benchmark: str | None
 ) -> DataFrame:
     """(model_id, metric, era, era_num, value) for every per-era metric."""
-    parts = {
-        "corr": scoring.per_era_corr(base, "prediction", target, KEYS),
-        "mmc": scoring.per_era_mmc(base, "prediction", meta, target, KEYS),
-        "meta_corr": scoring.per_era_corr(base, meta, target, KEYS),
-        "fnc": scoring.per_era_fnc(base, "prediction", features, target, KEYS),
-        "cwmm": scoring.per_era_cwmm(base, "prediction", meta, KEYS, 0),
-    }
+    if scoring.all_rows_finite(base, ["prediction", meta, target]):
+        core = scoring.core_scores(base, "prediction", meta, target, KEYS)
+        names = ("corr", "meta_corr", "mmc", "cwmm")
+        cells = F.explode(
+            F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])
+        ).alias("c")
+        out = core.select(*KEYS, cells).select("model_id", "c.metric", "era", "c.value")
+        parts = {}
+    else:
+        out = None
+        parts = {
+            "corr": scoring.per_era_corr(base, "prediction", target, KEYS),
+            "mmc": scoring.per_era_mmc(base, "prediction", meta, target, KEYS),
+            "meta_corr": scoring.per_era_corr(base, meta, target, KEYS),
+            "cwmm": scoring.per_era_cwmm(base, "prediction", meta, KEYS, 0),
+        }
+    parts["fnc"] = scoring.per_era_fnc(base, "prediction", features, target, KEYS)
     if benchmark is not None:
         parts["bmc"] = scoring.per_era_bmc(base, "prediction", benchmark, target, KEYS, 0)
-    out = None
     for metric, df in parts.items():
         part = df.select("model_id", F.lit(metric).alias("metric"), "era", "value")
         out = part if out is None else out.unionByName(part)
@@ -120,12 +129,10 @@ def evaluate_models(
         *BY,
         F.struct(F.col("point").alias("value"), "ci_low", "ci_high", F.col("n").cast("bigint").alias("n_eras")).alias("corr_sharpe_ac"),
     )
-    shape = series.payout_shape(payout, BY).drop("mean_payout")
-    raw = series.series_stats(payout, BY, "raw")
+    report = series.payout_report(payout, BY).drop("mean_payout")
     variance = F.lit(trials_variance) if trials_variance is not None else None
-    deflated = inference.with_deflated_sharpe(raw, F.lit(n_trials), variance).select(
-        *BY, F.col("dsr").alias("deflated_sharpe")
-    )
+    report = inference.with_deflated_sharpe(report, F.lit(n_trials), variance, out="deflated_sharpe")
+    report = report.drop("n", "sharpe", "skew", "kurt")
     means = scores.groupBy(*BY).agg(
         F.avg(F.when(F.col("metric") == "fnc", F.col("value"))).alias("fnc"),
         F.stddev_pop(F.when(F.col("metric") == "corr", F.col("value"))).alias("std_corr"),
@@ -145,14 +152,11 @@ def evaluate_models(
     )
     degenerate = scoring.degenerate_eras(base, "prediction", target, meta, features, KEYS)
     degenerate = degenerate.groupBy(*BY).agg(F.count(F.lit(1)).alias("n_degenerate_eras"))
+    mmc_sharpe = inference.ac_adjusted_sharpe(metric("mmc"), BY, horizon)
     parts = [
-        sharpe, shape, deflated, means,
-        series.cvar(payout, BY).withColumnRenamed("cvar", "cvar5"),
-        series.calmar(payout, BY),
-        series.max_burn_streak(payout, BY), series.time_to_recovery(payout, BY),
-        inference.ac_adjusted_sharpe(metric("mmc"), BY, horizon).select(*BY, F.col("ac_sharpe").alias("mmc_sharpe_ac")),
+        sharpe, report, means, turnover, mmc_down, max_exposure(base, features), degenerate,
+        mmc_sharpe.select(*BY, F.col("ac_sharpe").alias("mmc_sharpe_ac")),
         series.tranche_portfolio(payout, BY, HORIZON_ERAS[horizon]).drop("sim_final_equity"),
-        turnover, mmc_down, max_exposure(base, features), degenerate,
     ]
     if benchmark is not None and horizon_pair is not None:
         stability = robustness.horizon_stability(

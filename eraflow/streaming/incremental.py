@@ -29,7 +29,7 @@ def feature_moments(stream: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pooled moments per feature as a streaming aggregation. The state is one row of
     mergeable moments per feature, however many eras have passed."""
     long = unpivot(stream, [], features, "feature", "v")
-    return long.groupBy("feature").agg(*moments(F.when(is_finite(F.col("v")), F.col("v"))))
+    return long.groupBy("feature").agg(*moments(F.when(is_finite("v"), F.col("v"))))
 
 
 def run_feature_moments(
