@@ -30,16 +30,24 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+_fallback: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (local tests) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder; on a
+    cluster the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="eraflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _fallback:
+        _fallback[context.applicationId] = tempfile.mkdtemp(prefix="eraflow-")
+    return _fallback[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
