@@ -461,3 +461,15 @@ def neutralized_ic_series(spark, sf):
     from eraflow.operators.neutralize import neutralized_ic
 
     return tidy(neutralized_ic(customer_month(spark, sf), ["pred_b"], ["f_qty", "f_tax"], "target", [0.5]))
+
+
+@register("neutralization_frontier",
+          q.query([*nic_ctes([0.0, 0.5])[:3], "nx AS (SELECT proportion, era, round(x, 12) AS x, t FROM np)", q.corr_scores("s", "nx", "x", "t", "proportion, era"),
+                   "cu AS (SELECT *, sum(value) OVER w AS cum FROM s WINDOW w AS (PARTITION BY proportion ORDER BY era ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+                   "dd AS (SELECT *, max(cum) OVER (PARTITION BY proportion ORDER BY era ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cum AS d FROM cu)",
+                   "o AS (SELECT proportion, avg(value) AS mean, stddev_pop(value) AS std, avg(value) / stddev_pop(value) AS sharpe, max(d) AS max_drawdown FROM dd GROUP BY proportion)"],
+                  q.rounded("o", [], ["proportion", "mean", "std", "sharpe", "max_drawdown"])))
+def neutralization_frontier(spark, sf):
+    from eraflow.operators.neutralize import neutralization_frontier as frontier
+
+    return tidy(frontier(customer_month(spark, sf), "pred_b", ["f_qty", "f_tax"], "target", (0.0, 0.5)))

@@ -347,3 +347,11 @@ def best_model_per_era(spark, sf):
         F.max_by("model_id", F.struct("value", "model_id")).alias("model_id"), F.max("value").alias("value")
     )
     return tidy(best)
+
+
+@register("newest_version", q.query([], "SELECT 'v' || max(p_size)::VARCHAR || '.' || max_by(p_partkey % 100, p_size * 1000 + p_partkey % 100)::VARCHAR AS newest FROM part", panel=False))
+def newest_version(spark, sf):
+    labels = table(spark, sf, "part").select(
+        F.concat(F.lit("v"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 100).cast("string")).alias("version")
+    )
+    return src.newest_version(labels)

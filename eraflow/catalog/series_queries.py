@@ -168,6 +168,22 @@ def series_centred_drawdown(spark, sf):
     return tidy(series.centred_drawdown(corr_series(spark, sf), BY))
 
 
+REPORT = [*PAY, *_cum("pay"),
+          f"bi AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY era_num) - sum((value < 0)::INTEGER) OVER ({RUN}) AS gb, "
+          f"row_number() OVER (PARTITION BY model_id ORDER BY era_num) - sum((cum < peak)::INTEGER) OVER ({RUN}) AS gu, "
+          "row_number() OVER (PARTITION BY model_id ORDER BY value, era) AS i, greatest(floor(0.05 * count(*) OVER (PARTITION BY model_id)), 1) AS k FROM cd)",
+          "bl AS (SELECT *, count(*) FILTER (WHERE value < 0) OVER (PARTITION BY model_id, gb) AS lb, count(*) FILTER (WHERE cum < peak) OVER (PARTITION BY model_id, gu) AS lu FROM bi)",
+          "o AS (SELECT model_id, count(*)::BIGINT AS n_eras, avg(value) AS mean_payout, avg(value) FILTER (WHERE i <= k) AS cvar5, max(drawdown) AS max_drawdown, "
+          "CASE WHEN max(drawdown) > 0 THEN avg(value) / max(drawdown) ELSE 0.0 END AS calmar, max(lb)::BIGINT AS max_burn_streak, max(lu)::BIGINT AS time_to_recovery, "
+          "avg(raw) / stddev_pop(raw) AS sharpe FROM bl GROUP BY model_id)"]
+
+
+@register("payout_report", q.query(REPORT, q.rounded("o", ["model_id", "n_eras", "max_burn_streak", "time_to_recovery"], ["mean_payout", "cvar5", "max_drawdown", "calmar", "sharpe"])))
+def payout_report(spark, sf):
+    report = series.payout_report(payouts(spark, sf), BY)
+    return tidy(report.select("model_id", "n_eras", "max_burn_streak", "time_to_recovery", "mean_payout", "cvar5", "max_drawdown", "calmar", "sharpe"))
+
+
 @register("payout_tranches")
 def payout_tranches(spark, sf):
     return tidy(series.tranche_portfolio(payouts(spark, sf), BY, horizon=20))

@@ -35,16 +35,19 @@ def value_counts(df: DataFrame, features: Sequence[str], is_train: Column) -> Da
     )
 
 
-def _spread(df: DataFrame, features: Sequence[str], is_train: Column) -> DataFrame:
-    long = unpivot(df.withColumn("__train", is_train), ["__train"], features, "feature", "v")
-    value = F.when(is_finite("v"), F.col("v"))
-    train, other = F.when(F.col("__train"), value), F.when(~F.col("__train"), value)
-    return long.groupBy("feature").agg(
-        F.count(train).alias("n_train"),
-        F.count(other).alias("n_val"),
-        F.stddev_pop(train).alias("train_std"),
-        (F.min(train) == F.max(train)).alias("train_constant"),
+def side_totals(counts: DataFrame) -> DataFrame:
+    """Rows on either side, and the train mean and deviation, of every feature."""
+    sums = counts.groupBy("feature").agg(
+        F.sum("nt").alias("n_train"),
+        F.sum("nv").alias("n_val"),
+        ratio(F.sum(F.col("nt") * F.col("v")), F.sum("nt")).alias("train_mean"),
+        (F.min(F.when(F.col("nt") > 0, F.col("v"))) == F.max(F.when(F.col("nt") > 0, F.col("v")))).alias("train_constant"),
+    )
+    off = F.col("v") - F.col("train_mean")
+    spread = counts.join(broadcast_checked(sums), "feature").groupBy("feature").agg(
+        F.sqrt(ratio(F.sum(F.col("nt") * off * off), F.sum("nt"))).alias("train_std")
     )
+    return sums.join(spread, "feature")
 
 
 def quantile_edges(counts: DataFrame, totals: DataFrame, n_bins: int) -> DataFrame:
@@ -81,12 +84,17 @@ def drift_profile(
 ) -> DataFrame:
     """Population stability index over train quantile bins, 1-Wasserstein distance (raw
     and in train deviations), and the area under the curve of telling the sides apart."""
-    totals = _spread(df, features, is_train)
     counts = materialize(value_counts(df, features, is_train), "value-counts")
+    known = materialize(side_totals(counts), "side-totals")
+    # a feature without a finite value anywhere keeps its row
+    names = F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")
+    listed = known.agg(F.count(F.lit(1))).select(names)
+    totals = listed.join(known, "feature", "left").fillna(0, ["n_train", "n_val"])
     placed = running_totals(
         counts, ["feature"], "v", {"before_t": "nt", "before_v": "nv"}, next_as="next_v"
     )
-    placed = placed.join(broadcast_checked(totals), "feature").where("n_train > 0 and n_val > 0")
+    placed = placed.join(broadcast_checked(known), "feature").where("n_train > 0 and n_val > 0")
+    placed = materialize(placed, "placed")
 
     below_t = (F.col("before_t") + F.col("nt")) / F.col("n_train")
     below_v = (F.col("before_v") + F.col("nv")) / F.col("n_val")
@@ -101,7 +109,7 @@ def drift_profile(
     )
 
     edges = quantile_edges(
-        placed.select("feature", "v", "nt", "before_t"), totals, n_bins
+        placed.select("feature", "v", "nt", "before_t"), known, n_bins
     )
     binned = placed.join(broadcast_checked(edges), "feature").withColumn(
         "bin", F.size(F.filter("edges", lambda e: e <= F.col("v")))

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,7 @@ from eraflow.session import broadcast_checked, materialize, max_group_rows
 
 RCOND = 1e-6
 FLUSH_BYTES = 256 * 2**20
+FOLD_ROWS = 2048
 FOLD_WAYS = 64
 
 
@@ -68,39 +70,62 @@ def fit_projection(
         F.concat(F.col(vector), F.array(F.lit(1.0), *[F.col(p) for p in preds])).alias("row"),
     )
 
-    def factor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def factor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
-        size = 0
+        size = way = 0
 
-        def flush() -> pd.DataFrame:
-            out = [
-                (*key, way, factor.shape[1], factor.ravel(), low, high)
-                for key, (way, factor, low, high) in held.items()
+        def flush(like: pa.Schema) -> pa.RecordBatch:
+            factors = [_fold(state[0]) for state in held.values()]
+            doubles = pa.list_(pa.float64())
+            columns = [
+                pa.array([key[i] for key in held], like.field(c).type) for i, c in enumerate(by)
+            ]
+            columns += [
+                pa.array([way] * len(held), pa.int32()),
+                pa.array([f.shape[1] for f in factors], pa.int32()),
+                pa.array([f.ravel() for f in factors], doubles),
+                pa.array([state[2] for state in held.values()], doubles),
+                pa.array([state[3] for state in held.values()], doubles),
             ]
             held.clear()
-            return pd.DataFrame(out, columns=[f.name for f in block_schema.fields])
+            return pa.RecordBatch.from_arrays(columns, [f.name for f in block_schema.fields])
 
         for batch in batches:
-            for key, part in batch.groupby(by, sort=False, dropna=False):
-                block = np.vstack(part["row"].to_numpy())
-                if not np.isfinite(block).all():
-                    raise ValueError("predictions and features must be finite")
+            if not batch.num_rows:
+                continue
+            way = batch.column("way")[0].as_py()
+            rows_in = batch.column("row").flatten().to_numpy(zero_copy_only=False)
+            matrix = rows_in.reshape(batch.num_rows, -1)
+            if not np.isfinite(matrix).all():
+                raise ValueError("predictions and features must be finite")
+            keys = batch.select(by).to_pandas()
+            codes = keys.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order])) + 1
+            for members in np.split(order, cuts):
+                block = matrix[members]
+                key = tuple(batch.column(c)[int(members[0])].as_py() for c in by)
                 tail = block[:, block.shape[1] - n_preds :]
                 low, high = tail.min(axis=0), tail.max(axis=0)
-                if key in held:
-                    way, old, old_low, old_high = held[key]
-                    size -= old.nbytes
-                    factor = _fold([old, block])
-                    low, high = np.minimum(low, old_low), np.maximum(high, old_high)
-                else:
-                    way, factor = int(part["way"].iloc[0]), _fold([block])
-                held[key] = [way, factor, low, high]
-                size += factor.nbytes
-                if size > FLUSH_BYTES:
-                    yield flush()
-                    size = 0
+                state = held.get(key)
+                if state is None:
+                    held[key] = [[block], len(block), low, high]
+                    size += block.nbytes
+                    continue
+                state[0].append(block)
+                state[1] += len(block)
+                state[2], state[3] = np.minimum(state[2], low), np.maximum(state[3], high)
+                size += block.nbytes
+                if state[1] > max(FOLD_ROWS, 4 * block.shape[1]):
+                    size -= sum(x.nbytes for x in state[0])
+                    state[0] = [_fold(state[0])]
+                    state[1] = len(state[0][0])
+                    size += state[0][0].nbytes
+            if size > FLUSH_BYTES:
+                yield flush(batch.schema)
+                size = 0
         if held:
-            yield flush()
+            yield flush(batch.schema)
 
     def unpack(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.vstack(part["low"].to_numpy()).min(axis=0)
@@ -134,7 +159,7 @@ def fit_projection(
         ]
         return pd.DataFrame([{**{c: part[c].iloc[0] for c in by}, "fits": fits}])
 
-    blocks = rows.mapInPandas(factor_rows, block_schema)
+    blocks = rows.mapInArrow(factor_rows, block_schema)
     if shape[1] > max_group_rows(df.sparkSession):
         blocks = blocks.groupBy(*by, "way").applyInPandas(fold_ways, block_schema)
     return blocks.groupBy(*by).applyInPandas(
@@ -241,6 +266,37 @@ def neutralized_ic(
     )
 
 
+def neutralization_frontier(
+    df: DataFrame,
+    pred: str,
+    features: str | Sequence[str],
+    target: str,
+    proportions: Sequence[float],
+) -> DataFrame:
+    """Score summary per neutralization share: (proportion, mean, std, sharpe,
+    max_drawdown). One fit serves all shares, and one pass scores them all."""
+    from eraflow.operators.scoring import per_era_corr
+    from eraflow.operators.series import summarize
+
+    work = df.select("era", pred, target, feature_vector(features).alias("__vector"))
+    shape = group_shape(df, ["era"])
+    fitted = project(work, pred, "__vector", ["era"], shape=shape)
+    cells = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(float(p)).alias("proportion"),
+                    F.round(F.col(pred) - F.lit(float(p)) * F.col("fit"), 12).alias("x"),
+                )
+                for p in proportions
+            ]
+        )
+    ).alias("c")
+    long = fitted.select("era", target, cells).select("era", target, "c.*")
+    wide = (shape[0] * len(proportions), shape[1])
+    return summarize(per_era_corr(long, "x", target, ["proportion", "era"], wide), ["proportion"])
+
+
 def neutralized_ic_profile(df, signals, features, target, proportions=(0.0, 0.5, 1.0)) -> DataFrame:
     """Mean and deviation over eras of :func:`neutralized_ic`, per signal and share."""
     series = neutralized_ic(df, signals, features, target, proportions)
