@@ -343,7 +343,7 @@ def regime_thresholds(spark, sf):
 @register("ic_persistence",
           q.query([*ic_ctes(), IC_MAIN,
                    "lv AS (SELECT era_num, row_number() OVER (ORDER BY era_num) AS i FROM icm GROUP BY era_num HAVING max(abs(ic)) > 0)",
-                   f"rk AS (SELECT i, feature, {q.avg_rank('ic', 'i')} AS r FROM icm JOIN lv USING (era_num))",
+                   "ir AS (SELECT i, feature, round(ic, 12) AS ic FROM icm JOIN lv USING (era_num))", f"rk AS (SELECT i, feature, {q.avg_rank('ic', 'i')} AS r FROM ir)",
                    "c AS (SELECT x.i, CASE WHEN min(x.r) < max(x.r) AND min(y.r) < max(y.r) THEN covar_pop(x.r, y.r) / (stddev_pop(x.r) * stddev_pop(y.r)) END AS c FROM rk x JOIN rk y ON x.feature = y.feature AND x.i = y.i + 1 GROUP BY x.i)",
                    "o AS (SELECT coalesce(avg(c), 0) AS mean, coalesce(stddev_pop(c), 0) AS std, count(c)::BIGINT AS n_adjacent FROM c)"],
                   q.rounded("o", ["n_adjacent"], ["mean", "std"])))

@@ -210,7 +210,7 @@ def bootstrap_ctes(src: str, by: str, block: str, n_boot: int = N_BOOT, seed: in
         + f"GROUP BY {qual}, d.b)",
         f"bo AS (SELECT {by}, any_value(n) AS n, any_value(block) AS block, any_value(point) AS point, quantile_cont(theta, 0.025) AS ci_low, "
         f"quantile_cont(theta, 0.975) AS ci_high, CASE WHEN any_value(varies) AND any_value(point) <> 0 THEN "
-        f"(1.0 + count(*) FILTER (WHERE abs(theta - point) >= abs(point))) / (1.0 + {n_boot}) ELSE 1.0 END::DOUBLE AS p_value "
+        f"(1.0 + count(*) FILTER (WHERE abs(theta - point) >= abs(point) - 1e-12)) / (1.0 + {n_boot}) ELSE 1.0 END::DOUBLE AS p_value "
         f"FROM bt JOIN bn USING {using} GROUP BY {by})",
     ]
 

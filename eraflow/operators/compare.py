@@ -101,11 +101,11 @@ def tier_ladder(cards: DataFrame, metric: str = "corr", tolerance: float = 1e-5)
 
 def place(cards: DataFrame, rungs: DataFrame, value: str = "corr") -> DataFrame:
     """Where each value falls on the ladder of tier rungs (a handful of rows, so one
-    sorted array travels to every row and the rows are not shuffled)."""
+    sorted array, a scalar subquery, reaches every row and the rows are not shuffled)."""
     packed = rungs.agg(
         F.array_sort(F.collect_list(F.struct("tier", F.col("corr").alias("rung")))).alias("ladder")
-    ).withColumn("__one", F.lit(1))
-    df = cards.withColumn("__one", F.lit(1)).join(F.broadcast(packed), "__one")
+    ).scalar()
+    df = cards.withColumn("ladder", packed)
     v, ladder = F.col(value), F.col("ladder")
     first, last = F.get(ladder, 0), F.element_at(ladder, -1)
     hit = F.filter(
@@ -123,7 +123,7 @@ def place(cards: DataFrame, rungs: DataFrame, value: str = "corr") -> DataFrame:
         .when(i.isNotNull(), between)
         .otherwise(F.concat(F.lit("tier"), last["tier"].cast("string")))
     )
-    return df.withColumn("placement", label).drop("__one", "ladder")
+    return df.withColumn("placement", label).drop("ladder")
 
 
 def gate_status(
@@ -220,17 +220,14 @@ def verdicts(candidates: DataFrame, champion: DataFrame, metric: str = "corr_sha
     metric does not count."""
     up = METRIC_DIRECTION[metric]
     low, high = f"{metric}_ci_low", f"{metric}_ci_high"
-    one = F.lit(1).alias("__one")
-    champ = champion.where(F.col(metric).isNotNull()).select(
-        one, F.col(low).cast("double").alias("c_low"), F.col(high).cast("double").alias("c_high"),
-        F.lit(True).alias("has_champion"),
-    )
-    df = candidates.where(F.col(metric).isNotNull()).select("*", one)
-    df = df.join(F.broadcast(champ), "__one", "left")
-    missing = F.col(low).isNull() | F.col(high).isNull() | F.col("c_low").isNull() | F.col("c_high").isNull()
-    above, below = F.col(low) > F.col("c_high"), F.col(high) < F.col("c_low")
+    champ = champion.where(F.col(metric).isNotNull()).agg(
+        F.first(F.struct(F.col(low).cast("double").alias("low"), F.col(high).cast("double").alias("high"))).alias("c")
+    ).scalar()
+    df = candidates.where(F.col(metric).isNotNull()).withColumn("c", champ)
+    missing = F.col(low).isNull() | F.col(high).isNull() | F.col("c.low").isNull() | F.col("c.high").isNull()
+    above, below = F.col(low) > F.col("c.high"), F.col(high) < F.col("c.low")
     verdict = (
-        F.when(F.col("has_champion").isNull(), "promote")
+        F.when(F.col("c").isNull(), "promote")
         .when(missing, "caution")
         .when(above if up else below, "promote")
         .when(below if up else above, "hold")
@@ -250,9 +247,8 @@ def best_run(runs: DataFrame, metric: str, key: str = "model_id") -> DataFrame:
 def better_than(runs: DataFrame, champion: DataFrame, metric: str) -> DataFrame:
     """Runs whose metric beats the champion's, in the metric's own direction."""
     up = METRIC_DIRECTION[metric]
-    one = F.lit(1).alias("__one")
-    value = champion.select(one, F.col(metric).alias("__champion"))
-    df = runs.select("*", one).join(F.broadcast(value), "__one").drop("__one")
+    value = champion.agg(F.first(metric).alias("value")).scalar()
+    df = runs.withColumn("__champion", value)
     better = F.col(metric) > F.col("__champion") if up else F.col(metric) < F.col("__champion")
     return df.where(better).drop("__champion")
 
@@ -263,9 +259,9 @@ def trajectories(scores: DataFrame, axis: DataFrame, meta_corr: DataFrame) -> Da
     the meta model are marked. ``scores`` is (model_id, metric, era, value)."""
     known = scores.select("model_id", "metric").distinct()
     eras = axis.select("era", "era_num").distinct()
-    packed = eras.agg(F.collect_list(F.struct("era", "era_num")).alias("eras")).withColumn("__one", F.lit(1))
+    packed = eras.agg(F.collect_list(F.struct("era", "era_num")).alias("eras")).scalar()
     grid = (
-        known.withColumn("__one", F.lit(1)).join(F.broadcast(packed), "__one")
+        known.withColumn("eras", packed)
         .select("model_id", "metric", F.explode("eras").alias("e"))
         .select("model_id", "metric", "e.era", "e.era_num")
     )

@@ -192,9 +192,8 @@ def set_subsets(sets: DataFrame) -> DataFrame:
     sizes = sets.groupBy(F.col("feature_set").alias("a")).agg(
         F.count_distinct("feature").alias("size")
     )
-    names = sets.agg(F.array_sort(F.collect_set("feature_set")).alias("names"))
-    keyed = sizes.withColumn("__one", F.lit(1)).join(names.withColumn("__one", F.lit(1)), "__one")
-    pairs = keyed.select("a", "size", F.explode("names").alias("b")).where("a <> b")
+    names = sets.agg(F.array_sort(F.collect_set("feature_set")).alias("names")).scalar()
+    pairs = sizes.withColumn("names", names).select("a", "size", F.explode("names").alias("b")).where("a <> b")
     return pairs.join(shared, ["a", "b"], "left").select(
         "a", "b", (F.coalesce("both", F.lit(0)) == F.col("size")).alias("a_subset_of_b")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eraflow.functions.ranks import group_shape, with_rank_gauss, with_ranks, with_unit_variance
-from eraflow.functions.stats import all_finite, none_null, ratio, safe_corr
+from eraflow.functions.stats import all_finite, none_null, ratio
 from eraflow.operators import scoring
 
 RIDGE_ALPHA = 1.0
@@ -176,43 +176,42 @@ def best_candidate(sweep: DataFrame) -> DataFrame:
     )
 
 
-def _pair_cells(models: Sequence[str]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"),
-                F.col(a).alias("x"), F.col(b).alias("y"),
-            )
-            for i, a in enumerate(models)
-            for b in models[i + 1 :]
-        ]
-    )
-
-
 def similarity(df: DataFrame, models: Sequence[str], stress: DataFrame | None = None) -> DataFrame:
     """Pooled correlation of the rank-normalized predictions of every model pair, over
     rows all models share; with a table of ``stress`` eras also inside and outside of
-    them. Pairs are of models, so partial aggregation keeps the shuffle tiny."""
+    them. Every task folds its rows into sums per era and pair, so neither rows nor
+    their pairs are shuffled."""
+    from eraflow.operators.correlation import pair_moments
+
     rows = df.where(all_finite(list(models)))
-    scored = rank_normalize(rows.select("era", "id", *models), models)
+    scored = rank_normalize(rows.select("era", *models), models)
+    sums = pair_moments(scored.select("era", F.array(*models).alias("z")))
     if stress is None:
-        scored = scored.withColumn("stress", F.lit(False))
+        sums = sums.withColumn("stress", F.lit(False))
     else:
         marks = stress.select("era").distinct().withColumn("stress", F.lit(True))
-        scored = scored.join(F.broadcast(marks), "era", "left").withColumn(
+        sums = sums.join(F.broadcast(marks), "era", "left").withColumn(
             "stress", F.coalesce("stress", F.lit(False))
         )
-    long = scored.select("stress", F.explode(_pair_cells(models)).alias("p")).select("stress", "p.*")
-
-    def corr_where(condition: Column) -> Column:
-        return safe_corr(F.when(condition, F.col("x")), F.when(condition, F.col("y")))
 
-    return long.groupBy("a", "b").agg(
-        safe_corr(F.col("x"), F.col("y")).alias("corr"),
-        corr_where(F.col("stress")).alias("stress_corr"),
-        corr_where(~F.col("stress")).alias("normal_corr"),
-        F.count_if("stress").alias("n_stress_rows"),
+    def pooled(condition: Column) -> Column:
+        n, sa, sb, saa, sbb, sab = (
+            F.sum(F.when(condition, F.col(c)).otherwise(0.0)) for c in ("n", "sa", "sb", "saa", "sbb", "sab")
+        )
+        rows_in = F.when(n > 0, n)
+        spread = (saa - sa * sa / rows_in) * (sbb - sb * sb / rows_in)
+        value = ratio(sab - sa * sb / rows_in, F.sqrt(F.greatest(spread, F.lit(0.0))))
+        clipped = F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0))
+        return F.coalesce(F.when(spread > 1e-12, clipped), F.lit(0.0))
+
+    labels = F.array(*[F.lit(m) for m in models])
+    pairs = sums.groupBy("a", "b").agg(
+        pooled(F.lit(True)).alias("corr"),
+        pooled(F.col("stress")).alias("stress_corr"),
+        pooled(~F.col("stress")).alias("normal_corr"),
+        F.sum(F.when(F.col("stress"), F.col("n")).otherwise(0.0)).cast("bigint").alias("n_stress_rows"),
     )
+    return pairs.withColumns({"a": F.get(labels, F.col("a")), "b": F.get(labels, F.col("b"))})
 
 
 def diversification(pairs: DataFrame) -> DataFrame:

@@ -73,11 +73,9 @@ def lagged_target_predictions(
     eras = train.select("era", "era_num").distinct()
     last = eras.withColumn("i", F.row_number().over(Window.orderBy(F.desc("era_num"))))
     rows = rows_of_eras(train, last.where(F.col("i") <= window))
-    mean = rows.where(F.col(target).isNotNull()).agg(
-        F.avg(F.col(target).cast("double")).alias("prediction")
-    )
-    keyed = index.select(*KEYS).withColumn("__one", F.lit(1))
-    return keyed.join(F.broadcast(mean.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    known = rows.where(F.col(target).isNotNull())
+    mean = known.agg(F.avg(F.col(target).cast("double")).alias("mean")).scalar()
+    return index.select(*KEYS).withColumn("prediction", mean)
 
 
 # -- fits ------------------------------------------------------------------------

@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eraflow.session import broadcast_checked
-
 PURGE_20D, PURGE_60D = 8, 16
 
 
@@ -60,21 +58,18 @@ def fold_violations(folds: DataFrame, eras: DataFrame, purge: int) -> DataFrame:
         F.min(F.when(val, F.col("era_num"))).alias("val_min"),
         (F.count(F.lit(1)) - F.count_distinct("era")).alias("n_shared"),
     )
-    all_eras = eras.select("era_num").distinct()
-    between = sides.join(
-        broadcast_checked(all_eras),
-        (F.col("era_num") > F.col("train_max")) & (F.col("era_num") < F.col("val_min")),
-        "left",
-    )
-    gaps = between.groupBy("fold", "n_train", "n_val", "train_max", "val_min", "n_shared").agg(
-        F.count("era_num").alias("gap")
+    placed = _placed(eras).select("era_num", "i")
+    ends = placed.select(F.col("era_num").alias("train_max"), F.col("i").alias("last"))
+    starts = placed.select(F.col("era_num").alias("val_min"), F.col("i").alias("first"))
+    gaps = sides.join(ends, "train_max", "left").join(starts, "val_min", "left").select(
+        *sides.columns, (F.col("first") - F.col("last") - 1).cast("bigint").alias("gap")
     )
     ordered = F.coalesce(F.col("train_max") < F.col("val_min"), F.lit(False))
     good = (
         (F.col("n_train") > 0) & (F.col("n_val") > 0) & (F.col("n_shared") == 0) & ordered
         & (F.col("gap") == purge)
     )
-    return gaps.where(~good)
+    return gaps.where(~F.coalesce(good, F.lit(False)))
 
 
 def purged_split(train_eras: DataFrame, val_eras: DataFrame, purge: int) -> DataFrame:

@@ -135,7 +135,8 @@ def block_bootstrap(
             if x.std() < 1e-12 or point == 0.0:
                 p_value = 1.0
             else:
-                extreme = np.abs(thetas - point) >= abs(point)
+                # replicates that equal the observed mean up to rounding count as extreme
+                extreme = np.abs(thetas - point) >= abs(point) - 1e-12
                 p_value = (1.0 + int(extreme.sum())) / (1.0 + n_boot)
         else:
             fn = (lambda m: _adjusted_ratio(m, n_lags)) if name == "ac_sharpe" else statistic
@@ -307,16 +308,12 @@ def deflated_sharpe_fleet(
 ) -> DataFrame:
     """Deflate each trial (columns sharpe, skew, kurt, n) against the spread of all
     trials of its fleet; ``reason`` says why a value is missing."""
-    fleet = trials.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_trials"), F.var_samp("sharpe").alias("trials_variance")
-    )
+    facts = [F.count(F.lit(1)).alias("n_trials"), F.var_samp("sharpe").alias("trials_variance")]
     if by:
-        joined = trials.join(fleet, list(by))
+        joined = trials.join(trials.groupBy(*by).agg(*facts), list(by))
     else:
-        # the fleet is one row: attach it through a constant key
-        joined = trials.withColumn("__one", F.lit(1)).join(
-            F.broadcast(fleet.withColumn("__one", F.lit(1))), "__one"
-        ).drop("__one")
+        fleet = trials.agg(F.struct(*facts).alias("fleet")).scalar()
+        joined = trials.withColumn("__fleet", fleet).select("*", "__fleet.*").drop("__fleet")
     few = F.col("n_trials") < 2
     flat = F.sqrt(F.col("trials_variance")) < 1e-12
     deflated = with_deflated_sharpe(

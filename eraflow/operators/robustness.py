@@ -174,9 +174,8 @@ def adversarial_perturbation(
         manifold.alias("manifold_stability"),
         (ceiling - manifold).alias("gap"),
     )
-    fraction = changed_fraction(rows, cells, features).select("effective_fraction")
-    one = F.lit(1).alias("__one")
-    return means.select("*", one).join(F.broadcast(fraction.select("*", one)), "__one").drop("__one")
+    fraction = changed_fraction(rows, cells, features).select("effective_fraction").scalar()
+    return means.withColumn("effective_fraction", fraction)
 
 
 def horizon_stability(

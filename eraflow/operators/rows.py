@@ -99,17 +99,20 @@ def bins_valid(df: DataFrame, features: Sequence[str], top: int = 4) -> DataFram
 
 def standardize(train: DataFrame, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Centre and scale by the train mean and population deviation; a feature without
-    spread becomes 0. The statistics are one row, attached through a constant key."""
+    spread becomes 0. The statistics are a scalar subquery: one row, whatever the data."""
     stats = train.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in features],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in features],
-    ).withColumn("__one", F.lit(1))
-    joined = rows.withColumn("__one", F.lit(1)).join(F.broadcast(stats), "__one")
+        F.struct(
+            *[F.avg(c).alias(f"m_{c}") for c in features],
+            *[F.stddev_pop(c).alias(f"s_{c}") for c in features],
+        ).alias("stats")
+    ).scalar()
     scaled = {
-        c: F.coalesce(ratio(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0))
+        c: F.coalesce(
+            ratio(F.col(c) - F.col(f"__stats.m_{c}"), F.col(f"__stats.s_{c}")), F.lit(0.0)
+        )
         for c in features
     }
-    return joined.withColumns(scaled).select(*rows.columns)
+    return rows.withColumn("__stats", stats).withColumns(scaled).select(*rows.columns)
 
 
 # -- joins -------------------------------------------------------------------
@@ -211,10 +214,8 @@ def block_score_matrix(
         ratio(F.col("at") * F.col("bb") - F.col("bt") * F.col("ab"), det).alias("wa"),
         ratio(F.col("bt") * F.col("aa") - F.col("at") * F.col("ab"), det).alias("wb"),
     )
-    packed = fits.agg(F.collect_list(F.struct("train_block", "wa", "wb")).alias("fits"))
-    keyed = rows.withColumn("__one", F.lit(1)).join(
-        F.broadcast(packed.withColumn("__one", F.lit(1))), "__one"
-    )
+    packed = fits.agg(F.collect_list(F.struct("train_block", "wa", "wb")).alias("fits")).scalar()
+    keyed = rows.withColumn("fits", packed)
     scored = keyed.select("block", "a", "b", "t", F.explode("fits").alias("f")).select(
         F.col("f.train_block").alias("train_block"), F.col("block").alias("test_block"), "t",
         (F.col("f.wa") * F.col("a") + F.col("f.wb") * F.col("b")).alias("p"),
