@@ -24,17 +24,17 @@ MAX_ABS_DECAY = 0.001
 FDR_Q = 0.05
 
 
-def _named(columns: Sequence[str], name: str, value: str) -> Column:
-    """Array of (name, value) structs of numeric columns, for an unpivot by explode."""
-    return F.array(
-        *[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns]
-    )
+def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], value: str) -> DataFrame:
+    """Long form by position: one row (keys, k, value) per key and column. Positions are
+    cheaper to group by than names; :func:`labelled` puts the names back at the end."""
+    cells = F.array(*[F.col(c).cast("double") for c in columns])
+    return df.select(*keys, F.posexplode(cells).alias("k", value))
 
 
-def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str, value: str):
-    """Long form: one row per key and column."""
-    cells = F.explode(_named(columns, name, value)).alias("c")
-    return df.select(*keys, cells).select(*keys, f"c.{name}", f"c.{value}")
+def labelled(df: DataFrame, columns: Sequence[str], name: str, position: str = "k") -> DataFrame:
+    labels = F.array(*[F.lit(c) for c in columns])
+    others = [c for c in df.columns if c != position]
+    return df.select(F.get(labels, F.col(position)).alias(name), *others)
 
 
 # -- shape ------------------------------------------------------------------
@@ -70,13 +70,13 @@ def era_structure(df: DataFrame) -> DataFrame:
 
 
 def target_profile(df: DataFrame, targets: Sequence[str]) -> DataFrame:
-    long = unpivot(df, ["era"], targets, "target", "v")
+    long = unpivot(df, ["era"], targets, "v")
     value = F.when(is_finite("v"), F.col("v"))
-    per_era = long.groupBy("target", "era").agg(
+    per_era = long.groupBy("k", "era").agg(
         F.avg(value).alias("m"),
         ((F.count(value) >= 2) & (F.min(value) == F.max(value))).alias("flat"),
     )
-    eras = per_era.groupBy("target").agg(
+    eras = per_era.groupBy("k").agg(
         F.count("m").alias("n_eras_present"),
         F.avg("m").alias("era_mean_mean"),
         F.stddev_pop("m").alias("era_mean_std"),
@@ -84,7 +84,7 @@ def target_profile(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     )
     spread = F.min(value) < F.max(value)
     has = F.count(value) > 0
-    pooled = long.groupBy("target").agg(
+    pooled = long.groupBy("k").agg(
         (F.lit(1.0) - F.count(value) / F.count(F.lit(1))).alias("missing_rate"),
         F.avg(value).alias("pooled_mean"),
         F.stddev_pop(value).alias("pooled_std"),
@@ -93,7 +93,7 @@ def target_profile(df: DataFrame, targets: Sequence[str]) -> DataFrame:
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    return pooled.join(eras, "target")
+    return labelled(pooled.join(eras, "k"), targets, "target")
 
 
 def target_correlation(df: DataFrame, targets: Sequence[str]) -> DataFrame:
@@ -149,16 +149,17 @@ def ic_by_era(df: DataFrame, features: Sequence[str], targets: Sequence[str]) ->
     only one value is flagged and scores zero.
     """
     df = with_era_num(df)
+    # positions instead of names keep the keys of the big aggregation small
     rows = df.where(none_null([*features, *targets])).select(
         "era",
-        "era_num",
-        F.explode(_named(features, "feature", "x")).alias("f"),
-        F.filter(_named(targets, "target", "y"), lambda s: is_finite(s["y"])).alias("ts"),
+        F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("f", "x"),
+        F.array(*[F.col(t).cast("double") for t in targets]).alias("ys"),
     )
-    keys = ["target", "era", "era_num", "feature"]
+    keys = ["t", "era", "f"]
     cells = (
-        rows.select("era", "era_num", "f.*", F.explode("ts").alias("t"))
-        .groupBy("t.target", "era", "era_num", "feature", "x", "t.y")
+        rows.select("era", "f", "x", F.posexplode("ys").alias("t", "y"))
+        .where(is_finite("y"))
+        .groupBy(*keys, "x", "y")
         .agg(F.count(F.lit(1)).alias("w"))
     )
     weight = F.col("w")
@@ -178,15 +179,19 @@ def ic_by_era(df: DataFrame, features: Sequence[str], targets: Sequence[str]) ->
         .alias("spearman_ic"),
         (F.min("y") < F.max("y")).alias("varies"),
     )
+    names = [F.array(*[F.lit(c) for c in columns]) for columns in (targets, features)]
     grid = (
         df.select("era", "era_num")
         .distinct()
-        .select("*", F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
-        .select("*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+        .select("*", F.posexplode(names[0]).alias("t", "target"))
+        .select("*", F.posexplode(names[1]).alias("f", "feature"))
     )
     varies = F.coalesce("varies", F.lit(False))
     return grid.join(scored, keys, "left").select(
-        *keys,
+        "target",
+        "era",
+        "era_num",
+        "feature",
         F.when(varies, F.col("ic")).otherwise(0.0).alias("ic"),
         F.when(varies, F.col("spearman_ic")).otherwise(0.0).alias("spearman_ic"),
         (~varies).alias("degenerate"),
@@ -205,9 +210,9 @@ def vector_ic_by_era(df: DataFrame, vector: str, target: str) -> DataFrame:
 
 
 def feature_summary(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    long = unpivot(df, [], features, "feature", "v")
+    long = unpivot(df, [], features, "v")
     value = F.when(is_finite("v"), F.col("v"))
-    return long.groupBy("feature").agg(*moments(value))
+    return labelled(long.groupBy("k").agg(*moments(value)), features, "feature")
 
 
 def moments(value: Column) -> list[Column]:
@@ -390,11 +395,10 @@ def exposure_by_era(df: DataFrame, pred: str, features: Sequence[str]) -> DataFr
     """Plain correlation of the prediction with each feature, per era. Eras without a
     complete row score zero."""
     ok = none_null([pred, *features])
-    work = df.select(
-        "era", F.when(ok, F.col(pred).cast("double")).alias("p"),
-        F.explode(_named(features, "feature", "v")).alias("c"),
-    ).select("era", "p", "c.feature", F.when(F.col("p").isNotNull(), F.col("c.v")).alias("v"))
-    return work.groupBy("era", "feature").agg(safe_corr(F.col("p"), F.col("v")).alias("exposure"))
+    work = unpivot(df.withColumn("__p", F.when(ok, F.col(pred).cast("double"))), ["era", "__p"], features, "v")
+    value = F.when(F.col("__p").isNotNull(), F.col("v"))
+    per = work.groupBy("era", "k").agg(safe_corr(F.col("__p"), value).alias("exposure"))
+    return labelled(per, features, "feature")
 
 
 def feature_exposure(df: DataFrame, pred: str, features: Sequence[str]) -> DataFrame:
@@ -431,14 +435,11 @@ def meta_orthogonality(
         & is_finite(meta)
         & is_finite(target)
     )
-    m, t = F.col("m"), F.col("t")
+    m, t = F.col("__m"), F.col("__t")
+    sides = {"__m": F.col(meta).cast("double"), "__t": F.col(target).cast("double")}
     per_era = (
-        rows.select(
-            "era", F.col(meta).cast("double").alias("m"), F.col(target).cast("double").alias("t"),
-            F.explode(_named(features, "feature", "x")).alias("c"),
-        )
-        .select("era", "m", "t", "c.*")
-        .groupBy("era", "feature")
+        unpivot(rows.withColumns(sides), ["era", "__m", "__t"], features, "x")
+        .groupBy("era", "k")
         .agg(
             safe_corr(F.col("x"), m).alias("cm"),
             safe_corr(F.col("x"), t).alias("ct"),
@@ -446,10 +447,10 @@ def meta_orthogonality(
         )
         .where("varies")
     )
-    out = per_era.groupBy("feature").agg(
+    out = per_era.groupBy("k").agg(
         F.avg("cm").alias("corr_meta"), F.avg("ct").alias("corr_target"), F.count(F.lit(1)).alias("n_eras")
     )
-    return out.withColumn(
+    return labelled(out, features, "feature").withColumn(
         "orthogonal",
         (F.abs("corr_meta") <= threshold) & (F.abs("corr_target") > threshold),
     )
@@ -459,19 +460,18 @@ def benchmark_era_corr(df: DataFrame, benchmarks: Sequence[str], target: str) ->
     """Per-era plain correlation of benchmark columns with the target, on rows where
     all are present; eras with a constant target are absent."""
     rows = df.where(none_null([*benchmarks, target]) & is_finite(target))
-    long = rows.select(
-        "era", "era_num", F.col(target).cast("double").alias("t"),
-        F.explode(_named(benchmarks, "benchmark", "b")).alias("c"),
-    ).select("era", "era_num", "t", "c.*")
-    return (
-        long.groupBy("benchmark", "era", "era_num")
+    rows = rows.withColumn("__t", F.col(target).cast("double"))
+    long = unpivot(rows, ["era", "era_num", "__t"], benchmarks, "b")
+    per = (
+        long.groupBy("k", "era", "era_num")
         .agg(
-            safe_corr(F.col("b"), F.col("t")).alias("corr"),
-            ((F.count("t") >= 2) & (F.min("t") < F.max("t"))).alias("varies"),
+            safe_corr(F.col("b"), F.col("__t")).alias("corr"),
+            ((F.count("__t") >= 2) & (F.min("__t") < F.max("__t"))).alias("varies"),
         )
         .where("varies")
         .drop("varies")
     )
+    return labelled(per, benchmarks, "benchmark")
 
 
 def benchmark_summary(per_era: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eraflow.functions.running import running_totals
 from eraflow.functions.stats import is_finite, ratio
-from eraflow.operators.analysis import unpivot
+from eraflow.operators.analysis import labelled, unpivot
 from eraflow.session import broadcast_checked, materialize
 
 PSI_EPSILON = 1e-6
@@ -24,15 +24,11 @@ PSI_FLAG, W1_FLAG, AUC_FLAG = 0.25, 0.5, 0.1
 
 def value_counts(df: DataFrame, features: Sequence[str], is_train: Column) -> DataFrame:
     """(feature, v, nt, nv): finite values with their counts on either side."""
-    long = unpivot(df.withColumn("__train", is_train), ["__train"], features, "feature", "v")
-    return (
-        long.where(is_finite("v"))
-        .groupBy("feature", "v")
-        .agg(
-            F.count_if("__train").alias("nt"),
-            F.count_if(~F.col("__train")).alias("nv"),
-        )
+    long = unpivot(df.withColumn("__train", is_train), ["__train"], features, "v")
+    counts = long.where(is_finite("v")).groupBy("k", "v").agg(
+        F.count_if("__train").alias("nt"), F.count_if(~F.col("__train")).alias("nv")
     )
+    return labelled(counts, features, "feature")
 
 
 def side_totals(counts: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from eraflow.functions.stats import none_null, safe_corr
 from eraflow.operators import inference, robustness, scoring, series
+from eraflow.operators.analysis import unpivot
 from eraflow.session import materialize
 
 BY = ["model_id"]
@@ -63,11 +64,9 @@ def per_era_scores(
 
 def max_exposure(base: DataFrame, features: Sequence[str]) -> DataFrame:
     ok = none_null(["prediction", *features])
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])
-    ).alias("c")
-    long = base.where(ok).select(*KEYS, F.col("prediction").cast("double").alias("p"), cells)
-    per = long.groupBy(*KEYS, "c.feature").agg(safe_corr(F.col("p"), F.col("c.v")).alias("x"))
+    rows = base.where(ok).withColumn("__p", F.col("prediction").cast("double"))
+    long = unpivot(rows, [*KEYS, "__p"], features, "v")
+    per = long.groupBy(*KEYS, "k").agg(safe_corr(F.col("__p"), F.col("v")).alias("x"))
     return per.groupBy(*BY).agg(F.max(F.abs("x")).alias("max_feature_exposure"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eraflow.functions.stats import is_finite
-from eraflow.operators.analysis import moments, unpivot
+from eraflow.operators.analysis import labelled, moments, unpivot
 
 
 def era_stream(
@@ -28,8 +28,9 @@ def era_stream(
 def feature_moments(stream: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pooled moments per feature as a streaming aggregation. The state is one row of
     mergeable moments per feature, however many eras have passed."""
-    long = unpivot(stream, [], features, "feature", "v")
-    return long.groupBy("feature").agg(*moments(F.when(is_finite("v"), F.col("v"))))
+    long = unpivot(stream, [], features, "v")
+    per = long.groupBy("k").agg(*moments(F.when(is_finite("v"), F.col("v"))))
+    return labelled(per, features, "feature")
 
 
 def run_feature_moments(
