@@ -9,6 +9,7 @@ from eraflow.catalog.registry import register, tidy
 from eraflow.catalog.rows_queries import ERAS
 from eraflow.catalog.series_queries import PAY, S, corr_series, payouts
 from eraflow.operators import ensemble, folds, rows, scoring
+from eraflow.session import broadcast_checked
 from eraflow.sources.testpanel import META, MODELS, customer_month
 
 
@@ -78,7 +79,7 @@ def weight_learning_roles(spark, sf):
 @register("fold_rows", q.query(walk_sql(4, 8), "SELECT fold, wr.role, count(*)::BIGINT AS n FROM panel JOIN wr USING (era) WHERE role IS NOT NULL GROUP BY fold, role"))
 def fold_rows(spark, sf):
     f = folds.walk_forward(eras(spark, sf), 4, 8).drop("era_num")
-    joined = customer_month(spark, sf).select("era", "id").join(F.broadcast(f), "era")
+    joined = customer_month(spark, sf).select("era", "id").join(broadcast_checked(f), "era")
     return tidy(joined.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")))
 
 

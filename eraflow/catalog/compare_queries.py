@@ -28,7 +28,7 @@ from eraflow.streaming import incremental
 CARDS = """
 rk AS (SELECT c_name AS model_id, c_custkey AS k, c_nationkey AS nation, c_mktsegment AS seg, round(c_acctbal * 100)::BIGINT AS a FROM customer WHERE c_custkey % 97 <> 0),
 rv AS (SELECT *, k % 10 <> 0 AS has_card, a / 20000000.0::DOUBLE AS x_corr, ((k * 37) % 200) / 100.0::DOUBLE - 0.5::DOUBLE AS x_sharpe FROM rk),
-cards AS (SELECT model_id, k, nation, seg, has_card, CASE WHEN has_card THEN 'trained' ELSE 'trained_legacy' END AS source, 'run-' || nation::VARCHAR AS run_name,
+cards AS (SELECT model_id, k, a, nation, seg, has_card, CASE WHEN has_card THEN 'trained' ELSE 'trained_legacy' END AS source, 'run-' || nation::VARCHAR AS run_name,
   CASE WHEN has_card THEN x_corr ELSE x_corr * 2.0::DOUBLE END AS corr,
   CASE WHEN has_card AND k % 13 <> 0 THEN x_corr - (k % 7) / 1000.0::DOUBLE END AS corr_ci_low,
   CASE WHEN has_card THEN x_corr + (k % 5) / 1000.0::DOUBLE END AS corr_ci_high,
@@ -290,13 +290,13 @@ def robustness_cells(spark, sf):
     return leaderboard(spark, sf).select("model_id", "has_bmc", "has_horizon", "has_perturb", "has_regime")
 
 
-@register("tier_metadata", q.query([CARDS, "md AS (SELECT model_id, nation::BIGINT AS tier, 'tier' || nation::VARCHAR AS strategy_group FROM cards WHERE k % 2 = 0)"],
+@register("tier_metadata", q.query([CARDS, "md AS (SELECT model_id, nation::BIGINT AS tier, 'tier' || nation::VARCHAR AS strategy_group FROM cards WHERE a >= 0)"],
                                    "SELECT model_id, md.tier, strategy_group FROM cards LEFT JOIN md USING (model_id)", panel=False))
 def tier_metadata(spark, sf):
     from eraflow.operators.rows import with_metadata
 
     cards = leaderboard(spark, sf).select("model_id")
-    meta = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(
+    meta = table(spark, sf, "customer").where("c_acctbal >= 0").select(
         F.col("c_name").alias("model_id"), F.col("c_nationkey").cast("bigint").alias("tier"),
         F.concat(F.lit("tier"), F.col("c_nationkey").cast("string")).alias("strategy_group"),
     )

@@ -341,10 +341,10 @@ def top_rows(spark, sf):
     return tidy(df.orderBy(F.desc("pred_a"), "era", "id").limit(100))
 
 
-@register("best_model_per_era", q.query(S, "SELECT era, max_by(model_id, value) AS model_id, round(max(value), 6) + 0.0 AS value FROM ser GROUP BY era"))
+@register("best_model_per_era", q.query([*S, "bm AS (SELECT *, row_number() OVER (PARTITION BY era ORDER BY round(value, 12) DESC, model_id DESC) AS i FROM ser)"], "SELECT era, model_id, round(value, 6) + 0.0 AS value FROM bm WHERE i = 1"))
 def best_model_per_era(spark, sf):
     best = corr_series(spark, sf).groupBy("era").agg(
-        F.max_by("model_id", F.struct("value", "model_id")).alias("model_id"), F.max("value").alias("value")
+        F.max_by("model_id", F.struct(F.round("value", 12), "model_id")).alias("model_id"), F.max("value").alias("value")
     )
     return tidy(best)
 

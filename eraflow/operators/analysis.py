@@ -535,7 +535,7 @@ def ic_persistence(ic: DataFrame) -> DataFrame:
     live = ic.groupBy("era_num").agg(F.max(F.abs("ic")).alias("m")).where("m > 0")
     numbered = live.withColumn("i", F.row_number().over(Window.orderBy("era_num"))).drop("m")
     # ICs that differ by rounding noise are ties
-    joined = ic.join(F.broadcast(numbered), "era_num").withColumn("ic", F.round("ic", 12))
+    joined = ic.join(numbered, "era_num").withColumn("ic", F.round("ic", 12))
     ranked = with_ranks(joined, ["i"], {"r": "ic"}, shape=(1, 0))
     now = ranked.select("i", "feature", "r")
     before = ranked.select((F.col("i") + 1).alias("i"), "feature", F.col("r").alias("b"))

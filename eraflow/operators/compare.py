@@ -60,7 +60,7 @@ def gate_report(cards: DataFrame, gate: DataFrame, fields: Sequence[str]) -> Dat
     checked = F.when(
         bad, F.raise_error(F.concat(F.lit("non-finite value in scorecard "), "model_id", F.lit("."), "field")).cast("double")
     ).otherwise(F.col("measured"))
-    joined = long.withColumn("measured", checked).join(F.broadcast(gate), "field")
+    joined = long.withColumn("measured", checked).join(gate, "field")
     return joined.select(
         "model_id", "field", "threshold", "measured",
         _receipt(F.col("measured"), F.col("op"), F.col("threshold")).alias("pass"),
@@ -268,7 +268,7 @@ def trajectories(scores: DataFrame, axis: DataFrame, meta_corr: DataFrame) -> Da
     down = meta_corr.select("era", (F.col("value") < 0.0).alias("downside"))
     filled = (
         grid.join(scores, ["model_id", "metric", "era"], "left")
-        .join(F.broadcast(down), "era", "left")
+        .join(down, "era", "left")
         .withColumn("value", F.coalesce("value", F.lit(0.0)))
         .withColumn("downside", F.coalesce("downside", F.lit(False)))
     )

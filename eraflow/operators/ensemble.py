@@ -190,7 +190,7 @@ def similarity(df: DataFrame, models: Sequence[str], stress: DataFrame | None =
         sums = sums.withColumn("stress", F.lit(False))
     else:
         marks = stress.select("era").distinct().withColumn("stress", F.lit(True))
-        sums = sums.join(F.broadcast(marks), "era", "left").withColumn(
+        sums = sums.join(marks, "era", "left").withColumn(
             "stress", F.coalesce("stress", F.lit(False))
         )
 

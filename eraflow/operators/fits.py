@@ -22,7 +22,7 @@ from eraflow.functions.stats import clip, is_finite, with_norm_ppf
 from eraflow.operators import analysis, ensemble, scoring
 from eraflow.operators.neutralize import neutralize
 from eraflow.operators.rows import KEYS, complete_join, finite_target_rows, rows_of_eras, standardize
-from eraflow.session import materialize, path_exists, shared_dir
+from eraflow.session import broadcast_checked, materialize, path_exists, shared_dir
 
 TREE_PARAMS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 7}
 
@@ -159,7 +159,7 @@ def tree_predictions(
             eras = train.select("era", "era_num").distinct()
             last = eras.withColumn("i", F.row_number().over(Window.orderBy(F.desc("era_num"))))
             marks = last.select("era", (F.col("i") <= holdout_eras).alias("__valid"))
-            fitted = train.join(F.broadcast(marks), "era")
+            fitted = train.join(broadcast_checked(marks), "era")
             data = finite_target_rows(fitted, t).select(*features, "__valid", F.col(t).cast("double").alias("__y"))
             model = GBTRegressor(
                 featuresCol="__x", labelCol="__y", validationIndicatorCol="__valid",

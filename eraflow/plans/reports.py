@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eraflow.operators import analysis, compare, correlation, drift, fits, inference, series
 from eraflow.operators.neutralize import neutralized_ic
 from eraflow.plans import scorecard
-from eraflow.session import materialize
+from eraflow.session import broadcast_checked, materialize
 
 PAIRS = (("v2", "v3"), ("v2", "v4"), ("v3", "v4"))
 
@@ -55,7 +55,7 @@ def hierarchy(
     cards = scorecard.evaluate_models(
         base, target=target, meta=meta, features=features, benchmark="reference", n_boot=n_boot
     )
-    flat = scorecard.flatten(cards).join(F.broadcast(tiers), "model_id", "left")
+    flat = scorecard.flatten(cards).join(tiers, "model_id", "left")
     return flat.withColumn("strategy_group", F.concat(F.lit("tier"), F.col("tier").cast("string")))
 
 
@@ -67,7 +67,7 @@ def campaign_evidence(
     fully neutralized IC with interval, and the fleet-deflated ratio. Runs that were not
     recorded, or have no predictions, keep a row with an error."""
     recorded = runs.where("status = 'recorded' and run_id is not null").select("variant", "run_id")
-    preds = predictions.join(F.broadcast(recorded), "run_id").select("variant", "era", "id", "prediction")
+    preds = predictions.join(broadcast_checked(recorded), "run_id").select("variant", "era", "id", "prediction")
     joined = materialize(preds.join(rows.select("era", "id", target, *features), ["era", "id"]), "campaign")
     by = ["variant"]
     ic = _plain_ic(joined, target)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eraflow.session import broadcast_checked
+
 KEYS = ("era", "id")
 
 
@@ -55,8 +57,6 @@ def full_history(train: DataFrame, validation: DataFrame) -> DataFrame:
 def truncated_window(df: DataFrame, eras_per_split: int, split: str = "split") -> DataFrame:
     """The first eras of every split. Positions are found on the table of eras; the
     panel is only semi-joined with it."""
-    from eraflow.session import broadcast_checked
-
     eras = df.select(split, "era", "era_num").distinct()
     order = Window.partitionBy(split).orderBy("era_num")
     first = eras.withColumn("i", F.row_number().over(order)).where(F.col("i") <= eras_per_split)
@@ -82,13 +82,13 @@ def lookups(
 ) -> tuple[DataFrame, DataFrame]:
     """Targets and one benchmark column restricted to the eras the meta model covers; a
     benchmark file without that column gives an empty frame."""
-    eras = meta.where(F.col(meta_column).isNotNull()).select("era").distinct()
-    restricted = targets.join(F.broadcast(eras), "era", "left_semi")
+    eras = broadcast_checked(meta.where(F.col(meta_column).isNotNull()).select("era").distinct())
+    restricted = targets.join(eras, "era", "left_semi")
     if benchmark not in benchmarks.columns:
         empty = meta.sparkSession.createDataFrame([], f"era string, id string, {benchmark} double")
         return restricted, empty
     return restricted, benchmarks.select("era", "id", benchmark).join(
-        F.broadcast(eras), "era", "left_semi"
+        eras, "era", "left_semi"
     )
 
 
@@ -118,7 +118,7 @@ def era_ledger(df: DataFrame, date: str, split: str = "split") -> DataFrame:
 def update_ledger(ledger: DataFrame, today: DataFrame) -> DataFrame:
     """Replace the rows of the new date, keep the others."""
     dates = today.select("date").distinct()
-    return ledger.join(F.broadcast(dates), "date", "left_anti").unionByName(
+    return ledger.join(dates, "date", "left_anti").unionByName(
         today, allowMissingColumns=True
     )
 
