@@ -206,10 +206,11 @@ GATE_LONG = "gl AS (" + " UNION ALL ".join(f"SELECT model_id, '{f}' AS field, {f
 
 
 @register("gate_report", q.query([CARDS, GATE_SQL, GATE_LONG, f"o AS (SELECT model_id, field, threshold, measured, {RECEIPT} AS pass FROM gl JOIN gate USING (field))"],
-                                 q.rounded("o", ["model_id", "field", "pass"], ["threshold", "measured"], 10), panel=False))
+                                 q.rounded("o", ["model_id", "field", "pass::VARCHAR AS pass"], ["threshold", "measured"], 10), panel=False))
 def gate_report(spark, sf):
     fields = [f for f, _, _ in compare.GATE]
-    return tidy(compare.gate_report(leaderboard(spark, sf), compare.gate_table(spark), fields), 10)
+    report = compare.gate_report(leaderboard(spark, sf), compare.gate_table(spark), fields)
+    return tidy(report.withColumn("pass", F.col("pass").cast("string")), 10)
 
 
 @register("gate_violations", q.query([CARDS, GATE_SQL, GATE_LONG, f"o AS (SELECT model_id, field, {RECEIPT} AS pass FROM gl JOIN gate USING (field))"],
@@ -236,21 +237,21 @@ READY = " AND ".join(f"coalesce(gate_{f}, {'true' if f == 'turnover_mean' else '
 
 
 @register("gate_status",
-          q.query([*STATUS, BENCH_CARDS], f"SELECT model_id, CASE WHEN model_id = 'Customer#000000007' THEN 'CHAMPION' WHEN {READY} THEN 'CAPITAL READY' ELSE 'RESEARCH' END AS status, gate_corr, gate_turnover_mean FROM st "
-                  "UNION ALL SELECT model_id, CASE WHEN model_id = 'Supplier#000000003' THEN 'GATE HURDLE' ELSE 'BENCHMARK' END, corr >= 0.0286, NULL FROM bcards", panel=False))
+          q.query([*STATUS, BENCH_CARDS], f"SELECT model_id, CASE WHEN model_id = 'Customer#000000007' THEN 'CHAMPION' WHEN {READY} THEN 'CAPITAL READY' ELSE 'RESEARCH' END AS status, gate_corr::VARCHAR AS gate_corr, gate_turnover_mean::VARCHAR AS gate_turnover_mean FROM st "
+                  "UNION ALL SELECT model_id, CASE WHEN model_id = 'Supplier#000000003' THEN 'GATE HURDLE' ELSE 'BENCHMARK' END, (corr >= 0.0286)::VARCHAR, NULL FROM bcards", panel=False))
 def gate_status(spark, sf):
     board = compare.merged_leaderboard(leaderboard(spark, sf), benchmark_board(spark, sf))
     out = compare.gate_status(board, reference="Supplier#000000003", champion="Customer#000000007")
-    return out.select("model_id", "status", "gate_corr", "gate_turnover_mean")
+    return out.select("model_id", "status", *[F.col(c).cast("string").alias(c) for c in ("gate_corr", "gate_turnover_mean")])
 
 
 @register("leaderboard_order",
           q.query([CARDS, BENCH_CARDS, "al AS (SELECT model_id, source, run_name, corr_sharpe_ac, NULL::BIGINT AS tier FROM cards UNION ALL SELECT model_id, source, run_name, corr_sharpe_ac, tier FROM bcards)",
                    "se AS (SELECT *, CASE WHEN model_id = 'Customer#000000007' THEN 0 WHEN source = 'benchmark' THEN 3 ELSE 2 END AS section FROM al)"],
-                  "SELECT section::BIGINT AS section, model_id, source, round(corr_sharpe_ac, 6) + 0.0 AS corr_sharpe_ac, tier FROM se ORDER BY section, CASE WHEN section = 2 THEN corr_sharpe_ac END DESC NULLS LAST, CASE WHEN section = 3 THEN tier END, model_id", panel=False))
+                  "SELECT section::BIGINT AS section, model_id, source, round(corr_sharpe_ac, 6) + 0.0 AS corr_sharpe_ac, coalesce(tier, -1) AS tier FROM se ORDER BY section, CASE WHEN section = 2 THEN corr_sharpe_ac END DESC NULLS LAST, CASE WHEN section = 3 THEN tier END, model_id", panel=False))
 def leaderboard_order(spark, sf):
     board = compare.merged_leaderboard(leaderboard(spark, sf), benchmark_board(spark, sf))
-    return tidy(compare.ordered_leaderboard(compare.evaluable_rows(board), "Customer#000000007").select("section", "model_id", "source", "corr_sharpe_ac", "tier"))
+    return tidy(compare.ordered_leaderboard(compare.evaluable_rows(board), "Customer#000000007").select("section", "model_id", "source", "corr_sharpe_ac", F.coalesce("tier", F.lit(-1)).alias("tier")))
 
 
 @register("evaluable_rows", q.query([CARDS], "SELECT model_id, source FROM cards WHERE source <> 'full'", panel=False))
@@ -291,7 +292,7 @@ def robustness_cells(spark, sf):
 
 
 @register("tier_metadata", q.query([CARDS, "md AS (SELECT model_id, nation::BIGINT AS tier, 'tier' || nation::VARCHAR AS strategy_group FROM cards WHERE a >= 0)"],
-                                   "SELECT model_id, md.tier, strategy_group FROM cards LEFT JOIN md USING (model_id)", panel=False))
+                                   "SELECT model_id, coalesce(md.tier, -1) AS tier, strategy_group FROM cards LEFT JOIN md USING (model_id)", panel=False))
 def tier_metadata(spark, sf):
     from eraflow.operators.rows import with_metadata
 
@@ -300,7 +301,7 @@ def tier_metadata(spark, sf):
         F.col("c_name").alias("model_id"), F.col("c_nationkey").cast("bigint").alias("tier"),
         F.concat(F.lit("tier"), F.col("c_nationkey").cast("string")).alias("strategy_group"),
     )
-    return with_metadata(cards, meta)
+    return with_metadata(cards, meta).withColumn("tier", F.coalesce("tier", F.lit(-1)))
 
 
 @register("feature_set_relations",
