@@ -26,7 +26,10 @@ from eraflow.session import broadcast_checked, materialize, max_group_rows
 RCOND = 1e-6
 FLUSH_BYTES = 256 * 2**20
 FOLD_ROWS = 2048
-FOLD_WAYS = 64
+# Factors of one group meet in steps, so that no task stacks more than a few dozen of
+# them: none, one or two steps before the last, by the rows of the largest group.
+WIDE_WAYS, NARROW_WAYS = 4096, 64
+ONE_STEP_ROWS = 65_536
 
 
 def feature_vector(features: str | Sequence[str]) -> Column:
@@ -49,7 +52,7 @@ def fit_projection(
 ) -> DataFrame:
     """Least-squares coefficients per group: (by, fits), where ``fits`` holds one
     (coefficients, flat) pair per prediction and ``flat`` marks a constant one.
-    Rows must be complete. Factors of oversized groups are folded in two steps."""
+    Rows must be complete."""
     shape = shape or group_shape(df, by)
     by, preds = list(by), list(preds)
     key_fields = [df.schema[c] for c in by]
@@ -66,7 +69,7 @@ def fit_projection(
     n_preds = len(preds)
     rows = df.select(
         *by,
-        F.pmod(F.spark_partition_id(), F.lit(FOLD_WAYS)).alias("way"),
+        F.pmod(F.spark_partition_id(), F.lit(WIDE_WAYS)).alias("way"),
         F.concat(F.col(vector), F.array(F.lit(1.0), *[F.col(p) for p in preds])).alias("row"),
     )
 
@@ -161,7 +164,12 @@ def fit_projection(
 
     blocks = rows.mapInArrow(factor_rows, block_schema)
     if shape[1] > max_group_rows(df.sparkSession):
-        blocks = blocks.groupBy(*by, "way").applyInPandas(fold_ways, block_schema)
+        steps = (WIDE_WAYS, NARROW_WAYS)
+    else:
+        steps = (NARROW_WAYS,) if shape[1] > ONE_STEP_ROWS else ()
+    for ways in steps:
+        spread = blocks.withColumn("way", F.pmod("way", F.lit(ways)))
+        blocks = spread.groupBy(*by, "way").applyInPandas(fold_ways, block_schema)
     return blocks.groupBy(*by).applyInPandas(
         solve, T.StructType([*key_fields, T.StructField("fits", fit_type)])
     )

@@ -33,9 +33,10 @@ def residuals(pdf, column, share=1.0):
     return out
 
 
-@pytest.mark.parametrize("cap", ["1000000", "20"])
+@pytest.mark.parametrize("cap,one_step", [("1000000", 65536), ("1000000", 5), ("20", 65536)])
 @pytest.mark.parametrize("case", ["plain", "duplicate", "constant", "flat_pred", "few_rows"])
-def test_neutralize_against_lstsq(spark, case, cap):
+def test_neutralize_against_lstsq(spark, case, cap, one_step, monkeypatch):
+    monkeypatch.setattr("eraflow.operators.neutralize.ONE_STEP_ROWS", one_step)
     pdf = wide(rows=8 if case == "few_rows" else 80)
     if case == "duplicate":
         pdf["features"] = [np.append(f, f[0]) for f in pdf["features"]]
