@@ -98,7 +98,7 @@ def _bucket_ranks(df, by, ranks, stats, weight, shape):
         *[
             F.when(
                 size > cap,
-                F.array_sort(F.array_distinct(F.percentile_approx(column, points, accuracy))),
+                F.sort_array(F.array_distinct(F.percentile_approx(column, points, accuracy))),
             ).alias(f"__cuts_{name}")
             for name, column in ranks.items()
         ],

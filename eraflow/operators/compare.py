@@ -103,7 +103,7 @@ def place(cards: DataFrame, rungs: DataFrame, value: str = "corr") -> DataFrame:
     """Where each value falls on the ladder of tier rungs (a handful of rows, so one
     sorted array, a scalar subquery, reaches every row and the rows are not shuffled)."""
     packed = rungs.agg(
-        F.array_sort(F.collect_list(F.struct("tier", F.col("corr").alias("rung")))).alias("ladder")
+        F.sort_array(F.collect_list(F.struct("tier", F.col("corr").alias("rung")))).alias("ladder")
     ).scalar()
     df = cards.withColumn("ladder", packed)
     v, ladder = F.col(value), F.col("ladder")
@@ -314,7 +314,7 @@ def scorecard_digest(cards: DataFrame, digits: int = 6) -> DataFrame:
         kind = cards.schema[c].dataType.typeName()
         cells.append(F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c))
     lines = cards.select("model_id", F.sha2(F.to_json(F.struct(*cells)), 256).alias("digest"))
-    ordered = F.array_sort(F.collect_list(F.struct("model_id", "digest")))
+    ordered = F.sort_array(F.collect_list(F.struct("model_id", "digest")))
     return lines.agg(
         F.sha2(F.to_json(ordered), 256).alias("digest"), F.count(F.lit(1)).alias("n_models")
     )

@@ -23,41 +23,48 @@ def scored_vectors(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
     """(era, z): complete rows with every feature replaced by the normal score of
     rank / (n + 1) within its era.
 
-    Ranks come from counts per (era, feature, value). When that table is small (binned
-    features), it travels to the rows as one lookup map per era and feature and no row
-    is shuffled; otherwise the scores are joined and the vectors put together again.
+    If an estimate says there are few (era, feature, value) cells (binned features),
+    they are counted and ranked, and the scores travel to the rows as one lookup map per
+    era and feature: no row is shuffled. Otherwise the values are ranked in long form
+    and the vectors put together again.
     """
     rows = df.select("era", "id", feature_vector(features).alias("x")).where(
         F.forall("x", is_finite)
     )
-    cells = (
-        rows.select("era", F.posexplode("x").alias("i", "v"))
-        .groupBy("era", "i", "v")
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
-    shape = group_shape(df, ["era"])
-    ranked = with_ranks(cells, ["era", "i"], {"r": "v"}, weight="w", count_as="n", shape=shape)
-    shares = ranked.where("n >= 2").withColumn("p", F.col("r") / (F.col("n") + 1))
-    table = materialize(
-        with_norm_ppf(shares, {"z": "p"}).select("era", "i", "v", "z"), "scores"
-    )
+    long = rows.select("era", "id", F.posexplode("x").alias("i", "v"))
     limit = broadcast_rows(df.sparkSession)
-    if table.limit(limit + 1).count() <= limit:
-        maps = table.groupBy("era", "i").agg(
-            F.map_from_entries(F.collect_list(F.struct("v", "z"))).alias("m")
-        )
-        maps = maps.groupBy("era").agg(
-            F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("ms")
-        )
-        return rows.join(F.broadcast(maps), "era").select(
-            "era", F.transform("x", lambda v, i: F.col("ms")[i][v]).alias("z")
-        )
-    long = rows.select("era", "id", F.posexplode("x").alias("i", "v")).join(table, ["era", "i", "v"])
-    return long.groupBy("era", "id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda s: s["z"]).alias("z")
+    groups, largest = group_shape(df, ["era"])
+    estimate = long.agg(
+        F.approx_count_distinct(F.xxhash64("era", "i", "v")).alias("cells"),
+        (F.max("i") + 1).alias("width"),
+    ).first()
+    if estimate["cells"] <= limit:
+        cells = long.groupBy("era", "i", "v").agg(F.count(F.lit(1)).alias("w"))
+        table = materialize(_scores(cells, (groups, largest), "w"), "scores")
+        # the estimate chose the way; the broadcast itself depends on the exact count
+        if table.limit(limit + 1).count() <= limit:
+            maps = table.groupBy("era", "i").agg(
+                F.map_from_entries(F.collect_list(F.struct("v", "z"))).alias("m")
+            )
+            maps = maps.groupBy("era").agg(
+                F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("ms")
+            )
+            return rows.join(F.broadcast(maps), "era").select(
+                "era", F.transform("x", lambda v, i: F.col("ms")[i][v]).alias("z")
+            )
+    scored = _scores(long, (groups * int(estimate["width"] or 0), largest), None)
+    return scored.groupBy("era", "id").agg(
+        F.sort_array(F.collect_list(F.struct("i", "z"))).getField("z").alias("z")
     ).select("era", "z")
 
 
+def _scores(values: DataFrame, shape: tuple[int, int], weight: str | None) -> DataFrame:
+    ranked = with_ranks(values, ["era", "i"], {"r": "v"}, weight=weight, count_as="n", shape=shape)
+    shares = ranked.where("n >= 2").withColumn("p", F.col("r") / (F.col("n") + 1))
+    keys = ["era", "i", "v"] if weight else ["era", "id", "i"]
+    return with_norm_ppf(shares, {"z": "p"}).select(*keys, "z")
+
+
 def pair_moments(vectors: DataFrame) -> DataFrame:
     """Partial sums per (era, feature pair) of every task's rows, added up by pair. The
     rows stay where they are; only sums are shuffled, keyed so finely that neither a
@@ -192,7 +199,7 @@ def set_subsets(sets: DataFrame) -> DataFrame:
     sizes = sets.groupBy(F.col("feature_set").alias("a")).agg(
         F.count_distinct("feature").alias("size")
     )
-    names = sets.agg(F.array_sort(F.collect_set("feature_set")).alias("names")).scalar()
+    names = sets.agg(F.sort_array(F.collect_set("feature_set")).alias("names")).scalar()
     pairs = sizes.withColumn("names", names).select("a", "size", F.explode("names").alias("b")).where("a <> b")
     return pairs.join(shared, ["a", "b"], "left").select(
         "a", "b", (F.coalesce("both", F.lit(0)) == F.col("size")).alias("a_subset_of_b")

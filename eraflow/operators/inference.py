@@ -56,10 +56,9 @@ def packed_series(series: DataFrame, by: Sequence[str], value: str = "value") ->
     """One row per series: its finite values in era order. Bounded by the eras."""
     rows = with_era_num(series).where(is_finite(value))
     return rows.groupBy(*by).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("era_num", F.col(value).alias("v")))),
-            lambda s: s["v"],
-        ).alias("values")
+        F.sort_array(F.collect_list(F.struct("era_num", F.col(value).alias("v"))))
+        .getField("v")
+        .alias("values")
     )
 
 

@@ -354,7 +354,7 @@ def tranche_portfolio(
 
     packed = with_era_num(series).groupBy(*by).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("era_num", "value"))), lambda s: s["value"]
+            F.sort_array(F.collect_list(F.struct("era_num", "value"))), lambda s: s["value"]
         ).alias("returns")
     )
     curves = packed.withColumn("run", F.aggregate("returns", state, step)).select(

@@ -166,7 +166,7 @@ def evaluate_models(
         per = robustness.regime_corr(metric("corr"), regimes, BY, horizon, min_overlap_eras, **options)
         cell = F.struct("mean_corr", "ci_low", "ci_high", F.col("n_eras").cast("bigint").alias("n_eras"))
         parts.append(per.groupBy(*BY).agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("regime", cell)))).alias("regime_corr")
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct("regime", cell)))).alias("regime_corr")
         ))
     # each part has one row per model; models are few next to rows
     for part in parts:
