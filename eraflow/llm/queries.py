@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eraflow.llm import decontam, mixing, tokens, urlfilter
+from eraflow.llm import decontam, mixing, neardup, tokens, urlfilter
 from eraflow.llm.common import table, work_dir
 from eraflow.llm.registry import register
 
@@ -22,14 +22,38 @@ RULES = (
 )
 
 
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE
+         list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) END AS sh FROM d),
+e AS (SELECT rid, unnest(sh) AS x FROM s),
+links AS (
+  SELECT p.a, p.b FROM (SELECT l.rid AS a, r.rid AS b, count(*) AS c FROM e l JOIN e r ON l.x = r.x AND l.rid <> r.rid GROUP BY ALL) p
+  JOIN s sa ON sa.rid = p.a JOIN s sb ON sb.rid = p.b WHERE 100 * c >= 75 * (len(sa.sh) + len(sb.sh) - c)),
+reach(a, b) AS (SELECT rid, rid FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(t.doc_id) AS component_id, s.doc_id = min(t.doc_id) AS kept
+FROM s JOIN reach ON reach.a = s.rid JOIN s t ON t.rid = reach.b GROUP BY s.rid, s.doc_id, s.sh
+"""
+
+
+@register("op5_tensored_minhash", OP5_SQL)
+def op5(spark, sf_dir):
+    found = neardup.cluster(table(spark, sf_dir, "documents"), work_dir(spark, "op5"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 DECONTAMINATION_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP7_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT doc_id, coalesce(regexp_extract_all({LOWERED},
          '{DECONTAMINATION_WORDS}'), []) AS w, row_number() OVER () AS rid FROM documents),
 b AS (
-  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT item_id, regexp_extract_all({LOWERED},
          '{DECONTAMINATION_WORDS}') AS w FROM benchmark),
 bw AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n,
