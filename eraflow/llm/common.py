@@ -9,6 +9,7 @@ import uuid
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eraflow.session import shared_dir
 
@@ -80,3 +81,14 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of ``df`` followed by new columns, given as name and type."""
+    added = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in kinds.items()]
+    return T.StructType([*df.schema.fields, *added])

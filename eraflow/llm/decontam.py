@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import broadcast_if_small, lower_ascii, store
+from eraflow.llm.common import bind, broadcast_if_small, lower_ascii, store
 
 # Words of a window, and of the k-grams that are hashed.
 WINDOW, GRAM = 10, 5
@@ -38,11 +38,6 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lower_ascii(text), SEPARATORS), ""), F.array().cast("array<string>"))
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def sliding_min(values: Column, w: int) -> Column:
     """Minimum of each ``w`` consecutive values, by doubling; the last w - 1 entries, whose
     windows are cut off, are left in."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eraflow.llm import decontam, mixing, neardup, tokens, urlfilter
+from eraflow.llm import decontam, langid, mixing, neardup, quality, templates, tokens, toxicity, urlfilter, warc
 from eraflow.llm.common import table, work_dir
 from eraflow.llm.registry import register
 
@@ -22,6 +22,94 @@ RULES = (
 )
 
 
+def crc_of(doc_id: str):
+    """crc32 of an id written as text."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
+OP1_SQL = """
+WITH s AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(encode(coalesce(html, ''))) AS mark FROM pages),
+b AS (SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY mark) AS top,
+             array_to_string([lpad(bin(('0x' || substr(mark, 10 * j + 1, 10))::UBIGINT), 40, '0') FOR j IN range(4)], '') AS bits FROM s)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce([0] || [substr(bits, 5 * j + i + 1, 1)::INT FOR i IN range(5)], lambda a, x: 2 * a + x), 1)
+                        FOR j IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM b
+"""
+
+
+@register("op1_capture_index", OP1_SQL)
+def op1(spark, sf_dir):
+    folder = work_dir(spark, "op1")
+    captures = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    shards = warc.build_index(captures, folder)
+    asked = table(spark, sf_dir, "pages").select(warc.index_key(F.col("url")).alias("key"), "page_id")
+    records = warc.read_records(warc.lookup(asked, shards))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op2_byte_network")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of("doc_id") % 3 == 1
+    model = langid.fit(langid.training_rows(docs.where(~held_out)))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+TOKENS = r"[CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END FOR t IN regexp_split_to_array(line, '[\x20\x09-\x0D]+') IF t <> '']"
+
+OP3_SQL = rf"""
+WITH d AS (SELECT *, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM d),
+t AS (SELECT doc_id, line_no, {TOKENS} AS w FROM l),
+k AS (SELECT doc_id, line_no, w, array_to_string(w, ' ') AS full_line, len(w) || ' ' || array_to_string(w[1:{templates.DEPTH}], ' ') AS leaf
+      FROM t WHERE len(w) >= {templates.MIN_TOKENS}),
+ex AS (SELECT full_line, min((doc_id, line_no)) AS first FROM k GROUP BY full_line HAVING count(DISTINCT doc_id) >= {templates.MIN_DOCS}),
+single AS (SELECT * FROM k WHERE full_line NOT IN (SELECT full_line FROM ex)),
+m AS (SELECT * FROM single WHERE leaf IN (SELECT leaf FROM single GROUP BY leaf HAVING count(DISTINCT doc_id) >= {templates.MIN_DOCS})),
+sz AS (SELECT leaf, count(*) AS size FROM m GROUP BY leaf),
+tok AS (SELECT leaf, place, token, count(*) AS n FROM (SELECT leaf, unnest(range(len(w))) AS place, unnest(w) AS token FROM m) GROUP BY ALL),
+con AS (SELECT leaf, place, token FROM tok JOIN sz USING (leaf) WHERE n * 2 > size),
+agree AS (SELECT doc_id, line_no, m.leaf, len(w) AS n, count(con.token) AS a FROM m LEFT JOIN con ON con.leaf = m.leaf AND m.w[con.place + 1] = con.token
+          GROUP BY doc_id, line_no, m.leaf, len(w)),
+near AS (SELECT * FROM agree WHERE a * 10 >= n * {templates.SIMILAR}),
+ge AS (SELECT leaf, min((doc_id, line_no)) AS first FROM near GROUP BY leaf HAVING count(DISTINCT doc_id) >= {templates.MIN_DOCS}),
+bad AS (SELECT doc_id, line_no FROM k JOIN ex USING (full_line) WHERE (doc_id, line_no) <> first
+        UNION SELECT doc_id, line_no FROM near JOIN ge USING (leaf) WHERE (doc_id, line_no) <> first),
+byd AS (SELECT doc_id, list(line_no) AS drops FROM bad GROUP BY doc_id)
+SELECT doc_id, CASE WHEN drops IS NULL THEN text ELSE array_to_string([ls[i + 1] FOR i IN range(len(ls)) IF NOT list_contains(drops, i)], chr(10)) END AS text,
+       coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(drops), 0)::BIGINT AS n_dropped
+FROM d LEFT JOIN byd USING (doc_id)
+"""
+
+
+@register("op3_template_tree", OP3_SQL)
+def op3(spark, sf_dir):
+    found = templates.drop_recurring(table(spark, sf_dir, "documents"), work_dir(spark, "op3"))
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@register("op4_noisy_or")
+def op4(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_of("doc_id") % 5 == 0
+    model = toxicity.fit(toxicity.training_rows(docs, labels.where(~held_out)))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    predicted = (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), predicted)
+
+
+@register("op6_divergence_rules")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = quality.assess(docs.select("doc_id", "text"), quality.references(docs))
+    return found.select("doc_id", *quality.BASE, "base_failed", "char_distance", "word_distance", "kept")
+
+
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP5_SQL = rf"""

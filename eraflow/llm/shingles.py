@@ -8,6 +8,7 @@ a few array operations whatever its words are.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -17,11 +18,16 @@ SHINGLE = 5
 # Bytes that are hashed at once; longer texts go piece by piece, cut between words.
 PIECE = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+# What is neither an ASCII letter or digit nor part of a character beyond ASCII.
+MARKS = np.ones(256, bool)
+MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
 _RANDOM = np.random.Generator(np.random.PCG64(5))
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]
+_EXACT = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLDED = _EXACT.copy()
+_FOLDED[65:91] = _EXACT[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _ORDER = _RANDOM.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -42,35 +48,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _piece_hashes(data: np.ndarray) -> np.ndarray:
+def hashed_words(
+    data: np.ndarray, gaps: np.ndarray = SPACES, fold: bool = True, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of a byte array: runs without a byte of ``gaps``.
+    ``fold``: A-Z count as a-z. With ``prefixes``, the hashes have a row more for the
+    first bytes of each word, for each of these numbers."""
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~gaps[data]
     edges = np.diff(inside)
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    size = 1 << max(12, int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(1 << max(12, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum((_FOLDED if fold else _EXACT)[data] * up[: len(data)], out=sums[1:])
+    ends = [end, *(np.minimum(end, start + n) for n in prefixes)]
+    rows = [
+        mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) + np.uint64(i << 40))
+        for i, stop in enumerate(ends)
+    ]
+    return (np.stack(rows) if prefixes else rows[0]), start, end
 
 
-def word_hashes(text: str | bytes | None) -> np.ndarray:
-    """One 64-bit hash per word, in order."""
+def to_bytes(text: str | bytes | None) -> np.ndarray:
     raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-    data = np.frombuffer(raw, np.uint8)
-    if len(data) <= PIECE:
-        return _piece_hashes(data)
-    parts, at = [], 0
+    return np.frombuffer(raw, np.uint8)
+
+
+def pieces(data: np.ndarray, gaps: np.ndarray = SPACES) -> Iterator[np.ndarray]:
+    """Consecutive parts of about ``PIECE`` bytes, none of them ending inside a word."""
+    at = 0
     while at < len(data):
         cut = min(at + PIECE, len(data))
         while cut < len(data):  # a word that runs on over the cut stays whole
-            gaps = np.flatnonzero(_SPACE[data[cut : cut + PIECE]])
-            cut = cut + int(gaps[0]) if len(gaps) else min(cut + PIECE, len(data))
-            if len(gaps):
+            free = np.flatnonzero(gaps[data[cut : cut + PIECE]])
+            cut = cut + int(free[0]) if len(free) else min(cut + PIECE, len(data))
+            if len(free):
                 break
-        parts.append(_piece_hashes(data[at:cut]))
+        yield data[at:cut]
         at = cut
-    return np.concatenate(parts)
+
+
+def word_hashes(text: str | bytes | None, gaps: np.ndarray = SPACES, fold: bool = True) -> np.ndarray:
+    """One 64-bit hash per word, in order."""
+    found = [hashed_words(part, gaps, fold)[0] for part in pieces(to_bytes(text), gaps)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def shingle_set(text: str | bytes | None) -> np.ndarray:
