@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eraflow.catalog import sqltext as q
-from eraflow.catalog.blend_queries import eras
+from eraflow.catalog.blend_queries import eras, unit_z, walk_sql
 from eraflow.catalog.registry import register, tidy
 from eraflow.catalog.rows_queries import era_labels
 from eraflow.catalog.series_queries import BLOCK20, N_BOOT, S, SEED, ac_ctes, bootstrap_ctes, corr_series
@@ -104,7 +104,7 @@ def horizon_stability(spark, sf):
 
 
 @register("regime_corr",
-          q.query([*S, "lab AS (SELECT era, CASE WHEN avg(f_qty) > 1.9 THEN 'busy' ELSE 'calm' END AS regime FROM panel WHERE era_num > 5 GROUP BY era)",
+          q.query([*S, "lab AS (SELECT era, CASE WHEN avg(f_qty) > 1.9 THEN 'busy' ELSE 'calm' END AS regime FROM panel GROUP BY era)",
                    "rs AS (SELECT model_id, regime, era_num, value FROM ser JOIN lab USING (era))", *bootstrap_ctes("rs", "model_id, regime", BLOCK20),
                    "o AS (SELECT model_id, regime, n::BIGINT AS n_eras, point AS mean_corr, ci_low, ci_high FROM bo)"],
                   q.rounded("o", ["model_id", "regime", "n_eras"], ["mean_corr", "ci_low", "ci_high"])))
@@ -154,45 +154,121 @@ def ridge_coefficients(spark, sf):
 @register("ridge_predictions")
 def ridge_predictions(spark, sf):
     train, val = halves(spark, sf)
-    return tidy(fits.ridge_predictions(train, val, FEATURES, IC_TARGETS), 4)
+    return tidy(fits.ridge_predictions(train, val, FEATURES, IC_TARGETS, 16), 4)
+
+
+def ridge_sql(name: str, source: str, alpha: float, by: str = "1") -> list[str]:
+    """CTE ``name`` (g, wa, wb, icpt): ridges of y on a and b with a free intercept, one
+    for each ``by`` of ``source`` (a, b, y)."""
+    return [
+        f"{name}_s AS (SELECT {by} AS g, var_pop(a) * count(*) + {alpha} AS aa, var_pop(b) * count(*) + {alpha} AS bb, covar_pop(a, b) * count(*) AS ab, "
+        f"covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM {source} GROUP BY {by})",
+        f"{name}_w AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM {name}_s)",
+        f"{name} AS (SELECT g, wa, wb, my - wa * ma - wb * mb AS icpt FROM {name}_w)",
+    ]
+
+
+TWO = ["f_qty", "f_prio"]
+
+
+@register("ridge_predictions_two_features",
+          q.query(["st AS (SELECT avg(f_qty) AS ma, stddev_pop(f_qty) AS sa, avg(f_prio) AS mb, stddev_pop(f_prio) AS sb FROM panel WHERE era_num <= 40)",
+                   "sc AS (SELECT era, id, era_num, split, target AS y, (f_qty - ma) / sa AS a, (f_prio - mb) / sb AS b FROM panel, st)",
+                   "tr AS (SELECT * FROM sc WHERE era_num <= 40)", *ridge_sql("w", "tr", 1.0),
+                   "pr AS (SELECT era, id, wa * a + wb * b + icpt AS p FROM sc, w WHERE split = 'validation')", *unit_z("nz", "pr", ["p"]),
+                   "bs AS (SELECT era, id, round(0.0::DOUBLE + 1.0::DOUBLE * p, 12) AS s FROM nz)",
+                   f"bu AS (SELECT era, id, ({q.avg_rank('s', 'era')} - 0.5) / count(*) OVER (PARTITION BY era) AS u FROM bs)",
+                   f"bz AS (SELECT era, id, {q.ppf('u')} AS prediction FROM bu)", *unit_z("o", "bz", ["prediction"])],
+                  q.rounded("o", ["era", "id"], ["prediction"])))
+def ridge_predictions_two_features(spark, sf):
+    train, val = halves(spark, sf)
+    return tidy(fits.ridge_predictions(train, val, TWO, ["target"], 8))
+
+
+def fold_ridge_sql(n_folds: int) -> str:
+    ctes = [*walk_sql(n_folds, 8), "fr AS (SELECT wr.fold, wr.role, p.era, p.id, f_qty::DOUBLE AS a, f_prio::DOUBLE AS b, target AS y FROM panel p JOIN wr ON wr.era = p.era)",
+            "ft AS (SELECT * FROM fr WHERE role = 'train')", *ridge_sql("w", "ft", 1.0, "fold"),
+            "o AS (SELECT era, id, fold, wa * a + wb * b + icpt AS prediction FROM fr JOIN w ON w.g = fr.fold WHERE role = 'val')"]
+    return q.query(ctes, q.rounded("o", ["era", "id", "fold"], ["prediction"]))
+
+
+@register("out_of_fold_two_features", fold_ridge_sql(3))
+def out_of_fold_two_features(spark, sf):
+    table = folds.walk_forward(eras(spark, sf), 3, 8)
+    return tidy(fits.out_of_fold(customer_month(spark, sf), table, lambda t: fits.ridge(t, TWO, "target", 1.0), TWO))
+
+
+@register("anchor_fit_two_features", fold_ridge_sql(1))
+def anchor_fit_two_features(spark, sf):
+    table = folds.anchor(eras(spark, sf), 8)
+    return tidy(fits.out_of_fold(customer_month(spark, sf), table, lambda t: fits.ridge(t, TWO, "target", 1.0), TWO))
+
+
+@register("targets_out_of_fold",
+          q.query([*walk_sql(2, 16), "fr AS (SELECT wr.fold, wr.role, p.era, p.id, f_qty::DOUBLE AS a, f_prio::DOUBLE AS b, target, target_a_60 FROM panel p JOIN wr ON wr.era = p.era)",
+                   "f1 AS (SELECT *, target AS y FROM fr WHERE role = 'train')", *ridge_sql("w1", "f1", 1.0, "fold"),
+                   "f2 AS (SELECT *, target_a_60 AS y FROM fr WHERE role = 'train')", *ridge_sql("w2", "f2", 1.0, "fold"),
+                   "o AS (SELECT era, id, fold, w1.wa * a + w1.wb * b + w1.icpt AS target, w2.wa * a + w2.wb * b + w2.icpt AS target_a_60 FROM fr JOIN w1 ON w1.g = fold JOIN w2 ON w2.g = fold WHERE role = 'val')"],
+                  q.rounded("o", ["era", "id", "fold"], IC_TARGETS)))
+def targets_out_of_fold(spark, sf):
+    table = folds.walk_forward(eras(spark, sf), 2, 16)
+    return tidy(fits.targets_out_of_fold(customer_month(spark, sf), table, lambda t, y: fits.ridge(t, TWO, y, 1.0), TWO, IC_TARGETS))
+
+
+@register("deploy_two_features",
+          q.query(["tr AS (SELECT f_qty::DOUBLE AS a, f_prio::DOUBLE AS b, target, target_a_20 FROM panel WHERE era_num <= 40)", "t1 AS (SELECT *, target AS y FROM tr)", *ridge_sql("w1", "t1", 1.0),
+                   "t2 AS (SELECT *, target_a_20 AS y FROM tr)", *ridge_sql("w2", "t2", 1.0),
+                   "pr AS (SELECT era, id, w1.wa * f_qty + w1.wb * f_prio + w1.icpt AS m1, w2.wa * f_qty + w2.wb * f_prio + w2.icpt AS m2 FROM panel, w1, w2 WHERE split = 'validation')", *unit_z("nz", "pr", ["m1", "m2"]),
+                   "bs AS (SELECT era, id, round(0.0::DOUBLE + 0.6::DOUBLE * m1 + 0.4::DOUBLE * m2, 12) AS s FROM nz)",
+                   f"bu AS (SELECT era, id, ({q.avg_rank('s', 'era')} - 0.5) / count(*) OVER (PARTITION BY era) AS u FROM bs)",
+                   f"bz AS (SELECT era, id, round({q.ppf('u')}, 12) AS v FROM bu)",
+                   f"o AS (SELECT era, id, ({q.avg_rank('v', 'era')} - 0.5) / count(*) OVER (PARTITION BY era) AS prediction FROM bz)"],
+                  q.rounded("o", ["era", "id"], ["prediction"])))
+def deploy_two_features(spark, sf):
+    train, val = halves(spark, sf)
+    known = fits.purged(train, val, ["target", "target_a_20"], 8)
+    models = {"m1": fits.ridge(known, TWO, "target", 1.0), "m2": fits.ridge(known, TWO, "target_a_20", 1.0)}
+    return tidy(fits.deploy_pipeline(val, models, TWO, [0.6, 0.4]))
 
 
 @register("tree_predictions")
 def tree_predictions(spark, sf):
     train, val = halves(spark, sf)
-    return tidy(fits.tree_predictions(train, val, FEATURES, ["target"], maxIter=5), 4)
+    return tidy(fits.tree_predictions(train, val, FEATURES, ["target"], 8, maxIter=5), 4)
 
 
 @register("canonical_predictions")
 def canonical_predictions(spark, sf):
     train, val = halves(spark, sf)
-    return tidy(fits.tree_predictions(train, val, FEATURES, IC_TARGETS, neutralize_features=["f_qty", "f_tax"], proportion=0.5, maxIter=5), 4)
+    return tidy(fits.tree_predictions(train, val, FEATURES, IC_TARGETS, 16, neutralize_features=["f_qty", "f_tax"], proportion=0.5, maxIter=5), 4)
 
 
 @register("fleet_tree_predictions")
 def fleet_tree_predictions(spark, sf):
     train, val = halves(spark, sf)
-    return tidy(fits.riskiest_neutralized_predictions(train, val, FEATURES, ["target"], "target", 2, 0.5, maxIter=5), 4)
+    return tidy(fits.riskiest_neutralized_predictions(train, val, FEATURES, ["target"], "target", 2, 0.5, 8, maxIter=5), 4)
 
 
 @register("weighted_tree_predictions")
 def weighted_tree_predictions(spark, sf):
     train, val = halves(spark, sf)
-    return tidy(fits.tree_predictions(train, val, FEATURES, IC_TARGETS, weights=[0.7, 0.3], holdout_eras=6, maxIter=8), 4)
+    return tidy(fits.tree_predictions(train, val, FEATURES, ["target", "target_a_20"], 8, weights=[0.7, 0.3], holdout_share=0.15, maxIter=8), 4)
 
 
 @register("ridge_stack")
 def ridge_stack(spark, sf):
     train, val = halves(spark, sf)
-    roles = folds.stack_partitions(rows.era_table(train), 0.25, False)
-    return tidy(fits.ridge_stack(train, val, FEATURES, IC_TARGETS, "target", roles), 4)
+    out = fits.ridge_stack(train, val, FEATURES, ["target", "target_a_20"], "target", 0.25, 8, fill=0.5, neutralize_features=["f_qty"], proportion=0.5)
+    return tidy(out, 4)
 
 
 @register("ridge_stack_search")
 def ridge_stack_search(spark, sf):
     train, val = halves(spark, sf)
-    roles = folds.stack_partitions(rows.era_table(train), 0.25, False)
-    return tidy(fits.ridge_stack_search(train, val, FEATURES, IC_TARGETS, "target", "bench_b60", roles, alphas=(1.0, 100.0)), 4)
+    out = fits.ridge_stack_search(
+        train, val, FEATURES, ["target", "target_a_20"], "target", "bench_b60", 0.25, 8, top=2, alphas=(1.0, 100.0), hints=["target_a_20"], meta_penalties=(1.0, 10.0),
+    )
+    return tidy(out, 4)
 
 
 @register("target_quality",
@@ -223,15 +299,17 @@ def anchor_fit(spark, sf):
 @register("deploy_pipeline")
 def deploy_pipeline(spark, sf):
     train, val = halves(spark, sf)
-    models = {"m1": fits.ridge(train, FEATURES, "target", 1.0), "m2": fits.ridge(train, FEATURES, "target_a_60", 1.0)}
+    known = fits.purged(train, val, IC_TARGETS, 16)
+    models = {"m1": fits.ridge(known, FEATURES, "target", 1.0), "m2": fits.ridge(known, FEATURES, "target_a_60", 1.0)}
     return tidy(fits.deploy_pipeline(val, models, FEATURES, [0.6, 0.4], ["f_qty"], 0.5), 5)
 
 
 @register("submission",
-          q.query([f"l AS (SELECT id, pred_a AS v, 1 AS g FROM panel WHERE era_num = 79)", f"o AS (SELECT id, ({q.avg_rank('v', 'g')} - 0.5) / count(*) OVER () AS prediction FROM l)"],
+          q.query([f"l AS (SELECT id, pred_a AS v, 1 AS g FROM panel WHERE era_num = (SELECT max(era_num) FROM panel))", f"o AS (SELECT id, ({q.avg_rank('v', 'g')} - 0.5) / count(*) OVER () AS prediction FROM l)"],
                   q.rounded("o", ["id"], ["prediction"])))
 def submission(spark, sf):
-    live = customer_month(spark, sf).where("era_num = 79").select("id", F.col("pred_a").alias("prediction"))
+    p = customer_month(spark, sf)
+    live = p.where(F.col("era_num") == p.agg(F.max("era_num")).scalar()).select("id", F.col("pred_a").alias("prediction"))
     return tidy(fits.submission(live))
 
 
@@ -245,4 +323,4 @@ def prediction_contract(spark, sf):
 @register("parameter_sweep")
 def parameter_sweep(spark, sf):
     train, val = halves(spark, sf)
-    return tidy(fits.parameter_sweep(train, val, FEATURES, "target", [{"alpha": a} for a in (0.1, 10.0, 1000.0)]), 5)
+    return tidy(fits.parameter_sweep(train, val, FEATURES, "target", [{"alpha": a} for a in (0.1, 10.0, 1000.0)], 8), 5)

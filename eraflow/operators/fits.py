@@ -8,6 +8,8 @@ repeats at most one fold.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 from eraflow.functions.hashing import uniform
 from eraflow.functions.ranks import group_shape, percentile_rank, with_ranks
 from eraflow.functions.stats import clip, is_finite, with_norm_ppf
-from eraflow.operators import analysis, ensemble, scoring
+from eraflow.operators import analysis, ensemble, folds, scoring
 from eraflow.operators.neutralize import neutralize
-from eraflow.operators.rows import KEYS, complete_join, finite_target_rows, rows_of_eras, standardize
+from eraflow.operators.rows import KEYS, complete_join, era_table, fill_missing, finite_target_rows, rows_of_eras, standardize
 from eraflow.session import broadcast_checked, materialize, path_exists, shared_dir
 
 TREE_PARAMS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 7}
@@ -81,6 +83,15 @@ def lagged_target_predictions(
 # -- fits ------------------------------------------------------------------------
 
 
+def purged(train: DataFrame, rows: DataFrame, targets: Sequence[str], purge: int) -> DataFrame:
+    """``train`` without its last ``purge`` eras, whose targets overlap the scored ones.
+    Too short a purge for the targets, or a gap of another width, is an error."""
+    folds.require_purge(train, list(targets), purge)
+    split = folds.purged_split(era_table(train), era_table(rows), purge)
+    split.agg(F.sum("era_num")).first()  # the check sits in this column
+    return rows_of_eras(train, split.where("role = 'train'"))
+
+
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(df)
 
@@ -118,10 +129,12 @@ def ridge_predictions(
     rows: DataFrame,
     features: Sequence[str],
     targets: Sequence[str],
+    purge: int,
     alpha: float = 1.0,
     weights: Sequence[float] | None = None,
 ) -> DataFrame:
     """One ridge per target on standardized features, blended by rank, unit variance."""
+    train = purged(train, rows, targets, purge)
     cast = {f: F.col(f).cast("double") for f in features}
     train, rows = train.withColumns(cast), rows.withColumns(cast)
     scaled = standardize(train, train, features)
@@ -143,22 +156,23 @@ def tree_predictions(
     rows: DataFrame,
     features: Sequence[str],
     targets: Sequence[str],
+    purge: int,
     weights: Sequence[float] | None = None,
     neutralize_features: Sequence[str] = (),
     proportion: float = 0.0,
-    holdout_eras: int = 0,
+    holdout_share: float = 0.0,
     **params,
 ) -> DataFrame:
     """Boosted trees per target, blended by rank and optionally neutralized. With
-    ``holdout_eras`` the last train eras decide when to stop adding trees."""
+    ``holdout_share`` that share of the last train eras (at least one) decides when to
+    stop adding trees; the ``purge`` eras before them train nothing."""
+    train = purged(train, rows, targets, purge)
     scored = rows
     names = []
     for t in targets:
-        fitted = train
-        if holdout_eras:
-            eras = train.select("era", "era_num").distinct()
-            last = eras.withColumn("i", F.row_number().over(Window.orderBy(F.desc("era_num"))))
-            marks = last.select("era", (F.col("i") <= holdout_eras).alias("__valid"))
+        if holdout_share:
+            roles = folds.held_out(era_table(train), holdout_share, purge).where("role <> 'purge'")
+            marks = roles.select("era", (F.col("role") == "held_out").alias("__valid"))
             fitted = train.join(broadcast_checked(marks), "era")
             data = finite_target_rows(fitted, t).select(*features, "__valid", F.col(t).cast("double").alias("__y"))
             model = GBTRegressor(
@@ -166,7 +180,7 @@ def tree_predictions(
                 **{**TREE_PARAMS, **params},
             ).fit(_assembled(data, features))
         else:
-            model = trees(fitted, features, t, **params)
+            model = trees(train, features, t, **params)
         scored = predict(model, scored, features, f"__m_{t}")
         names.append(f"__m_{t}")
     out = _blended(scored.select(*KEYS, *names), names, weights)
@@ -180,13 +194,13 @@ def tree_predictions(
 
 def riskiest_neutralized_predictions(
     train: DataFrame, rows: DataFrame, features: Sequence[str], targets: Sequence[str],
-    main_target: str, count: int, proportion: float, **params,
+    main_target: str, count: int, proportion: float, purge: int, **params,
 ) -> DataFrame:
     """Tree predictions neutralized against the features with the least stable signal."""
-    ic = analysis.ic_by_era(train, features, [main_target])
+    ic = analysis.ic_by_era(purged(train, rows, [main_target], purge), features, [main_target])
     risky = [r["feature"] for r in analysis.riskiest_features(analysis.stability_screen(ic), count).collect()]
     return tree_predictions(
-        train, rows, features, targets, neutralize_features=risky, proportion=proportion, **params
+        train, rows, features, targets, purge, neutralize_features=risky, proportion=proportion, **params
     )
 
 
@@ -196,14 +210,21 @@ def ridge_stack(
     features: Sequence[str],
     specialists: Sequence[str],
     main_target: str,
-    roles: DataFrame,
+    meta_share: float,
+    purge: int,
     alpha: float = 1.0,
     meta_alpha: float = 1.0,
+    fill: float | None = None,
+    neutralize_features: Sequence[str] = (),
+    proportion: float = 0.0,
 ) -> DataFrame:
     """Two layers: a ridge per specialist target on the early eras, and a ridge on their
-    ranked predictions over the held-back tail (``roles`` names the eras of each part)."""
-    early = rows_of_eras(train, roles.where("role = 'specialist'"))
-    tail = rows_of_eras(train, roles.where("role = 'meta'"))
+    ranked predictions over the held-back last ``meta_share`` of the train eras. ``fill``
+    replaces NULL features; the result can be neutralized."""
+    if fill is not None:
+        train, rows = fill_missing(train, features, fill), fill_missing(rows, features, fill)
+    early, tail = stack_sides(train, rows, [*specialists, main_target], meta_share, purge)
+    scored_rows = rows
     names = []
     for t in specialists:
         model = ridge(early, features, t, alpha)
@@ -213,7 +234,21 @@ def ridge_stack(
     tail_ranked = ensemble.rank_normalize(tail.select(*KEYS, main_target, *names), names)
     rows_ranked = ensemble.rank_normalize(rows.select(*KEYS, *names), names)
     meta = ridge(tail_ranked, names, main_target, meta_alpha)
-    return _blended(predict(meta, rows_ranked, names).select(*KEYS, "prediction"), ["prediction"])
+    out = _blended(predict(meta, rows_ranked, names).select(*KEYS, "prediction"), ["prediction"])
+    if proportion > 0.0 and neutralize_features:
+        joined = complete_join(out, scored_rows.select(*KEYS, *neutralize_features))
+        out = neutralize(joined, "prediction", neutralize_features, proportion).select(*KEYS, "prediction")
+    return out
+
+
+def stack_sides(
+    train: DataFrame, rows: DataFrame, targets: Sequence[str], meta_share: float, purge: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the specialists' eras and of the meta model's, with purges between them and
+    before the scored rows."""
+    train = purged(train, rows, targets, purge)
+    roles = folds.stack_partitions(era_table(train), meta_share, any(t.endswith("_60") for t in targets))
+    return tuple(rows_of_eras(train, roles.where(F.col("role") == r)) for r in ("specialist", "meta"))
 
 
 def target_quality(
@@ -278,21 +313,28 @@ def ridge_stack_search(
     specialists: Sequence[str],
     main_target: str,
     benchmark: str,
-    roles: DataFrame,
+    meta_share: float,
+    purge: int,
     *,
+    top: int,
     alphas: Sequence[float] = (0.1, 1.0, 10.0),
     shares: Sequence[float] = (0.0, 0.1, 0.3),
     sharpe_floor: float = 0.0,
     min_coverage: float = 0.5,
     min_abs_corr: float = 0.0,
-    top: int = 3,
+    min_specialists: int = 1,
+    hints: Sequence[str] = (),
+    target_weights: Mapping[str, float] | None = None,
+    meta_penalties: Sequence[float] = (1.0,),
 ) -> DataFrame:
-    """Search over specialists, penalties and benchmark decorrelation. Candidates are
-    compared on the rows' own targets, so the winner's score is selection-biased."""
-    quality = select_targets(target_quality(train, main_target, specialists), min_coverage, min_abs_corr, top)
-    chosen = [r["target"] for r in quality.collect()]
-    early = rows_of_eras(train, roles.where("role = 'specialist'"))
-    tail = rows_of_eras(train, roles.where("role = 'meta'"))
+    """Search over specialists, penalties and benchmark decorrelation. At most ``top``
+    specialists are tried, hinted ones first; fewer than ``min_specialists`` over the
+    floors is an error. The metas are a free ridge and a non-negative one per penalty.
+    Candidates are compared on the rows' own targets, so the winner's score is
+    selection-biased."""
+    early, tail = stack_sides(train, rows, [*specialists, main_target], meta_share, purge)
+    judged = target_quality(early, main_target, specialists, hints, target_weights)
+    chosen = [r["target"] for r in select_targets(judged, min_coverage, min_abs_corr, top).collect()]
     names = []
     for t in chosen:
         best = alpha_search(early, tail, features, t, main_target, alphas).orderBy(
@@ -304,18 +346,18 @@ def ridge_stack_search(
         tail = predict(model, tail, features, f"s_{t}")
         rows = predict(model, rows, features, f"s_{t}")
         names.append(f"s_{t}")
-    if not names:
-        raise ValueError("no specialist reaches the floor")
+    if len(names) < max(1, min_specialists):
+        raise ValueError(f"{len(names)} specialists reach the floor, {max(1, min_specialists)} are needed")
     tail_ranked = ensemble.rank_normalize(tail.select(*KEYS, main_target, *names), names)
     scored = ensemble.rank_normalize(rows.select(*KEYS, main_target, benchmark, *names), names)
     matrix, rhs = ensemble.gram(finite_target_rows(tail_ranked, main_target), names, main_target)
-    positive = ensemble.non_negative_solution(matrix + np.eye(len(names)), rhs)
     scored = predict(ridge(tail_ranked, names, main_target, 1.0), scored, names, "free")
-    total = F.lit(0.0)
-    for n, w in zip(names, positive):
-        total = total + F.lit(float(w)) * F.col(n)
-    scored = materialize(scored.withColumn("positive", total), "stack-candidates")
-    sweep = ensemble.decorrelation_sweep(scored, ["free", "positive"], benchmark, main_target, shares)
+    metas = {}
+    for i, penalty in enumerate(meta_penalties):
+        positive = ensemble.non_negative_solution(matrix + penalty * np.eye(len(names)), rhs)
+        metas[f"positive_{i}"] = sum((F.lit(float(w)) * F.col(n) for n, w in zip(names, positive)), F.lit(0.0))
+    scored = materialize(scored.withColumns(metas), "stack-candidates")
+    sweep = ensemble.decorrelation_sweep(scored, ["free", *metas], benchmark, main_target, shares)
     best = ensemble.best_candidate(sweep).first()
     bench = ensemble.rank_normalize(scored.where(is_finite(benchmark)), [benchmark])
     raw = F.col(best["candidate"]) - F.lit(best["share"]) * F.col(benchmark)
@@ -331,21 +373,27 @@ def out_of_fold(
     fit: Callable[[DataFrame], object],
     features: Sequence[str],
     run_name: str | None = None,
+    settings: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """Fit on each fold's train eras, predict its validation eras, put them together.
 
     Each fold's predictions are written to the shared folder; with a ``run_name`` a
-    repeated call finds the finished folds there and fits only the others. An era
-    validated twice is an error.
+    repeated call finds the finished folds there and fits only the others. ``settings``
+    says what the fit is (target, estimator, parameters); finished folds are only found
+    under the same settings, features, eras per fold and input plan. An era validated
+    twice is an error.
     """
     spark = df.sparkSession
+    if run_name and settings is None:
+        raise ValueError("a run that can be resumed needs the settings of its fit")
+    identity = run_identity(df, folds, features, settings or {}) if run_name else None
     numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     val = folds.where("role = 'val'")
     if val.groupBy("era").count().where("count > 1").limit(1).count():
         raise ValueError("validation eras overlap between folds")
     parts = []
     for k in numbers:
-        path = f"{shared_dir(spark)}/eraflow/oof/{run_name}/fold={k}" if run_name else None
+        path = f"{shared_dir(spark)}/eraflow/oof/{run_name}/{identity}/fold={k}" if run_name else None
         if path and path_exists(spark, f"{path}/_SUCCESS"):
             parts.append(spark.read.parquet(path))
             continue
@@ -365,15 +413,54 @@ def out_of_fold(
     return out
 
 
+def run_identity(df: DataFrame, folds: DataFrame, features: Sequence[str], settings: Mapping[str, object]) -> str:
+    """Hash of everything the predictions of a run depend on: the folds (one row per era),
+    the features, the settings, and the input's files and shape."""
+    eras = sorted((r["fold"], r["role"], r["era"]) for r in folds.select("fold", "role", "era").collect())
+    facts = {
+        "folds": eras, "features": list(features), "settings": {k: repr(settings[k]) for k in sorted(settings)},
+        "schema": df.schema.simpleString(), "files": sorted(df.inputFiles()),
+    }
+    return hashlib.sha256(json.dumps(facts, default=str).encode()).hexdigest()[:24]
+
+
+def targets_out_of_fold(
+    df: DataFrame, folds_table: DataFrame, fit: Callable[[DataFrame, str], object],
+    features: Sequence[str], targets: Sequence[str], run_name: str | None = None,
+    settings: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """Out-of-fold predictions of every target as one frame: a column per target."""
+    out = None
+    for t in targets:
+        part = out_of_fold(
+            df, folds_table, lambda train, t=t: fit(train, t), features,
+            f"{run_name}-{t}" if run_name else None, None if settings is None else {**settings, "target": t},
+        )
+        part = part.select(*KEYS, "fold", F.col("prediction").alias(t))
+        out = part if out is None else out.join(part, [*KEYS, "fold"])
+    return out
+
+
+def full_history_fit(
+    df: DataFrame, fit: Callable[[DataFrame], object], path: str
+) -> object:
+    """Fit on every row and save the model, which ``deploy_pipeline`` can load again."""
+    model = fit(df)
+    model.write().overwrite().save(path)
+    return model
+
+
 def parameter_sweep(
     train: DataFrame,
     held_out: DataFrame,
     features: Sequence[str],
     target: str,
     grid: Sequence[Mapping[str, float]],
+    purge: int,
 ) -> DataFrame:
     """Held-out score moments of a ridge per grid point, best first. The trials' scores
     are columns of one scan, then one aggregation scores them all."""
+    train = purged(train, held_out, [target], purge)
     scored = held_out
     for i, point in enumerate(grid):
         scored = predict(ridge(train, features, target, point["alpha"]), scored, features, f"t{i}")

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.operators import analysis, compare, correlation, drift, fits, inference, series
+from eraflow.operators import analysis, correlation, drift, fits, inference, series
 from eraflow.operators.neutralize import neutralized_ic
 from eraflow.plans import scorecard
 from eraflow.session import broadcast_checked, materialize
@@ -18,7 +18,7 @@ PAIRS = (("v2", "v3"), ("v2", "v4"), ("v3", "v4"))
 
 def hierarchy_predictions(
     train: DataFrame, rows: DataFrame, features: Sequence[str], target: str,
-    benchmarks: Sequence[str], seed: int = 0, **tree_params,
+    benchmarks: Sequence[str], purge: int, seed: int = 0, **tree_params,
 ) -> DataFrame:
     """Predictions of every tier, long form with ``tier``: nulls (0), lagged target (1),
     ridge (2), trees (3), stored benchmark columns (4)."""
@@ -26,12 +26,13 @@ def hierarchy_predictions(
         (0, f"null_{kind}", fits.null_predictions(rows, kind, seed, rows, features))
         for kind in ("constant", "uniform", "gaussian", "feature_mean")
     ]
-    cells.append((1, "lagged_target", fits.lagged_target_predictions(train, rows, target, 5)))
-    cells.append((2, "ridge", fits.ridge_predictions(train, rows, features, [target])))
-    cells.append((3, "trees", fits.tree_predictions(train, rows, features, [target], **tree_params)))
+    known = fits.purged(train, rows, [target], purge)
+    cells.append((1, "lagged_target", fits.lagged_target_predictions(known, rows, target, 5)))
+    cells.append((2, "ridge", fits.ridge_predictions(train, rows, features, [target], purge)))
+    cells.append((3, "trees", fits.tree_predictions(train, rows, features, [target], purge, **tree_params)))
     for b in benchmarks:
-        known = rows.where(F.col(b).isNotNull())
-        cells.append((4, b, known.select("era", "id", F.col(b).cast("double").alias("prediction"))))
+        present = rows.where(F.col(b).isNotNull())
+        cells.append((4, b, present.select("era", "id", F.col(b).cast("double").alias("prediction"))))
     out = None
     for tier, name, df in cells:
         part = df.select(F.lit(name).alias("model_id"), F.lit(tier).alias("tier"), "era", "id", "prediction")
@@ -75,7 +76,7 @@ def campaign_evidence(
     fne = neutralized_ic(joined, ["prediction"], features, target, [1.0], ["variant", "era"])
     fne = series.with_era_num(fne.select("variant", "era", F.col("ic").alias("value")))
     stats = series.series_stats(ic, by)
-    options = {"n_boot": n_boot, "seed": seed, "short_blocks": True}
+    options = {"n_boot": n_boot, "seed": seed, "short": "one_block"}
     ic_ci = inference.mean_interval(ic, by, "20D", **options).select(
         *by, F.col("ci_low").alias("ic_ci_lo"), F.col("ci_high").alias("ic_ci_hi")
     )
@@ -128,7 +129,7 @@ def campaign_pairs(ic: DataFrame, n_boot: int = 200, seed: int = 0, min_overlap_
         F.concat("prefix", F.lit("_"), "w.a", F.lit(" vs "), "prefix", F.lit("_"), "w.b").alias("pair"),
         "era", "era_num", (F.col("va") - F.col("vb")).alias("value"),
     )
-    tested = inference.mean_interval(diffs, ["pair"], "20D", short_blocks=True, n_boot=n_boot, seed=seed)
+    tested = inference.mean_interval(diffs, ["pair"], "20D", short="one_block", n_boot=n_boot, seed=seed)
     enough = F.col("n") >= min_overlap_eras
     return tested.select(
         "pair",
@@ -184,8 +185,3 @@ def report_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:
         part = df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n_rows"))
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def hierarchy_checks(cards: DataFrame) -> DataFrame:
-    """Tier ladder of a finished hierarchy."""
-    return compare.tier_ladder(cards)

@@ -151,9 +151,49 @@ def test_out_of_fold_resumes(spark, sf_dir):
         return fits.ridge(train, FEATURES, "target", 1.0)
 
     run = f"resume-{uuid.uuid4().hex}"
-    first = fits.out_of_fold(df, table, fit, FEATURES, run).count()
-    again = fits.out_of_fold(df, table, fit, FEATURES, run).count()
+    settings = {"target": "target", "alpha": 1.0}
+    first = fits.out_of_fold(df, table, fit, FEATURES, run, settings).count()
+    again = fits.out_of_fold(df, table, fit, FEATURES, run, settings).count()
     assert first == again and len(calls) == 2
+    fits.out_of_fold(df, table, fit, FEATURES, run, {"target": "target", "alpha": 2.0}).count()
+    assert len(calls) == 4  # another fit under the same name starts anew
+    fits.out_of_fold(df, table, fit, FEATURES[:3] + FEATURES[3:][::-1], run, settings).count()
+    assert len(calls) == 6
+    with pytest.raises(ValueError, match="settings"):
+        fits.out_of_fold(df, table, fit, FEATURES, run)
+
+
+def test_generators_purge_the_train_eras(spark, sf_dir):
+    from eraflow.sources.testpanel import FEATURES, customer_month
+
+    p = customer_month(spark, sf_dir)
+    train, val = p.where("split = 'train'"), p.where("split = 'validation'")
+    assert fits.purged(train, val, ["target"], 8).agg(F.max("era_num")).first()[0] == 40
+    with pytest.raises(ValueError, match="below"):
+        fits.ridge_predictions(train, val, FEATURES, ["target_a_60"], 8)
+    with pytest.raises(Exception, match="purge gap"):
+        fits.ridge_predictions(train, val.where("era_num > 55"), FEATURES, ["target"], 8).collect()
+    # what happens in the purged eras does not reach the predictions
+    shaken = train.withColumn("target", F.when(F.col("era_num") > 40, 1.0 - F.col("target")).otherwise(F.col("target")))
+    for predict in (
+        lambda t: fits.ridge_predictions(t, val, FEATURES, ["target"], 8),
+        lambda t: fits.tree_predictions(t, val, FEATURES, ["target"], 8, maxIter=2),
+        lambda t: fits.ridge_stack(t, val, FEATURES, ["target"], "target", 0.25, 8),
+    ):
+        a = {(r["era"], r["id"]): r["prediction"] for r in predict(train).collect()}
+        b = {(r["era"], r["id"]): r["prediction"] for r in predict(shaken).collect()}
+        assert a == pytest.approx(b)
+
+
+def test_full_history_model_loads_again(spark, sf_dir, tmp_path):
+    from pyspark.ml.regression import LinearRegressionModel
+
+    from eraflow.sources.testpanel import FEATURES, customer_month
+
+    p = customer_month(spark, sf_dir)
+    model = fits.full_history_fit(p, lambda t: fits.ridge(t, FEATURES, "target", 1.0), f"file://{tmp_path}/model")
+    again = LinearRegressionModel.load(f"file://{tmp_path}/model")
+    assert np.allclose(model.coefficients.toArray(), again.coefficients.toArray())
 
 
 def test_null_predictions_do_not_depend_on_layout(spark):
