@@ -20,24 +20,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eraflow.functions.stats import with_norm_ppf
-from eraflow.session import broadcast_rows, max_group_rows
+from eraflow.session import fits_broadcast, max_group_rows
 
-MAX_CUTS = 1024
-SALTS = 64
 
-
-_shapes: dict[tuple[str, int], tuple[int, int]] = {}
+_shapes: dict[tuple, tuple[int, int]] = {}
 
 
 def group_shape(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
     """(number of groups, rows of the largest group): one pass over the keys alone.
 
-    Remembered per plan, like table statistics. It only chooses a layout; results do
-    not depend on it, so a stale answer costs time and nothing else.
+    Remembered per plan and input files, so a source that has grown is counted again;
+    plans without files are counted every time.
     """
     keys = df.select(*by)
-    known = (df.sparkSession.sparkContext.applicationId, keys.semanticHash())
-    if known not in _shapes:
+    files = keys.inputFiles()
+    known = (df.sparkSession.sparkContext.applicationId, keys.semanticHash(), hash(tuple(sorted(files))))
+    if known not in _shapes or not files:
         sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
         row = sizes.agg(F.count(F.lit(1)).alias("groups"), F.max("rows").alias("rows")).first()
         _shapes[known] = (int(row["groups"]), int(row["rows"] or 0))
@@ -89,7 +87,8 @@ def _window_ranks(df, by, ranks, stats, weight):
 
 def _bucket_ranks(df, by, ranks, stats, weight, shape):
     cap = max_group_rows(df.sparkSession)
-    cuts = min(MAX_CUTS, -(-2 * shape[1] // cap))
+    # twice as many buckets as cap-sized parts of the largest group, and as many salts
+    cuts = salts = max(2, -(-2 * shape[1] // cap))
     points = [i / (cuts + 1.0) for i in range(1, cuts + 1)]
     accuracy = F.lit(max(10_000, 20 * cuts))
     size = F.count(F.lit(1))
@@ -103,7 +102,8 @@ def _bucket_ranks(df, by, ranks, stats, weight, shape):
             for name, column in ranks.items()
         ],
     )
-    small = shape[0] <= broadcast_rows(df.sparkSession)
+    width = 16 * (len(by) + len(stats)) + 64 + 8 * cuts * len(ranks)
+    small = fits_broadcast(df.sparkSession, shape[0], width)
     out = _join_null_safe(df, F.broadcast(per_group) if small else per_group, by)
     row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
     for name, column in ranks.items():
@@ -120,13 +120,13 @@ def _bucket_ranks(df, by, ranks, stats, weight, shape):
         # rows of an equality bucket need no order, so they spread over salts
         out = out.withColumn(
             salt,
-            F.when(F.col(bucket) % 2 == 1, F.pmod(row_hash, F.lit(SALTS))).otherwise(F.lit(0)),
+            F.when(F.col(bucket) % 2 == 1, F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)),
         )
         total = F.sum(weight) if weight else F.count(F.lit(1))
         totals = out.groupBy(*by, bucket).agg(total.alias("__in"))
         running = Window.partitionBy(*by).orderBy(bucket)
         totals = totals.withColumn("__before", F.sum("__in").over(running) - F.col("__in"))
-        few = shape[0] * (2 * cuts + 1) <= broadcast_rows(df.sparkSession)
+        few = fits_broadcast(df.sparkSession, shape[0] * (2 * cuts + 1), 16 * (len(by) + 3) + 64)
         out = _join_null_safe(out, F.broadcast(totals) if few else totals, [*by, bucket])
         inside = _average_rank(
             Window.partitionBy(*by, bucket, salt).orderBy(column), weight
@@ -212,5 +212,5 @@ def with_group_stats(
         group = Window.partitionBy(*by)
         return df.withColumns({name: agg.over(group) for name, agg in stats.items()})
     table = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in stats.items()])
-    small = shape[0] <= broadcast_rows(df.sparkSession)
+    small = fits_broadcast(df.sparkSession, shape[0], 16 * (len(by) + len(stats)) + 64)
     return _join_null_safe(df, F.broadcast(table) if small else table, by)

@@ -118,8 +118,9 @@ def target_correlation(df: DataFrame, targets: Sequence[str]) -> DataFrame:
         .groupBy(*keys, "ok", F.when(both, F.col("va")).alias("va"), F.when(both, F.col("vb")).alias("vb"))
         .agg(F.count(F.lit(1)).alias("w"))
     )
+    eras, largest = group_shape(df, ["era"])
     ranked = with_ranks(
-        cells, [*keys, "ok"], {"ra": "va", "rb": "vb"}, weight="w", shape=group_shape(df, ["era"])
+        cells, [*keys, "ok"], {"ra": "va", "rb": "vb"}, weight="w", shape=(2 * eras * len(pairs), largest)
     )
     used = ranked.where("ok")
     per_era = used.groupBy(*keys).agg(
@@ -163,6 +164,7 @@ def ic_by_era(df: DataFrame, features: Sequence[str], targets: Sequence[str]) ->
         .agg(F.count(F.lit(1)).alias("w"))
     )
     weight = F.col("w")
+    eras, largest = group_shape(df, ["era"])
     ranked = with_ranks(
         cells,
         keys,
@@ -170,7 +172,7 @@ def ic_by_era(df: DataFrame, features: Sequence[str], targets: Sequence[str]) ->
         weight="w",
         count_as="n",
         stats={"sx": F.sum(F.col("x") * F.col("w"))},
-        shape=group_shape(df, ["era"]),
+        shape=(eras * len(features) * len(targets), largest),
     ).withColumn("mx", F.col("sx") / F.col("n"))
     scored = ranked.groupBy(*keys).agg(
         weighted_corr(F.col("x") - F.col("mx"), F.col("y"), weight).alias("ic"),
@@ -321,7 +323,7 @@ def full_screen(
     horizon = inference.horizon_of(F.col("target"))
     series = ic.where(~F.col("degenerate")).select(*keys, "era_num", F.col("ic").alias("value"))
     tested = inference.mean_interval(
-        series, keys, horizon, short_blocks=True, n_boot=n_boot, seed=seed
+        series, keys, horizon, short="one_block", n_boot=n_boot, seed=seed
     ).select(
         *keys,
         F.col("ci_low").alias("mean_corr_ci_lo"),

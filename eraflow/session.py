@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 # Rows of one group (an era, a feature of an era, ...) that one task may sort.
 DEFAULT_MAX_GROUP_ROWS = 4_000_000
-# Rows a table may have before we refuse to broadcast it.
+# Rows and bytes a table may have before we refuse to broadcast it.
 DEFAULT_BROADCAST_ROWS = 100_000
+DEFAULT_BROADCAST_BYTES = 32 << 20
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -72,11 +73,28 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.eraflow.broadcastRows", str(DEFAULT_BROADCAST_ROWS)))
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.eraflow.broadcastBytes", str(DEFAULT_BROADCAST_BYTES)))
+
+
+def fits_broadcast(spark: SparkSession, rows: int, row_bytes: int) -> bool:
+    """Whether a table of that many rows of that width is within both bounds."""
+    return rows <= broadcast_rows(spark) and rows * row_bytes <= broadcast_bytes(spark)
+
+
 def broadcast_checked(small: DataFrame) -> DataFrame:
-    """Hint a broadcast only after counting the table (the count stops one row
-    past the bound). Larger tables stay unhinted: a shuffle join, whose hot keys
-    AQE splits."""
-    limit = broadcast_rows(small.sparkSession)
-    if small.limit(limit + 1).count() <= limit:
+    """Hint a broadcast only after measuring the table: its rows (the count stops one row
+    past the bound) and its bytes, 16 a cell and what strings, binaries and arrays hold.
+    Larger tables stay unhinted: a shuffle join, whose hot keys AQE splits."""
+    spark = small.sparkSession
+    held = F.lit(16 * len(small.columns)).cast("bigint")
+    for name, kind in small.dtypes:
+        if kind in ("string", "binary"):
+            held = held + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith("array"):
+            held = held + F.coalesce(F.size(F.col(f"`{name}`")), F.lit(0)) * 16
+    limit = broadcast_rows(spark)
+    found = small.limit(limit + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(held).alias("bytes")).first()
+    if found["rows"] <= limit and (found["bytes"] or 0) <= broadcast_bytes(spark):
         return F.broadcast(small)
     return small
