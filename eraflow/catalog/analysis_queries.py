@@ -278,13 +278,6 @@ def feature_correlation_summary(spark, sf):
     return tidy(correlation.structure_summary(emb_pairs(spark, sf)))
 
 
-@register("feature_correlation_min_eigenvalue")
-def feature_correlation_min_eigenvalue(spark, sf):
-    pairs = emb_pairs(spark, sf)
-    value = correlation.min_eigenvalue(pairs, NAMES)
-    return tidy(correlation.structure_summary(pairs).select("n_pairs", F.lit(value).alias("min_eigenvalue")))
-
-
 SETS = {"small": FEATURES[:2], "medium": FEATURES[:4], "all": FEATURES, "single": FEATURES[5:]}
 SETS_SQL = "sets AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{f}')" for s, fs in SETS.items() for f in fs) + ") v(feature_set, feature))"
 

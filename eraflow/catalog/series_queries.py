@@ -184,11 +184,6 @@ def payout_report(spark, sf):
     return tidy(report.select("model_id", "n_eras", "max_burn_streak", "time_to_recovery", "mean_payout", "cvar5", "max_drawdown", "calmar", "sharpe"))
 
 
-@register("payout_tranches")
-def payout_tranches(spark, sf):
-    return tidy(series.tranche_portfolio(payouts(spark, sf), BY, horizon=20))
-
-
 def bootstrap_ctes(src: str, by: str, block: str, n_boot: int = N_BOOT, seed: int = SEED) -> list[str]:
     """CTEs ending in bo(by, n, block, point, ci_low, ci_high, p_value) for the mean of
     ``src``(by, era_num, value); ``block`` is an expression of n (and by columns)."""

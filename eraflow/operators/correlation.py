@@ -147,17 +147,6 @@ def structure_summary(pairs: DataFrame) -> DataFrame:
     )
 
 
-def min_eigenvalue(pairs: DataFrame, names: Sequence[str]) -> float:
-    """Smallest eigenvalue of the mean matrix. Its size is the number of features
-    squared, whatever the number of rows, so the driver may hold it."""
-    place = {name: i for i, name in enumerate(names)}
-    matrix = np.eye(len(names))
-    for row in pairs.toLocalIterator():
-        i, j = place[row["feature_a"]], place[row["feature_b"]]
-        matrix[i, j] = matrix[j, i] = row["mean_corr"]
-    return float(np.linalg.eigvalsh(matrix).min())
-
-
 def set_redundancy(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairwise size of correlation inside each feature set (feature_set, feature)."""
     known = pairs.select(F.col("feature_a").alias("feature")).union(pairs.select("feature_b")).distinct()

@@ -163,15 +163,17 @@ def mean_interval(
     by: Sequence[str],
     horizon: str | Column = "20D",
     *,
-    short_blocks: bool = False,
+    short: str = "error",
     **options,
 ) -> DataFrame:
     """(by, n, point, ci_low, ci_high, p_value) of the series mean.
 
     ``horizon`` is a fixed name or a column of ``by``-constant names. A series shorter
-    than the horizon's block floor fails, unless ``short_blocks`` lets it use one
-    block of full length.
+    than the horizon's block floor fails ("error"), gets NULLs ("null"), or uses one
+    block of full length ("one_block"), whose replicates are all equal.
     """
+    if short not in ("error", "null", "one_block"):
+        raise ValueError(f"unknown rule for short series: {short!r}")
     packed = packed_series(series, by).withColumn("n", F.size("values"))
     if isinstance(horizon, str):
         size, floor = block_length(F.col("n"), horizon), F.lit(BLOCK_FLOOR[horizon])
@@ -181,10 +183,9 @@ def mean_interval(
             block_length(F.col("n"), "20D")
         )
         floor = F.when(long, BLOCK_FLOOR["60D"]).otherwise(BLOCK_FLOOR["20D"])
-    if not short_blocks:
-        size = F.when(F.col("n") >= floor, size).otherwise(
-            F.raise_error(F.lit("series is shorter than its block floor")).cast("int")
-        )
+    if short != "one_block":
+        too_short = F.raise_error(F.lit("series is shorter than its block floor")).cast("int") if short == "error" else F.lit(0)
+        size = F.when(F.col("n") >= floor, size).otherwise(too_short)
     packed = packed.withColumn("block", size)
     done = block_bootstrap(packed, block=F.col("block"), **options)
     return done.select(
@@ -195,10 +196,11 @@ def mean_interval(
 def ac_sharpe_interval(
     series: DataFrame, by: Sequence[str], horizon: str = "20D", **options
 ) -> DataFrame:
+    """Interval of the adjusted ratio; NULLs for a series shorter than the block floor."""
     packed = packed_series(series, by).withColumn("n", F.size("values"))
     done = block_bootstrap(
         packed,
-        block=block_length(F.col("n"), horizon),
+        block=F.when(F.col("n") >= BLOCK_FLOOR[horizon], block_length(F.col("n"), horizon)).otherwise(0),
         statistic="ac_sharpe",
         lags=bandwidth(F.col("n"), horizon),
         **options,

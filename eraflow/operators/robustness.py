@@ -10,16 +10,16 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eraflow.functions.hashing import hash32, uniform
 from eraflow.functions.ranks import group_shape
-from eraflow.functions.running import running_totals
 from eraflow.functions.stats import all_finite
 from eraflow.operators import inference, scoring
 from eraflow.operators.rows import bins_valid
 from eraflow.operators.series import with_era_num
+from eraflow.session import broadcast_checked, materialize
 
 MAX_BIN = 4
 
@@ -62,12 +62,15 @@ def changed_fraction(clean: DataFrame, perturbed: DataFrame, features: Sequence[
 
 
 def numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Row numbers 0..n-1 in key order, from one distributed sort."""
-    tagged = df.withColumns(
-        {"__all": F.lit(1), "__key": F.struct(*keys), "__row": F.lit(1).cast("bigint")}
-    )
-    out = running_totals(tagged, ["__all"], "__key", {"donor": "__row"})
-    return out.drop("__all", "__key", "__row")
+    """Row numbers 0..n-1 in key order as ``donor``: one distributed sort, then numbers
+    within each sorted part on top of the sizes of the parts before it."""
+    parts = materialize(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    out = parts.withColumn("__i", inside).join(broadcast_checked(starts), "__part")
+    return out.withColumn("donor", F.col("__start") + F.col("__i") - 1).drop("__part", "__start", "__i")
 
 
 def swap_blocks(
@@ -85,23 +88,27 @@ def swap_blocks(
     n_train = train.count()
     if n_train < 1:
         raise ValueError("train must contain at least one row")
-    donors = numbered(train.select("era", "id", *{f for cols in blocks.values() for f in cols}), ["era", "id"])
-    out = df
-    for name, cols in blocks.items():
-        hit = uniform(seed, "block", F.col("era"), F.col("id"), name) < share
-        pick = F.floor(uniform(seed, "donor", F.col("era"), F.col("id"), name) * n_train).cast("bigint")
-        keyed = out.withColumn("donor", F.when(hit, pick))
-        source = donors.select("donor", *[F.col(c).alias(f"__d_{c}") for c in cols])
-        # untouched rows have no donor key; they must not meet in one partition
-        touched = keyed.where("donor is not null").join(source, "donor")
-        rest = keyed.where("donor is null").withColumns(
-            {f"__d_{c}": F.col(c) for c in cols}
-        )
-        both = touched.unionByName(rest)
-        out = both.withColumns({c: F.col(f"__d_{c}") for c in cols}).drop(
-            "donor", *[f"__d_{c}" for c in cols]
+    used = sorted({f for cols in blocks.values() for f in cols})
+    donors = numbered(train.select("era", "id", *used), ["era", "id"]).select("donor", F.struct(*used).alias("source"))
+    hits = [
+        F.when(
+            uniform(seed, "block", F.col("era"), F.col("id"), name) < share,
+            F.struct(
+                F.lit(name).alias("block"),
+                F.floor(uniform(seed, "donor", F.col("era"), F.col("id"), name) * n_train).cast("bigint").alias("donor"),
+            ),
         )
-    return out
+        for name in blocks
+    ]
+    # one row per touched block, joined once with its donor, then back to one per row
+    touched = df.select("era", "id", F.explode(F.array_compact(F.array(*hits))).alias("hit")).distinct()
+    copied = (
+        touched.select("era", "id", "hit.block", "hit.donor").join(donors, "donor").groupBy("era", "id")
+        .agg(*[F.max(F.when(F.col("block") == name, F.col("source"))).alias(f"__s_{name}") for name in blocks])
+    )
+    owner = {c: name for name, cols in blocks.items() for c in cols}
+    cells = {c: F.when(F.col(f"__s_{b}").isNotNull(), F.col(f"__s_{b}.{c}")).otherwise(F.col(c)) for c, b in owner.items()}
+    return df.join(copied, ["era", "id"], "left").withColumns(cells).select(*df.columns)
 
 
 def linear_score(weights: Mapping[str, float]) -> Callable[[DataFrame], DataFrame]:
@@ -238,14 +245,22 @@ def regime_corr(
     by: Sequence[str] = (),
     horizon: str = "20D",
     min_eras: int = scoring.MIN_OVERLAP_ERAS,
+    strict: bool = True,
     **options,
 ) -> DataFrame:
-    """Mean score and bootstrap interval per regime. Labels are one row per era; a
-    regime with too few eras fails, as its interval would mean nothing."""
+    """Mean score and bootstrap interval per regime. Labels are one row per era. A regime
+    with too few eras fails, as its interval would mean nothing; with ``strict`` off it
+    keeps a row with its number of eras and NULL scores."""
     from eraflow.operators.rows import with_labels
 
     labelled = with_labels(with_era_num(series), labels.select("era", "regime"))
-    out = inference.mean_interval(labelled, [*by, "regime"], horizon, **options)
+    out = inference.mean_interval(labelled, [*by, "regime"], horizon, short="error" if strict else "null", **options)
+    if not strict:
+        known = F.col("n") >= min_eras
+        cells = {"point": "mean_corr", "ci_low": "ci_low", "ci_high": "ci_high"}
+        return out.select(
+            *by, "regime", F.col("n").alias("n_eras"), *[F.when(known, F.col(c)).alias(name) for c, name in cells.items()]
+        )
     checked = F.when(F.col("n") >= min_eras, F.col("n")).otherwise(
         F.raise_error(F.lit(f"a regime has fewer than {min_eras} eras")).cast("int")
     )

@@ -318,70 +318,3 @@ def payout_report(payout: DataFrame, by: Sequence[str] = (), q: float = 0.05) ->
         sample_kurtosis(raw).alias("kurt"),
     )
 
-
-def tranche_portfolio(
-    series: DataFrame, by: Sequence[str] = (), horizon: int = 20, capital: float = 1.0
-) -> DataFrame:
-    """Laddered stakes: every era stakes min(cash, equity / horizon); a stake comes
-    back ``horizon`` eras later with the return of the era it was made in. One ordered
-    fold per series (a series is bounded by the number of eras); series run in
-    parallel. Open stakes count at par; shorter series stay at the initial capital."""
-    state = F.struct(
-        F.lit(float(capital)).alias("cash"),
-        F.array().cast("array<struct<principal:double,ret:double>>").alias("open"),
-        F.array().cast("array<double>").alias("equity"),
-        F.array().cast("array<double>").alias("used"),
-    )
-
-    def step(acc: Column, ret: Column) -> Column:
-        due = F.size(acc["open"]) >= horizon
-        oldest = F.get(acc["open"], 0)
-        cash = acc["cash"] + F.when(due, oldest["principal"] * (1.0 + oldest["ret"])).otherwise(0.0)
-        still = F.when(due, F.slice(acc["open"], 2, horizon)).otherwise(acc["open"])
-        locked = F.aggregate(still, F.lit(0.0), lambda t, s: t + s["principal"])
-        equity = cash + locked
-        stake = F.least(cash, equity / F.lit(float(horizon)))
-        made = F.struct(stake.alias("principal"), ret.alias("ret"))
-        return F.struct(
-            (cash - stake).alias("cash"),
-            F.concat(still, F.array(made)).alias("open"),
-            F.concat(acc["equity"], F.array(equity)).alias("equity"),
-            F.concat(
-                acc["used"],
-                F.array(F.when(equity > 0.0, locked / F.when(equity > 0.0, equity)).otherwise(0.0)),
-            ).alias("used"),
-        )
-
-    packed = with_era_num(series).groupBy(*by).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("era_num", "value"))), lambda s: s["value"]
-        ).alias("returns")
-    )
-    curves = packed.withColumn("run", F.aggregate("returns", state, step)).select(
-        *by, F.size("returns").alias("n"), "run.equity", "run.used"
-    )
-    peaks = F.aggregate(
-        "equity",
-        F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst")),
-        lambda a, e: F.struct(
-            F.greatest(a["peak"], e).alias("peak"),
-            F.greatest(
-                a["worst"],
-                F.coalesce(ratio(F.greatest(a["peak"], e) - e, F.greatest(a["peak"], e)), F.lit(0.0)),
-            ).alias("worst"),
-        ),
-        lambda a: a["worst"],
-    )
-    long_enough = F.col("n") >= horizon
-    final = F.element_at("equity", -1)
-    growth = F.when(
-        final > 0.0, F.pow(final / capital, F.lit(ERAS_PER_YEAR) / F.col("n")) - 1.0
-    ).otherwise(-1.0)
-    mean_used = F.aggregate("used", F.lit(0.0), lambda t, u: t + u) / F.col("n")
-    return curves.select(
-        *by,
-        F.when(long_enough, growth).otherwise(0.0).alias("sim_portfolio_cagr"),
-        F.when(long_enough, peaks).otherwise(0.0).alias("sim_portfolio_mdd"),
-        F.when(long_enough, mean_used).otherwise(0.0).alias("sim_capital_utilization"),
-        F.when(long_enough, final).otherwise(float(capital)).alias("sim_final_equity"),
-    )

@@ -19,7 +19,6 @@ from eraflow.session import materialize
 BY = ["model_id"]
 KEYS = ["model_id", "era"]
 CELLS = ("mean_payout", "corr", "mmc", "bmc", "cwmm", "corr_sharpe_ac")
-HORIZON_ERAS = {"20D": 20, "60D": 60}
 
 
 def evaluation_rows(
@@ -74,7 +73,7 @@ def _cells(scores: DataFrame, horizon: str, min_overlap_eras: int, **options) ->
     """Mean and interval of every (model, metric) series in one bootstrap job."""
     tested = inference.mean_interval(
         scores.where("metric in ('corr', 'mmc', 'bmc', 'cwmm', 'payout')"), ["model_id", "metric"],
-        horizon, short_blocks=True, **options,
+        horizon, short="null", **options,
     )
 
     def of(metric: str, column: str) -> Column:
@@ -155,7 +154,6 @@ def evaluate_models(
     parts = [
         sharpe, report, means, turnover, mmc_down, max_exposure(base, features), degenerate,
         mmc_sharpe.select(*BY, F.col("ac_sharpe").alias("mmc_sharpe_ac")),
-        series.tranche_portfolio(payout, BY, HORIZON_ERAS[horizon]).drop("sim_final_equity"),
     ]
     if benchmark is not None and horizon_pair is not None:
         stability = robustness.horizon_stability(
@@ -163,10 +161,12 @@ def evaluate_models(
         )
         parts.append(stability.select(*BY, *[F.col(c).alias(f"horizon_{c}") for c in stability.columns if c != "model_id"]))
     if regimes is not None:
-        per = robustness.regime_corr(metric("corr"), regimes, BY, horizon, min_overlap_eras, **options)
+        per = robustness.regime_corr(metric("corr"), regimes, BY, horizon, min_overlap_eras, strict=False, **options)
         cell = F.struct("mean_corr", "ci_low", "ci_high", F.col("n_eras").cast("bigint").alias("n_eras"))
+        whole = F.bool_and(F.col("mean_corr").isNotNull())
         parts.append(per.groupBy(*BY).agg(
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("regime", cell)))).alias("regime_corr")
+            F.when(whole, F.map_from_entries(F.sort_array(F.collect_list(F.struct("regime", cell))))).alias("regime_corr"),
+            F.when(~whole, F.lit(f"a regime has fewer than {min_overlap_eras} eras")).alias("__regime_reason"),
         ))
     # each part has one row per model; models are few next to rows
     for part in parts:
@@ -182,9 +182,14 @@ def evaluate_models(
             "horizon_reason": F.when(
                 F.col("horizon_model_decay").isNull(), "too few resolved eras"
             ) if "horizon_model_decay" in available else F.lit("benchmark unavailable"),
-            "regime_reason": F.lit(None if regimes is not None else "regime labels unavailable").cast("string"),
+            "regime_reason": F.coalesce("__regime_reason", F.when(F.col("regime_corr").isNull(), "no labelled eras"))
+            if regimes is not None else F.lit("regime labels unavailable"),
+            **{
+                f"{cell}_reason": F.when(F.col(f"{cell}.value").isNull(), "series is shorter than its block floor")
+                for cell in ("corr", "mmc", "mean_payout", "corr_sharpe_ac")
+            },
         }
-    )
+    ).drop("__regime_reason")
 
 
 def _reason(cell: str, available: bool) -> Column:

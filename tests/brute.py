@@ -60,23 +60,3 @@ def ac_sharpe(x, floor):
     total = sum((1 - k / (lags + 1)) * (c[:-k] @ c[k:]) / (c @ c) for k in range(1, lags + 1))
     return x.mean() / x.std() / math.sqrt(max(1 + 2 * total, 1e-12))
 
-
-def tranches(x, horizon, capital=1.0):
-    cash, open_, equity, used = capital, [], [], []
-    if len(x) < horizon:
-        return 0.0, 0.0, 0.0, capital
-    for t in range(len(x)):
-        for due, principal in [s for s in open_ if s[0] == t]:
-            cash += principal * (1 + x[due - horizon])
-        open_ = [s for s in open_ if s[0] != t]
-        locked = sum(p for _, p in open_)
-        total = cash + locked
-        equity.append(total)
-        used.append(locked / total if total > 0 else 0.0)
-        stake = min(cash, total / horizon)
-        cash -= stake
-        open_.append((t + horizon, stake))
-    equity = np.array(equity)
-    peak = np.maximum.accumulate(equity)
-    growth = (equity[-1] / capital) ** (52 / len(x)) - 1 if equity[-1] > 0 else -1.0
-    return growth, float(((peak - equity) / peak).max()), float(np.mean(used)), float(equity[-1])

@@ -54,7 +54,7 @@ def test_constant_and_short_series(spark):
     assert flat["p_value"] == 1.0 and flat["ci_low"] == flat["ci_high"] == 0.5
     with pytest.raises(Exception, match="block floor"):
         inference.mean_interval(make(spark, [0.1, 0.2, 0.3]), ["model_id"]).collect()
-    short = inference.mean_interval(make(spark, [0.1, 0.2, 0.3]), ["model_id"], short_blocks=True, n_boot=50).first()
+    short = inference.mean_interval(make(spark, [0.1, 0.2, 0.3]), ["model_id"], short="one_block", n_boot=50).first()
     assert short["block"] == 3
 
 
@@ -71,14 +71,15 @@ def test_benjamini_hochberg(spark):
     assert [got[f"{i:02d}"] for i in range(len(p))] == pytest.approx(list(want))
 
 
-@pytest.mark.parametrize("horizon", [1, 6, 20])
-@pytest.mark.parametrize("n", [5, 37])
-def test_tranches(spark, walk, horizon, n):
-    x = walk[:n]
-    r = series.tranche_portfolio(make(spark, x), ["model_id"], horizon).first()
-    want = brute.tranches(x, horizon)
-    got = (r["sim_portfolio_cagr"], r["sim_portfolio_mdd"], r["sim_capital_utilization"], r["sim_final_equity"])
-    assert got == pytest.approx(want)
+def test_short_series_get_no_interval(spark, walk):
+    few = make(spark, walk[:4])
+    got = inference.mean_interval(few, ["model_id"], short="null", n_boot=50).first()
+    assert got["n"] == 4 and got["point"] is None and got["ci_low"] is None and got["p_value"] is None
+    assert inference.ac_sharpe_interval(few, ["model_id"], n_boot=50).first()["point"] is None
+    enough = inference.mean_interval(make(spark, walk[:5]), ["model_id"], short="null", n_boot=50).first()
+    assert enough["point"] is not None
+    with pytest.raises(ValueError):
+        inference.mean_interval(few, ["model_id"], short="maybe")
 
 
 def test_payout_report_matches_single_operators(spark, walk):

@@ -48,7 +48,7 @@ def test_against_sql(spark, sql, sf_dir, name):
     pd.testing.assert_frame_equal(canonical(got), canonical(want))
 
 
-@pytest.mark.parametrize("name", ["scorecard", "payout_tranches", "ridge_stack", "out_of_fold", "hierarchy", "campaign_evidence"])
+@pytest.mark.parametrize("name", ["scorecard", "ridge_stack", "out_of_fold", "hierarchy", "campaign_evidence"])
 def test_without_sql(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
