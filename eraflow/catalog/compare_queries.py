@@ -323,7 +323,7 @@ def feature_set_relations(spark, sf):
 
 @register("trajectories",
           q.query([*PAY, q.corr_scores("mc", "panel", "meta", "target_a_20"),
-                   "al AS (SELECT model_id, 'corr20' AS metric, era, value FROM sc WHERE era::INTEGER > 10 UNION ALL SELECT model_id, 'payout', era, value FROM pay WHERE era::INTEGER > 10)",
+                   "al AS (SELECT model_id, 'corr20' AS metric, era, value FROM sc UNION ALL SELECT model_id, 'payout', era, value FROM pay)",
                    "ax AS (SELECT DISTINCT era, era_num::BIGINT AS era_num FROM panel)", "kn AS (SELECT DISTINCT model_id, metric FROM al)",
                    "gr AS (SELECT k.model_id, k.metric, ax.era, ax.era_num, coalesce(al.value, 0.0) AS value, coalesce(mc.value < 0, false) AS downside FROM kn k CROSS JOIN ax LEFT JOIN al USING (model_id, metric, era) LEFT JOIN mc USING (era))",
                    "cu AS (SELECT *, sum(value) OVER w AS cum, product(1 + value) OVER w AS wealth FROM gr WINDOW w AS (PARTITION BY model_id, metric ORDER BY era_num ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
@@ -332,8 +332,8 @@ def feature_set_relations(spark, sf):
                   q.rounded("o", ["model_id", "metric", "era", "era_num", "downside"], ["value", "cumulative", "drawdown"])))
 def trajectories(spark, sf):
     p = customer_month(spark, sf)
-    corr = corr_series(spark, sf).where("era_num > 10").select("model_id", F.lit("corr20").alias("metric"), "era", "value")
-    pay = payouts(spark, sf).where("era_num > 10").select("model_id", F.lit("payout").alias("metric"), "era", "value")
+    corr = corr_series(spark, sf).select("model_id", F.lit("corr20").alias("metric"), "era", "value")
+    pay = payouts(spark, sf).select("model_id", F.lit("payout").alias("metric"), "era", "value")
     return tidy(compare.trajectories(corr.unionByName(pay), p, scoring.per_era_corr(p, META, "target_a_20")))
 
 
@@ -416,7 +416,7 @@ def scorecard_union(spark, sf):
 def hierarchy(spark, sf):
     p = customer_month(spark, sf)
     cards = reports.hierarchy(
-        p.where("split = 'train'"), p.where("split = 'validation'"), FEATURES, "target", META, ["bench_b60"], maxIter=5
+        p.where("split = 'train'"), p.where("split = 'validation'"), FEATURES, "target", META, ["bench_b60"], purge=8, maxIter=5
     )
     return tidy(cards.select("model_id", "tier", "strategy_group", "corr", "corr_sharpe_ac", "fnc"), 5)
 

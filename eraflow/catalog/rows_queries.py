@@ -128,7 +128,7 @@ def finite_target_rows(spark, sf):
 
 @register("coerce_float", q.query([], "SELECT era, id, f_qty::DOUBLE AS f_qty, f_tax::DOUBLE AS f_tax FROM panel"))
 def coerce_float(spark, sf):
-    df = customer_month(spark, sf).select("era", "id", F.col("f_qty").cast("tinyint").alias("f_qty"), F.col("f_tax").cast("smallint").alias("f_tax"))
+    df = customer_month(spark, sf).select("era", "id", "f_qty", "f_tax")
     return tidy(rows.coerce_float(df, ["f_qty", "f_tax"]))
 
 
@@ -233,14 +233,14 @@ def join_aligned_sources(spark, sf):
 
 
 @register("join_regime_labels",
-          q.query([*S, "lab AS (SELECT era, CASE WHEN avg(f_qty) > 1.9 THEN 'busy' ELSE 'calm' END AS regime FROM panel WHERE era_num > 5 GROUP BY era)",
+          q.query([*S, "lab AS (SELECT era, CASE WHEN avg(f_qty) > 1.9 THEN 'busy' ELSE 'calm' END AS regime FROM panel GROUP BY era)",
                    "o AS (SELECT model_id, era, regime, value FROM ser JOIN lab USING (era))"], q.rounded("o", ["model_id", "era", "regime"], ["value"])))
 def join_regime_labels(spark, sf):
     return tidy(rows.with_labels(corr_series(spark, sf), era_labels(spark, sf)).select("model_id", "era", "regime", "value"))
 
 
 def era_labels(spark, sf):
-    p = customer_month(spark, sf).where("era_num > 5")
+    p = customer_month(spark, sf)
     return p.groupBy("era").agg(F.when(F.avg("f_qty") > 1.9, "busy").otherwise("calm").alias("regime"))
 
 
@@ -250,11 +250,13 @@ def join_attached_features(spark, sf):
     return tidy(rows.complete_join(p.select("era", "id", "pred_a"), p.select("era", "id", "f_qty", "f_tax")))
 
 
-@register("join_universe_differences", q.query([], "SELECT DISTINCT id, 'extra' AS problem FROM panel WHERE era_num = 60 AND id NOT IN (SELECT id FROM panel WHERE era_num = 61) "
-                                               "UNION ALL SELECT DISTINCT id, 'missing' FROM panel WHERE era_num = 61 AND id NOT IN (SELECT id FROM panel WHERE era_num = 60)"))
+@register("join_universe_differences",
+          q.query(["nw AS (SELECT max(era_num) AS last FROM panel)", "ua AS (SELECT DISTINCT id FROM panel, nw WHERE era_num = last - 1)", "ub AS (SELECT DISTINCT id FROM panel, nw WHERE era_num = last)"],
+                  "SELECT id, 'extra' AS problem FROM ua WHERE id NOT IN (SELECT id FROM ub) UNION ALL SELECT id, 'missing' FROM ub WHERE id NOT IN (SELECT id FROM ua)"))
 def join_universe_differences(spark, sf):
     p = customer_month(spark, sf)
-    return rows.universe_differences(p.where("era_num = 60"), p.where("era_num = 61"))
+    last = p.agg(F.max("era_num")).scalar()
+    return rows.universe_differences(p.where(F.col("era_num") == last - 1), p.where(F.col("era_num") == last))
 
 
 @register("join_meta_window", q.query([q.corr_scores("s", "panel", "meta", "target")], q.rounded("s", ["era"], ["value"])))

@@ -12,8 +12,8 @@ from eraflow.functions.stats import all_finite, is_finite, none_null, ratio
 from eraflow.session import broadcast_checked
 
 KEYS = ["era", "id"]
-# integers up to 16 bits and floats are exact in single precision
-EXACT_IN_FLOAT = (T.ByteType, T.ShortType, T.FloatType)
+# integers up to 32 bits and floats are held in single precision
+CAST_TO_FLOAT = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType)
 
 
 def finite_target_rows(df: DataFrame, target: str) -> DataFrame:
@@ -21,8 +21,8 @@ def finite_target_rows(df: DataFrame, target: str) -> DataFrame:
 
 
 def coerce_float(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Cast the features to single precision if all of them survive it; else nothing."""
-    if not all(isinstance(df.schema[c].dataType, EXACT_IN_FLOAT) for c in features):
+    """Cast the features to single precision if all have one of these types; else nothing."""
+    if not all(isinstance(df.schema[c].dataType, CAST_TO_FLOAT) for c in features):
         return df
     return df.withColumns({c: F.col(c).cast("float") for c in features})
 

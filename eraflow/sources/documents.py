@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Field names of the documents, and the columns of the unified table.
 SCORE_FIELDS = (
     "corr", "corr_ci_low", "corr_ci_high", "corr_sharpe_ac", "corr_sharpe_ac_ci_low",
     "corr_sharpe_ac_ci_high", "std_corr", "max_drawdown", "deflated_sharpe", "fnc", "mmc",
@@ -47,7 +48,8 @@ UNIFIED = (
 
 
 def read_run_records(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Run documents under a declared schema; unreadable ones are skipped."""
+    """Run documents under a declared schema; unreadable ones are skipped. One without a
+    run id is known by its folder, and an empty scorecard is none."""
     raw = (
         spark.read.schema(RUN_SCHEMA)
         .option("mode", "PERMISSIVE")
@@ -55,8 +57,12 @@ def read_run_records(spark: SparkSession, path: str, multiline: bool = True) ->
         .option("multiLine", multiline)
         .json(path)
     )
-    return raw.where(F.col("_corrupt_record").isNull() & F.col("run_id").isNotNull()).drop(
-        "_corrupt_record"
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    scored = F.coalesce(*[F.col(f"scorecard.{f.name}").cast("string") for f in raw.schema["scorecard"].dataType])
+    return (
+        raw.withColumn("run_id", F.coalesce("run_id", folder))
+        .withColumn("scorecard", F.when(scored.isNotNull(), F.col("scorecard")))
+        .where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     )
 
 
@@ -122,6 +128,8 @@ def benchmark_leaderboard(cards: DataFrame) -> DataFrame:
 
     group = have("strategy_group", "string")
     special = {
+        "std_corr": F.coalesce(have("std_corr"), F.lit(0.0)),
+        "max_drawdown": F.coalesce(have("max_drawdown"), F.lit(0.0)),
         "source": F.lit("benchmark"),
         "run_name": F.coalesce(
             group, F.concat(F.lit("tier"), have("tier", "bigint").cast("string")), F.lit("benchmark")
