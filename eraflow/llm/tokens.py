@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,11 @@ from eraflow.llm.common import file_system, new_file, store
 SEQUENCE_LENGTH = 2048
 # Sequences of one record batch.
 BATCH_SEQUENCES = 128
-# Distinct words whose ids a task remembers.
-MEMO_WORDS = 200_000
-
-_SPACE = re.compile(r"[\x20\x09-\x0d]+")
+# Pieces of one generation of remembered ones, and the longest that are remembered.
+MEMO_WORDS, MEMO_BYTES = 400_000, 100
+# Marks before which a run of ASCII letters ends, wherever they stand.
+_LETTERS = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+_MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
 INDEX = "doc_id long, path string, shard int, place long, n_tokens long"
 
@@ -46,36 +48,87 @@ class WordEncoder:
     """Ids of a text from the ids of its white-space separated pieces.
 
     The vocabulary's own splitting drops white space and never joins across it, so the
-    ids of a text are those of its pieces one after the other. Pieces repeat, so their
-    ids are remembered; the memory is emptied when it is full.
+    ids of a text are those of its pieces one after the other. It also ends a run of
+    letters before a punctuation mark and lower-cases, so a new piece is first looked up
+    without its last mark and in lower case. Known pieces are held in two generations:
+    when the young one is full it becomes the old one, and pieces that are used again
+    move back to the young one. A piece of plain lower-case letters needs no normalizing
+    or splitting and goes straight to the library's model. A vocabulary that does not
+    behave so gets whole texts.
     """
 
     def __init__(self, vocabulary: str, memo: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, list[int]] = {}
+        self.numbers = list(range(self.tokenizer.get_vocab_size()))  # ids as shared objects
+        self.young: dict[bytes, list[int]] = {}
+        self.old: dict[bytes, list[int]] = {}
         self.memo = memo
+        self.by_words = self._whole("aB, \n\t c.d") == self._whole("ab") + self._whole(",") + self._whole("c.d")
+        self.plain = self._plain_letters() if self.by_words else {}
+        self.only_plain = re.compile(f"[{''.join(map(chr, self.plain))}]+") if self.plain else None
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _plain_letters(self) -> dict[int, str]:
+        """Lower-case letters as the model gets them, if they make one piece with others."""
+        found = {}
+        for c in _LETTERS:
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a")
+            if self.tokenizer.normalizer.normalize_str(c) == c and len(pieces) == 1:
+                found[ord(c)] = pieces[0][0][1:-1]
+        return found
 
     @property
     def dtype(self) -> np.dtype:
-        return np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        return np.dtype("<u2" if len(self.numbers) <= 1 << 16 else "<u4")
+
+    def _new(self, word: bytes) -> list[int]:
+        found = self.old.get(word)
+        if found is None:
+            if len(word) > 1 and word[-1:] in _MARKS and word[-2:-1].isalpha():
+                found = self.word(word[:-1]) + self.word(word[-1:])
+            elif word.isascii() and not word.islower() and word != word.lower():
+                found = self.word(word.lower())
+            else:
+                text = word.decode()
+                if self.only_plain and self.only_plain.fullmatch(text):
+                    ids = [t.id for t in self.tokenizer.model.tokenize(text.translate(self.plain))]
+                else:
+                    ids = self._whole(text)
+                found = [self.numbers[i] for i in ids]
+        if len(word) <= MEMO_BYTES:
+            if len(self.young) >= self.memo:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
+        return found
+
+    def word(self, word: bytes) -> list[int]:
+        found = self.young.get(word)
+        return self._new(word) if found is None else found
 
     def __call__(self, text: str | None) -> list[int]:
+        if not self.by_words:
+            return self._whole(text or "")
         ids: list[int] = []
-        known = self.known
-        for word in _SPACE.split(text or ""):
-            found = known.get(word)
+        get, new = self.young.get, self._new
+        for word in (text or "").encode().split():  # bytes: at ASCII white space only
+            found = get(word)
             if found is None:
-                found = self.tokenizer.encode(word, add_special_tokens=False).ids
-                if len(known) >= self.memo:
-                    known.clear()
-                if len(word) < 200:
-                    known[word] = found
+                found = new(word)
+                get = self.young.get
             ids += found
         return ids
 
 
+@cache
+def encoder(vocabulary: str) -> WordEncoder:
+    """The process's encoder: what it knows serves all tasks of a worker."""
+    return WordEncoder(vocabulary)
+
+
 def schema(length: int, dtype: np.dtype) -> pa.Schema:
     return pa.schema([
         pa.field("ids", pa.list_(pa.from_numpy_dtype(dtype), length)),
@@ -160,7 +213,7 @@ def write_sequences(
     is a path every executor has."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out, shard = WordEncoder(vocabulary), None, TaskContext.get().partitionId()
+        encode, out, shard = encoder(vocabulary), None, TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
