@@ -41,9 +41,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         if tuple(digest) == mark or not digest[0]:
             break
         mark, step = tuple(digest), step + 1
-        half = store(_stars(edges, True), f"{folder}/half-{step}")
-        edges = store(_stars(half, False), f"{folder}/step-{step}")
-        remove(spark, f"{folder}/half-{step}")
+        edges = store(_stars(_stars(edges, True), False), f"{folder}/step-{step}")
         remove(spark, f"{folder}/step-{step - 1}")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
