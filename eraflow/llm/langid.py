@@ -184,6 +184,8 @@ def fit(samples: Sequence[tuple[str, str]], steps: int = STEPS, seed: int = 2) -
     """A model from (label, text) pairs."""
     labels = sorted({label for label, _ in samples})
     model, rng = Model.new(labels, seed=seed), np.random.default_rng(seed)
+    if not samples:
+        return model
     data, real, label = [], [], []
     for name, text in samples:
         cells, mask = windows_of(text.encode("utf-8", "replace"))

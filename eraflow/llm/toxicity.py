@@ -33,7 +33,7 @@ from eraflow.llm.common import with_fields
 from eraflow.llm.shingles import MARKS, hashed_words, mix, pieces, to_bytes
 
 FEATURES, PREFIXES = 1 << 18, (4, 5, 6, 8)
-TRAIN_DOCS, TRAIN_CHARS = 8000, 20000
+TRAIN_DOCS, TRAIN_CHARS = 6000, 20000
 STEPS, RATE, PENALTY = 200, 0.1, 1e-5
 # A feature gets a weight if it is in so many documents, and in toxic ones by so many
 # standard deviations more often than chance; else the fit would learn its documents by heart.
@@ -80,31 +80,37 @@ NOTHING = Model(np.zeros(FEATURES, np.float32), -np.inf)
 
 def fit(rows: Sequence[tuple[int, str]]) -> Model:
     """A model from (label, text) pairs, by Adam on the documents' cross entropy."""
-    words, first, docs, labels, size = [], [], [], [], 0
+    # one pass to choose the features, one to keep only those: a text's other features
+    # are never held together with those of other texts
+    n, toxic, n_docs, n_toxic = np.zeros(FEATURES), np.zeros(FEATURES), 0, 0
+    for label, text in rows:
+        parts = [words for words, _, _ in sentences(to_bytes(text))]
+        if parts:
+            seen = np.unique(np.concatenate(parts))
+            n[seen] += 1
+            toxic[seen] += label
+            n_docs, n_toxic = n_docs + 1, n_toxic + label
+    if not 0 < n_toxic < n_docs:
+        return NOTHING
+    usual = n_toxic / n_docs
+    used = (n >= MIN_DOCS) & (toxic - n * usual >= MIN_DEVIATION * np.sqrt(n * usual * (1 - usual)))
+    at, sentence, docs, labels, size = [], [], [], [], 0
     for label, text in rows:
         found = False
-        for w, f, _ in sentences(to_bytes(text)):
-            first.append(f + size)
-            docs.append(np.full(len(f), len(labels)))
-            words.append(w)
-            size += len(w)
+        for words, first, _ in sentences(to_bytes(text)):
+            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words)))) + size
+            at.append(words[used[words]])
+            sentence.append(number[used[words]].astype(np.int32))
+            docs.append(np.full(len(first), len(labels), np.int32))
+            size += len(first)
             found = True
         if found:
             labels.append(label)
-    if len(set(labels)) < 2:
-        return NOTHING
-    words, first, docs, y = np.concatenate(words), np.concatenate(first), np.concatenate(docs), np.array(labels, float)
-    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, size)))
-    seen = np.unique(docs[sentence].astype(np.int64) * FEATURES + words)
-    n = np.bincount(seen % FEATURES, minlength=FEATURES)
-    toxic = np.bincount(seen % FEATURES, y[seen // FEATURES], FEATURES)
-    usual = y.mean()
-    used = (n >= MIN_DOCS) & (toxic - n * usual >= MIN_DEVIATION * np.sqrt(n * usual * (1 - usual)))
-    at, sentence = words[used[words]], sentence[used[words]]
+    at, sentence, docs, y = np.concatenate(at), np.concatenate(sentence), np.concatenate(docs), np.array(labels, float)
     w, bias = np.zeros(FEATURES), -6.0
     m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        score = np.bincount(sentence, w[at], len(first)) + bias
+        score = np.bincount(sentence, w[at], size) + bias
         total = np.bincount(docs, np.logaddexp(0, score), len(y))
         outer = ((1 - y) - y / np.maximum(np.expm1(np.minimum(total, 50)), 1e-6)) / len(y)
         inner = outer[docs] / (1 + np.exp(-np.clip(score, -50, 50)))
