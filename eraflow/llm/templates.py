@@ -39,18 +39,37 @@ KEYS = ["_id", "_hash"]
 
 def tokens_of(line: Column) -> Column:
     """The tokens of a line, those with a digit as ``<*>``."""
-    return F.array_remove(F.split(F.regexp_replace(line, _VARIABLE, "<*>"), SPACES), "")
+    named = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line)
+    return F.array_remove(F.split(named, SPACES), "")
 
 
 def parsed_lines(keyed: DataFrame, text: str) -> DataFrame:
-    """_id, _hash, line (its number), n, exact and leaf (hashes), tokens; lines of
-    ``MIN_TOKENS`` tokens or more."""
-    lines = keyed.select(*KEYS, F.posexplode(F.split(text, "\n")).alias("line", "_line"))
-    tokens = lines.select(*KEYS, "line", tokens_of(F.col("_line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return tokens.select(
-        *KEYS, "line", F.xxhash64("tokens").alias("exact"),
-        F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), "tokens",
-    )
+    """_id, _hash, line (its number), exact and leaf (hashes of all tokens, and of their
+    number and the first ones); lines of ``MIN_TOKENS`` tokens or more."""
+    def parse(line: Column) -> Column:
+        return bind(tokens_of(line), lambda ts: F.struct(
+            F.size(ts).alias("n"), F.xxhash64(ts).alias("exact"),
+            F.xxhash64(F.size(ts), F.slice(ts, F.lit(1), F.lit(DEPTH))).alias("leaf"),
+        ))
+
+    lines = keyed.select(*KEYS, F.posexplode(F.transform(F.split(text, "\n"), parse)).alias("line", "_p"))
+    return lines.where(F.col("_p.n") >= MIN_TOKENS).select(*KEYS, "line", "_p.exact", "_p.leaf")
+
+
+def token_rows(keyed: DataFrame, wanted: DataFrame, text: str, path: str) -> DataFrame:
+    """_id, _hash, line, leaf, tokens of the ``wanted`` lines (_id, _hash, line, leaf): only
+    these are taken apart again."""
+    by_doc = wanted.groupBy(*KEYS).agg(F.collect_set(F.struct("line", "leaf")).alias("_wanted"))
+    by_doc = broadcast_if_small(store(by_doc.withColumnsRenamed({"_id": "_wi", "_hash": "_wh"}), path))
+    same = F.col("_id").eqNullSafe(F.col("_wi")) & (F.col("_hash") == F.col("_wh"))
+
+    def chosen(lines: Column) -> Column:
+        return F.transform("_wanted", lambda s: F.struct(
+            s["line"].alias("line"), s["leaf"].alias("leaf"), tokens_of(F.get(lines, s["line"])).alias("tokens"),
+        ))
+
+    found = keyed.join(by_doc, same).select(*KEYS, F.explode(bind(F.split(text, "\n"), chosen)).alias("_s"))
+    return found.select(*KEYS, "_s.line", "_s.leaf", "_s.tokens").dropDuplicates([*KEYS, "line"])
 
 
 def recurring(members: DataFrame, by: str) -> DataFrame:
@@ -71,19 +90,15 @@ def later(members: DataFrame, found: DataFrame, by: str) -> DataFrame:
 def dropped_lines(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _hash, line): the lines to drop, by document id, text hash and line number."""
     keyed = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text)).where(F.col(text).isNotNull())
-    lines = store(parsed_lines(keyed, text).drop("tokens").distinct(), f"{folder}/lines")
+    lines = store(parsed_lines(keyed, text).distinct(), f"{folder}/lines")
     exact = store(recurring(lines, "exact"), f"{folder}/exact")
     single = lines.join(broadcast_if_small(exact.select("exact")), "exact", "left_anti")
     shared = (
         single.select("leaf", *KEYS).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
         .where(F.col("docs") >= MIN_DOCS).select("leaf")
     )
-    shared = broadcast_if_small(store(shared, f"{folder}/leaves"))
-    members = store(
-        parsed_lines(keyed, text).join(shared, "leaf", "left_semi")
-        .join(broadcast_if_small(exact.select("exact")), "exact", "left_anti").distinct(),
-        f"{folder}/members",
-    )
+    wanted = single.join(broadcast_if_small(store(shared, f"{folder}/leaves")), "leaf", "left_semi")
+    members = store(token_rows(keyed, wanted, text, f"{folder}/wanted"), f"{folder}/members")
     sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
     usual = (
         members.select("leaf", F.posexplode("tokens").alias("place", "token"))
