@@ -62,6 +62,31 @@ def test_big_tables_are_not_broadcast(spark, sf_dir, no_broadcast):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_block_swaps_read_each_side_once(spark, sf_dir):
+    from eraflow.operators.robustness import swap_blocks
+
+    p = customer_month(spark, sf_dir)
+    train, val = p.where("split = 'train'"), p.where("split = 'validation'").select("era", "id", *FEATURES)
+    scans = []
+    for n in (1, 2, 4):
+        blocks = {f"b{i}": [FEATURES[i]] for i in range(n)}
+        scans.append(plan(swap_blocks(val, train, blocks, 0.2, 1)).count("FileScan parquet"))
+    assert scans[0] == scans[1] == scans[2]
+
+
+def test_bytes_bound_broadcasts(spark):
+    from eraflow.session import broadcast_checked, fits_broadcast
+
+    spark.conf.set("spark.eraflow.broadcastBytes", "4000")
+    try:
+        wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+        assert "ResolvedHint" not in broadcast_checked(wide)._jdf.queryExecution().analyzed().toString()
+        assert "ResolvedHint" in broadcast_checked(wide.select("id"))._jdf.queryExecution().analyzed().toString()
+        assert fits_broadcast(spark, 10, 400) and not fits_broadcast(spark, 10, 401)
+    finally:
+        spark.conf.unset("spark.eraflow.broadcastBytes")
+
+
 def test_results_do_not_depend_on_partitions(spark, sf_dir):
     df = customer_month(spark, sf_dir)
 
