@@ -29,18 +29,26 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     return moved.where("a > b").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link up to a node that has none."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+    )).alias("e"))
+    counted = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
+    return counted.where("up > 1 OR (up = 1 AND down > 0)").isEmpty()
+
+
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the smallest node that can be
-    reached. Links may repeat, point both ways or to themselves."""
+    reached. Links may repeat, point both ways or to
+    themselves (a node with no other link is left out)."""
     spark = links.sparkSession
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = store(links.select(high, low).where("a > b").distinct(), f"{folder}/step-0")
-    mark, step = None, 0
-    while True:
-        digest = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(digest) == mark or not digest[0]:
-            break
-        mark, step = tuple(digest), step + 1
+    step = 0
+    while not _all_stars(edges):
+        step += 1
         edges = store(_stars(_stars(edges, True), False), f"{folder}/step-{step}")
         remove(spark, f"{folder}/step-{step - 1}")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

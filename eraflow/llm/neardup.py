@@ -4,7 +4,7 @@ Two small collections of ``SIDE`` band hashes, each over ``ROWS`` minhashes, are
 pairwise into ``SIDE**2`` table keys, so that 2 * SIDE * ROWS minhashes do the work of
 SIDE**2 * 2 * ROWS. Two texts share a key when they agree in some band of the first and
 some band of the second collection: at similarity s that fails with probability
-1 - (1 - (1 - s**ROWS)**SIDE)**2, 0.0005 at s = 0.75 and 2e-6 at 0.85. Candidates
+1 - (1 - (1 - s**ROWS)**SIDE)**2, 0.0005 at s = 0.75 and 5e-6 at 0.85. Candidates
 are confirmed on their full shingle sets.
 
 Texts with equal sets are one node from the start. A bucket is never expanded into all its
@@ -21,7 +21,7 @@ confirmed.
 Before texts are fetched for a pair, its set sizes must allow the similarity (exact), and
 it must agree in ``AGREEMENT`` of its table minhashes and, in the last step, in
 ``SKETCH_AGREEMENT`` of ``SKETCH`` further ones. A pair of similarity 0.75 fails these tests
-with probability 3e-5 and 2e-4, one of 0.78 with less than 1e-6.
+with probability 3e-5 and 1e-4, one of 0.77 with less than 1e-6.
 
 Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id
 count as documents of their own; equal ones are copies of each other. Clashing columns
@@ -44,7 +44,7 @@ from eraflow.llm.shingles import mix, set_digest, shingle_set, similar
 ROWS, SIDE, PERCENT = 2, 10, 75
 HASHES = 2 * SIDE * ROWS
 AGREEMENT = 0.45
-SKETCH, SKETCH_AGREEMENT = 512, 0.68
+SKETCH, SKETCH_AGREEMENT = 1024, 0.70
 # Share of the open nodes that a round of single comparisons must join to be followed by
 # another one.
 FAIR_SHARE = 0.5
@@ -336,7 +336,8 @@ def cluster(
         more = confirmed(fresh, nodes, rows, f"{folder}/round-{step}", percent)
         links, tested = links.unionByName(more), tested.unionByName(fresh)
         members = members.select("key", "node")
-        found = store(components(links, f"{folder}/steps-{step}"), f"{folder}/found-{step}")
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = store(components(known.unionByName(more), f"{folder}/steps-{step}"), f"{folder}/found-{step}")
     lowest = (
         nodes.join(found, "node", "left")
         .select("set_hash", "first_id", F.coalesce("component", "node").alias("component"))
