@@ -6,7 +6,15 @@ histograms of the whole corpus per language: every text is counted, words are su
 task before they are shuffled, and the ``COMMON`` most frequent words of each language
 become bins. A document is as far from a reference as the square root of the
 Jensen-Shannon divergence (in bits) of the histograms, and is judged by the reference it is
-closest to, so it may be of any language. It is kept if both distances are small enough.
+closest to, so it may be of any language. It is kept if both distances are small enough
+and its common words are not missing.
+
+A text without any common word is only as far from a reference as the reference's common
+words cover (0.46 where they are 36% of the words), which can be within ``MAX_WORDS``. So
+the share of the closest language's common words must also be ``FEW_COMMON`` of their
+share in its reference or more. Where fewer than ``SURE_COMMON`` of them are expected (in
+languages whose common words cover little), they may be missing by chance, and the word
+distance alone decides.
 
 Short histograms are far from everything by chance. Documents under ``MIN_WORDS`` words
 fail a base rule anyway; under ``SURE_WORDS`` words only the characters decide, which
@@ -36,6 +44,7 @@ from eraflow.llm.shingles import SPACES, hashed_words, mix, pieces, to_bytes
 MIN_WORDS, SURE_WORDS = 50, 100
 COMMON = 100
 MAX_CHARS, MAX_WORDS = 0.28, 0.47
+FEW_COMMON, SURE_COMMON = 0.25, 30
 # Distinct (language, word) sums that a task holds before it hands them on.
 HELD_WORDS = 1 << 20
 
@@ -192,8 +201,9 @@ def build(langs: Sequence[str], chars: dict, words: dict, totals: dict) -> Refer
     )
 
 
-def distances(words: np.ndarray, chars: np.ndarray, refs: References) -> tuple[float, float]:
-    """Of the closest language: the distances of its characters and of its words."""
+def distances(words: np.ndarray, chars: np.ndarray, refs: References) -> tuple[float, float, bool]:
+    """Of the closest language: the distances of its characters and of its words, and
+    whether its common words are missing."""
     place = np.searchsorted(refs.words, words)
     place[place == len(refs.words)] = 0
     common = refs.words[place] == words if len(refs.words) else np.zeros(len(words), bool)
@@ -201,7 +211,10 @@ def distances(words: np.ndarray, chars: np.ndarray, refs: References) -> tuple[f
     by_word = divergence(counts / counts.sum(), refs.shares)
     by_char = divergence(chars / chars.sum(), refs.chars)
     best = int((by_word + by_char).argmin())
-    return float(by_char[best]), float(by_word[best])
+    usual = refs.shares[best, :-1]
+    expected = usual.sum() * len(words)
+    missing = expected >= SURE_COMMON and counts[:-1][usual > 0].sum() < FEW_COMMON * expected
+    return float(by_char[best]), float(by_word[best]), bool(missing)
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -222,16 +235,17 @@ def assess(docs: DataFrame, refs: References, text: str = "text") -> DataFrame:
                 words, base, chars = measures(raw)
                 bad = base[0] < MIN_WORDS or 100 * base[4] > 50 * base[0]
                 by_char = by_word = None
+                missing = False
                 if not bad and refs.langs:
                     folded = np.concatenate([hashed_words(p, SPACES)[0] for p in pieces(to_bytes(raw), SPACES)])
-                    by_char, by_word = distances(folded, chars, refs)
+                    by_char, by_word, missing = distances(folded, chars, refs)
                     if base[0] < SURE_WORDS:
-                        by_word = None
+                        by_word, missing = None, False
                 counts.append(base)
                 failed.append(bad)
                 far_chars.append(by_char)
                 far_words.append(by_word)
-                kept.append(not bad and (by_char or 0) <= MAX_CHARS and (by_word or 0) <= MAX_WORDS)
+                kept.append(not bad and not missing and (by_char or 0) <= MAX_CHARS and (by_word or 0) <= MAX_WORDS)
             table = np.array(counts, np.int64).reshape(-1, len(BASE))
             yield pa.record_batch(
                 [*batch.columns, *(pa.array(table[:, i]) for i in range(len(BASE))), pa.array(failed, pa.bool_()),

@@ -78,6 +78,33 @@ def test_verdicts(spark):
     assert got[100]["char_distance"] > quality.MAX_CHARS and got[102]["char_distance"] is None
 
 
+def spread(rng, size=10**6):
+    """Prose: 36 of 100 words are common (40 of them), the others of ``size``."""
+    return " ".join(f"c{rng.randrange(40)}" if rng.random() < 0.36 else f"w{rng.randrange(size)}" for _ in range(rng.randrange(120, 400)))
+
+
+def test_texts_without_common_words_go(spark):
+    rng = random.Random(25)
+    good = [(i, letters(spread(rng)), "en", "a", 1) for i in range(300)]
+    strange = [(1000 + i, letters(" ".join(f"v{rng.randrange(4000)}" for _ in range(n))), None, "a", 1) for i, n in enumerate((100, 150, 400, 3000))]
+    frame = spark.createDataFrame(good + strange, SCHEMA)
+    refs = quality.references(frame)
+    assert 0.3 < 1 - refs.shares[0, -1] < 0.45
+    got = {r["doc_id"]: r for r in quality.assess(frame, refs).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    for i, *_ in strange:
+        r = got[i]
+        assert not r["base_failed"] and r["char_distance"] <= quality.MAX_CHARS and r["word_distance"] <= quality.MAX_WORDS
+        assert not r["kept"]
+
+
+def test_languages_without_common_words_are_not_judged_by_them(spark):
+    rng = random.Random(26)
+    rows = [(i, letters(" ".join(f"w{rng.randrange(10**7)}" for _ in range(200))), "zz", "a", 1) for i in range(100)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert all(r["kept"] for r in quality.assess(frame, quality.references(frame)).collect())
+
+
 def test_odd_rows(spark, odd, odd_rows, none):
     frame = odd.withColumn("kept", F.lit("mine")).withColumn("n_words", F.lit("mine"))
     out = quality.assess(frame, quality.references(frame))
