@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eraflow.llm.common import with_fields
@@ -232,8 +232,9 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         F.substring(F.col("_text"), (part * i / (TRAIN_WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW)) for i in range(TRAIN_WINDOWS)
     ]))
     found = rows.where(F.col("_text").rlike(r"\p{L}")).join(F.broadcast(wanted), ["_lang", "_id"])
-    found = found.select("_lang", "_h", pieces.alias("_text")).orderBy("_lang", "_h", "_text").limit(TRAIN_DOCS * len(langs))
-    return [(r["_lang"], r["_text"]) for r in found.collect()]
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))  # ids can repeat
+    found = found.select("_lang", "_h", pieces.alias("_text")).withColumn("_place", place).where(F.col("_place") <= TRAIN_DOCS)
+    return [(r["_lang"], r["_text"]) for r in found.orderBy("_lang", "_place").collect()]
 
 
 def _pools(model: Model, texts: Sequence[bytes]) -> np.ndarray:

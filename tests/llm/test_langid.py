@@ -83,6 +83,15 @@ def test_training_rows_are_bounded_and_stable(spark, sf_dir, monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(a.parts, b.parts, strict=True))
 
 
+def test_every_language_is_learned_when_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 5)
+    rows = [(100 * j + i, f"text {name}{i}", name) for j, name in enumerate(("aa", "bb", "cc", "dd")) for i in range(8)]
+    frame = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string")
+    got = langid.training_rows(frame)
+    assert got == langid.training_rows(frame.repartition(7)) and len(got) == 20
+    assert {name: sum(x == name for x, _ in got) for name in ("aa", "bb", "cc", "dd")} == dict.fromkeys(("aa", "bb", "cc", "dd"), 5)
+
+
 def test_odd_rows(spark, odd, odd_rows):
     model = langid.fit(langid.training_rows(odd), steps=5)
     assert model.labels == ["de", "en", "fr"]
