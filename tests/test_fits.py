@@ -185,6 +185,43 @@ def test_generators_purge_the_train_eras(spark, sf_dir):
         assert a == pytest.approx(b)
 
 
+def test_stack_and_held_out_trees_with_a_60_era_target(spark, sf_dir):
+    from eraflow.sources.testpanel import FEATURES, customer_month
+
+    p = customer_month(spark, sf_dir)
+    train, val = p.where("split = 'train'").cache(), p.where("split = 'validation'").cache()
+    both = ["target", "target_a_60"]
+    nums = sorted(r[0] for r in train.select("era_num").distinct().collect())
+    known, outer = nums[:-16], nums[-16:]
+    n_meta, n_held = round(len(known) * 0.25), round(len(known) * 0.15)
+    meta, inner = known[-n_meta:], known[-n_meta - 16 : -n_meta]
+    held = known[-n_held:]
+    assert len(known) - n_meta - 16 >= 2
+
+    def shaken(eras):
+        return train.withColumns({t: F.when(F.col("era_num").isin(eras), 1.0 - F.col(t)).otherwise(F.col(t)) for t in both})
+
+    def stack(t, purge=16):
+        return fits.ridge_stack(t, val, FEATURES, both, "target", 0.25, purge, fill=0.5, neutralize_features=["f_qty"], proportion=0.5)
+
+    def search(t, purge=16):
+        return fits.ridge_stack_search(t, val, FEATURES, both, "target", "bench_b60", 0.25, purge, top=2, alphas=(1.0,), shares=(0.0,), sharpe_floor=-100.0)
+
+    def trees(t, purge=16):
+        return fits.tree_predictions(t, val, FEATURES, both, purge, weights=[0.7, 0.3], holdout_share=0.15, maxIter=2)
+
+    def rounded(df):
+        return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+    within = [e for e in known if held[0] - 16 <= e < held[0]]
+    for predict, hidden, used in ((stack, inner, meta), (search, inner, meta), (trees, within, known[:2])):
+        with pytest.raises(ValueError, match="below"):
+            predict(train, 8)
+        want = rounded(predict(train))
+        assert want and rounded(predict(shaken(outer + hidden))) == want
+        assert rounded(predict(shaken(used))) != want
+
+
 def test_full_history_model_loads_again(spark, sf_dir, tmp_path):
     from pyspark.ml.regression import LinearRegressionModel
 
