@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eraflow.llm import decontam, langid, mixing, neardup, quality, templates, tokens, toxicity, urlfilter, warc
+from eraflow.llm import decontam, langid, mixing, neardup, pieces, quality, templates, tokens, toxicity, urlfilter, warc
 from eraflow.llm.common import table, work_dir
 from eraflow.llm.registry import register
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 MIX_SEED, MIX_ALPHA, MIX_EPOCHS = 20, 0.7, 1.0
 
@@ -230,3 +231,9 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     index = tokens.write_sequences(table(spark, sf_dir, "documents"), work_dir(spark, "op10"), VOCABULARY)
     return tokens.read_back(index)
+
+
+@register("op11_piece_agenda")
+def op11(spark, sf_dir):
+    found = pieces.digest_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
