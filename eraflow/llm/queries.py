@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eraflow.llm import decontam, langid, mixing, neardup, pieces, quality, templates, tokens, toxicity, urlfilter, warc
+from eraflow.llm import decontam, langid, mixing, neardup, pieces, quality, repair, templates, tokens, toxicity, trie, urlfilter, warc
 from eraflow.llm.common import table, work_dir
 from eraflow.llm.registry import register
 
@@ -237,3 +237,110 @@ def op10(spark, sf_dir):
 def op11(spark, sf_dir):
     found = pieces.digest_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+CRC_SQL = """list_reduce([4294967295::BIGINT] || flatten([[ord(z)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR z IN string_split({0}, '')]),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)"""
+
+
+def _added(key: str, cost: str, letter: str) -> str:
+    """SQL of a path (8 digits of cost, then the audit) with one more edit."""
+    return f"(lpad((substr({key}, 1, 8)::INT + {cost})::VARCHAR, 8, '0') || substr({key}, 9) || '{letter}')"
+
+
+def _inserted(paths: str) -> str:
+    """SQL of four paths, by state, with inserted turns behind."""
+    to_user = ", ".join(_added(f"k[{q}]", "3", "I") for q in (1, 2, 4))
+    first = f"list_transform([{paths}], lambda k: [k[1], k[2], least(k[3], {to_user}), k[4]])[1]"
+    then = f"list_transform([{first}], lambda k: [k[1], k[2], k[3], least(k[4], {_added('k[3]', '3', 'I')})])[1]"
+    return f"list_transform([{then}], lambda k: [k[1], k[2], least(k[3], {_added('k[4]', '3', 'I')}), k[4]])[1]"
+
+
+def _edited() -> str:
+    """SQL of four paths after turn ``x`` (i: initial, p: cost if it stays, m: must go)."""
+    never = "'99999999'"
+    gone = [_added(f"k[{q}]", "4", "D") for q in (1, 2, 3, 4)]
+    stays = lambda cost, letter, *states: "least(" + ", ".join(_added(f"k[{q}]", cost, letter) for q in states) + ")"
+    system = f"CASE WHEN NOT x.m AND x.i = 's' THEN {stays('x.p', 'K', 1)} ELSE {never} END"
+    user = [f"CASE WHEN NOT x.m THEN {stays('3 + x.p', 'R', 1, 2, 4)} ELSE {never} END",
+            f"CASE WHEN NOT x.m AND x.i = 'u' THEN {stays('x.p', 'K', 1, 2, 4)} ELSE {never} END"]
+    reply = [f"CASE WHEN NOT x.m THEN {stays('3 + x.p', 'R', 3)} ELSE {never} END",
+             f"CASE WHEN NOT x.m AND x.i = 'a' THEN {stays('x.p', 'K', 3)} ELSE {never} END"]
+    after = f"[{gone[0]}, least({gone[1]}, {system}), least({gone[2]}, {', '.join(user)}), least({gone[3]}, {', '.join(reply)})]"
+    return _inserted(after)
+
+
+OP12_SQL = rf"""
+WITH h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor({CRC_SQL.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")}, 4294967295) % 20 AS kind FROM conversations),
+r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM r),
+f AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS short, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE short AND NOT again AND NOT blank) AS truncated,
+         count(*) FILTER (WHERE n > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal,
+         list({{'i': i, 'p': CASE WHEN short THEN 3 ELSE 0 END, 'm': blank OR again, 'role': role, 'text': text}} ORDER BY n) AS turns FROM f GROUP BY conv_id),
+s AS (SELECT conv_id, {{'k': {_inserted("['00000000', '99000000', '99000000', '99000000']")}, 't': NULL}} AS zero, turns FROM c),
+w AS (
+  SELECT conv_id, list_reduce([{{'k': zero.k, 'x': {{'i': '', 'p': 0, 'm': true, 'role': '', 'text': ''}}}}] || [{{'k': NULL::VARCHAR[], 'x': t}} FOR t IN turns],
+         lambda a, b: list_transform([{{'k': a.k, 'x': b.x}}], lambda y: {{'k': list_transform([y], lambda z: list_transform([z.k], lambda k: list_transform([z.x], lambda x: {_edited()})[1])[1])[1], 'x': y.x}})[1]).k AS paths
+  FROM s),
+b AS (SELECT conv_id, least(paths[1], paths[4]) AS path FROM w),
+a AS (SELECT c.*, substr(path, 1, 8)::BIGINT AS cost, substr(path, 9) AS audit FROM c JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id),
+l AS (
+  SELECT *, [{{'e': audit[j], 't': turns[length(replace(audit[1:j], 'I', ''))], 'nth': length(replace(audit[1:j], 'D', ''))}} FOR j IN range(1, length(audit) + 1) IF audit[j] <> 'D'] AS kept FROM a),
+g AS (SELECT *, CASE WHEN kept[1].e = 'K' AND kept[1].t.i = 's' THEN 1 ELSE 0 END AS system FROM l)
+SELECT every.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string([CASE WHEN e.e = 'K' THEN e.t.role WHEN (e.nth - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+              CASE WHEN e.e = 'I' THEN '' ELSE e.t.text END FOR e IN kept], chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) every LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM every.conv_id
+"""
+
+
+@register("op12_viterbi_repair", OP12_SQL)
+def op12(spark, sf_dir):
+    conversations, folder = table(spark, sf_dir, "conversations"), work_dir(spark, "op12")
+    whole, cut = repair.repair(repair.damaged(conversations), folder)
+    return repair.summaries(conversations, whole, cut, folder)
+
+
+OP13_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % {trie.FAMILY} AS base, xor({CRC_SQL.format("conv_id::VARCHAR")}, 4294967295) % {trie.HEADS} AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS own, n, role, text FROM c JOIN t ON t.conv_id = base WHERE n <= h
+  UNION ALL SELECT c.conv_id, 1, n, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE n > h),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, n) AS d FROM r),
+m AS (
+  SELECT conv_id, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         string_agg(sha256(role || chr(0) || text), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d) AS node FROM p
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id),
+n AS (
+  SELECT node, m.d AS depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (WHERE e.d = m.d), '')) AS ends_sha256
+  FROM m JOIN e USING (conv_id) GROUP BY node, m.d),
+k AS (SELECT substr(node, 1, 64 * depth - 64) AS parent, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.parent = n.node),
+s AS (SELECT a.node, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves
+      FROM u a JOIN u b ON b.depth >= a.depth AND starts_with(b.node, a.node) GROUP BY a.node)
+SELECT u.conv_id, u.depth, v.conv_id AS parent_conv_id, u.n_convs, u.n_children, n_leaves, saved_tokens, u.ends_sha256
+FROM u JOIN s USING (node) LEFT JOIN n v ON u.depth > 0 AND v.node = substr(u.node, 1, 64 * u.depth - 64)
+"""
+
+
+@register("op13_prefix_trie", OP13_SQL)
+def op13(spark, sf_dir):
+    return trie.nodes(table(spark, sf_dir, "conversations"), work_dir(spark, "op13"))
