@@ -9,7 +9,7 @@ from eraflow.catalog.blend_queries import eras, unit_z, walk_sql
 from eraflow.catalog.registry import register, tidy
 from eraflow.catalog.rows_queries import era_labels
 from eraflow.catalog.series_queries import BLOCK20, N_BOOT, S, SEED, ac_ctes, bootstrap_ctes, corr_series
-from eraflow.operators import fits, folds, robustness, rows
+from eraflow.operators import fits, folds, normal, robustness, rows
 from eraflow.sources.testpanel import FEATURES, customer_month
 
 IC_TARGETS = ["target", "target_a_60"]
@@ -195,13 +195,15 @@ def fold_ridge_sql(n_folds: int) -> str:
 @register("out_of_fold_two_features", fold_ridge_sql(3))
 def out_of_fold_two_features(spark, sf):
     table = folds.walk_forward(eras(spark, sf), 3, 8)
-    return tidy(fits.out_of_fold(customer_month(spark, sf), table, lambda t: fits.ridge(t, TWO, "target", 1.0), TWO))
+    out = fits.ridge_out_of_fold(customer_month(spark, sf), table, TWO, ["target"])
+    return tidy(out.withColumnRenamed("target", "prediction"))
 
 
 @register("anchor_fit_two_features", fold_ridge_sql(1))
 def anchor_fit_two_features(spark, sf):
     table = folds.anchor(eras(spark, sf), 8)
-    return tidy(fits.out_of_fold(customer_month(spark, sf), table, lambda t: fits.ridge(t, TWO, "target", 1.0), TWO))
+    out = fits.ridge_out_of_fold(customer_month(spark, sf), table, TWO, ["target"])
+    return tidy(out.withColumnRenamed("target", "prediction"))
 
 
 @register("targets_out_of_fold",
@@ -212,7 +214,7 @@ def anchor_fit_two_features(spark, sf):
                   q.rounded("o", ["era", "id", "fold"], IC_TARGETS)))
 def targets_out_of_fold(spark, sf):
     table = folds.walk_forward(eras(spark, sf), 2, 16)
-    return tidy(fits.targets_out_of_fold(customer_month(spark, sf), table, lambda t, y: fits.ridge(t, TWO, y, 1.0), TWO, IC_TARGETS))
+    return tidy(fits.ridge_out_of_fold(customer_month(spark, sf), table, TWO, IC_TARGETS))
 
 
 @register("deploy_two_features",
@@ -267,10 +269,55 @@ def ridge_stack_search(spark, sf):
     train, val = halves(spark, sf)
     out = fits.ridge_stack_search(
         train, val, FEATURES, ["target", "target_a_20"], "target", "bench_b60", 0.25, 8, top=2, alphas=(1.0, 100.0), hints=["target_a_20"], meta_penalties=(1.0, 10.0),
+        meta_trees={"maxIter": 3, "maxDepth": 2},
     )
     return tidy(out, 4)
 
 
+@register("stack_penalty_search",
+          q.query(["pe AS (SELECT era, row_number() OVER (ORDER BY era_num) AS pos FROM (SELECT DISTINCT era, era_num FROM panel WHERE era_num <= 40))",
+                   "al AS (SELECT * FROM (VALUES (1.0::DOUBLE), (900.0::DOUBLE)) v(alpha))",
+                   "se AS (SELECT alpha, f_qty::DOUBLE AS a, f_prio::DOUBLE AS b, target, target_a_20 FROM panel JOIN pe USING (era), al WHERE pe.pos <= (SELECT max(pos) FROM pe) - 18)",
+                   "se1 AS (SELECT alpha, a, b, target AS y FROM se)", "se2 AS (SELECT alpha, a, b, target_a_20 AS y FROM se)", *ridge_sql("w1", "se1", "alpha", "alpha"), *ridge_sql("w2", "se2", "alpha", "alpha"),
+                   "ws AS (SELECT 'target' AS target, * FROM w1 UNION ALL SELECT 'target_a_20', * FROM w2)",
+                   "sp AS (SELECT ws.target, g AS alpha, era, id, panel.target AS y, wa * f_qty + wb * f_prio + icpt AS p FROM panel, ws WHERE era IN (SELECT era FROM pe WHERE pos > (SELECT max(pos) FROM pe) - 10))",
+                   *unit_z("sz", "sp", ["p"], "target, alpha, era", "target, alpha, era, id, y"),
+                   "co AS (SELECT target, alpha, era, covar_pop(p, y) / (stddev_pop(p) * stddev_pop(y)) AS v FROM sz GROUP BY ALL HAVING stddev_pop(p) > 0 AND stddev_pop(y) > 0)",
+                   "o AS (SELECT target, alpha, avg(v) / (stddev_pop(v) + 1e-12) AS era_sharpe, count(*) AS n_eras FROM co GROUP BY ALL)"], q.rounded("o", ["target", "n_eras"], ["alpha", "era_sharpe"], 5)))
+def stack_penalty_search(spark, sf):
+    train, val = halves(spark, sf)
+    pair, alphas = ["target", "target_a_20"], [1.0, 900.0]
+    early, tail = fits.stack_sides(train, val, pair, 0.25, 8)
+    found = normal.ridge_fits(normal.era_moments(early, TWO, pair), pair, alphas)
+    return tidy(fits.penalty_search(tail, found, TWO, [(t, a) for t in pair for a in alphas], "target"), 5)
+
+
+def stack_sql() -> list[str]:
+    """CTEs up to ``sz`` (era, id, y, split, a, b): the ranked predictions of two
+    specialists, on the meta model's eras and on the validation eras."""
+    early, tail = "pe.pos <= (SELECT max(pos) FROM pe) - 18", "pe.pos > (SELECT max(pos) FROM pe) - 10"
+    return [
+        "pe AS (SELECT era, row_number() OVER (ORDER BY era_num) AS pos FROM (SELECT DISTINCT era, era_num FROM panel WHERE era_num <= 40))",
+        f"se AS (SELECT f_qty::DOUBLE AS a, f_prio::DOUBLE AS b, target AS y, target_a_20 AS y2 FROM panel JOIN pe USING (era) WHERE {early})",
+        "se1 AS (SELECT a, b, y FROM se)", "se2 AS (SELECT a, b, y2 AS y FROM se)", *ridge_sql("w1", "se1", 1.0), *ridge_sql("w2", "se2", 1.0),
+        f"sp AS (SELECT era, id, target AS y, split, w1.wa * f_qty + w1.wb * f_prio + w1.icpt AS a, w2.wa * f_qty + w2.wb * f_prio + w2.icpt AS b FROM panel, w1, w2 "
+        f"WHERE split = 'validation' OR era IN (SELECT era FROM pe WHERE {tail}))",
+        *unit_z("sz", "sp", ["a", "b"], keep="era, id, y, split"),
+    ]
+
+
+@register("ridge_stack_two_features",
+          q.query([*stack_sql(), "st AS (SELECT * FROM sz WHERE split = 'train')", *ridge_sql("wm", "st", 1.0),
+                   "pr AS (SELECT era, id, wa * a + wb * b + icpt AS p FROM sz, wm WHERE split = 'validation')", *unit_z("nz", "pr", ["p"]),
+                   "bs AS (SELECT era, id, round(p, 12) AS s FROM nz)",
+                   f"bu AS (SELECT era, id, ({q.avg_rank('s', 'era')} - 0.5) / count(*) OVER (PARTITION BY era) AS u FROM bs)",
+                   f"bz AS (SELECT era, id, {q.ppf('u')} AS prediction FROM bu)", *unit_z("o", "bz", ["prediction"])],
+                  q.rounded("o", ["era", "id"], ["prediction"])))
+def ridge_stack_two_features(spark, sf):
+    train, val = halves(spark, sf)
+    return tidy(fits.ridge_stack(train, val, TWO, ["target", "target_a_20"], "target", 0.25, 8))
+
+
 @register("target_quality",
           q.query([" , ".join(["l AS (" + " UNION ALL ".join(f"SELECT '{t}' AS target, {t} AS v, target AS m FROM panel WHERE split = 'train'" for t in ("target_a_20", "target_a_60", "target_b_20")) + ")"]),
                    "f AS (SELECT target, v IS NOT NULL AS has, CASE WHEN isfinite(v) THEN v END AS x, CASE WHEN isfinite(v) THEN m END AS y FROM l)",
@@ -286,7 +333,7 @@ def target_quality(spark, sf):
 def out_of_fold(spark, sf):
     p = customer_month(spark, sf)
     table = folds.walk_forward(eras(spark, sf), 3, 8)
-    return tidy(fits.out_of_fold(p, table, lambda t: fits.ridge(t, FEATURES, "target", 1.0), FEATURES), 5)
+    return tidy(fits.ridge_out_of_fold(p, table, FEATURES, ["target"]).withColumnRenamed("target", "prediction"), 5)
 
 
 @register("anchor_fit")
@@ -324,3 +371,53 @@ def prediction_contract(spark, sf):
 def parameter_sweep(spark, sf):
     train, val = halves(spark, sf)
     return tidy(fits.parameter_sweep(train, val, FEATURES, "target", [{"alpha": a} for a in (0.1, 10.0, 1000.0)], 8), 5)
+
+
+def moments_sql(name: str, source: str, by: str) -> str:
+    """CTE ``name``: count, mean, deviation, ratio, skewness and kurtosis of value."""
+    return (f"{name} AS (SELECT {by}, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std, avg(value) / stddev_pop(value) AS sharpe, "
+            f"skewness(value) AS skew, kurtosis(value) + 3 AS kurt FROM {source} GROUP BY {by})")
+
+
+@register("parameter_sweep_two_features",
+          q.query(["al AS (SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, 5000.0::DOUBLE)) v(trial_id, alpha))",
+                   "tr AS (SELECT trial_id, f_qty::DOUBLE AS a, f_prio::DOUBLE AS b, target AS y FROM panel, al WHERE era_num <= 40)",
+                   *[c.replace(" + 0 AS", " + alpha AS").replace("GROUP BY trial_id", "JOIN al USING (trial_id) GROUP BY trial_id, alpha") for c in ridge_sql("w", "tr", 0, "trial_id")],
+                   "pp AS (SELECT trial_id, alpha, era, target, wa * f_qty + wb * f_prio + icpt AS p FROM panel, w JOIN al ON al.trial_id = w.g WHERE split = 'validation')",
+                   q.corr_scores("sc", "pp", "p", "target", "trial_id, alpha, era"), moments_sql("o", "sc", "trial_id, alpha")],
+                  q.rounded("o", ["trial_id::BIGINT AS trial_id", "n"], ["alpha", "mean", "std", "sharpe", "skew", "kurt"], 5)))
+def parameter_sweep_two_features(spark, sf):
+    train, val = halves(spark, sf)
+    return tidy(fits.parameter_sweep(train, val, TWO, "target", [{"alpha": a} for a in (0.5, 5000.0)], 8), 5)
+
+
+SWEEP = ({"targets": ["target", "target_a_20"], "alpha": 1.0, "method": "ridge"}, {"targets": ["target_a_20"], "alpha": 1.0, "method": "equal"})
+
+
+def sweep_sql() -> str:
+    n_folds, purge = 2, 8
+    return q.query([
+        "ae AS (SELECT era, era_num, row_number() OVER (ORDER BY era_num) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT era, era_num FROM panel))",
+        "hf AS (SELECT min(era_num) AS first FROM ae WHERE pos > n - greatest(round_even(n * 0.2, 0)::INT, 1))",
+        "ie AS (SELECT era, era_num, row_number() OVER (ORDER BY era_num) - 1 AS i, count(*) OVER () AS n FROM ae, hf WHERE era_num < first - 8)",
+        f"gf AS (SELECT fold, era, n // {n_folds + 1} AS size, n - {n_folds} * (n // {n_folds + 1}) + fold * (n // {n_folds + 1}) AS st, i FROM ie, range(0, {n_folds}) r(fold) "
+        f"UNION ALL SELECT {n_folds}, era, n // 2, n - n // 2, i FROM ie)",
+        f"gr AS (SELECT fold, era, CASE WHEN i < st - {purge} THEN 'train' WHEN i >= st AND i < st + size THEN 'val' END AS role FROM gf)",
+        "fr AS (SELECT fold, role, p.era, id, f_qty::DOUBLE AS a, f_prio::DOUBLE AS b, target, target_a_20 FROM panel p JOIN gr USING (era))",
+        "f1 AS (SELECT *, target AS y FROM fr WHERE role = 'train')", *ridge_sql("w1", "f1", 1.0, "fold"),
+        "f2 AS (SELECT *, target_a_20 AS y FROM fr WHERE role = 'train')", *ridge_sql("w2", "f2", 1.0, "fold"),
+        f"oof AS (SELECT era, id, target, w1.wa * a + w1.wb * b + w1.icpt AS p, w2.wa * a + w2.wb * b + w2.icpt AS r FROM fr JOIN w1 ON w1.g = fold JOIN w2 ON w2.g = fold WHERE role = 'val' AND fold < {n_folds})",
+        *unit_z("oz", "oof", ["p", "r"], keep="era, id, target"),
+        "gm AS (SELECT sum(p * p) + 1 AS pp, sum(p * r) AS pr, sum(r * r) + 1 AS rr, sum(p * target) AS py, sum(r * target) AS ry FROM oz)",
+        "gw AS (SELECT (py * rr - ry * pr) / (pp * rr - pr * pr) AS u, (ry * pp - py * pr) / (pp * rr - pr * pr) AS v FROM gm)",
+        f"he AS (SELECT p.era, id, target, w1.wa * f_qty + w1.wb * f_prio + w1.icpt AS p, w2.wa * f_qty + w2.wb * f_prio + w2.icpt AS r FROM panel p, hf, w1, w2 WHERE era_num >= first AND w1.g = {n_folds} AND w2.g = {n_folds})",
+        *unit_z("hz", "he", ["p", "r"], keep="era, id, target"),
+        "bl AS (SELECT 0 AS trial_id, era, target, round(u * p + v * r, 12) AS p FROM hz, gw UNION ALL SELECT 1, era, target, round(r, 12) FROM hz)",
+        q.corr_scores("sc", "bl", "p", "target", "trial_id, era"), moments_sql("o", "sc", "trial_id"),
+    ], q.rounded("o", ["trial_id::BIGINT AS trial_id", "n"], ["mean", "std", "sharpe", "skew", "kurt"], 5))
+
+
+@register("configuration_sweep", sweep_sql())
+def configuration_sweep(spark, sf):
+    out = fits.configuration_sweep(customer_month(spark, sf), TWO, "target", SWEEP, 8, n_folds=2)
+    return tidy(out.drop("params_json", "weights"), 5)

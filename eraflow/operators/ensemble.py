@@ -119,11 +119,19 @@ def learn_weights(
     non-negative least squares, on rank-normalized columns."""
     rows = df.select(*by, *preds, target).where(none_null([*preds, target]))
     usable = rank_normalize(rows, preds, by).where(all_finite([*preds, target]))
-    matrix, rhs = gram(usable, preds, target)
+    if method == "equal":
+        raise ValueError("equal weights are not learned")
+    return solved_weights(*gram(usable, preds, target), method)
+
+
+def solved_weights(matrix: np.ndarray, rhs: np.ndarray, method: str) -> list[float]:
+    """Blend weights from the Gram matrix of the columns and their products with the target."""
     if method == "ridge":
         weights = np.linalg.solve(matrix + RIDGE_ALPHA * np.eye(len(rhs)), rhs)
     elif method == "non_negative":
         weights = non_negative_solution(matrix, rhs)
+    elif method == "equal":
+        weights = np.full(len(rhs), 1.0 / len(rhs))
     else:
         raise ValueError("method must be 'ridge' or 'non_negative'")
     return [float(w) for w in weights]

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from eraflow.functions.hashing import uniform
 from eraflow.functions.ranks import group_shape, percentile_rank, with_ranks
 from eraflow.functions.stats import clip, is_finite, with_norm_ppf
-from eraflow.operators import analysis, ensemble, folds, scoring
+from eraflow.operators import analysis, ensemble, folds, normal, scoring
 from eraflow.operators.neutralize import neutralize
-from eraflow.operators.rows import KEYS, complete_join, era_table, fill_missing, finite_target_rows, rows_of_eras, standardize
+from eraflow.operators.rows import KEYS, complete_join, era_table, fill_missing, finite_target_rows, rows_of_eras
 from eraflow.session import broadcast_checked, materialize, path_exists, shared_dir
 
 TREE_PARAMS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 7}
@@ -85,11 +85,13 @@ def lagged_target_predictions(
 
 def purged(train: DataFrame, rows: DataFrame, targets: Sequence[str], purge: int) -> DataFrame:
     """``train`` without its last ``purge`` eras, whose targets overlap the scored ones.
-    Too short a purge for the targets, or a gap of another width, is an error."""
-    folds.require_purge(train, list(targets), purge)
-    split = folds.purged_split(era_table(train), era_table(rows), purge)
-    split.agg(F.sum("era_num")).first()  # the check sits in this column
-    return rows_of_eras(train, split.where("role = 'train'"))
+    Too short a purge for the targets, or a gap of another width, is an error. One job
+    lists the eras of both sides; the cut is a filter that reaches the scan."""
+    sides = era_table(train).withColumn("train", F.lit(True)).unionByName(era_table(rows).withColumn("train", F.lit(False)))
+    eras = sides.collect()
+    known = [e["era_num"] for e in eras if e["train"]]
+    folds.require_purge(train, list(targets), purge, len(known))
+    return train.where(F.col("era_num") <= folds.purge_end(known, [e["era_num"] for e in eras if not e["train"]], purge))
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -133,17 +135,12 @@ def ridge_predictions(
     alpha: float = 1.0,
     weights: Sequence[float] | None = None,
 ) -> DataFrame:
-    """One ridge per target on standardized features, blended by rank, unit variance."""
-    train = purged(train, rows, targets, purge)
-    cast = {f: F.col(f).cast("double") for f in features}
-    train, rows = train.withColumns(cast), rows.withColumns(cast)
-    scaled = standardize(train, train, features)
-    scored = standardize(train, rows, features)
-    names = []
-    for t in targets:
-        scored = predict(ridge(scaled, features, t, alpha), scored, features, f"__m_{t}")
-        names.append(f"__m_{t}")
-    return _blended(scored.select(*KEYS, *names), names, weights)
+    """One ridge per target on standardized features, blended by rank, unit variance. The
+    train rows are read once for all targets."""
+    moments = normal.era_moments(purged(train, rows, targets, purge), features, targets)
+    names = [f"__m_{t}" for t in targets]
+    fits = normal.ridge_fits(moments, targets, [alpha], scaled=True)
+    return _blended(normal.predict(rows, fits, features, names).select(*KEYS, *names), names, weights)
 
 
 def _blended(df: DataFrame, names: Sequence[str], weights: Sequence[float] | None = None) -> DataFrame:
@@ -224,23 +221,23 @@ def ridge_stack(
     if fill is not None:
         train, rows = fill_missing(train, features, fill), fill_missing(rows, features, fill)
     early, tail = stack_sides(train, rows, [*specialists, main_target], meta_share, purge)
-    scored_rows = rows
-    names = []
-    for t in specialists:
-        model = ridge(early, features, t, alpha)
-        tail = predict(model, tail, features, f"s_{t}")
-        rows = predict(model, rows, features, f"s_{t}")
-        names.append(f"s_{t}")
-    tail_ranked = ensemble.rank_normalize(tail.select(*KEYS, main_target, *names), names)
-    rows_ranked = ensemble.rank_normalize(rows.select(*KEYS, *names), names)
-    meta = ridge(tail_ranked, names, main_target, meta_alpha)
-    out = _blended(predict(meta, rows_ranked, names).select(*KEYS, "prediction"), ["prediction"])
+    names = [f"s_{t}" for t in specialists]
+    fits = normal.ridge_fits(normal.era_moments(early, features, specialists), specialists, [alpha])
+    tail_ranked = _ranked(normal.predict(tail, fits, features, names), [main_target], names)
+    rows_ranked = _ranked(normal.predict(rows, fits, features, names), [], names)
+    meta = normal.ridge_fits(normal.era_moments(tail_ranked, names, [main_target]), [main_target], [meta_alpha])
+    out = normal.predict(rows_ranked, meta, names, ["prediction"]).select(*KEYS, "prediction")
+    out = _blended(out, ["prediction"])
     if proportion > 0.0 and neutralize_features:
-        joined = complete_join(out, scored_rows.select(*KEYS, *neutralize_features))
+        joined = complete_join(out, rows.select(*KEYS, *neutralize_features))
         out = neutralize(joined, "prediction", neutralize_features, proportion).select(*KEYS, "prediction")
     return out
 
 
+def _ranked(df: DataFrame, kept: Sequence[str], names: Sequence[str]) -> DataFrame:
+    return ensemble.rank_normalize(df.select(*KEYS, *kept, *names), names)
+
+
 def stack_sides(
     train: DataFrame, rows: DataFrame, targets: Sequence[str], meta_share: float, purge: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -289,21 +286,20 @@ def select_targets(
     return kept.orderBy(*order).limit(top)
 
 
-def alpha_search(
-    early: DataFrame, tail: DataFrame, features: Sequence[str], target: str, main_target: str,
-    alphas: Sequence[float],
+def penalty_search(
+    tail: DataFrame, fits: DataFrame, features: Sequence[str], asked: Sequence[tuple[str, float]], main_target: str
 ) -> DataFrame:
-    """Score ratio on the tail of a ridge per penalty: (target, alpha, era_sharpe)."""
-    scored = tail
-    for i, alpha in enumerate(alphas):
-        scored = predict(ridge(early, features, target, alpha), scored, features, f"a{i}")
-    names = [f"a{i}" for i in range(len(alphas))]
-    ranked = ensemble.rank_normalize(scored.select("era", "id", main_target, *names), names)
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"a{i}").alias("p")) for i, a in enumerate(alphas)])
-    ).alias("c")
-    long = ranked.select("era", main_target, cells).select("era", main_target, "c.*")
-    return scoring.era_sharpe(long, "p", main_target, ["alpha"]).withColumn("target", F.lit(target))
+    """Score ratio on the tail of each (target, penalty) of ``asked``, whose fits are in that
+    order: (target, alpha, era_sharpe, n_eras). All are columns of one scan of the tail,
+    and one aggregation scores them."""
+    names = [f"a{i}" for i in range(len(asked))]
+    ranked = _ranked(normal.predict(tail, fits, features, names), [main_target], names)
+    cells = [
+        F.struct(F.lit(t).alias("target"), F.lit(float(a)).alias("alpha"), F.col(name).alias("p"))
+        for name, (t, a) in zip(names, asked, strict=True)
+    ]
+    long = ranked.select("era", F.col(main_target).alias("__y"), F.explode(F.array(*cells)).alias("c")).select("era", "__y", "c.*")
+    return scoring.era_sharpe(long, "p", "__y", ["target", "alpha"])
 
 
 def ridge_stack_search(
@@ -326,42 +322,70 @@ def ridge_stack_search(
     hints: Sequence[str] = (),
     target_weights: Mapping[str, float] | None = None,
     meta_penalties: Sequence[float] = (1.0,),
+    meta_trees: Mapping[str, object] | None = None,
+    proportions: Sequence[float] = (0.0,),
 ) -> DataFrame:
     """Search over specialists, penalties and benchmark decorrelation. At most ``top``
     specialists are tried, hinted ones first; fewer than ``min_specialists`` over the
-    floors is an error. The metas are a free ridge and a non-negative one per penalty.
-    Candidates are compared on the rows' own targets, so the winner's score is
-    selection-biased."""
+    floors is an error. The metas are a free ridge, a non-negative one per penalty and,
+    with ``meta_trees`` (parameters of ``era_stopped_trees``), boosted trees that stop on
+    the tail's last eras. Candidates are compared on the rows' own targets, so the
+    winner's score is selection-biased; of shares of neutralization that score alike the
+    least in ``proportions`` is taken, as the scores are taken before it. The early rows
+    are read once for all specialists and penalties."""
     early, tail = stack_sides(train, rows, [*specialists, main_target], meta_share, purge)
     judged = target_quality(early, main_target, specialists, hints, target_weights)
     chosen = [r["target"] for r in select_targets(judged, min_coverage, min_abs_corr, top).collect()]
-    names = []
-    for t in chosen:
-        best = alpha_search(early, tail, features, t, main_target, alphas).orderBy(
-            F.desc("era_sharpe"), F.asc("alpha")
-        ).first()
-        if best is None or best["era_sharpe"] < sharpe_floor:
-            continue
-        model = ridge(early, features, t, best["alpha"])
-        tail = predict(model, tail, features, f"s_{t}")
-        rows = predict(model, rows, features, f"s_{t}")
-        names.append(f"s_{t}")
-    if len(names) < max(1, min_specialists):
-        raise ValueError(f"{len(names)} specialists reach the floor, {max(1, min_specialists)} are needed")
-    tail_ranked = ensemble.rank_normalize(tail.select(*KEYS, main_target, *names), names)
-    scored = ensemble.rank_normalize(rows.select(*KEYS, main_target, benchmark, *names), names)
+    asked = [(t, float(a)) for t in chosen for a in alphas]
+    fits = normal.ridge_fits(normal.era_moments(early, features, specialists), specialists, alphas, fitted=chosen) if chosen else None
+    best: dict[str, tuple[float, float]] = {}
+    for r in penalty_search(tail, fits, features, asked, main_target).collect() if asked else []:
+        best[r["target"]] = min(best.get(r["target"], (float("inf"), 0.0)), (-r["era_sharpe"], r["alpha"]))
+    kept = [(t, best[t][1]) for t in chosen if t in best and -best[t][0] >= sharpe_floor]
+    if len(kept) < max(1, min_specialists):
+        raise ValueError(f"{len(kept)} specialists reach the floor, {max(1, min_specialists)} are needed")
+    columns = [f"a{i}" for i in range(len(asked))]
+    names = [columns[asked.index(pair)] for pair in kept]
+    tail_ranked = materialize(_ranked(normal.predict(tail, fits, features, columns), ["era_num", main_target], names), "stack-tail")
+    scored = _ranked(normal.predict(rows, fits, features, columns), [main_target, benchmark], names)
     matrix, rhs = ensemble.gram(finite_target_rows(tail_ranked, main_target), names, main_target)
-    scored = predict(ridge(tail_ranked, names, main_target, 1.0), scored, names, "free")
+    free = normal.ridge_fits(normal.era_moments(tail_ranked, names, [main_target]), [main_target], [1.0])
+    scored = normal.predict(scored, free, names, ["free"])
     metas = {}
     for i, penalty in enumerate(meta_penalties):
         positive = ensemble.non_negative_solution(matrix + penalty * np.eye(len(names)), rhs)
         metas[f"positive_{i}"] = sum((F.lit(float(w)) * F.col(n) for n, w in zip(names, positive)), F.lit(0.0))
+    if meta_trees is not None:
+        model = era_stopped_trees(tail_ranked, names, main_target, **meta_trees)
+        scored = predict(model, scored, names, "trees")
     scored = materialize(scored.withColumns(metas), "stack-candidates")
+    metas = [*metas, *(["trees"] if meta_trees is not None else [])]
     sweep = ensemble.decorrelation_sweep(scored, ["free", *metas], benchmark, main_target, shares)
     best = ensemble.best_candidate(sweep).first()
     bench = ensemble.rank_normalize(scored.where(is_finite(benchmark)), [benchmark])
     raw = F.col(best["candidate"]) - F.lit(best["share"]) * F.col(benchmark)
-    return _blended(bench.select(*KEYS, raw.alias("prediction")), ["prediction"])
+    out = bench.select(*KEYS, raw.alias("prediction"))
+    if min(proportions) > 0.0:
+        out = neutralize(complete_join(out, rows.select(*KEYS, *features)), "prediction", features, min(proportions))
+    return _blended(out.select(*KEYS, "prediction"), ["prediction"])
+
+
+def era_stopped_trees(
+    rows: DataFrame, features: Sequence[str], target: str, share: float = 0.2, least: int = 5, **params
+):
+    """Boosted trees that stop adding when the last eras no longer gain: that ``share`` of
+    the eras of usable rows (rounded half to even), at least ``least``, but never all. One
+    era alone stops nothing."""
+    known = finite_target_rows(rows, target)
+    nums = sorted(r["era_num"] for r in known.select("era_num").distinct().collect())
+    if not nums:
+        raise ValueError(f"no finite rows of {target}")
+    held = min(max(least, round(len(nums) * share)), max(1, len(nums) - 1))
+    data = known.select(*features, (F.col("era_num") >= nums[-held]).alias("__valid"), F.col(target).cast("double").alias("__y"))
+    settings = {**TREE_PARAMS, **params}
+    if len(nums) == 1:
+        return GBTRegressor(featuresCol="__x", labelCol="__y", **settings).fit(_assembled(data, features))
+    return GBTRegressor(featuresCol="__x", labelCol="__y", validationIndicatorCol="__valid", **settings).fit(_assembled(data, features))
 
 
 # -- cross-validation --------------------------------------------------------------
@@ -441,6 +465,15 @@ def targets_out_of_fold(
     return out
 
 
+def ridge_out_of_fold(
+    df: DataFrame, folds_table: DataFrame, features: Sequence[str], targets: Sequence[str], alpha: float = 1.0
+) -> DataFrame:
+    """Out-of-fold ridge predictions of every target, a column each: (era, id, fold,
+    targets). The train rows of all folds and targets are read once."""
+    scored, asked = normal.out_of_fold(df, folds_table, features, targets, [alpha])
+    return scored.select(*KEYS, "fold", *[F.col(f"__p{i}").alias(t) for i, (t, _) in enumerate(asked)])
+
+
 def full_history_fit(
     df: DataFrame, fit: Callable[[DataFrame], object], path: str
 ) -> object:
@@ -458,25 +491,80 @@ def parameter_sweep(
     grid: Sequence[Mapping[str, float]],
     purge: int,
 ) -> DataFrame:
-    """Held-out score moments of a ridge per grid point, best first. The trials' scores
-    are columns of one scan, then one aggregation scores them all."""
-    train = purged(train, held_out, [target], purge)
-    scored = held_out
-    for i, point in enumerate(grid):
-        scored = predict(ridge(train, features, target, point["alpha"]), scored, features, f"t{i}")
-    cells = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("trial_id"), F.lit(float(p["alpha"])).alias("alpha"), F.col(f"t{i}").alias("p"))
-                for i, p in enumerate(grid)
-            ]
-        )
-    ).alias("c")
-    long = scored.select("era", target, cells).select("era", target, "c.*")
-    series = scoring.per_era_corr(long, "p", target, ["trial_id", "alpha", "era"])
+    """Held-out score moments of a ridge per grid point, best first. One scan of the train
+    rows serves every point, the trials' scores are columns of one scan of the held-out
+    rows, and one aggregation scores them all."""
+    moments = normal.era_moments(purged(train, held_out, [target], purge), features, [target])
+    names = [f"t{i}" for i in range(len(grid))]
+    fits = normal.ridge_fits(moments, [target], [p["alpha"] for p in grid])
+    cells = [
+        F.struct(F.lit(i).alias("trial_id"), F.lit(float(p["alpha"])).alias("alpha"), F.col(f"t{i}").alias("p"))
+        for i, p in enumerate(grid)
+    ]
+    scored = normal.predict(held_out, fits, features, names)
+    long = scored.select("era", target, F.explode(F.array(*cells)).alias("c")).select("era", target, "c.*")
+    moments = _trial_moments(long, target, ["trial_id", "alpha"])
+    return moments.orderBy(F.desc("mean"), "trial_id")
+
+
+def _trial_moments(long: DataFrame, target: str, by: Sequence[str]) -> DataFrame:
     from eraflow.operators.series import series_stats
 
-    return series_stats(series, ["trial_id", "alpha"]).orderBy(F.desc("mean"), "trial_id")
+    return series_stats(scoring.per_era_corr(long, "p", target, [*by, "era"]), by)
+
+
+def configuration_sweep(
+    rows: DataFrame,
+    features: Sequence[str],
+    main_target: str,
+    grid: Sequence[Mapping[str, object]],
+    purge: int,
+    n_folds: int = 3,
+    share: float = 0.2,
+) -> DataFrame:
+    """Held-out score of whole configurations, best first: (trial_id, params_json,
+    weights, and the moments of the held-out score series).
+
+    A configuration names its ``targets``, the penalty ``alpha`` and how the blend's
+    weights are learned (``method``: ridge, non_negative or equal). The last ``share`` of
+    the eras is held out behind a purge. On the eras before, walk-forward folds give
+    out-of-fold predictions per target, from which the weights are learned; the anchor
+    fold's fits predict the held-out eras, blended with these weights.
+
+    All configurations share one scan of the train rows (moments per era, merged for
+    every fold), one for the out-of-fold scores with one Gram matrix of all columns, and
+    one of the held-out rows."""
+    grid = [{"method": "ridge", "alpha": 1.0, **point} for point in grid]
+    targets = list(dict.fromkeys(t for point in grid for t in point["targets"]))
+    alphas = sorted({float(point["alpha"]) for point in grid})
+    eras = era_table(rows)
+    folds.require_purge(eras, [*targets, main_target], purge)
+    roles = folds.held_out(eras, share, purge)
+    inner = rows_of_eras(rows, roles.where("role = 'train'"))
+    held = rows_of_eras(rows, roles.where("role = 'held_out'"))
+    inner_eras = roles.where("role = 'train'").select("era", "era_num")
+    walk = materialize(folds.walk_forward(inner_eras, n_folds, purge), "sweep-folds")
+    last = folds.anchor(inner_eras, purge).withColumn("fold", F.lit(n_folds))
+    groups = walk.unionByName(last).where("role = 'train'").select("fold", "era")
+    fits = normal.ridge_fits(normal.era_moments(inner, features, targets), targets, alphas, groups)
+    asked = [(t, a) for t in targets for a in alphas]
+    names = [f"p{i}" for i in range(len(asked))]
+    val = walk.where("role = 'val'").select("era", F.col("fold").cast("int").alias("fold"))
+    known = finite_target_rows(inner, main_target).join(broadcast_checked(val), "era").join(broadcast_checked(fits), "fold")
+    oof = _ranked(normal.with_scores(known, F.col("fits"), features, names), [main_target], names)
+    matrix, rhs = ensemble.gram(oof, names, main_target)
+    blends, weights = [], []
+    for i, point in enumerate(grid):
+        used = [asked.index((t, float(point["alpha"]))) for t in point["targets"]]
+        found = ensemble.solved_weights(matrix[np.ix_(used, used)], rhs[used], str(point["method"]))
+        weights.append(found)
+        total = sum((F.lit(w) * F.col(names[k]) for w, k in zip(found, used, strict=True)), F.lit(0.0))
+        shown = F.lit(json.dumps({k: point[k] for k in sorted(point)}))
+        blends.append(F.struct(F.lit(i).alias("trial_id"), shown.alias("params_json"), F.array(*map(F.lit, found)).alias("weights"), F.round(total, 12).alias("p")))
+    scored = normal.predict(held, fits.where(F.col("fold") == n_folds), features, names)
+    ranked = _ranked(scored, [main_target], names)
+    long = ranked.select("era", main_target, F.explode(F.array(*blends)).alias("c")).select("era", main_target, "c.*")
+    return _trial_moments(long, main_target, ["trial_id", "params_json", "weights"]).orderBy(F.desc("mean"), "trial_id")
 
 
 # -- score time --------------------------------------------------------------------

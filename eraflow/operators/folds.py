@@ -119,11 +119,27 @@ def stack_partitions(eras: DataFrame, meta_share: float, any_60d: bool) -> DataF
     return checked.select(role.alias("role"), "era", "era_num")
 
 
-def require_purge(eras: DataFrame, targets: list[str], purge: int) -> None:
-    """Once there are enough eras, the purge must cover the longest target horizon."""
-    floor = PURGE_60D if any(t.endswith("_60") for t in targets) else PURGE_20D
-    if purge < floor and eras.select("era").distinct().count() >= 2 * floor:
-        raise ValueError(f"purge of {purge} eras is below the {floor} the targets need")
+def purge_floor(targets: list[str]) -> int:
+    return PURGE_60D if any(t.endswith("_60") for t in targets) else PURGE_20D
+
+
+def require_purge(eras: DataFrame, targets: list[str], purge: int, n_eras: int | None = None) -> None:
+    """Once there are enough eras, the purge must cover the longest target horizon.
+    ``n_eras`` is their number, where the caller knows it."""
+    floor = purge_floor(targets)
+    if purge < floor:
+        n_eras = eras.select("era").distinct().count() if n_eras is None else n_eras
+        if n_eras >= 2 * floor:
+            raise ValueError(f"purge of {purge} eras is below the {floor} the targets need")
+
+
+def purge_end(train_nums: list[int], val_nums: list[int], purge: int) -> int:
+    """The last train era number after the purge; on both sides of the gap exactly
+    ``purge`` numbers must be missing."""
+    kept, scored = sorted(train_nums)[: len(train_nums) - purge], sorted(val_nums)
+    if not kept or not scored or scored[0] - kept[-1] - 1 != purge:
+        raise ValueError("the purge gap has the wrong width")
+    return kept[-1]
 
 
 def weight_learning_roles(folds: DataFrame) -> DataFrame:
