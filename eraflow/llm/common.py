@@ -5,7 +5,12 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +93,38 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def hidden(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns that are called like one of ``names`` (in any case) under
+    new names; the function that tells a column's present name; and the one that gives
+    them their names back. Operators hide what clashes with names of their own."""
+    own = {name.lower() for name in names}
+    new = {c: f"hidden_{uuid.uuid4().hex}" for c in df.columns if c.lower() in own}
+    old = {v: k for k, v in new.items()}
+    return df.withColumnsRenamed(new), lambda name: new.get(name, name), lambda out: out.withColumnsRenamed(old)
+
+
+def arrow_slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Runs of strings of about so many bytes; a longer string is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        floor = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, floor + size, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def spread_words(words: pa.ListArray, coded: pa.DictionaryArray, known: Sequence[Sequence[int]], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, and where each text's begin (and the last
+    one's end), from the ids ``known`` of the distinct ``words`` of the texts."""
+    sizes = np.fromiter(map(len, known), np.int64, len(known))
+    ids = np.fromiter(chain.from_iterable(known), kind, int(sizes.sum()))
+    starts = np.concatenate(([0], np.cumsum(sizes[coded.indices.to_numpy()])))
+    offsets = words.offsets.to_numpy()
+    listed = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), ids)
+    return listed.take(coded.indices).flatten().to_numpy(), starts[offsets - offsets[0]]
+
+
 def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
     """The schema of ``df`` followed by new columns, given as name and type."""
     added = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in kinds.items()]

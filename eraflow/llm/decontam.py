@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import bind, broadcast_if_small, lower_ascii, store
+from eraflow.llm.common import bind, broadcast_if_small, hidden, lower_ascii, store
 
 # Words of a window, and of the k-grams that are hashed.
 WINDOW, GRAM = 10, 5
@@ -162,5 +162,6 @@ def drop_contaminated(
     """The rows of ``docs`` without a word inside a benchmark window."""
     bad = contamination(docs, items, folder, doc_id, text, item_id).where("contaminated")
     bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    docs, now, back = hidden(docs, ["_id", "_hash"])
+    same = F.col(now(doc_id)).eqNullSafe(F.col("_id")) & (F.xxhash64(now(text)) == F.col("_hash"))
+    return back(docs.join(bad, same, "left_anti"))

@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import with_fields
+from eraflow.llm.common import arrow_slices, hidden, with_fields
 
 WINDOW, WIDTH = 64, 8
 TRAIN_DOCS, TRAIN_WINDOWS = 400, 8
 STEPS, BATCH, RATE = 200, 256, 0.03
 # Windows that a task runs side by side.
 SIDE_BY_SIDE = 2048
+# Bytes of texts that a task takes out of an Arrow batch at once.
+SLICE_BYTES = 8 << 20
 UNKNOWN = "und"
 
 
@@ -273,34 +275,34 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score (the pooled probability of that label) and
     lang_positions (positions labelled with each label, in the order of the model's
     labels). Columns of these names are replaced."""
-    added = ["lang_pred", "score", "lang_positions"]
+    docs, now, back = hidden(docs, ["_letters"])
+    text, added = now(text), ["lang_pred", "score", "lang_positions"]
     kept = [c for c in docs.columns if c not in added]
     source = docs.select(*kept).withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     k = len(model.labels)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = batch.column(len(kept)).to_pylist()
-            column = batch.column(kept.index(text)).cast(pa.binary())
-            raw = [x.as_py() if on and k else b"" for x, on in zip(column, letters, strict=True)]
-            sums = _pools(model, raw)
             names, scores, counts = [], [], []
-            for row, x in zip(sums, raw, strict=True):
-                if x:
-                    best = int(row[:k].argmax())
-                    names.append(model.labels[best])
-                    scores.append(min(1.0, float(row[best] / len(x))))
-                else:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                counts.append([int(c) for c in row[k:]])
+            letters = iter(batch.column(len(kept)).to_pylist())
+            for some in arrow_slices(batch.column(kept.index(text)).cast(pa.binary()), SLICE_BYTES):
+                raw = [x.as_py() if next(letters) and k else b"" for x in some]
+                for row, x in zip(_pools(model, raw), raw, strict=True):
+                    if x:
+                        best = int(row[:k].argmax())
+                        names.append(model.labels[best])
+                        scores.append(min(1.0, float(row[best] / len(x))))
+                    else:
+                        names.append(UNKNOWN)
+                        scores.append(0.0)
+                    counts.append([int(c) for c in row[k:]])
             yield pa.record_batch(
                 [*batch.columns[: len(kept)], pa.array(names), pa.array(scores, pa.float64()), pa.array(counts, pa.list_(pa.int64()))],
                 [*kept, *added],
             )
 
     out = with_fields(docs.select(*kept), lang_pred="string", score="double", lang_positions="array<bigint>")
-    return source.mapInArrow(label, out)
+    return back(source.mapInArrow(label, out))
 
 
 def label_positions(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import broadcast_if_small
+from eraflow.llm.common import broadcast_if_small, hidden
 
 # Largest mean that is inverted at once; a larger one is a sum of equal smaller draws.
 # exp(-mean) and the last terms of the sum are then far above the smallest double.
@@ -83,6 +83,8 @@ def replicate(
     """``docs`` with columns copy (from 1) and shuffle_key, shuffled globally. ``rates``
     has one row per source with its mean repetition rate; a document whose source has no
     rate is not in the mix. Columns of these names are replaced."""
+    docs, now, back = hidden(docs, ["_source", "_n", "draws", "cdf"])
+    doc_id, source = now(doc_id), now(source)
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     dist = with_distribution(rates.select(F.col("source").alias("_source"), "rate"))
     dist = dist.select("_source", "draws", "cdf")
@@ -90,4 +92,4 @@ def replicate(
     counted = joined.withColumn("_n", poisson_count(F.col(doc_id), seed)).where("_n > 0")
     copies = counted.select(*kept, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary"))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return back(copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import broadcast_if_small, remove, store
+from eraflow.llm.common import broadcast_if_small, hidden, remove, store
 from eraflow.llm.components import components
 from eraflow.llm.shingles import mix, set_digest, shingle_set, similar
 
@@ -143,11 +143,12 @@ def hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
     """(node, text) of the distinct nodes of ``wanted``, written. ``docs`` has doc_id,
     text_hash and text."""
-    rep = [F.col("rep.doc_id").alias("_i"), F.col("rep.text_hash").alias("_h")]
+    rep = [F.col("rep.doc_id").alias("_i"), F.col("rep.text_hash").alias("_h"), F.col("rep.n_rows").alias("n_rows")]
     places = store(nodes.join(wanted.distinct(), "node", "left_semi").select("node", *rep), f"{folder}/places")
     same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h"))
-    found = docs.join(broadcast_if_small(places), same).dropDuplicates(["node"]).select("node", "text")
-    return store(found, f"{folder}/texts")
+    # Only rows that are repeated with their id have to be made one again.
+    once, several = (docs.join(broadcast_if_small(places.where(which)), same).select("node", "text") for which in ("n_rows = 1", "n_rows > 1"))
+    return store(once.unionByName(several.dropDuplicates(["node"])), f"{folder}/texts")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, folder: str, percent: int) -> DataFrame:
@@ -290,8 +291,10 @@ def cluster(
     sets = store(signed(docs, doc_id, text), f"{folder}/sets")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     nodes = (
-        sets.where(F.col("set_hash").isNotNull()).groupBy("set_hash")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("first_id"),
+        sets.where(F.col("set_hash").isNotNull()).groupBy("set_hash", "doc_id", "text_hash")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        .groupBy("set_hash")
+        .agg(F.min(F.struct("doc_id", "text_hash", "n_rows")).alias("rep"), F.min("doc_id").alias("first_id"),
              F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
         .withColumn("node", F.monotonically_increasing_id())
     )
@@ -365,7 +368,9 @@ def keep_one(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "
     head_of = F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_h"))
     dropped = broadcast_if_small(store(every.join(heads, head_of, "left_anti"), f"{folder}/dropped"))
     twice = broadcast_if_small(store(every.where("n > 1").join(heads, head_of, "left_semi"), f"{folder}/twice"))
+    docs, now, back = hidden(docs, ["_d", "_t"])
+    doc_id, text = now(doc_id), now(text)
     this = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t"))
     kept = docs.join(dropped, this, "left_anti")
     again = kept.join(twice, this, "left_semi").withColumn("_t", F.xxhash64(text)).dropDuplicates([doc_id, "_t"]).drop("_t")
-    return kept.join(twice, this, "left_anti").unionByName(again)
+    return back(kept.join(twice, this, "left_anti").unionByName(again))

@@ -30,14 +30,13 @@ import heapq
 import re
 from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from eraflow.llm.common import with_fields
+from eraflow.llm.common import arrow_slices, spread_words, with_fields
 
 SPACE = "▁"
 # Parts of one generation of remembered ones, and the longest (code points) that are kept.
@@ -45,7 +44,7 @@ MEMO_PARTS, MEMO_LENGTH = 400_000, 40
 # Code points up to which a chain's agenda is a row instead of a heap.
 SHORT = 24
 # Bytes of texts that are encoded, decoded and checked at once.
-SLICE_CHARS = 16 << 20
+SLICE_BYTES = 16 << 20
 
 ENCODED = {"ids": "array<int>", "decoded": "string"}
 DIGESTS = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -239,13 +238,7 @@ class PieceModel:
             known.append(found)
         if verify:
             self.check(fresh, fresh_ids)  # alone, a word stands behind a space mark too
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        ids = np.fromiter(chained.from_iterable(known), np.int32, int(sizes.sum()))
-        uses = coded.indices.to_numpy()
-        starts = np.concatenate(([0], np.cumsum(sizes[uses])))
-        offsets = words.offsets.to_numpy()
-        listed = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), ids)
-        return listed.take(coded.indices).flatten().to_numpy(), starts[offsets - offsets[0]]
+        return spread_words(words, coded, known, np.int32)
 
     def _cleaned(self, raw: bytes, first: int | None) -> bytes:
         """Bytes of decoded ids without the first mark, wrong ones replaced."""
@@ -302,17 +295,6 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def slices(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[pa.Array]:
-    """Runs of texts of about so many bytes; a longer text is a run of its own."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
-    start = 0
-    while start < len(texts):
-        floor = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, floor + chars, side="right")))
-        yield texts.slice(start, stop - start)
-        start = stop
-
-
 def _with(docs: DataFrame, vocabulary: str, verify: bool, kinds: dict[str, str], columns) -> DataFrame:
     """``docs`` with the columns ``columns(model, flat, starts)`` gives."""
     docs = docs.drop(*kinds)
@@ -323,7 +305,7 @@ def _with(docs: DataFrame, vocabulary: str, verify: bool, kinds: dict[str, str],
         model = piece_model(vocabulary)
         for batch in batches:
             done: list[list] = [[] for _ in kinds]
-            for some in slices(pc.fill_null(batch.column(at).cast(pa.string()), "")):
+            for some in arrow_slices(pc.fill_null(batch.column(at).cast(pa.string()), ""), SLICE_BYTES):
                 flat, starts = model.encode_batch(some, verify)
                 for column, new in zip(done, columns(model, flat, starts), strict=True):
                     column += new

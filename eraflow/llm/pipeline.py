@@ -1,8 +1,17 @@
-"""Stages of the training-data pipeline: each works on all its predecessor kept."""
+"""Stages of the training-data pipeline: each works on all its predecessor kept.
+
+Null and empty texts have no language and go in the first stage; given to a later one, they
+have no copies and no benchmark passage, are mixed like others, and are written as the
+end id alone. Very long texts are worked on whole. Of repeated rows the second stage
+keeps one. Where rows tie, the smallest id and then the text's hash decide. An empty table
+passes every stage as an empty table. Columns beside those of ``documents`` stay as they
+are until the token files, whatever they are called.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eraflow.llm import decontam, langid, mixing, neardup, tokens
@@ -40,6 +49,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files' documents, as read back."""
-    index = tokens.write_sequences(docs, work_dir(spark, "stage-tokens"), VOCABULARY)
+    """The token files' documents, as read back. They stand in the files in the order in
+    which the mix was written."""
+    index = tokens.write_sequences(docs, work_dir(spark, "stage-tokens"), VOCABULARY, order=written_order(docs))
     return tokens.read_back(index)
+
+
+def written_order(docs: DataFrame) -> list[Column]:
+    """The place of a row in the files it is read from; a hash of it where there are none."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*place)
+    except AnalysisException:  # not rows of files
+        return [F.xxhash64(F.lit(MIX_SEED), "doc_id", "text")]
+    return place

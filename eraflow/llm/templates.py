@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import bind, broadcast_if_small, store
+from eraflow.llm.common import bind, broadcast_if_small, hidden, store
 
 DEPTH, MIN_TOKENS, MIN_DOCS, SIMILAR = 4, 5, 2, 6
 
@@ -122,6 +122,8 @@ def dropped_lines(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: st
 
 def drop_recurring(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the dropped lines, with columns n_lines (before) and n_dropped."""
+    docs, now, back = hidden(docs, ["_id", "_hash", "_drop"])
+    doc_id, text = now(doc_id), now(text)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     by_doc = dropped_lines(docs, folder, doc_id, text).groupBy(*KEYS).agg(F.collect_set("line").alias("_drop"))
     by_doc = broadcast_if_small(store(by_doc, f"{folder}/dropped"))
@@ -133,8 +135,8 @@ def drop_recurring(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: s
     shorter = F.array_join(bind(lines, rest), "\n")
     joined = docs.select(*kept).join(by_doc, same, "left")
     cleaned = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(shorter).alias(text)
-    return joined.select(
+    return back(joined.select(
         *[cleaned if c == text else F.col(c) for c in kept],
         F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("_drop").isNotNull(), F.size("_drop")), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    ))

@@ -1,6 +1,6 @@
 """Token ids in Arrow IPC files of fixed-size lists.
 
-Documents are sorted by id over range partitions; each task encodes its texts, ends
+Documents are sorted (by id, unless told otherwise) over range partitions; each task encodes its texts, ends
 every document with the end id, and cuts its stream into sequences of equal length. A
 file holds record batches of two columns: ``ids``, a fixed-size list of unsigned ids, and
 ``mask``, a fixed-size list of booleans that is false only in the padding after the
@@ -19,53 +19,87 @@ index. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import file_system, new_file, store
+from eraflow.llm.common import arrow_slices, file_system, new_file, spread_words, store
 
 SEQUENCE_LENGTH = 2048
 # Sequences of one record batch.
 BATCH_SEQUENCES = 128
 # Pieces of one generation of remembered ones, and the longest that are remembered.
-MEMO_WORDS, MEMO_BYTES = 400_000, 100
+MEMO_WORDS, MEMO_LENGTH = 400_000, 60
+# Bytes of texts that are encoded at once, and ids that one task reads back.
+SLICE_BYTES, READ_IDS = 16 << 20, 1 << 25
 # Marks before which a run of ASCII letters ends, wherever they stand.
 _LETTERS = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
-_MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
+_MARKS = frozenset(".,;:!?")
 
 INDEX = "doc_id long, path string, shard int, place long, n_tokens long"
 
 
+# The settings of a vocabulary that drops white space and never joins across
+# it: NFC, white space as one blank, lower case; then letters, digits and marks apart.
+DROPS_SPACES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "behavior": "Removed", "invert": True,
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordEncoder:
-    """Ids of a text from the ids of its white-space separated pieces.
-
-    The vocabulary's own splitting drops white space and never joins across it, so the
-    ids of a text are those of its pieces one after the other. It also ends a run of
-    letters before a punctuation mark and lower-cases, so a new piece is first looked up
-    without its last mark and in lower case. Known pieces are held in two generations:
-    when the young one is full it becomes the old one, and pieces that are used again
-    move back to the young one. A piece of plain lower-case letters needs no normalizing
-    or splitting and goes straight to the library's model. A vocabulary that does not
-    behave so gets whole texts.
+    """Ids of texts from the ids of their white-space separated pieces.
+
+    A vocabulary with the settings ``DROPS_SPACES`` and plain added tokens (no white space
+    in them, matched as they stand) gives a text the ids of its pieces one after the
+    other. A batch is split at ASCII white space and each distinct piece is looked up
+    once. New pieces go to the library as they are, but for those that surely normalize to
+    a known one: without anything of an added token, in lower case, before a last mark.
+    Known pieces are held in two generations: when the young one is full it becomes the
+    old one, and pieces that are used again move back to the young one. Plain lower-case
+    letters need no normalizing or splitting and go straight to the library's model. Any
+    other vocabulary gets whole texts.
     """
 
     def __init__(self, vocabulary: str, memo: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        with open(vocabulary, encoding="utf-8") as file:
+            settings = json.load(file)
+        added = settings["added_tokens"]
+        plain_tokens = all(
+            not any(t[flag] for flag in ("single_word", "lstrip", "rstrip", "normalized")) and t["content"] and not re.search(r"\s", t["content"])
+            for t in added
+        )
+        self.by_words = plain_tokens and all(settings[part] == wanted for part, wanted in DROPS_SPACES.items())
+        # Marks that an added token has and a piece must not have to be changed before.
+        self.touchy = re.compile("|".join(re.escape(t["content"][:1]) for t in added) or r"(?!)", re.IGNORECASE)
         self.numbers = list(range(self.tokenizer.get_vocab_size()))  # ids as shared objects
-        self.young: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self.memo = memo
-        self.by_words = self._whole("aB, \n\t c.d") == self._whole("ab") + self._whole(",") + self._whole("c.d")
         self.plain = self._plain_letters() if self.by_words else {}
         self.only_plain = re.compile(f"[{''.join(map(chr, self.plain))}]+") if self.plain else None
 
@@ -85,42 +119,51 @@ class WordEncoder:
     def dtype(self) -> np.dtype:
         return np.dtype("<u2" if len(self.numbers) <= 1 << 16 else "<u4")
 
-    def _new(self, word: bytes) -> list[int]:
+    def _new(self, word: str) -> list[int]:
         found = self.old.get(word)
         if found is None:
-            if len(word) > 1 and word[-1:] in _MARKS and word[-2:-1].isalpha():
+            if self.only_plain and self.only_plain.fullmatch(word):
+                ids = [t.id for t in self.tokenizer.model.tokenize(word.translate(self.plain))]
+                found = [self.numbers[i] for i in ids]
+            elif self.touchy.search(word):
+                found = [self.numbers[i] for i in self._whole(word)]
+            elif len(word) > 1 and word[-1] in _MARKS and word[-2].isascii() and word[-2].isalpha():
                 found = self.word(word[:-1]) + self.word(word[-1:])
-            elif word.isascii() and not word.islower() and word != word.lower():
+            elif word.isascii() and word != word.lower():
                 found = self.word(word.lower())
             else:
-                text = word.decode()
-                if self.only_plain and self.only_plain.fullmatch(text):
-                    ids = [t.id for t in self.tokenizer.model.tokenize(text.translate(self.plain))]
-                else:
-                    ids = self._whole(text)
-                found = [self.numbers[i] for i in ids]
-        if len(word) <= MEMO_BYTES:
+                found = [self.numbers[i] for i in self._whole(word)]
+        if len(word) <= MEMO_LENGTH:
             if len(self.young) >= self.memo:
                 self.old, self.young = self.young, {}
             self.young[word] = found
         return found
 
-    def word(self, word: bytes) -> list[int]:
+    def word(self, word: str) -> list[int]:
         found = self.young.get(word)
         return self._new(word) if found is None else found
 
-    def __call__(self, text: str | None) -> list[int]:
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (and the
+        last one's end)."""
         if not self.by_words:
-            return self._whole(text or "")
-        ids: list[int] = []
+            parts = [np.array(self._whole(t.as_py()), self.dtype) for t in texts]
+            starts = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+            return np.concatenate([np.zeros(0, self.dtype), *parts]), starts
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
         get, new = self.young.get, self._new
-        for word in (text or "").encode().split():  # bytes: at ASCII white space only
+        known = []
+        for word in coded.dictionary.to_pylist():
             found = get(word)
             if found is None:
-                found = new(word)
+                found = new(word) if word else []
                 get = self.young.get
-            ids += found
-        return ids
+            known.append(found)
+        return spread_words(words, coded, known, self.dtype)
+
+    def __call__(self, text: str | None) -> list[int]:
+        return self.batch(pa.array([text or ""]))[0].tolist()
 
 
 @cache
@@ -153,9 +196,9 @@ class SequenceWriter:
         self.written += cells
         self.used = 0
 
-    def add(self, ids: list[int]) -> int:
-        """Append a document; its first place in the file."""
-        place, done, data = self.written + self.used, 0, np.asarray(ids, self.open.dtype)
+    def add(self, data: np.ndarray) -> int:
+        """Append ids; the first one's place in the file."""
+        place, done = self.written + self.used, 0
         while done < len(data):
             n = min(len(data) - done, len(self.open) - self.used)
             self.open[self.used : self.used + n] = data[done : done + n]
@@ -182,9 +225,13 @@ class SequenceFile:
         self.source = pa.memory_map(path) if local else system.open_input_file(path)
         self.reader = pa.ipc.open_file(self.source)
         self.length = self.reader.schema.field("ids").type.list_size
+        self.held: tuple[int, np.ndarray] | None = None
 
     def _cells(self, batch: int) -> np.ndarray:
-        return self.reader.get_batch(batch).column(0).flatten().to_numpy()
+        """The ids of a batch; the last one asked for is kept open."""
+        if self.held is None or self.held[0] != batch:
+            self.held = (batch, self.reader.get_batch(batch).column(0).flatten().to_numpy())
+        return self.held[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, mask) of the file's sequence ``i``."""
@@ -207,10 +254,11 @@ class SequenceFile:
 
 
 def write_sequences(
-    docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, length: int = SEQUENCE_LENGTH
+    docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, length: int = SEQUENCE_LENGTH, order: Sequence[Column] | None = None
 ) -> DataFrame:
     """Encode and write all of ``docs`` (doc_id, text); the stored index. ``vocabulary``
-    is a path every executor has."""
+    is a path every executor has. Documents stand in ``order``: of their ids, and of their
+    texts' hashes where these are equal, unless another is given."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out, shard = encoder(vocabulary), None, TaskContext.get().partitionId()
@@ -223,26 +271,27 @@ def write_sequences(
                 sink = system.open_output_stream(path)
                 out = SequenceWriter(sink, length, encode.dtype)
             places, sizes = [], []
-            for text in batch.column(1):
-                ids = encode(text.as_py())
-                ids.append(end_id)
-                places.append(out.add(ids))
-                sizes.append(len(ids))
+            for texts in arrow_slices(pc.fill_null(batch.column(1), ""), SLICE_BYTES):
+                flat, starts = encode.batch(texts)
+                place = out.add(np.insert(flat, starts[1:], end_id))
+                places.append(place + starts[:-1] + np.arange(len(texts)))
+                sizes.append(np.diff(starts) + 1)
             n = batch.num_rows
             yield pa.record_batch(
                 [batch.column(0), pa.array([uri] * n), pa.array([shard] * n, pa.int32()),
-                 pa.array(places, pa.int64()), pa.array(sizes, pa.int64())],
+                 pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))],
                 ["doc_id", "path", "shard", "place", "n_tokens"],
             )
         if out is not None:
             out.close()
             sink.close()
 
-    order = ["doc_id", F.xxhash64("text")]
+    by = list(order) if order else [F.col("doc_id").cast("long"), F.xxhash64("text")]
+    named = [f"_{i}" for i in range(len(by))]
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(*order, F.monotonically_increasing_id())
-        .sortWithinPartitions(*order)
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(n) for c, n in zip(by, named, strict=True)])
+        .repartitionByRange(*named, F.monotonically_increasing_id())
+        .sortWithinPartitions(*named).select("doc_id", "text")
     )
     return store(ordered.mapInArrow(write, INDEX), f"{folder}/index")
 
@@ -282,5 +331,7 @@ def read_back(index: DataFrame) -> DataFrame:
             file.close()
 
     rows = with_starts(index).select("doc_id", "start", "n_tokens", "path", "place")
-    placed = rows.repartition("path").sortWithinPartitions("path", "place")
+    # The rows are small; what they point to decides over how many tasks they go.
+    total = index.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    placed = rows.repartition(max(1, -(-total // READ_IDS)), "path").sortWithinPartitions("path", "place")
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

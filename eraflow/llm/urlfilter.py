@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import broadcast_if_small, lower_ascii, store
+from eraflow.llm.common import broadcast_if_small, hidden, lower_ascii, store
 
 # False positive rate of the levels after the first.
 LOWER_LEVEL_RATE = 0.1
@@ -147,6 +147,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], folder: str, url: str = "url"
     equally long ones that with the longer host); an address no rule fits gets ``default``.
     A key listed for both verdicts is blocked. Columns of these names are replaced."""
     spark = pages.sparkSession
+    pages, now, back = hidden(pages, ["_host", "_path", "_keys", "_rule"])
+    url = now(url)
     host, path = url_parts(F.col(url))
     parts = pages.drop(*{"host", "path", "rule", "verdict"} - {url}).withColumns({"_host": host, "_path": path})
     parts = parts.withColumn("_keys", candidate_keys(F.col("_host"), F.col("_path"), rules))
@@ -166,4 +168,4 @@ def judge(pages: DataFrame, rules: Sequence[Rule], folder: str, url: str = "url"
     )
     kept = [F.col(c) for c in pages.columns if c not in {"host", "path", "rule", "verdict"} - {url}]
     added = [F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), verdict.alias("verdict")]
-    return judged.select(*kept, *added)
+    return back(judged.select(*kept, *added))

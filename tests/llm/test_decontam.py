@@ -81,7 +81,7 @@ def test_odd_rows_and_dropping(spark, odd, odd_rows, folder):
     docs = [(r[0], r[1]) for r in odd_rows]
     got = decontam.contamination(odd, spark.createDataFrame(items, "item_id long, text string"), folder).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got), key=repr) == direct(docs, items)
-    frame = odd.withColumn("_id", F.lit(1)).drop("_id").withColumn("n_hit", F.lit("mine"))
+    frame = odd.withColumn("_id", F.lit(1)).withColumn("n_hit", F.lit("mine"))
     kept = decontam.drop_contaminated(frame, spark.createDataFrame(items, "item_id long, text string"), f"{folder}-b")
     clean = sorted((d for d, t in docs if not direct([(d, t)], items)[0][2]), key=repr)
     assert kept.columns == frame.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == clean

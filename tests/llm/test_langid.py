@@ -95,10 +95,11 @@ def test_every_language_is_learned_when_ids_repeat(spark, monkeypatch):
 def test_odd_rows(spark, odd, odd_rows):
     model = langid.fit(langid.training_rows(odd), steps=5)
     assert model.labels == ["de", "en", "fr"]
-    frame = odd.withColumn("score", F.lit("mine")).withColumn("_letters", F.lit(1)).drop("_letters")
+    frame = odd.withColumn("score", F.lit("mine")).withColumn("_letters", F.lit(1))
     got = langid.identify(frame, model)
-    assert got.columns == [*odd.columns, "lang_pred", "score", "lang_positions"]
+    assert got.columns == [*odd.columns, "_letters", "lang_pred", "score", "lang_positions"]
     rows = got.collect()
+    assert {r["_letters"] for r in rows} == {1}
     assert len(rows) == len(odd_rows)
     for r in rows:
         blank = not any(c.isalpha() for c in r["text"] or "")

@@ -7,6 +7,7 @@ from samples import SCHEMA
 import __spark_entry__ as entry
 import corpus_pipeline as cp
 from eraflow.llm import langid, pipeline
+from eraflow.llm.common import store
 from test_decontam import direct as contaminated
 from test_neardup import direct as grouped
 
@@ -59,6 +60,20 @@ def test_whole_run(spark, sf_dir):
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
 
 
+def test_token_files_keep_the_order_of_the_mix(spark, docs, sf_dir, folder):
+    mix = store(pipeline.mixed(spark, docs, sf_dir), folder)
+    order = [r["doc_id"] for r in mix.select("doc_id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()]
+    got = [r["doc_id"] for r in pipeline.token_files(spark, mix, sf_dir).orderBy("start").collect()]
+    assert got == order and got != sorted(got)
+    # copies of a document do not stand side by side, and shares by source hold in the files
+    beside = sum(a == b for a, b in zip(got, got[1:], strict=False))
+    assert beside < 0.05 * len(got)
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    half = len(got) // 2
+    shares = [sum(source[d] == s for d in part) / len(part) for s in set(source.values()) for part in (got[:half], got[half:])]
+    assert all(abs(a - b) < 0.2 for a, b in zip(shares[::2], shares[1::2], strict=True))
+
+
 def test_every_stage_takes_odd_and_empty_tables(spark, odd, none, sf_dir, monkeypatch):
     monkeypatch.setattr(langid, "STEPS", 3)
     for frame in (odd, none):

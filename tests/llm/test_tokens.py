@@ -1,14 +1,17 @@
 """Token files, against the tokenizer on whole texts."""
 
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from samples import SCHEMA, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from eraflow.llm import tokens
 
@@ -25,15 +28,33 @@ def direct(rows):
     return out
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.characters(), st.sampled_from(" \n\t.,'!sStTreEéÉüß\x1c\x85\u00a0\u0301İ")), max_size=40))
-def test_pieces_give_the_ids_of_the_text(text):
+SPECIAL = st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|", "|>", "<|end", "oftext|>", "ENDOFTEXT"])
+PARTS = st.one_of(st.text(st.one_of(st.characters(), st.sampled_from(" \n\t.,'!sStTreEéÉüß<|>\x1c\x85\u00a0\u0301İ")), max_size=12), SPECIAL)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.lists(PARTS, max_size=8).map("".join), max_size=5))
+def test_pieces_give_the_ids_of_the_text(texts):
     encode = tokens.encoder(VOCABULARY)
-    try:
-        text.encode()
-    except UnicodeEncodeError:
-        return
-    assert encode(text) == encode._whole(text)
+    texts = [t.encode(errors="replace").decode() for t in texts]
+    flat, starts = encode.batch(pa.array(texts, pa.string()))
+    assert [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [encode._whole(t) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "a <|EndOfText|> b", "x<|ENDOFTEXT|>y", "<|endoftext|>.", "Ab<|endoftext|>cD"])
+def test_added_tokens_in_any_case(text):
+    encode = tokens.WordEncoder(VOCABULARY)
+    assert encode.by_words and encode(text) == encode._whole(text)
+
+
+def test_other_settings_get_whole_texts(tmp_path):
+    with open(VOCABULARY, encoding="utf-8") as file:
+        settings = json.load(file)
+    settings["added_tokens"][0]["lstrip"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings))
+    encode = tokens.WordEncoder(str(path))
+    assert not encode.by_words and encode("a <|startoftext|> b") == encode._whole("a <|startoftext|> b")
 
 
 def test_small_memory_gives_the_same(odd_rows):
@@ -91,3 +112,11 @@ def test_sequences_are_mapped_without_copies(spark, folder):
 def test_no_other_model(spark):
     with pytest.raises(Exception, match="No such file|not exist|os error"):
         tokens.WordEncoder("/nowhere.json")
+
+
+def test_order_of_the_files(spark, folder):
+    rows = [(i, f"text {i}", "x", "y", 0) for i in range(300)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    index = tokens.write_sequences(frame, folder, VOCABULARY, length=64, order=[-F.col("doc_id")])
+    got = sorted((r["start"], r["doc_id"]) for r in tokens.read_back(index).collect())
+    assert [d for _, d in got] == list(range(299, -1, -1))
