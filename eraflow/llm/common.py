@@ -6,7 +6,6 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -114,11 +113,14 @@ def arrow_slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
         start = stop
 
 
-def spread_words(words: pa.ListArray, coded: pa.DictionaryArray, known: Sequence[Sequence[int]], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+def release_memory() -> None:
+    """Give back what Arrow keeps of freed buffers; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+
+
+def spread_words(words: pa.ListArray, coded: pa.DictionaryArray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and where each text's begin (and the last
-    one's end), from the ids ``known`` of the distinct ``words`` of the texts."""
-    sizes = np.fromiter(map(len, known), np.int64, len(known))
-    ids = np.fromiter(chain.from_iterable(known), kind, int(sizes.sum()))
+    one's end). ``ids`` are those of the distinct ``words``, ``sizes`` of each."""
     starts = np.concatenate(([0], np.cumsum(sizes[coded.indices.to_numpy()])))
     offsets = words.offsets.to_numpy()
     listed = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), ids)

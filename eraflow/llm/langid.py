@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import arrow_slices, hidden, with_fields
+from eraflow.llm.common import arrow_slices, hidden, release_memory, with_fields
 
 WINDOW, WIDTH = 64, 8
 TRAIN_DOCS, TRAIN_WINDOWS = 400, 8
@@ -300,6 +300,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*batch.columns[: len(kept)], pa.array(names), pa.array(scores, pa.float64()), pa.array(counts, pa.list_(pa.int64()))],
                 [*kept, *added],
             )
+        release_memory()
 
     out = with_fields(docs.select(*kept), lang_pred="string", score="double", lang_positions="array<bigint>")
     return back(source.mapInArrow(label, out))

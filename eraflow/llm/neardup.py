@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import broadcast_if_small, hidden, remove, store
+from eraflow.llm.common import broadcast_if_small, hidden, release_memory, remove, store
 from eraflow.llm.components import components
 from eraflow.llm.shingles import mix, set_digest, shingle_set, similar
 
@@ -110,6 +110,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                  pa.array(marks, pa.list_(pa.int32()))],
                 ["doc_id", "text_hash", "n_shingles", "set_hash", "signature"],
             )
+        release_memory()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_hash binary, signature array<int>")
@@ -166,6 +167,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, folder: str,
             chosen = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             if chosen.num_rows:
                 yield chosen
+        release_memory()
 
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     texts = texts_of(ends, nodes, docs, folder)

@@ -30,13 +30,14 @@ import heapq
 import re
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from eraflow.llm.common import arrow_slices, spread_words, with_fields
+from eraflow.llm.common import arrow_slices, release_memory, spread_words, with_fields
 
 SPACE = "▁"
 # Parts of one generation of remembered ones, and the longest (code points) that are kept.
@@ -226,11 +227,11 @@ class PieceModel:
         fresh: list[str] = []
         fresh_ids: list[tuple[int, ...]] = []
         for word in coded.dictionary.to_pylist():
-            chain = prefix + word
-            found = get(chain)
+            marked = prefix + word
+            found = get(marked)
             if found is None:
-                merged = chain not in self.old
-                found = new(chain)
+                merged = marked not in self.old
+                found = new(marked)
                 get = self.young.get
                 if merged and word:
                     fresh.append(word)
@@ -238,7 +239,8 @@ class PieceModel:
             known.append(found)
         if verify:
             self.check(fresh, fresh_ids)  # alone, a word stands behind a space mark too
-        return spread_words(words, coded, known, np.int32)
+        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        return spread_words(words, coded, sizes, np.fromiter(chain.from_iterable(known), np.int32, int(sizes.sum())))
 
     def _cleaned(self, raw: bytes, first: int | None) -> bytes:
         """Bytes of decoded ids without the first mark, wrong ones replaced."""
@@ -311,6 +313,7 @@ def _with(docs: DataFrame, vocabulary: str, verify: bool, kinds: dict[str, str],
                     column += new
             added = [pa.array(c, t) for c, t in zip(done, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *kinds])
+        release_memory()
 
     return docs.mapInArrow(run, with_fields(docs, **kinds))
 

@@ -32,18 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import arrow_slices, file_system, new_file, spread_words, store
+from eraflow.llm.common import arrow_slices, file_system, new_file, release_memory, spread_words, store
 
 SEQUENCE_LENGTH = 2048
 # Sequences of one record batch.
 BATCH_SEQUENCES = 128
 # Pieces of one generation of remembered ones, and the longest that are remembered.
-MEMO_WORDS, MEMO_LENGTH = 400_000, 60
+MEMO_WORDS, MEMO_LENGTH = 200_000, 60
 # Bytes of texts that are encoded at once, and ids that one task reads back.
-SLICE_BYTES, READ_IDS = 16 << 20, 1 << 25
-# Marks before which a run of ASCII letters ends, wherever they stand.
+SLICE_BYTES, READ_IDS = 8 << 20, 1 << 25
+# Lower-case letters that may be plain.
 _LETTERS = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
-_MARKS = frozenset(".,;:!?")
 
 INDEX = "doc_id long, path string, shard int, place long, n_tokens long"
 
@@ -74,12 +73,12 @@ class WordEncoder:
     A vocabulary with the settings ``DROPS_SPACES`` and plain added tokens (no white space
     in them, matched as they stand) gives a text the ids of its pieces one after the
     other. A batch is split at ASCII white space and each distinct piece is looked up
-    once. New pieces go to the library as they are, but for those that surely normalize to
-    a known one: without anything of an added token, in lower case, before a last mark.
-    Known pieces are held in two generations: when the young one is full it becomes the
-    old one, and pieces that are used again move back to the young one. Plain lower-case
-    letters need no normalizing or splitting and go straight to the library's model. Any
-    other vocabulary gets whole texts.
+    once. Texts in which an added token could begin are left as they are; the others are
+    put in lower case and split before marks that follow a letter, as the vocabulary does
+    it, so that fewer pieces are distinct. Known pieces are held in two generations: when
+    the young one is full it becomes the old one, and pieces that are used again move back
+    to the young one. Plain lower-case letters need no normalizing or splitting and go
+    straight to the library's model. Any other vocabulary gets whole texts.
     """
 
     def __init__(self, vocabulary: str, memo: int = MEMO_WORDS):
@@ -90,15 +89,15 @@ class WordEncoder:
             settings = json.load(file)
         added = settings["added_tokens"]
         plain_tokens = all(
-            not any(t[flag] for flag in ("single_word", "lstrip", "rstrip", "normalized")) and t["content"] and not re.search(r"\s", t["content"])
+            not any(t[flag] for flag in ("single_word", "lstrip", "rstrip", "normalized")) and len(t["content"][:1].upper()) == 1 and not re.search(r"\s", t["content"])
             for t in added
         )
         self.by_words = plain_tokens and all(settings[part] == wanted for part, wanted in DROPS_SPACES.items())
-        # Marks that an added token has and a piece must not have to be changed before.
-        self.touchy = re.compile("|".join(re.escape(t["content"][:1]) for t in added) or r"(?!)", re.IGNORECASE)
-        self.numbers = list(range(self.tokenizer.get_vocab_size()))  # ids as shared objects
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        # First characters of added tokens: texts with one go to the library piece by piece.
+        self.touchy = "[" + "".join(sorted({rf"\x{{{ord(c):x}}}" for t in added for c in (t["content"][0].lower(), t["content"][0].upper())})) + "]" if added else "$^"
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.memo = memo
         self.plain = self._plain_letters() if self.by_words else {}
         self.only_plain = re.compile(f"[{''.join(map(chr, self.plain))}]+") if self.plain else None
@@ -115,57 +114,62 @@ class WordEncoder:
                 found[ord(c)] = pieces[0][0][1:-1]
         return found
 
-    @property
-    def dtype(self) -> np.dtype:
-        return np.dtype("<u2" if len(self.numbers) <= 1 << 16 else "<u4")
-
-    def _new(self, word: str) -> list[int]:
-        found = self.old.get(word)
-        if found is None:
-            if self.only_plain and self.only_plain.fullmatch(word):
-                ids = [t.id for t in self.tokenizer.model.tokenize(word.translate(self.plain))]
-                found = [self.numbers[i] for i in ids]
-            elif self.touchy.search(word):
-                found = [self.numbers[i] for i in self._whole(word)]
-            elif len(word) > 1 and word[-1] in _MARKS and word[-2].isascii() and word[-2].isalpha():
-                found = self.word(word[:-1]) + self.word(word[-1:])
-            elif word.isascii() and word != word.lower():
-                found = self.word(word.lower())
-            else:
-                found = [self.numbers[i] for i in self._whole(word)]
-        if len(word) <= MEMO_LENGTH:
-            if len(self.young) >= self.memo:
-                self.old, self.young = self.young, {}
-            self.young[word] = found
+    def _new(self, word: str) -> bytes:
+        if self.only_plain and self.only_plain.fullmatch(word):
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.translate(self.plain))]
+        else:
+            ids = self._whole(word)
+        return np.array(ids, self.dtype).tobytes()
+
+    def _known(self, words: Sequence[str]) -> list[bytes]:
+        """The ids of distinct pieces as bytes, remembered or from the library."""
+        if len(self.young) >= self.memo:
+            self.old, self.young = self.young, {}
+        young, old, found = self.young, self.old, []
+        for word in words:
+            ids = young.get(word)
+            if ids is None:
+                ids = old.get(word)
+                if ids is None:
+                    ids = self._new(word) if word else b""
+                if len(word) <= MEMO_LENGTH:
+                    young[word] = ids
+            found.append(ids)
         return found
 
-    def word(self, word: str) -> list[int]:
-        found = self.young.get(word)
-        return self._new(word) if found is None else found
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        return spread_words(words, coded, sizes, np.frombuffer(b"".join(known), self.dtype))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (and the
         last one's end)."""
         if not self.by_words:
-            parts = [np.array(self._whole(t.as_py()), self.dtype) for t in texts]
-            starts = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
-            return np.concatenate([np.zeros(0, self.dtype), *parts]), starts
-        words = pc.ascii_split_whitespace(texts)
-        coded = words.flatten().dictionary_encode()
-        get, new = self.young.get, self._new
-        known = []
-        for word in coded.dictionary.to_pylist():
-            found = get(word)
-            if found is None:
-                found = new(word) if word else []
-                get = self.young.get
-            known.append(found)
-        return spread_words(words, coded, known, self.dtype)
+            return joined([np.array(self._whole(t.as_py()), self.dtype) for t in texts], self.dtype)
+        touchy = pc.match_substring_regex(texts, self.touchy).to_numpy(zero_copy_only=False)
+        if touchy.all():
+            return self._by_pieces(texts)
+        plain = texts.filter(pa.array(~touchy)) if touchy.any() else texts
+        # A run of letters ends before a mark, wherever it stands, and case does not matter.
+        apart = pc.replace_substring_regex(pc.ascii_lower(plain), r"(\pL)([.,;:!?])", r"\1 \2")
+        flat, starts = self._by_pieces(apart)
+        if not touchy.any():
+            return flat, starts
+        sides = [iter(np.split(f, s[1:-1])) for f, s in ((flat, starts), self._by_pieces(texts.filter(pa.array(touchy))))]
+        return joined([next(sides[int(t)]) for t in touchy], self.dtype)
 
     def __call__(self, text: str | None) -> list[int]:
         return self.batch(pa.array([text or ""]))[0].tolist()
 
 
+def joined(parts: Sequence[np.ndarray], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+    return np.concatenate([np.zeros(0, kind), *parts]), starts
+
+
 @cache
 def encoder(vocabulary: str) -> WordEncoder:
     """The process's encoder: what it knows serves all tasks of a worker."""
@@ -285,6 +289,7 @@ def write_sequences(
         if out is not None:
             out.close()
             sink.close()
+        release_memory()
 
     by = list(order) if order else [F.col("doc_id").cast("long"), F.xxhash64("text")]
     named = [f"_{i}" for i in range(len(by))]
