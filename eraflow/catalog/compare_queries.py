@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eraflow.catalog import sqltext as q
 from eraflow.catalog.registry import register, tidy
+from eraflow.functions.hashing import multiset_digest
 from eraflow.catalog.rows_queries import era_labels, panel_path
 from eraflow.catalog.series_queries import (
     BLOCK20, PAY, RUN, S, SEED, ac_ctes, bootstrap_ctes, corr_series, mmc_series, payouts, _cum, _stats,
@@ -116,7 +117,26 @@ def run_records(spark, sf):
 
 
 def leaderboard(spark, sf):
-    return stored(spark, sf, "leaderboard", lambda s, d: documents.run_leaderboard(run_records(s, d)))
+    return stored(spark, sf, "leaderboard", lambda s, d: documents.registry_leaderboard(run_records(s, d), full_versions(s, d)))
+
+
+def full_versions(spark, sf):
+    """Manifests of full versions, one text line each: of every third nation's family, with
+    rehearsals, an older version and a broken line among them."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("v"))
+    n = n.where("k % 3 = 0")
+    config = F.struct(
+        F.struct(F.lit("all").alias("feature_set"), F.expr("case when k % 2 = 0 then array('target') end").alias("targets")).alias("data"),
+        F.struct(F.lit("gbt").alias("backend"), F.concat(F.lit("preset-"), F.col("k").cast("string")).alias("preset")).alias("model"),
+    )
+    text = F.to_json(F.struct(
+        F.concat(F.lit("run-"), F.col("k").cast("string")).alias("family"), (F.col("v") == 2).alias("rehearsal"),
+        F.concat(F.lit("2026-01-0"), (F.col("v") + 1).cast("string")).alias("promoted_at"),
+        F.expr("'Customer#' || lpad(cast(k * 97 + k % 2 as string), 9, '0')").alias("promoted_from_run_id"), config.alias("config"),
+    ))
+    path = _text_dir(spark, "full-json")
+    n.select(F.when((F.col("k") == 9) & (F.col("v") == 0), '{"family": "run-9"').otherwise(text).alias("value")).write.text(path)
+    return documents.read_full_versions(spark, path, multiline=False)
 
 
 def build_benchmark_board(spark, sf):
@@ -140,10 +160,39 @@ BOARD_DOUBLES = ["corr", "corr_ci_low", "corr_ci_high", "corr_sharpe_ac", "fnc",
 BOARD_KEYS = ["model_id", "source", "run_name", "n_targets", "targets", "max_feature_exposure_reason"]
 
 
-@register("run_leaderboard", q.query([CARDS], q.rounded("cards", [*BOARD_KEYS, "bmc IS NOT NULL AS has_bmc"], BOARD_DOUBLES, 10), panel=False))
+FULL = """
+fv AS (SELECT n_nationkey AS k, 'run-' || n_nationkey::VARCHAR AS family, 'Customer#' || lpad((n_nationkey * 97 + n_nationkey % 2)::VARCHAR, 9, '0') AS promoted FROM nation WHERE n_nationkey % 3 = 0),
+full_rows AS (SELECT family || '::full' AS model_id, 'full' AS source, family AS run_name, family, 'full' AS training_scope, false AS has_full_version, 'gbt' AS backend, 'preset-' || k::VARCHAR AS preset,
+  'all' AS feature_set, CASE WHEN k % 2 = 0 THEN 1::BIGINT END AS n_targets, CASE WHEN k % 2 = 0 THEN 'target' END AS targets FROM fv)"""
+BOARD_ALL = [c for c in documents.UNIFIED if c != "run_dir"]
+
+
+def board_sql() -> str:
+    """All columns but the folder: runs, then full versions, whose scores are NULL."""
+    runs = {
+        "family": "run_name", "training_scope": "'research'", "has_full_version": "run_name IN (SELECT family FROM fv)", "backend": "'gbt'", "preset": "seg",
+        "feature_set": "'all'", "feature_subset": "NULL::VARCHAR", "neutralization_proportion": "0.5::DOUBLE", "oof_device": "'cpu'", "has_bmc": "bmc IS NOT NULL",
+        "has_horizon": "false", "has_perturb": "false", "has_regime": "false", "mmc_down_reason": "NULL::VARCHAR", "tier": "NULL::BIGINT",
+        **{c: "NULL::DOUBLE" for c in ("mmc", "mmc_sharpe_ac", "cwmm", "mean_payout", "mmc_down", "rank_scalar", "cvar5", "burn_rate")},
+        **{c: "NULL::BIGINT" for c in ("corr_n_eras", "corr_sharpe_ac_n_eras", "n_eras")},
+    }
+    full = {"model_id", "source", "run_name", "family", "training_scope", "has_full_version", "backend", "preset", "feature_set", "n_targets", "targets"}
+    doubles = set(documents.SCORE_FIELDS) | {"neutralization_proportion"}
+    cell = lambda c, x: f"round({x}, 10) + 0.0 AS {c}" if c in doubles else f"{x} AS {c}"
+    one = ", ".join(cell(c, runs.get(c, c)) for c in BOARD_ALL)
+    two = ", ".join(c if c in full else f"NULL AS {c}" for c in BOARD_ALL)
+    return q.query([CARDS, FULL], f"SELECT {one} FROM cards UNION ALL SELECT {two} FROM full_rows", panel=False)
+
+
+@register("run_leaderboard", board_sql())
 def run_leaderboard(spark, sf):
-    board = documents.run_leaderboard(run_records(spark, sf))
-    return tidy(board.select(*BOARD_KEYS, "has_bmc", *BOARD_DOUBLES), 10)
+    board = documents.registry_leaderboard(run_records(spark, sf), full_versions(spark, sf))
+    return tidy(board.select(*BOARD_ALL), 10)
+
+
+@register("dangling_versions", q.query([CARDS, FULL], "SELECT family, promoted AS promoted_from_run_id FROM fv WHERE promoted NOT IN (SELECT model_id FROM cards)", panel=False))
+def dangling_versions(spark, sf):
+    return documents.dangling_versions(full_versions(spark, sf), run_records(spark, sf))
 
 
 @register("benchmark_leaderboard",
@@ -237,8 +286,8 @@ READY = " AND ".join(f"coalesce(gate_{f}, {'true' if f == 'turnover_mean' else '
 
 
 @register("gate_status",
-          q.query([*STATUS, BENCH_CARDS], f"SELECT model_id, CASE WHEN model_id = 'Customer#000000007' THEN 'CHAMPION' WHEN {READY} THEN 'CAPITAL READY' ELSE 'RESEARCH' END AS status, gate_corr::VARCHAR AS gate_corr, gate_turnover_mean::VARCHAR AS gate_turnover_mean FROM st "
-                  "UNION ALL SELECT model_id, CASE WHEN model_id = 'Supplier#000000003' THEN 'GATE HURDLE' ELSE 'BENCHMARK' END, (corr >= 0.0286)::VARCHAR, NULL FROM bcards", panel=False))
+          q.query([*STATUS, BENCH_CARDS, FULL], f"SELECT model_id, CASE WHEN model_id = 'Customer#000000007' THEN 'CHAMPION' WHEN {READY} THEN 'CAPITAL READY' ELSE 'RESEARCH' END AS status, gate_corr::VARCHAR AS gate_corr, gate_turnover_mean::VARCHAR AS gate_turnover_mean FROM st "
+                  "UNION ALL SELECT model_id, CASE WHEN model_id = 'Supplier#000000003' THEN 'GATE HURDLE' ELSE 'BENCHMARK' END, (corr >= 0.0286)::VARCHAR, NULL FROM bcards UNION ALL SELECT model_id, 'FULL', NULL, NULL FROM full_rows", panel=False))
 def gate_status(spark, sf):
     board = compare.merged_leaderboard(leaderboard(spark, sf), benchmark_board(spark, sf))
     out = compare.gate_status(board, reference="Supplier#000000003", champion="Customer#000000007")
@@ -246,12 +295,12 @@ def gate_status(spark, sf):
 
 
 @register("leaderboard_order",
-          q.query([CARDS, BENCH_CARDS, "al AS (SELECT model_id, source, run_name, corr_sharpe_ac, NULL::BIGINT AS tier FROM cards UNION ALL SELECT model_id, source, run_name, corr_sharpe_ac, tier FROM bcards)",
-                   "se AS (SELECT *, CASE WHEN model_id = 'Customer#000000007' THEN 0 WHEN source = 'benchmark' THEN 3 ELSE 2 END AS section FROM al)"],
+          q.query([CARDS, BENCH_CARDS, FULL, "al AS (SELECT model_id, source, run_name, corr_sharpe_ac, NULL::BIGINT AS tier FROM cards UNION ALL SELECT model_id, source, run_name, corr_sharpe_ac, tier FROM bcards UNION ALL SELECT model_id, source, run_name, NULL, NULL FROM full_rows)",
+                   "se AS (SELECT *, CASE WHEN model_id = 'Customer#000000007' THEN 0 WHEN source = 'full' THEN 1 WHEN source = 'benchmark' THEN 3 ELSE 2 END AS section FROM al)"],
                   "SELECT section::BIGINT AS section, model_id, source, round(corr_sharpe_ac, 6) + 0.0 AS corr_sharpe_ac, coalesce(tier, -1) AS tier FROM se ORDER BY section, CASE WHEN section = 2 THEN corr_sharpe_ac END DESC NULLS LAST, CASE WHEN section = 3 THEN tier END, model_id", panel=False))
 def leaderboard_order(spark, sf):
     board = compare.merged_leaderboard(leaderboard(spark, sf), benchmark_board(spark, sf))
-    return tidy(compare.ordered_leaderboard(compare.evaluable_rows(board), "Customer#000000007").select("section", "model_id", "source", "corr_sharpe_ac", F.coalesce("tier", F.lit(-1)).alias("tier")))
+    return tidy(compare.ordered_leaderboard(board, "Customer#000000007").select("section", "model_id", "source", "corr_sharpe_ac", F.coalesce("tier", F.lit(-1)).alias("tier")))
 
 
 @register("evaluable_rows", q.query([CARDS], "SELECT model_id, source FROM cards WHERE source <> 'full'", panel=False))
@@ -261,10 +310,11 @@ def evaluable_rows(spark, sf):
 
 @register("fleet_summary",
           q.query([CARDS], "SELECT model_id AS run_id, round(CASE WHEN has_card THEN corr_sharpe_ac END, 6) + 0.0 AS metric, round(corr_sharpe_ac_ci_low, 6) + 0.0 AS metric_ci_low, coalesce(deflated_sharpe >= 0.95::DOUBLE, false) AS dsr_pass, "
+                  "round(corr_sharpe_ac_ci_high, 6) + 0.0 AS metric_ci_high, NULL::BIGINT AS metric_n_eras, round(deflated_sharpe, 6) + 0.0 AS deflated_sharpe, 'cpu' AS oof_device, 'all' AS feature_set, NULL::VARCHAR AS feature_subset, "
+                  "0.5::DOUBLE AS neutralization_proportion, false AS has_horizon, false AS has_perturb, false AS has_regime, 10::BIGINT AS policy_n_trials, 0.95::DOUBLE AS policy_dsr_confidence, "
                   "round(max_feature_exposure, 6) + 0.0 AS max_feature_exposure, max_feature_exposure_reason, seg AS preset, bmc IS NOT NULL AS has_bmc FROM cards", panel=False))
 def fleet_summary(spark, sf):
-    df = compare.fleet_summary(run_records(spark, sf), n_trials=10)
-    return tidy(df.select("run_id", "metric", "metric_ci_low", "dsr_pass", "max_feature_exposure", "max_feature_exposure_reason", "preset", "has_bmc"))
+    return tidy(compare.fleet_summary(run_records(spark, sf), n_trials=10))
 
 
 @register("promotion_verdicts",
@@ -359,9 +409,9 @@ def reconciled_capital(spark, sf):
 
 def scorecards(spark, sf):
     def build(s, d):
-        base = model_predictions(s, d).select("model_id", "era", "id", "prediction", META, "target_a_20", "target_a_60", "bench_a20", *FEATURES)
+        base = model_predictions(s, d).select("model_id", "era", "id", "prediction", META, "target_a_20", "target_a_60", "bench_a20")
         return scorecard.evaluate_models(
-            base, target="target_a_20", meta=META, features=FEATURES, benchmark="bench_a20",
+            base, feature_rows=customer_month(s, d), target="target_a_20", meta=META, features=FEATURES, benchmark="bench_a20",
             horizon_pair=("target_a_20", "target_a_60"), regimes=era_regimes(s, d), n_boot=200, seed=SEED,
         )
 
@@ -405,6 +455,19 @@ def scorecard_digest(spark, sf):
     return compare.scorecard_digest(scorecard.flatten(scorecards(spark, sf)))
 
 
+PANEL_TEXT = "concat_ws('|', era, id, " + ", ".join(f"{f}" for f in FEATURES) + ")"
+
+
+@register("panel_digest",
+          q.query([f"h AS (SELECT sha256({PANEL_TEXT}) AS d FROM panel)",
+                   "p AS (SELECT " + ", ".join(f"('0x' || substr(d, {8 * i + 1}, 8))::BIGINT AS p{i}" for i in range(8)) + " FROM h)",
+                   "s AS (SELECT count(*) AS n_rows, concat_ws(':', count(*), " + ", ".join(f"sum(p{i})::HUGEINT" for i in range(8)) + ", " + ", ".join(f"bit_xor(p{i})" for i in range(8)) + ") AS told FROM p)"],
+                  "SELECT sha256(told) AS digest, n_rows FROM s"))
+def panel_digest(spark, sf):
+    p = customer_month(spark, sf)
+    return multiset_digest(p, F.concat_ws("|", "era", "id", *[F.col(f).cast("string") for f in FEATURES]))
+
+
 @register("scorecard_union")
 def scorecard_union(spark, sf):
     cards = scorecard.flatten(scorecards(spark, sf))

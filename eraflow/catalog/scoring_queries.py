@@ -89,8 +89,42 @@ def score_fnc_two_features(spark, sf):
 
 @register("score_fnc_all_features")
 def score_fnc_all_features(spark, sf):
-    df = model_predictions(spark, sf)
-    return tidy(scoring.per_era_fnc(df, "prediction", FEATURES, "target", MODEL_ERA))
+    df = model_predictions(spark, sf).select(*MODEL_ERA, "id", "prediction")
+    return tidy(scoring.per_era_fnc_models(df, customer_month(spark, sf), FEATURES, "target"))
+
+
+THREE = ["f_qty", "f_tax", "f_prio"]
+
+
+def _three_feature_residual() -> list[str]:
+    """CTEs up to ``nr`` (model_id, era, id, p, t, res): the least-squares residual of z on
+    three features and a constant, by Cramer's rule on centred sums."""
+    a, b, c = THREE
+    sums = ", ".join(f"covar_pop({x}, {y}) AS {n}" for x, y, n in (
+        (a, a, "aa"), (b, b, "bb"), (c, c, "cc"), (a, b, "ab"), (a, c, "ac"), (b, c, "bc"), (a, "z", "az"), (b, "z", "bz"), (c, "z", "cz")))
+    det = "(aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac))"
+    wa = f"(az * (bb * cc - bc * bc) - ab * (bz * cc - bc * cz) + ac * (bz * bc - bb * cz)) / {det}"
+    wb = f"(aa * (bz * cc - bc * cz) - az * (ab * cc - bc * ac) + ac * (ab * cz - bz * ac)) / {det}"
+    wc = f"(aa * (bb * cz - bz * bc) - ab * (ab * cz - bz * ac) + az * (ab * bc - bb * ac)) / {det}"
+    return [
+        f"ns AS (SELECT model_id, era, {sums}, avg({a}) AS ma, avg({b}) AS mb, avg({c}) AS mc, avg(z) AS mz FROM nz GROUP BY model_id, era)",
+        f"nw AS (SELECT model_id, era, ma, mb, mc, mz, {wa} AS wa, {wb} AS wb, {wc} AS wc FROM ns)",
+        f"nr AS (SELECT model_id, era, id, prediction AS p, target AS t, z - mz - wa * ({a} - ma) - wb * ({b} - mb) - wc * ({c} - mc) AS res FROM nz JOIN nw USING (model_id, era))",
+    ]
+
+
+@register(
+    "score_fnc_three_features",
+    q.query([q.MODELS,
+             f"nk AS (SELECT model_id, era, id, prediction, target, {', '.join(THREE)}, ({q.avg_rank('prediction', 'model_id, era')} - 0.5) / count(*) OVER (PARTITION BY model_id, era) AS u FROM models)",
+             f"nz AS (SELECT *, {q.ppf('u')} AS z FROM nk)", *_three_feature_residual(),
+             "nd AS (SELECT model_id, era, id, CASE WHEN abs(res) > 1e-9 THEN res ELSE 0.0 END AS res, t FROM nr)",
+             q.corr_scores("s", "nd", "res", "t", "model_id, era")],
+            q.rounded("s", ["model_id", "era"], ["value"], 5)),
+)
+def score_fnc_three_features(spark, sf):
+    df = model_predictions(spark, sf).select(*MODEL_ERA, "id", "prediction")
+    return tidy(scoring.per_era_fnc_models(df, customer_month(spark, sf), THREE, "target"), 5)
 
 
 @register(

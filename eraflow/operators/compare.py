@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eraflow.functions.hashing import multiset_digest
 from eraflow.functions.stats import is_finite
 from eraflow.operators import scoring, series
 
@@ -187,20 +188,26 @@ def ordered_leaderboard(board: DataFrame, champion: str | None = None) -> DataFr
 def fleet_summary(
     runs: DataFrame, metric: str = "corr_sharpe_ac", n_trials: int = 1, confidence: float = 0.95
 ) -> DataFrame:
-    """One row per run record with the chosen metric, its interval, and why an exposure
-    is missing; runs without a scorecard keep their row."""
+    """One row per run record with the chosen metric, its interval and eras, the deflated
+    ratio against ``confidence``, why an exposure is missing, what the run is made of and
+    which diagnostics it has; runs without a scorecard keep their row."""
+    if n_trials < 1:
+        raise ValueError("n_trials must be at least 1")
+    if not 0.0 < confidence < 1.0:
+        raise ValueError("confidence must be between 0 and 1")
     card, config = "scorecard", "manifest.config"
     ranked = F.coalesce(F.col("manifest.scorecard_prediction_scale") == "percentile_rank", F.lit(False))
     fields = runs.schema["scorecard"].dataType.fieldNames()
 
-    def optional(name: str) -> Column:
-        return F.col(f"{card}.{name}") if name in fields else F.lit(None).cast("double")
+    def optional(name: str, kind: str = "double") -> Column:
+        return F.col(f"{card}.{name}").cast(kind) if name in fields else F.lit(None).cast(kind)
 
     table = runs.select(
         "run_id",
         F.col(f"{card}.{metric}").alias("metric"),
         optional(f"{metric}_ci_low").alias("metric_ci_low"),
         optional(f"{metric}_ci_high").alias("metric_ci_high"),
+        optional(f"{metric}_n_eras", "bigint").alias("metric_n_eras"),
         F.col(f"{card}.deflated_sharpe").alias("deflated_sharpe"),
         F.coalesce(F.col(f"{card}.deflated_sharpe") >= confidence, F.lit(False)).alias("dsr_pass"),
         F.when(ranked, F.col(f"{card}.max_feature_exposure")).alias("max_feature_exposure"),
@@ -208,8 +215,14 @@ def fleet_summary(
         F.col("manifest.oof_device").alias("oof_device"),
         F.col(f"{config}.model.preset").alias("preset"),
         F.col(f"{config}.data.feature_set").alias("feature_set"),
-        F.col(f"{card}.bmc").isNotNull().alias("has_bmc"),
+        F.col(f"{config}.data.feature_subset").alias("feature_subset"),
+        F.col(f"{config}.risk.neutralization_proportion").alias("neutralization_proportion"),
+        optional("bmc").isNotNull().alias("has_bmc"),
+        optional("horizon_model_sharpe_20").isNotNull().alias("has_horizon"),
+        optional("perturb_ceiling_stability").isNotNull().alias("has_perturb"),
+        optional("regime_count").isNotNull().alias("has_regime"),
         F.lit(n_trials).cast("bigint").alias("policy_n_trials"),
+        F.lit(float(confidence)).alias("policy_dsr_confidence"),
     )
     return table.orderBy(F.desc_nulls_last("metric"), "run_id")
 
@@ -306,15 +319,11 @@ def reconcile_capital(board: DataFrame, corr: DataFrame, mmc: DataFrame, meta_co
 
 def scorecard_digest(cards: DataFrame, digits: int = 6) -> DataFrame:
     """One digest of all scorecards, without timings, rounded so that the order of
-    additions does not show. A row's digest is taken where the row is; only one short
-    line per model is gathered."""
+    additions does not show. Neither partitioning nor the order of rows matters: the rows'
+    hashes are added up (``hashing.multiset_digest``), and nothing is gathered."""
     columns = sorted(c for c in cards.columns if not c.startswith("timing_"))
     cells = []
     for c in columns:
         kind = cards.schema[c].dataType.typeName()
         cells.append(F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c))
-    lines = cards.select("model_id", F.sha2(F.to_json(F.struct(*cells)), 256).alias("digest"))
-    ordered = F.sort_array(F.collect_list(F.struct("model_id", "digest")))
-    return lines.agg(
-        F.sha2(F.to_json(ordered), 256).alias("digest"), F.count(F.lit(1)).alias("n_models")
-    )
+    return multiset_digest(cards, F.to_json(F.struct(*cells))).withColumnRenamed("n_rows", "n_models")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eraflow.functions.ranks import group_shape, with_ranks
+from eraflow.functions.running import running_totals
 from eraflow.functions.stats import is_finite, ratio, with_norm_ppf
 from eraflow.operators.neutralize import FLUSH_BYTES, feature_vector
 from eraflow.session import broadcast_rows, materialize
@@ -178,21 +179,63 @@ def set_sizes(sets: DataFrame) -> DataFrame:
     return sets.distinct().groupBy("feature_set").agg(F.count("feature").alias("n_features"))
 
 
-def set_subsets(sets: DataFrame) -> DataFrame:
-    """For every ordered pair of sets: is the first contained in the second? Shared
-    members come from an equi-join on the feature; only set names are paired freely."""
+# Features of one word of a set's bitmap, and blocks of names when all pairs are listed.
+WORD_BITS, NAME_BLOCKS = 63, 64
+
+
+def set_bitmaps(sets: DataFrame) -> DataFrame:
+    """Sets as bitmaps: (feature_set, words, size, rarest). ``words`` maps the number of a
+    word to its bits; ``rarest`` is the member that is in the fewest sets. Features are
+    numbered by how often they occur, the rarest first, from running totals, so that
+    neither the names nor a set's members meet in one row."""
     members = sets.select("feature_set", "feature").where(F.col("feature").isNotNull()).distinct()
-    left = members.withColumnRenamed("feature_set", "a")
-    right = members.withColumnRenamed("feature_set", "b")
-    shared = left.join(right, "feature").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    sizes = sets.groupBy(F.col("feature_set").alias("a")).agg(
-        F.count_distinct("feature").alias("size")
+    uses = members.groupBy("feature").agg(F.count(F.lit(1)).alias("uses"))
+    key = F.concat(F.lpad(F.col("uses").cast("string"), 20, "0"), F.lit("|"), F.col("feature"))
+    numbers = running_totals(
+        uses.select("feature", key.alias("key"), F.lit(1).alias("one"), F.lit(0).alias("all")), ["all"], "key", {"number": "one"}
     )
-    names = sets.agg(F.sort_array(F.collect_set("feature_set")).alias("names")).scalar()
-    pairs = sizes.withColumn("names", names).select("a", "size", F.explode("names").alias("b")).where("a <> b")
-    return pairs.join(shared, ["a", "b"], "left").select(
-        "a", "b", (F.coalesce("both", F.lit(0)) == F.col("size")).alias("a_subset_of_b")
+    placed = members.join(numbers.select("feature", "number"), "feature")
+    word, bit = F.floor(F.col("number") / WORD_BITS), F.pmod("number", F.lit(WORD_BITS)).cast("int")
+    words = placed.groupBy("feature_set", word.cast("bigint").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"),
+        F.count(F.lit(1)).alias("n"), F.min("number").alias("least"),
     )
+    return words.groupBy("feature_set").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"),
+        F.sum("n").alias("size"), F.min("least").alias("rarest"),
+    )
+
+
+def contained_sets(sets: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different sets of which the first, not empty, is within the
+    second. A set that holds another holds its rarest member, so candidates come from an
+    equi-join on it; they are told apart by and-not of bitmaps."""
+    maps = materialize(set_bitmaps(sets), "set-bitmaps")
+    width = F.lit(WORD_BITS)
+    bits = F.explode(F.map_entries("words")).alias("w")
+    held = maps.select(F.col("feature_set").alias("b"), bits).select(
+        "b", F.explode(F.transform(F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.getbit(F.col("w.value"), i) == 1), lambda i: F.col("w.key") * width + i)).alias("rarest")
+    )
+    candidates = maps.select(F.col("feature_set").alias("a"), "size", "rarest").join(held, "rarest").where("a <> b")
+    larger = maps.select(F.col("feature_set").alias("b"), F.col("words").alias("other"), F.col("size").alias("size_b"))
+    both = candidates.join(larger, "b").where("size <= size_b").join(maps.select(F.col("feature_set").alias("a"), "words"), "a")
+    missing = F.exists(
+        F.map_entries("words"),
+        lambda w: w["value"].bitwiseAND(F.bitwise_not(F.coalesce(F.col("other")[w["key"]], F.lit(0).cast("bigint")))) != 0,
+    )
+    return both.where(~missing).select("a", "b")
+
+
+def set_subsets(sets: DataFrame) -> DataFrame:
+    """For every ordered pair of sets: is the first contained in the second? The answer
+    has a row per pair; names are dealt to blocks and paired block by block."""
+    found = contained_sets(sets).withColumn("inside", F.lit(True))
+    names = sets.groupBy("feature_set").agg(F.count("feature").alias("n"))
+    block = F.pmod(F.xxhash64("feature_set"), F.lit(NAME_BLOCKS))
+    left = names.select(F.col("feature_set").alias("a"), (F.col("n") == 0).alias("empty"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(NAME_BLOCKS - 1).cast("bigint"))).alias("block"))
+    right = names.select(F.col("feature_set").alias("b"), block.alias("block"))
+    pairs = left.join(right, "block").where("a <> b")
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", (F.coalesce("inside", F.lit(False)) | F.col("empty")).alias("a_subset_of_b"))
 
 
 def era_pair_difference(df: DataFrame, features: str | Sequence[str], era_a: str, era_b: str) -> DataFrame:

@@ -43,50 +43,49 @@ def _fold(blocks: list[np.ndarray]) -> np.ndarray:
     return np.linalg.qr(np.vstack(blocks), mode="r")
 
 
-def fit_projection(
-    df: DataFrame,
-    preds: Sequence[str],
-    vector: str,
-    by: Sequence[str],
-    shape: tuple[int, int] | None = None,
+def factors(
+    df: DataFrame, tail: Column, vector: str, by: Sequence[str], shape: tuple[int, int] | None = None
 ) -> DataFrame:
-    """Least-squares coefficients per group: (by, fits), where ``fits`` holds one
-    (coefficients, flat) pair per prediction and ``flat`` marks a constant one.
-    Rows must be complete."""
+    """Triangular factors of [features, 1, tail] per group, folded as far as one group's
+    few remaining ones: (by, way, width, design, factor, low, high). ``tail`` is an array
+    of right-hand sides, of one length within a group; ``low`` and ``high`` are their
+    extremes and ``design`` counts the columns before them. Rows must be complete."""
     shape = shape or group_shape(df, by)
-    by, preds = list(by), list(preds)
+    by = list(by)
     key_fields = [df.schema[c] for c in by]
     block_schema = T.StructType(
         [
             *key_fields,
             T.StructField("way", T.IntegerType()),
             T.StructField("width", T.IntegerType()),
+            T.StructField("design", T.IntegerType()),
             T.StructField("factor", T.ArrayType(T.DoubleType())),
             T.StructField("low", T.ArrayType(T.DoubleType())),
             T.StructField("high", T.ArrayType(T.DoubleType())),
         ]
     )
-    n_preds = len(preds)
     rows = df.select(
         *by,
         F.pmod(F.spark_partition_id(), F.lit(WIDE_WAYS)).alias("way"),
-        F.concat(F.col(vector), F.array(F.lit(1.0), *[F.col(p) for p in preds])).alias("row"),
+        (F.size(vector) + 1).alias("design"),
+        F.concat(F.col(vector), F.array(F.lit(1.0)), tail).alias("row"),
     )
 
     def factor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
-        size = way = 0
+        size = way = design = 0
 
         def flush(like: pa.Schema) -> pa.RecordBatch:
-            factors = [_fold(state[0]) for state in held.values()]
+            found = [_fold(state[0]) for state in held.values()]
             doubles = pa.list_(pa.float64())
             columns = [
                 pa.array([key[i] for key in held], like.field(c).type) for i, c in enumerate(by)
             ]
             columns += [
                 pa.array([way] * len(held), pa.int32()),
-                pa.array([f.shape[1] for f in factors], pa.int32()),
-                pa.array([f.ravel() for f in factors], doubles),
+                pa.array([f.shape[1] for f in found], pa.int32()),
+                pa.array([design] * len(held), pa.int32()),
+                pa.array([f.ravel() for f in found], doubles),
                 pa.array([state[2] for state in held.values()], doubles),
                 pa.array([state[3] for state in held.values()], doubles),
             ]
@@ -96,20 +95,22 @@ def fit_projection(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            way = batch.column("way")[0].as_py()
-            rows_in = batch.column("row").flatten().to_numpy(zero_copy_only=False)
-            matrix = rows_in.reshape(batch.num_rows, -1)
-            if not np.isfinite(matrix).all():
+            way, design = batch.column("way")[0].as_py(), batch.column("design")[0].as_py()
+            cells = batch.column("row").flatten().to_numpy(zero_copy_only=False)
+            starts = batch.column("row").offsets.to_numpy()
+            starts = starts - starts[0]
+            if not np.isfinite(cells).all():
                 raise ValueError("predictions and features must be finite")
             keys = batch.select(by).to_pandas()
             codes = keys.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
             order = np.argsort(codes, kind="stable")
             cuts = np.flatnonzero(np.diff(codes[order])) + 1
             for members in np.split(order, cuts):
-                block = matrix[members]
+                width = starts[members[0] + 1] - starts[members[0]]
+                block = cells[starts[members][:, None] + np.arange(width)]
                 key = tuple(batch.column(c)[int(members[0])].as_py() for c in by)
-                tail = block[:, block.shape[1] - n_preds :]
-                low, high = tail.min(axis=0), tail.max(axis=0)
+                sides = block[:, design:]
+                low, high = sides.min(axis=0), sides.max(axis=0)
                 state = held.get(key)
                 if state is None:
                     held[key] = [[block], len(block), low, high]
@@ -130,38 +131,11 @@ def fit_projection(
         if held:
             yield flush(batch.schema)
 
-    def unpack(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        low = np.vstack(part["low"].to_numpy()).min(axis=0)
-        high = np.vstack(part["high"].to_numpy()).max(axis=0)
-        width = int(part["width"].iloc[0])
-        blocks = [np.asarray(f, dtype=float).reshape(-1, width) for f in part["factor"]]
-        return _fold(blocks), low, high
-
     def fold_ways(part: pd.DataFrame) -> pd.DataFrame:
-        factor, low, high = unpack(part)
-        row = {c: part[c].iloc[0] for c in [*by, "way", "width"]}
+        factor, low, high = _unpacked(part)
+        row = {c: part[c].iloc[0] for c in [*by, "way", "width", "design"]}
         return pd.DataFrame([{**row, "factor": factor.ravel(), "low": low, "high": high}])
 
-    fit_type = T.ArrayType(
-        T.StructType(
-            [
-                T.StructField("coefficients", T.ArrayType(T.DoubleType())),
-                T.StructField("flat", T.BooleanType()),
-            ]
-        )
-    )
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        factor, low, high = unpack(part)
-        n_design = factor.shape[1] - n_preds
-        top = factor[:n_design]
-        solution = np.linalg.lstsq(top[:, :n_design], top[:, n_design:], rcond=RCOND)[0]
-        fits = [
-            {"coefficients": solution[:, i].tolist(), "flat": bool(low[i] == high[i])}
-            for i in range(n_preds)
-        ]
-        return pd.DataFrame([{**{c: part[c].iloc[0] for c in by}, "fits": fits}])
-
     blocks = rows.mapInArrow(factor_rows, block_schema)
     if shape[1] > max_group_rows(df.sparkSession):
         steps = (WIDE_WAYS, NARROW_WAYS)
@@ -170,12 +144,96 @@ def fit_projection(
     for ways in steps:
         spread = blocks.withColumn("way", F.pmod("way", F.lit(ways)))
         blocks = spread.groupBy(*by, "way").applyInPandas(fold_ways, block_schema)
-    return blocks.groupBy(*by).applyInPandas(
-        solve, T.StructType([*key_fields, T.StructField("fits", fit_type)])
-    )
+    return blocks
+
+
+def _unpacked(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fold of factors of one width, and the extremes over them."""
+    low = np.vstack(part["low"].to_numpy()).min(axis=0)
+    high = np.vstack(part["high"].to_numpy()).max(axis=0)
+    width = int(part["width"].iloc[0])
+    return _fold([np.asarray(f, dtype=float).reshape(-1, width) for f in part["factor"]]), low, high
+
+
+def _solved(factor: np.ndarray, design: int) -> np.ndarray:
+    top = factor[:design]
+    return np.linalg.lstsq(top[:, :design], top[:, design:], rcond=RCOND)[0]
 
 
-def _dot(coefficients: Column, vector: Column) -> Column:
+def fit_projection(
+    df: DataFrame,
+    preds: Sequence[str],
+    vector: str,
+    by: Sequence[str],
+    shape: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Least-squares coefficients per group: (by, fits), where ``fits`` holds one
+    (coefficients, flat) pair per prediction and ``flat`` marks a constant one.
+    Rows must be complete."""
+    by = list(by)
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        factor, low, high = _unpacked(part)
+        solution = _solved(factor, int(part["design"].iloc[0]))
+        fits = [
+            {"coefficients": solution[:, i].tolist(), "flat": bool(low[i] == high[i])}
+            for i in range(len(preds))
+        ]
+        return pd.DataFrame([{**{c: part[c].iloc[0] for c in by}, "fits": fits}])
+
+    fit = T.StructType([
+        T.StructField("coefficients", T.ArrayType(T.DoubleType())), T.StructField("flat", T.BooleanType()),
+    ])
+    blocks = factors(df, F.array(*[F.col(p) for p in preds]), vector, by, shape)
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("fits", T.ArrayType(fit))])
+    return blocks.groupBy(*by).applyInPandas(solve, schema)
+
+
+SEPARATOR = "\x1f"
+
+
+def fit_models(rows: DataFrame, vector: str, name: str = "model_id") -> DataFrame:
+    """Least-squares coefficients of every model's scores on the features of its own rows,
+    per era, stored: (era, model, coefficients, flat). ``rows`` has era, the features'
+    ``vector`` and ``scores``, an array of (``name``, z) sorted by name, of the models
+    that have the row.
+
+    The features of an era are factored once per pattern of models that share rows, with
+    the models' scores as further columns; where all models have all rows that is once.
+    A model's factor is the fold of those of its patterns, again shared by all models of
+    the same patterns."""
+    marked = rows.select(
+        "era", vector, F.array_join(F.transform("scores", lambda s: s[name]), SEPARATOR).alias("pattern"),
+        F.transform("scores", lambda s: s["z"]).alias("sides"),
+    )
+    blocks = factors(marked, F.col("sides"), vector, ["era", "pattern"], group_shape(rows, ["era"]))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        patterns = [(pattern.split(SEPARATOR), *_unpacked(block)) for pattern, block in part.groupby("pattern", sort=True)]
+        design = int(part["design"].iloc[0])
+        of: dict[tuple[int, ...], list[str]] = {}
+        for model in sorted({m for models, *_ in patterns for m in models}):
+            of.setdefault(tuple(i for i, (models, *_) in enumerate(patterns) if model in models), []).append(model)
+        out = []
+        for used, models in of.items():
+            places = [[patterns[i][0].index(m) for m in models] for i in used]
+            parts = [patterns[i][1][:, [*range(design), *(design + p for p in at)]] for i, at in zip(used, places, strict=True)]
+            solution = _solved(parts[0] if len(parts) == 1 else _fold(parts), design)
+            low = np.min([patterns[i][2][at] for i, at in zip(used, places, strict=True)], axis=0)
+            high = np.max([patterns[i][3][at] for i, at in zip(used, places, strict=True)], axis=0)
+            for k, model in enumerate(models):
+                out.append({"era": part["era"].iloc[0], "model": model, "coefficients": solution[:, k].tolist(), "flat": bool(low[k] == high[k])})
+        return pd.DataFrame(out)
+
+    schema = T.StructType([
+        rows.schema["era"], T.StructField("model", T.StringType()),
+        T.StructField("coefficients", T.ArrayType(T.DoubleType())), T.StructField("flat", T.BooleanType()),
+    ])
+    return materialize(blocks.groupBy("era").applyInPandas(solve, schema), "model-fits")
+
+
+def fitted_value(coefficients: Column, vector: Column) -> Column:
+    """The projection of a row: its features and a constant, times the coefficients."""
     terms = F.zip_with(
         coefficients, F.concat(vector, F.array(F.lit(1.0))), lambda c, x: c * x
     )
@@ -200,7 +258,7 @@ def project(
     for i, name in enumerate(preds):
         fit = F.col("fits")[i]
         value = F.when(fit["flat"], F.lit(0.0)).otherwise(
-            _dot(fit["coefficients"], F.col(vector).cast("array<double>"))
+            fitted_value(fit["coefficients"], F.col(vector).cast("array<double>"))
         )
         out = out.withColumn("fit" if isinstance(pred, str) else f"fit_{name}", value)
     return out.drop("fits")

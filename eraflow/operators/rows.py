@@ -206,7 +206,8 @@ def block_score_matrix(
     ).where(all_finite(["a", "b", "t"]))
     s = rows.groupBy("block").agg(
         F.var_pop("a").alias("aa"), F.var_pop("b").alias("bb"), F.covar_pop("a", "b").alias("ab"),
-        F.covar_pop("a", "t").alias("at"), F.covar_pop("b", "t").alias("bt"),
+        F.covar_pop("a", "t").alias("at"), F.covar_pop("b", "t").alias("bt"), F.var_pop("t").alias("tt"),
+        F.count(F.lit(1)).alias("n"),
     )
     det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
     fits = s.select(
@@ -214,15 +215,14 @@ def block_score_matrix(
         ratio(F.col("at") * F.col("bb") - F.col("bt") * F.col("ab"), det).alias("wa"),
         ratio(F.col("bt") * F.col("aa") - F.col("at") * F.col("ab"), det).alias("wb"),
     )
+    # A fit's correlation with the target of a block needs that block's second moments only.
     packed = fits.agg(F.collect_list(F.struct("train_block", "wa", "wb")).alias("fits")).scalar()
-    keyed = rows.withColumn("fits", packed)
-    scored = keyed.select("block", "a", "b", "t", F.explode("fits").alias("f")).select(
-        F.col("f.train_block").alias("train_block"), F.col("block").alias("test_block"), "t",
-        (F.col("f.wa") * F.col("a") + F.col("f.wb") * F.col("b")).alias("p"),
-    )
-    from eraflow.functions.stats import safe_corr
-
-    return scored.groupBy("train_block", "test_block").agg(safe_corr(F.col("p"), F.col("t")).alias("corr"))
+    paired = s.withColumn("fits", packed).select(F.col("block").alias("test_block"), "*", F.explode("fits").alias("f"))
+    wa, wb = F.col("f.wa"), F.col("f.wb")
+    spread = wa * wa * F.col("aa") + 2 * wa * wb * F.col("ab") + wb * wb * F.col("bb")
+    scale = F.sqrt(F.greatest(spread, F.lit(0.0))) * F.sqrt("tt")
+    corr = F.when((F.col("n") >= 2) & (scale > 0), ratio(wa * F.col("at") + wb * F.col("bt"), scale))
+    return paired.select(F.col("f.train_block").alias("train_block"), "test_block", F.coalesce(corr, F.lit(0.0)).alias("corr"))
 
 
 def checked_ids(df: DataFrame) -> DataFrame:

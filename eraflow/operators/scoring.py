@@ -23,7 +23,8 @@ from eraflow.functions.stats import (
     safe_corr,
     signed_power,
 )
-from eraflow.operators.neutralize import project
+from eraflow.operators.neutralize import feature_vector, fit_models, fitted_value, project
+from eraflow.session import broadcast_checked, materialize
 
 MIN_OVERLAP_ERAS = 20
 MIN_SHARED_IDS = 10
@@ -203,6 +204,41 @@ def per_era_fnc(
     return per_era_corr_or_zero(residual, "residual", "t", by, shape)
 
 
+def per_era_fnc_models(
+    predictions: DataFrame, rows: DataFrame, features: str | Sequence[str], target: str, name: str = "model_id"
+) -> DataFrame:
+    """:func:`per_era_fnc` of many models: (model, era, value). ``predictions`` is long
+    (``name``, era, id, prediction); ``rows`` has target and features once per (era, id).
+    The features never travel with the models: scores are put together per row, and the
+    features of an era are factored once for all of them (``neutralize.fit_models``)."""
+    usable = rows.select("era", "id", F.col(target).cast("double").alias("t"), feature_vector(features).alias("x"))
+    usable = usable.where(is_finite("t") & F.coalesce(F.forall("x", is_finite), F.lit(False)))
+    listed = predictions.select(F.col(name).cast("string").alias(name), "era", "id", F.col("prediction").cast("double").alias("p"))
+    known = listed.where(is_finite("p")).join(usable.select("era", "id"), ["era", "id"], "left_semi")
+    ranked = with_rank_gauss(known, [name, "era"], {"z": "p"}, shape=group_shape(known, [name, "era"]))
+    together = ranked.groupBy("era", "id").agg(F.sort_array(F.collect_list(F.struct(name, "z", "p"))).alias("scores"))
+    wide = materialize(together.join(usable, ["era", "id"]), "model-rows")
+    fits = fit_models(wide, "x", name)
+    coefficients = fits.groupBy("era").agg(
+        F.map_from_entries(F.collect_list(F.struct("model", F.struct("coefficients", "flat")))).alias("fits")
+    )
+    placed = wide.join(broadcast_checked(coefficients), "era")
+
+    def residual(score: Column) -> Column:
+        fit = F.col("fits")[score[name]]
+        rest = score["z"] - F.when(fit["flat"], F.lit(0.0)).otherwise(fitted_value(fit["coefficients"], F.col("x")))
+        # a residual that is rounding noise of an exact fit counts as constant
+        return F.struct(score[name].alias(name), score["p"].alias("p"), F.when(F.abs(rest) > 1e-9, rest).otherwise(0.0).alias("residual"))
+
+    rest = placed.select("era", "t", F.explode(F.transform("scores", residual)).alias("r"))
+    rest = rest.select("era", "t", "r.*", F.lit(True).alias("ok"))
+    by = [name, "era"]
+    shape = (group_shape(known, by)[0], group_shape(known, by)[1])
+    scored = per_era_corr_or_zero(rest, "residual", "t", by, shape)
+    every = listed.select(name, "era").distinct()
+    return every.join(scored, by, "left").select(*by, F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def per_era_corr_or_zero(df, pred, target, by, shape):
     scored = with_rank_gauss(
         df, [*by, "ok"], {"zr": pred}, count_as="__n2", stats={"t_mean": F.avg(target)}, shape=shape
@@ -273,8 +309,6 @@ def era_positions(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def consecutive_pairs(df: DataFrame, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Each id's prediction in an era beside the one in the era before."""
-    from eraflow.session import broadcast_checked
-
     positions = broadcast_checked(era_positions(df, by))
     rows = df.select(*by, "era", "era_num", "id", F.col(pred).alias("now")).join(
         positions, [*by, "era", "era_num"]

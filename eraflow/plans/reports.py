@@ -51,10 +51,10 @@ def hierarchy(
     tiers = predictions.select("model_id", "tier").distinct()
     base = scorecard.evaluation_rows(
         predictions.drop("tier"), rows.select("era", "id", meta), rows.select("era", "id", target),
-        rows.select("era", "id", *features), rows.select("era", "id", F.col(benchmarks[0]).alias("reference")),
+        rows.select("era", "id"), rows.select("era", "id", F.col(benchmarks[0]).alias("reference")),
     )
     cards = scorecard.evaluate_models(
-        base, target=target, meta=meta, features=features, benchmark="reference", n_boot=n_boot
+        base, target=target, meta=meta, features=features, benchmark="reference", n_boot=n_boot, feature_rows=rows
     )
     flat = scorecard.flatten(cards).join(tiers, "model_id", "left")
     return flat.withColumn("strategy_group", F.concat(F.lit("tier"), F.col("tier").cast("string")))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.functions.stats import none_null, safe_corr
-from eraflow.operators import inference, robustness, scoring, series
-from eraflow.operators.analysis import unpivot
+from eraflow.functions.stats import all_finite, is_finite
+from eraflow.operators import inference, normal, robustness, scoring, series
 from eraflow.session import materialize
 
 BY = ["model_id"]
@@ -33,9 +34,10 @@ def evaluation_rows(
 
 
 def per_era_scores(
-    base: DataFrame, target: str, meta: str, features: Sequence[str], benchmark: str | None
+    base: DataFrame, target: str, meta: str, features: Sequence[str], benchmark: str | None, feature_rows: DataFrame
 ) -> DataFrame:
-    """(model_id, metric, era, era_num, value) for every per-era metric."""
+    """(model_id, metric, era, era_num, value) for every per-era metric; ``feature_rows``
+    has target and features once per (era, id)."""
     if scoring.all_rows_finite(base, ["prediction", meta, target]):
         core = scoring.core_scores(base, "prediction", meta, target, KEYS)
         names = ("corr", "meta_corr", "mmc", "cwmm")
@@ -52,7 +54,7 @@ def per_era_scores(
             "meta_corr": scoring.per_era_corr(base, meta, target, KEYS),
             "cwmm": scoring.per_era_cwmm(base, "prediction", meta, KEYS, 0),
         }
-    parts["fnc"] = scoring.per_era_fnc(base, "prediction", features, target, KEYS)
+    parts["fnc"] = scoring.per_era_fnc_models(base, feature_rows, features, target)
     if benchmark is not None:
         parts["bmc"] = scoring.per_era_bmc(base, "prediction", benchmark, target, KEYS, 0)
     for metric, df in parts.items():
@@ -61,12 +63,44 @@ def per_era_scores(
     return series.with_era_num(out)
 
 
-def max_exposure(base: DataFrame, features: Sequence[str]) -> DataFrame:
-    ok = none_null(["prediction", *features])
-    rows = base.where(ok).withColumn("__p", F.col("prediction").cast("double"))
-    long = unpivot(rows, [*KEYS, "__p"], features, "v")
-    per = long.groupBy(*KEYS, "k").agg(safe_corr(F.col("__p"), F.col("v")).alias("x"))
-    return per.groupBy(*BY).agg(F.max(F.abs("x")).alias("max_feature_exposure"))
+def max_exposure(predictions: DataFrame, feature_rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The largest size of a correlation of a model's predictions with a feature in an era.
+    Predictions are put together per row, and one scan folds their products with the
+    features (``normal.era_moments``), whatever the number of models."""
+    models = sorted(r["model_id"] for r in predictions.select("model_id").distinct().collect())
+    names = [f"__m{i}" for i in range(len(models))]
+    told = F.map_from_entries(F.collect_list(F.struct("model_id", F.col("prediction").cast("double").alias("p"))))
+    known = predictions.where(is_finite("prediction")).groupBy("era", "id").agg(told.alias("ps"))
+    wide = known.join(feature_rows.select("era", "id", *features).where(all_finite(features)), ["era", "id"])
+    wide = wide.withColumns({n: F.col("ps")[m] for n, m in zip(names, models, strict=True)}).drop("ps")
+    moments = normal.era_moments(wide, features, names)
+    sizes = moments.groupBy("era").applyInPandas(_exposures(len(features), models), "model_id string, size double")
+    found = sizes.groupBy("model_id").agg(F.max("size").alias("max_feature_exposure"))
+    return predictions.select("model_id").distinct().join(found, "model_id")
+
+
+def _exposures(n_features: int, models: Sequence[str]):
+    def of_era(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        sets = [
+            (pattern, normal.Moments.unpacked(int(n), np.asarray(mean), np.asarray(spread)))
+            for pattern, n, mean, spread in zip(part["pattern"], part["n"], part["mean"], part["spread"], strict=True)
+        ]
+        for i, model in enumerate(models):
+            whole = None
+            for pattern, moments in sets:
+                if pattern[i] == "1":
+                    whole = normal.merged(whole, moments)
+            if whole is None:
+                continue
+            own = n_features + i
+            scale = np.sqrt(np.diag(whole.spread)[:n_features] * whole.spread[own, own])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sizes = np.where(scale > 0, np.abs(whole.spread[:n_features, own]) / scale, 0.0)
+            out.append((model, float(sizes.max())))
+        return pd.DataFrame(out, columns=["model_id", "size"])
+
+    return of_era
 
 
 def _cells(scores: DataFrame, horizon: str, min_overlap_eras: int, **options) -> DataFrame:
@@ -107,20 +141,37 @@ def evaluate_models(
     n_boot: int = 1000,
     seed: int = 0,
     min_overlap_eras: int = scoring.MIN_OVERLAP_ERAS,
+    feature_rows: DataFrame | None = None,
+    perturbation: DataFrame | None = None,
+    payout_factor: float = 1.0,
+    payout_bound: float = series.PAYOUT_CLIP,
+    level: float = 0.95,
 ) -> DataFrame:
     """One row per model. Cells are structs (value, ci_low, ci_high, n_eras); a cell that
-    cannot be computed is NULL and its ``*_reason`` says why."""
-    base = materialize(base, "evaluation-base")
-    scores = materialize(per_era_scores(base, target, meta, features, benchmark), "scores")
+    cannot be computed is NULL and its ``*_reason`` says why.
+
+    ``feature_rows`` has target and features once per (era, id), so that the base of
+    all models holds none; without it they are taken out of ``base``. ``perturbation``
+    (model_id, ceiling_stability, manifold_stability, gap, ...) joins the cards as
+    ``perturb_`` columns. Payouts are scaled by ``payout_factor`` and clipped at
+    ``payout_bound``; intervals hold the share ``level`` of the replicates."""
+    if not 0.0 < level < 1.0:
+        raise ValueError("level must be between 0 and 1")
+    if feature_rows is None:
+        feature_rows = base.select("era", "id", target, *features).dropDuplicates(["era", "id"])
+    feature_rows = materialize(feature_rows.select("era", "id", target, *features), "feature-rows")
+    complete = feature_rows.select("era", "id", all_finite(features).alias("features_ok"))
+    base = materialize(base.drop(*features).join(complete, ["era", "id"], "left"), "evaluation-base")
+    scores = materialize(per_era_scores(base, target, meta, features, benchmark, feature_rows), "scores")
 
     def metric(name: str) -> DataFrame:
         return scores.where(F.col("metric") == name).drop("metric")
 
-    payout = materialize(series.payout_series(metric("corr"), metric("mmc"), BY), "payout")
+    payout = materialize(series.payout_series(metric("corr"), metric("mmc"), BY, payout_factor, payout_bound), "payout")
     long = scores.unionByName(
         payout.select("model_id", F.lit("payout").alias("metric"), "era", "value", "era_num")
     )
-    options = {"n_boot": n_boot, "seed": seed}
+    options = {"n_boot": n_boot, "seed": seed, "alpha": 1.0 - level}
     card = _cells(long, horizon, min_overlap_eras, **options)
 
     sharpe = inference.ac_sharpe_interval(metric("corr"), BY, horizon, **options).select(
@@ -148,11 +199,12 @@ def evaluate_models(
         n_down.alias("mmc_down_n_eras"),
         F.when(n_down < scoring.MIN_DOWNSIDE_ERAS, "insufficient_downside_eras").alias("mmc_down_reason"),
     )
-    degenerate = scoring.degenerate_eras(base, "prediction", target, meta, features, KEYS)
+    with_features = base.withColumn("prediction", F.when(F.col("features_ok"), F.col("prediction")))
+    degenerate = scoring.degenerate_eras(with_features, "prediction", target, meta, by=KEYS)
     degenerate = degenerate.groupBy(*BY).agg(F.count(F.lit(1)).alias("n_degenerate_eras"))
     mmc_sharpe = inference.ac_adjusted_sharpe(metric("mmc"), BY, horizon)
     parts = [
-        sharpe, report, means, turnover, mmc_down, max_exposure(base, features), degenerate,
+        sharpe, report, means, turnover, mmc_down, max_exposure(base, feature_rows, features), degenerate,
         mmc_sharpe.select(*BY, F.col("ac_sharpe").alias("mmc_sharpe_ac")),
     ]
     if benchmark is not None and horizon_pair is not None:
@@ -168,6 +220,9 @@ def evaluate_models(
             F.when(whole, F.map_from_entries(F.sort_array(F.collect_list(F.struct("regime", cell))))).alias("regime_corr"),
             F.when(~whole, F.lit(f"a regime has fewer than {min_overlap_eras} eras")).alias("__regime_reason"),
         ))
+    if perturbation is not None:
+        cells = [c for c in perturbation.columns if c != "model_id"]
+        parts.append(perturbation.select(*BY, *[F.col(c).alias(f"perturb_{c}") for c in cells]))
     # each part has one row per model; models are few next to rows
     for part in parts:
         card = card.join(part, BY, "left")
@@ -182,6 +237,7 @@ def evaluate_models(
             "horizon_reason": F.when(
                 F.col("horizon_model_decay").isNull(), "too few resolved eras"
             ) if "horizon_model_decay" in available else F.lit("benchmark unavailable"),
+            **({} if perturbation is None else {"perturb_reason": F.when(F.col("perturb_ceiling_stability").isNull(), "no perturbation result")}),
             "regime_reason": F.coalesce("__regime_reason", F.when(F.col("regime_corr").isNull(), "no labelled eras"))
             if regimes is not None else F.lit("regime labels unavailable"),
             **{

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eraflow.session import broadcast_checked
+
 # Field names of the documents, and the columns of the unified table.
 SCORE_FIELDS = (
     "corr", "corr_ci_low", "corr_ci_high", "corr_sharpe_ac", "corr_sharpe_ac_ci_low",
@@ -34,9 +36,14 @@ CAMPAIGN_SCHEMA = (
     "campaign_id string, name string, configs array<struct<path string, sha256 string>>, "
     "runs array<struct<config_path string, run_id string, status string, error string>>"
 )
+FULL_SCHEMA = (
+    "family string, promoted_from_run_id string, promoted_at string, rehearsal boolean, config struct<"
+    "data struct<feature_set string, feature_subset string, targets array<string>>, "
+    "model struct<backend string, preset string>>, _corrupt_record string"
+)
 # columns of the unified table that both run records and benchmark rows fill
 UNIFIED = (
-    "model_id", "source", "run_name", "backend", "preset", "feature_set", "feature_subset",
+    "model_id", "source", "run_name", "family", "training_scope", "has_full_version", "backend", "preset", "feature_set", "feature_subset",
     "n_targets", "targets", "neutralization_proportion", "oof_device", "corr", "corr_ci_low",
     "corr_ci_high", "corr_n_eras", "corr_sharpe_ac", "corr_sharpe_ac_ci_low",
     "corr_sharpe_ac_ci_high", "corr_sharpe_ac_n_eras", "std_corr", "max_drawdown",
@@ -44,6 +51,7 @@ UNIFIED = (
     "gain_to_pain_ratio", "kelly_fraction", "mmc_down", "mmc_down_reason", "turnover_mean",
     "n_eras", "rank_scalar", "cvar5", "burn_rate", "max_feature_exposure",
     "max_feature_exposure_reason", "has_bmc", "has_horizon", "has_perturb", "has_regime", "tier",
+    "run_dir",
 )
 
 
@@ -57,10 +65,12 @@ def read_run_records(spark: SparkSession, path: str, multiline: bool = True) ->
         .option("multiLine", multiline)
         .json(path)
     )
+    place = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     scored = F.coalesce(*[F.col(f"scorecard.{f.name}").cast("string") for f in raw.schema["scorecard"].dataType])
     return (
-        raw.withColumn("run_id", F.coalesce("run_id", folder))
+        raw.withColumn("run_dir", place)
+        .withColumn("run_id", F.coalesce("run_id", folder))
         .withColumn("scorecard", F.when(scored.isNotNull(), F.col("scorecard")))
         .where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     )
@@ -73,14 +83,65 @@ def _stored_first(field: str, fallback: str) -> Column:
     ).alias(field)
 
 
+def read_full_versions(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Manifests of families' full-history versions: one row per family, the one promoted
+    last; unreadable ones, rehearsals and those without a family are none."""
+    raw = (
+        spark.read.schema(FULL_SCHEMA)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+        .option("multiLine", multiline).json(path)
+        .withColumn("run_dir", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1))
+    )
+    good = raw.where(F.col("_corrupt_record").isNull() & F.col("family").isNotNull() & ~F.coalesce("rehearsal", F.lit(False)))
+    fields = ["promoted_at", "promoted_from_run_id", "config", "run_dir"]
+    return good.groupBy("family").agg(F.max(F.struct(*fields)).alias("v")).select("family", *[f"v.{f}" for f in fields])
+
+
+def full_rows(versions: DataFrame) -> DataFrame:
+    """Full versions in the unified columns; they have no out-of-sample scores."""
+    targets = F.col("config.data.targets")
+    some = F.size(F.coalesce(targets, F.array().cast("array<string>"))) > 0
+    special = {
+        "model_id": F.concat("family", F.lit("::full")), "source": F.lit("full"), "run_name": F.col("family"),
+        "family": F.col("family"), "training_scope": F.lit("full"), "has_full_version": F.lit(False),
+        "backend": F.col("config.model.backend"), "preset": F.col("config.model.preset"),
+        "feature_set": F.col("config.data.feature_set"), "feature_subset": F.col("config.data.feature_subset"),
+        "n_targets": F.when(some, F.size(targets)).cast("bigint"), "targets": F.when(some, F.concat_ws(", ", targets)),
+        "run_dir": F.col("run_dir"),
+    }
+    kinds = {"mmc_down_reason": "string", "max_feature_exposure_reason": "string", "oof_device": "string", "tier": "bigint"}
+    kinds |= {f"has_{c}": "boolean" for c in ("bmc", "horizon", "perturb", "regime")} | {c: "bigint" for c in COUNT_FIELDS}
+    return versions.select(*[special.get(c, F.lit(None).cast(kinds.get(c, "double"))).alias(c) for c in UNIFIED])
+
+
+def dangling_versions(versions: DataFrame, runs: DataFrame) -> DataFrame:
+    """Full versions whose run is not in the registry: (family, promoted_from_run_id)."""
+    known = runs.select(F.col("run_id").alias("promoted_from_run_id")).distinct()
+    return versions.select("family", "promoted_from_run_id").join(known, "promoted_from_run_id", "left_anti").select("family", "promoted_from_run_id")
+
+
+def registry_leaderboard(runs: DataFrame, versions: DataFrame) -> DataFrame:
+    """Run records and full versions in one table. A run whose family has a full version
+    says so; the families are matched by a join, and every version has a row of its own."""
+    board = run_leaderboard(runs)
+    promoted = versions.select("family", F.lit(True).alias("promoted")).distinct()
+    marked = board.join(broadcast_checked(promoted), "family", "left")
+    marked = marked.withColumn("has_full_version", F.coalesce("promoted", F.lit(False))).select(*UNIFIED)
+    return marked.unionByName(full_rows(versions))
+
+
 def run_leaderboard(runs: DataFrame) -> DataFrame:
-    """Run records in the unified columns."""
+    """Run records in the unified columns, without any full version."""
     ranked = F.col("manifest.scorecard_prediction_scale") == "percentile_rank"
     config = "manifest.config"
     special = {
         "model_id": F.col("run_id"),
         "source": F.when(F.col("scorecard").isNotNull(), "trained").otherwise("trained_legacy"),
         "run_name": F.coalesce(f"{config}.run.name", F.lit("unknown")),
+        "family": F.coalesce(f"{config}.run.name", F.lit("unknown")),
+        "training_scope": F.lit("research"),
+        "has_full_version": F.lit(False),
+        "run_dir": F.col("run_dir") if "run_dir" in runs.columns else F.lit(None).cast("string"),
         "backend": F.coalesce(f"{config}.model.backend", F.lit("unknown")),
         "preset": F.coalesce(f"{config}.model.preset", F.lit("unknown")),
         "feature_set": F.coalesce(f"{config}.data.feature_set", F.lit("unknown")),
@@ -109,7 +170,7 @@ def run_leaderboard(runs: DataFrame) -> DataFrame:
 
 
 def read_scorecard_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scorecard CSV with the declared types of the fields it has."""
+    """Scorecard CSV with the declared types of the fields it has, and the file as run_dir."""
     header = spark.read.option("header", True).csv(path)
     casts = []
     for c in header.columns:
@@ -117,7 +178,7 @@ def read_scorecard_csv(spark: SparkSession, path: str) -> DataFrame:
             "bigint" if c in (*COUNT_FIELDS, "tier") else "double" if c in SCORE_FIELDS else "string"
         )
         casts.append(F.col(c).cast(kind).alias(c))
-    return header.select(*casts)
+    return header.select(*casts, F.col("_metadata.file_path").alias("run_dir"))
 
 
 def benchmark_leaderboard(cards: DataFrame) -> DataFrame:
@@ -153,6 +214,8 @@ def benchmark_leaderboard(cards: DataFrame) -> DataFrame:
         "has_horizon": have("horizon_model_sharpe_20").isNotNull(),
         "has_perturb": have("perturb_ceiling_stability").isNotNull(),
         "has_regime": have("regime_count", "bigint").isNotNull(),
+        "family": F.lit(None).cast("string"), "training_scope": F.lit(None).cast("string"),
+        "has_full_version": F.lit(False), "run_dir": have("run_dir", "string"),
     }
     return cards.select(*[special[c].alias(c) if c in special else have(c).alias(c) for c in UNIFIED])
 
