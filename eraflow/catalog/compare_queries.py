@@ -17,7 +17,7 @@ from eraflow.catalog.analysis_queries import SETS, derived_feature_sets
 from eraflow.operators import compare, correlation, scoring, series
 from eraflow.plans import reports, scorecard
 from eraflow.session import shared_dir
-from eraflow.sources import documents
+from eraflow.sources import documents, snapshots
 from eraflow.sources.panel import write_csv
 from eraflow.sources.testpanel import (
     BENCHMARKS, FEATURES, META, TARGETS, TRAIN_LAST_ERA, customer_month, model_predictions, stored, table,
@@ -535,7 +535,7 @@ def stream_feature_moments(spark, sf):
     stream = incremental.era_stream(spark, panel_path(spark, sf), panel.schema, 1)
     out, mark = _text_dir(spark, "stream-moments"), _text_dir(spark, "stream-mark")
     incremental.run_feature_moments(stream, [*FEATURES, "target_b_20"], out, mark)
-    return tidy(spark.read.parquet(out))
+    return tidy(snapshots.current(spark, out))
 
 
 @register("stream_era_scores", q.query([q.corr_scores("s", "panel", "pred_b", "target")], q.rounded("s", ["era", "era::BIGINT AS era_num"], ["value"])))
@@ -543,6 +543,6 @@ def stream_era_scores(spark, sf):
     panel = customer_month(spark, sf)
     source = panel_path(spark, sf)
     stream = incremental.era_stream(spark, source, panel.schema, 2)
-    out, mark = _text_dir(spark, "stream-scores"), _text_dir(spark, "stream-mark")
-    incremental.run_era_scores(stream, source, lambda df: scoring.per_era_corr(df, "pred_b", "target"), out, mark)
-    return tidy(spark.read.parquet(out))
+    out, mark, state = (_text_dir(spark, f"stream-{n}") for n in ("scores", "mark", "state"))
+    incremental.run_era_scores(stream, state, lambda df: scoring.per_era_corr(df, "pred_b", "target"), out, mark)
+    return tidy(incremental.current_scores(spark, out))

@@ -17,7 +17,9 @@ from eraflow.functions.stats import (
     weighted_corr,
 )
 from eraflow.operators import inference
+from eraflow.operators.normal import cross_correlations
 from eraflow.operators.series import with_era_num
+from eraflow.session import broadcast_rows, materialize
 
 MIN_MEAN_CORR = 0.01
 MAX_ABS_DECAY = 0.001
@@ -143,13 +145,93 @@ def nulls_per_era(df: DataFrame, targets: Sequence[str]) -> DataFrame:
 def ic_by_era(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """Per-era plain and rank correlation of every feature with every target.
 
-    One pass serves all targets: rows are counted per (era, target, feature, feature
-    value, target value) on the map side, and everything else happens on that table,
-    which for binned features has a handful of rows per era however long the era is.
     Rows need every listed column; an era whose target has under two finite values or
-    only one value is flagged and scores zero.
+    only one value is flagged and scores zero. Binned features (an estimate says there
+    are few values an era) are counted with the targets on the map side
+    (``counted_ic``); features of many values are ranked once (``ranked_ic``).
     """
     df = with_era_num(df)
+    if "id" not in df.columns:
+        return counted_ic(df, features, targets)
+    values = [F.col(f).cast("double") for f in features]
+    some = df.where(none_null([*features, *targets])).select(
+        "era", F.exists(F.array(*values), F.isnan).alias("nan"),
+        F.explode(F.array(*[F.xxhash64(F.lit(i), v) for i, v in enumerate(values)])).alias("v"),
+    )
+    found = some.agg(F.approx_count_distinct(F.xxhash64("era", "v")).alias("cells"), F.bool_or("nan").alias("nan")).first()
+    if found["cells"] <= broadcast_rows(df.sparkSession) or found["nan"]:
+        return counted_ic(df, features, targets)
+    return ranked_ic(df, features, targets)
+
+
+def _ic_grid(df: DataFrame, features: Sequence[str], targets: Sequence[str], scored: DataFrame) -> DataFrame:
+    """A row for every target, era and feature from (t, era, f, ic, spearman_ic, varies)."""
+    names = [F.array(*[F.lit(c) for c in columns]) for columns in (targets, features)]
+    grid = (
+        df.select("era", "era_num")
+        .distinct()
+        .select("*", F.posexplode(names[0]).alias("t", "target"))
+        .select("*", F.posexplode(names[1]).alias("f", "feature"))
+    )
+    varies = F.coalesce("varies", F.lit(False))
+    return grid.join(scored, ["t", "era", "f"], "left").select(
+        "target",
+        "era",
+        "era_num",
+        "feature",
+        F.when(varies, F.col("ic")).otherwise(0.0).alias("ic"),
+        F.when(varies, F.col("spearman_ic")).otherwise(0.0).alias("spearman_ic"),
+        (~varies).alias("degenerate"),
+    )
+
+
+def ranked_ic(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """:func:`ic_by_era` for features of many values. Targets that are finite on the same
+    rows share the features' ranks, taken once in long form and put together again per
+    row; values and ranks then meet the targets as products folded in the tasks. No table
+    has rows x features x targets. Features must be finite."""
+    df = with_era_num(df)
+    rows = df.where(none_null([*features, *targets]))
+    marks = rows.agg(*[
+        F.struct(F.count_if(is_finite(t)), F.bit_xor(F.when(is_finite(t), F.xxhash64("era", "id")))).cast("string").alias(f"m{i}")
+        for i, t in enumerate(targets)
+    ]).first()
+    groups: dict[str, list[int]] = {}
+    for i in range(len(targets)):
+        groups.setdefault(marks[f"m{i}"], []).append(i)
+    out = None
+    for members in groups.values():
+        part = _ranked_ic_of(rows.where(is_finite(targets[members[0]])), features, [targets[i] for i in members])
+        part = part.withColumn("t", F.get(F.array(*[F.lit(i) for i in members]), F.col("t")))
+        out = part if out is None else out.unionByName(part)
+    return _ic_grid(df, features, targets, out)
+
+
+def _ranked_ic_of(rows: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """(t, era, f, ic, spearman_ic, varies) of targets that are finite on all rows."""
+    n = len(features)
+    columns = [*features, *targets]
+    wide = rows.select("era", "id", F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    eras, largest = group_shape(wide, ["era"])
+    long = wide.select("era", "id", F.posexplode("v").alias("i", "x"))
+    ranked = with_ranks(long, ["era", "i"], {"r": "x"}, shape=(eras * len(columns), largest))
+    both = ranked.groupBy("era", "id").agg(F.sort_array(F.collect_list(F.struct("i", "x", "r"))).alias("c"))
+    both = materialize(both.select("era", F.col("c.x").alias("v"), F.col("c.r").alias("r")), "ranked-rows")
+    parts = {}
+    for name in ("v", "r"):
+        sides = both.select("era", F.slice(name, 1, n).alias("x"), F.slice(name, n + 1, len(targets)).alias("y"))
+        parts[name] = cross_correlations(sides, "x", "y")
+    last = F.explode(F.transform(F.slice("v", n + 1, len(targets)), lambda y, t: F.struct(t.alias("t"), y.alias("y")))).alias("c")
+    varies = both.select("era", last).groupBy("era", "c.t").agg((F.min("c.y") < F.max("c.y")).alias("varies"))
+    plain = parts["v"].withColumnRenamed("corr", "ic")
+    return plain.join(parts["r"].withColumnRenamed("corr", "spearman_ic"), ["era", "f", "t"]).join(varies, ["era", "t"])
+
+
+def counted_ic(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """:func:`ic_by_era` from counts: rows are counted per (era, target, feature, feature
+    value, target value) on the map side, and everything else happens on that table,
+    which for binned features has a handful of rows per era however long the era is."""
+    df = with_era_num(df)
     # positions instead of names keep the keys of the big aggregation small
     rows = df.where(none_null([*features, *targets])).select(
         "era",
@@ -181,23 +263,7 @@ def ic_by_era(df: DataFrame, features: Sequence[str], targets: Sequence[str]) ->
         .alias("spearman_ic"),
         (F.min("y") < F.max("y")).alias("varies"),
     )
-    names = [F.array(*[F.lit(c) for c in columns]) for columns in (targets, features)]
-    grid = (
-        df.select("era", "era_num")
-        .distinct()
-        .select("*", F.posexplode(names[0]).alias("t", "target"))
-        .select("*", F.posexplode(names[1]).alias("f", "feature"))
-    )
-    varies = F.coalesce("varies", F.lit(False))
-    return grid.join(scored, keys, "left").select(
-        "target",
-        "era",
-        "era_num",
-        "feature",
-        F.when(varies, F.col("ic")).otherwise(0.0).alias("ic"),
-        F.when(varies, F.col("spearman_ic")).otherwise(0.0).alias("spearman_ic"),
-        (~varies).alias("degenerate"),
-    )
+    return _ic_grid(df, features, targets, scored)
 
 
 def vector_ic_by_era(df: DataFrame, vector: str, target: str) -> DataFrame:

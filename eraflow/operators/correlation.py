@@ -6,12 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eraflow.functions.ranks import group_shape, with_ranks
 from eraflow.functions.running import running_totals
 from eraflow.functions.stats import is_finite, ratio, with_norm_ppf
+from eraflow.operators import normal
 from eraflow.operators.neutralize import FLUSH_BYTES, feature_vector
 from eraflow.session import broadcast_rows, materialize
 
@@ -108,15 +110,88 @@ def pair_moments(vectors: DataFrame) -> DataFrame:
     )
 
 
+# Pairs of one tile of a packed matrix.
+TILE_PAIRS = 4096
+
+
+def era_matrices(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
+    """Moments of the score vectors per era, stored: one packed triangle an era. Tasks hand
+    on one triangle per era they hold; rows that lie so scattered that the triangles
+    would outweigh them are dealt by (era, salt) first (``normal.era_moments``)."""
+    return normal.era_moments(scored_vectors(df, features), "z")
+
+
+def _correlations(width: int, packed: np.ndarray) -> np.ndarray:
+    """The pairs' correlations, row by row, from a packed triangle of co-moments; a pair
+    with a constant side has 0."""
+    rows, columns = np.triu_indices(width)
+    own = np.flatnonzero(rows == columns)
+    spread = np.maximum(packed[own], 0.0)
+    off = rows != columns
+    scale = np.sqrt(spread[rows[off]] * spread[columns[off]])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(scale > 1e-12, packed[off] / scale, 0.0)
+
+
 def pair_correlations(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
     """(era, a, b, corr) by feature position; a pair with a constant side has 0."""
-    m = pair_moments(scored_vectors(df, features))
-    var_a = F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")
-    var_b = F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n")
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
-    spread = F.sqrt(F.greatest(var_a, F.lit(0.0)) * F.greatest(var_b, F.lit(0.0)))
-    value = F.when(spread > 1e-12, ratio(cov, spread))
-    return m.select("era", "a", "b", F.coalesce(value, F.lit(0.0)).alias("corr"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width = len(batch.column("mean")[i])
+                corr = _correlations(width, batch.column("spread")[i].values.to_numpy())
+                a, b = np.triu_indices(width, 1)
+                era = pa.array([batch.column("era")[i].as_py()] * len(a), pa.string())
+                yield pa.record_batch([era, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(corr)], ["era", "a", "b", "corr"])
+
+    moments = era_matrices(df, features).select(F.col("era").cast("string").alias("era"), "mean", "spread")
+    return moments.mapInArrow(listed, "era string, a int, b int, corr double")
+
+
+def mean_correlations(df: DataFrame, features: str | Sequence[str], tile_pairs: int = TILE_PAIRS) -> DataFrame:
+    """(a, b, mean_corr): equal-era mean of the correlations. Every task adds its eras'
+    matrices up and hands on tiles of the packed sum; long form begins behind the mean."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, eras, width = None, 0, 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width = len(batch.column("mean")[i])
+                corr = _correlations(width, batch.column("spread")[i].values.to_numpy())
+                total, eras = corr if total is None else total + corr, eras + 1
+        if total is not None:
+            tiles = [total[k : k + tile_pairs] for k in range(0, len(total), tile_pairs)]
+            yield pa.record_batch(
+                [pa.array(range(len(tiles)), pa.int64()), pa.array([width] * len(tiles), pa.int32()),
+                 pa.array([eras] * len(tiles), pa.int64()), pa.array(tiles, pa.list_(pa.float64()))],
+                ["tile", "width", "eras", "sums"],
+            )
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles of one number follow each other; one sum is held."""
+        held: tuple[int, int, int, np.ndarray] | None = None
+
+        def listed(tile: int, width: int, eras: int, sums: np.ndarray) -> pa.RecordBatch:
+            places = np.arange(len(sums)) + tile * tile_pairs
+            ends = np.cumsum(np.arange(width - 1, 0, -1))  # pairs (a, b) with b > a, row by row
+            a = np.searchsorted(ends, places, side="right")
+            b = places - (ends[a] - (width - 1 - a)) + a + 1
+            return pa.record_batch([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(sums / eras)], ["a", "b", "mean_corr"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tile, width, eras = (batch.column(c)[i].as_py() for c in ("tile", "width", "eras"))
+                sums = batch.column("sums")[i].values.to_numpy()
+                if held is not None and held[0] != tile:
+                    yield listed(*held)
+                    held = None
+                held = (tile, width, eras, sums) if held is None else (tile, width, held[2] + eras, held[3] + sums)
+        if held is not None:
+            yield listed(*held)
+
+    tiles = era_matrices(df, features).select("mean", "spread").mapInArrow(added, "tile long, width int, eras long, sums array<double>")
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(mean, "a int, b int, mean_corr double")
 
 
 def correlation_structure(
@@ -125,8 +200,7 @@ def correlation_structure(
     """(feature_a, feature_b, mean_corr): equal-era mean of the score correlations."""
     names = list(names if names is not None else features)
     labels = F.array(*[F.lit(n) for n in names])
-    mean = pair_correlations(df, features).groupBy("a", "b").agg(F.avg("corr").alias("mean_corr"))
-    return mean.select(
+    return mean_correlations(df, features).select(
         F.get(labels, F.col("a")).alias("feature_a"),
         F.get(labels, F.col("b")).alias("feature_b"),
         "mean_corr",

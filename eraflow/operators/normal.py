@@ -185,6 +185,102 @@ def era_moments(
     return materialize(found.drop("way"), "moments")
 
 
+@dataclass
+class Cross:
+    """Row count, means, squared deviations of two sides of columns, and their products."""
+
+    n: int
+    means: tuple[np.ndarray, np.ndarray]
+    squares: tuple[np.ndarray, np.ndarray]
+    products: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray) -> Cross:
+        means = x.mean(axis=0), y.mean(axis=0)
+        u, v = x - means[0], y - means[1]
+        return cls(len(x), means, ((u * u).sum(axis=0), (v * v).sum(axis=0)), u.T @ v)
+
+    def merge(self, other: Cross) -> Cross:
+        n, share = self.n + other.n, self.n * other.n / (self.n + other.n)
+        u, v = other.means[0] - self.means[0], other.means[1] - self.means[1]
+        means = self.means[0] + u * (other.n / n), self.means[1] + v * (other.n / n)
+        squares = self.squares[0] + other.squares[0] + u * u * share, self.squares[1] + other.squares[1] + v * v * share
+        return Cross(n, means, squares, self.products + other.products + np.outer(u, v) * share)
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([*self.means, *self.squares, self.products.ravel()])
+
+    @classmethod
+    def unpacked(cls, n: int, width: int, packed: np.ndarray) -> Cross:
+        other = (len(packed) - 2 * width) // (width + 2)
+        parts = np.split(packed, np.cumsum([width, other, width, other]))
+        return cls(n, (parts[0], parts[1]), (parts[2], parts[3]), parts[4].reshape(width, other))
+
+    def correlations(self) -> np.ndarray:
+        scale = np.sqrt(np.outer(*self.squares))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(scale > 0, self.products / scale, 0.0)
+
+
+def cross_correlations(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(era, f, t, corr): correlation of every value of array ``x`` with every one of array
+    ``y`` per era. Each task folds its rows into one set of products per era; nothing as
+    long as rows x features x targets exists. Values must be finite."""
+    schema = "era string, width int, n long, packed array<double>"
+
+    def batch_of(held: dict[str, Cross]) -> pa.RecordBatch:
+        return pa.record_batch(
+            [pa.array(list(held), pa.string()), pa.array([len(c.means[0]) for c in held.values()], pa.int32()),
+             pa.array([c.n for c in held.values()], pa.int64()), pa.array([c.packed() for c in held.values()], pa.list_(pa.float64()))],
+            ["era", "width", "n", "packed"],
+        )
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Cross] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sides = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("x", "y")]
+            if not all(np.isfinite(side).all() for side in sides):
+                raise ValueError("values must be finite")
+            eras = batch.column("era").dictionary_encode()
+            codes = eras.indices.to_numpy()
+            for k, era in enumerate(eras.dictionary.to_pylist()):
+                one = Cross.of(*[side[codes == k] for side in sides])
+                held[era] = held[era].merge(one) if era in held else one
+            if sum(c.products.nbytes for c in held.values()) > FLUSH_BYTES:
+                yield batch_of(held)
+                held.clear()
+        if held:
+            yield batch_of(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        era, held = None, None
+
+        def listed() -> pa.RecordBatch:
+            corr = held.correlations()
+            f, t = np.indices(corr.shape)
+            return pa.record_batch(
+                [pa.array([era] * corr.size, pa.string()), pa.array(f.ravel(), pa.int32()), pa.array(t.ravel(), pa.int32()), pa.array(corr.ravel())],
+                ["era", "f", "t", "corr"],
+            )
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found, width, n = (batch.column(c)[i].as_py() for c in ("era", "width", "n"))
+                if found != era and held is not None:
+                    yield listed()
+                    held = None
+                one = Cross.unpacked(n, width, batch.column("packed")[i].values.to_numpy())
+                era, held = found, one if held is None else held.merge(one)
+        if held is not None:
+            yield listed()
+
+    doubles = [F.col(c).cast("array<double>").alias(n) for c, n in ((x, "x"), (y, "y"))]
+    sums = df.select(F.col("era").cast("string").alias("era"), *doubles).mapInArrow(fold, schema)
+    return sums.repartition("era").sortWithinPartitions("era").mapInArrow(merge, "era string, f int, t int, corr double")
+
+
 FIT = "array<struct<target: string, alpha: double, n: bigint, coefficients: array<double>, intercept: double>>"
 
 

@@ -65,6 +65,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.eraflow.maxGroupRows", str(DEFAULT_MAX_GROUP_ROWS)))
 

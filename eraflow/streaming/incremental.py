@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from eraflow.functions.stats import is_finite
 from eraflow.operators.analysis import labelled, moments, unpivot
+from eraflow.session import broadcast_checked, remove_path
+from eraflow.sources import snapshots
 
 
 def era_stream(
@@ -36,10 +38,12 @@ def feature_moments(stream: DataFrame, features: Sequence[str]) -> DataFrame:
 def run_feature_moments(
     stream: DataFrame, features: Sequence[str], out: str, checkpoint: str
 ) -> None:
-    """Process everything available; the folder ``out`` then holds the current moments."""
+    """Process everything available. Every batch publishes the moments so far as a
+    snapshot at ``out`` (``snapshots.current`` reads the last one): readers never see a
+    gap, and a batch that is repeated after a failure publishes nothing new."""
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def replace(batch: DataFrame, number: int) -> None:
+        snapshots.publish(batch, out, number)
 
     query = (
         feature_moments(stream, features)
@@ -54,29 +58,53 @@ def run_feature_moments(
 
 def run_era_scores(
     stream: DataFrame,
-    source: str,
+    state: str,
     score: Callable[[DataFrame], DataFrame],
     out: str,
     checkpoint: str,
+    open_eras: int | None = None,
 ) -> None:
-    """Score the eras of every micro-batch. An era is scored on all of its files that are
-    there, and its output folder is replaced, so a late file just scores it again.
-    ``score`` maps rows to (era, value)."""
+    """Score the eras of every micro-batch on all of their rows so far.
+
+    A batch's rows are kept under ``state`` by era and batch; an era is scored on its own
+    folder, so a batch reads the rows of its eras and nothing else, however long the
+    stream is. Scores go to ``out`` by era and batch as well; ``current_scores`` takes an
+    era's last batch, so a late file scores its era again and no reader sees a gap. Both
+    writes replace what the same batch wrote before.
+
+    With ``open_eras``, eras that many numbers below the highest one seen are closed: their
+    rows are deleted, their scores stay, and rows that come later still are kept under
+    ``state``/late, unscored. ``score`` maps rows to (era, value)."""
     schema = stream.schema
 
-    def rescore(batch: DataFrame, _: int) -> None:
+    def put(df: DataFrame, path: str, number: int) -> None:
+        marked = df.withColumn("batch", F.lit(number).cast("bigint"))
+        writer = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("era_num", "batch").parquet(path)
+
+    def rescore(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        eras = [r["era_num"] for r in batch.select("era_num").distinct().collect()]
+        arrived = batch.withColumn("era_key", F.col("era_num"))
+        eras = sorted(r["era_num"] for r in batch.select("era_num").distinct().collect())
         if not eras:
             return
-        rows = spark.read.schema(schema).parquet(source).where(F.col("era_num").isin(eras))
-        scored = score(rows).withColumn("era_num", F.col("era").cast("int"))
-        (
-            scored.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("era_num")
-            .parquet(out)
-        )
+        known = _era_folders(spark, f"{state}/rows")
+        closed_below = max([*eras, *known]) - open_eras if open_eras is not None else None
+        late = [e for e in eras if closed_below is not None and e < closed_below and e not in known]
+        if late:
+            put(arrived.where(F.col("era_num").isin(late)), f"{state}/late", number)
+        eras = [e for e in eras if e not in late]
+        if eras:
+            put(arrived.where(F.col("era_num").isin(eras)), f"{state}/rows", number)
+            folders = [f"{state}/rows/era_num={e}" for e in eras]
+            kept = T.StructType([*[f for f in schema.fields if f.name != "era_num"], T.StructField("era_key", schema["era_num"].dataType)])
+            rows = spark.read.schema(kept).option("recursiveFileLookup", True).parquet(*folders)
+            rows = rows.withColumnRenamed("era_key", "era_num").select(*schema.fieldNames())
+            put(score(rows).withColumn("era_num", F.col("era").cast("int")), out, number)
+        if closed_below is not None:
+            for e in {*known, *eras}:
+                if e < closed_below:
+                    remove_path(spark, f"{state}/rows/era_num={e}")
 
     query = (
         stream.writeStream.foreachBatch(rescore)
@@ -85,3 +113,20 @@ def run_era_scores(
         .start()
     )
     query.awaitTermination()
+
+
+def _era_folders(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the eras that have rows in the store (one folder each)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    return [int(n.removeprefix("era_num=")) for n in names if n.startswith("era_num=")]
+
+
+def current_scores(spark: SparkSession, out: str) -> DataFrame:
+    """The scores of every era as of the last batch that had rows of it."""
+    scores = spark.read.parquet(out)
+    last = scores.groupBy("era_num").agg(F.max("batch").alias("batch"))
+    return scores.join(broadcast_checked(last), ["era_num", "batch"], "left_semi").drop("batch")
