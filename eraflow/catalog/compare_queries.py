@@ -10,11 +10,12 @@ from eraflow.catalog import sqltext as q
 from eraflow.catalog.registry import register, tidy
 from eraflow.functions.hashing import multiset_digest
 from eraflow.catalog.rows_queries import era_labels, panel_path
+from eraflow.catalog.scoring_queries import THREE, fnc_three_sql
 from eraflow.catalog.series_queries import (
     BLOCK20, PAY, RUN, S, SEED, ac_ctes, bootstrap_ctes, corr_series, mmc_series, payouts, _cum, _stats,
 )
 from eraflow.catalog.analysis_queries import SETS, derived_feature_sets
-from eraflow.operators import compare, correlation, scoring, series
+from eraflow.operators import compare, correlation, fits, scoring, series
 from eraflow.plans import reports, scorecard
 from eraflow.session import shared_dir
 from eraflow.sources import documents, snapshots
@@ -468,6 +469,15 @@ def panel_digest(spark, sf):
     return multiset_digest(p, F.concat_ws("|", "era", "id", *[F.col(f).cast("string") for f in FEATURES]))
 
 
+@register("scorecard_fnc",
+          q.query([q.MODELS, *fnc_three_sql("target_a_20"), "o AS (SELECT model_id, avg(value) AS fnc FROM s GROUP BY model_id)"], q.rounded("o", ["model_id"], ["fnc"], 5)))
+def scorecard_fnc(spark, sf):
+    """The feature-neutral cell of the cards, on three features."""
+    base = model_predictions(spark, sf).select("model_id", "era", "id", "prediction", META, "target_a_20")
+    cards = scorecard.evaluate_models(base, target="target_a_20", meta=META, features=THREE, feature_rows=customer_month(spark, sf), n_boot=20)
+    return tidy(scorecard.flatten(cards).select("model_id", "fnc"), 5)
+
+
 @register("scorecard_union")
 def scorecard_union(spark, sf):
     cards = scorecard.flatten(scorecards(spark, sf))
@@ -478,10 +488,12 @@ def scorecard_union(spark, sf):
 @register("hierarchy")
 def hierarchy(spark, sf):
     p = customer_month(spark, sf)
-    cards = reports.hierarchy(
-        p.where("split = 'train'"), p.where("split = 'validation'"), FEATURES, "target", META, ["bench_b60"], purge=8, maxIter=5
-    )
-    return tidy(cards.select("model_id", "tier", "strategy_group", "corr", "corr_sharpe_ac", "fnc"), 5)
+    train, val = p.where("split = 'train'"), p.where("split = 'validation'")
+    pair = ["target", "target_a_20"]
+    searched = fits.ridge_stack_search(train, val, FEATURES, pair, "target", "bench_b60", 0.25, 8, top=2, alphas=(1.0,), sharpe_floor=-100.0)
+    fleet = [("ridge_stack", 3, fits.ridge_stack(train, val, FEATURES, pair, "target", 0.25, 8), False), ("ridge_stack_search", 3, searched, True)]
+    cards = reports.hierarchy(train, val, FEATURES, "target", META, ["bench_b60"], purge=8, fleet=fleet, maxIter=5)
+    return tidy(cards.select("model_id", "tier", "strategy_group", "corr", "corr_sharpe_ac", "fnc", "placement", "gate_pass", F.array_join("gate_failed", ",").alias("gate_failed"), "selection_bias"), 5)
 
 
 @register("campaign_evidence")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from eraflow.catalog import sqltext as q
@@ -11,6 +13,7 @@ from eraflow.catalog.series_queries import PAY, S, corr_series
 from eraflow.functions.stats import none_null
 from eraflow.operators import rows, scoring
 from eraflow.session import shared_dir
+from eraflow.sources import layout
 from eraflow.sources import panel as src
 from eraflow.sources.testpanel import (
     BENCHMARKS, FEATURES, META, MODELS, TARGETS, customer_month, model_predictions, stored, table,
@@ -195,6 +198,20 @@ def join_evaluation_base(spark, sf):
     ))
 
 
+@register("bucketed_evaluation_base", q.query([], f"SELECT era, id, round(pred_a, 6) + 0.0 AS prediction, round(meta, 6) + 0.0 AS meta, round(target, 6) + 0.0 AS target, f_qty::BIGINT AS f_qty FROM panel WHERE era_num BETWEEN 9 AND 50 AND {q.finite('target_b_20')}"))
+def bucketed_evaluation_base(spark, sf):
+    """The evaluation base of some eras, from tables in the same buckets of (era, id)."""
+    p, folder = customer_month(spark, sf), f"{shared_dir(spark)}/eraflow/buckets-{uuid.uuid4().hex[:12]}"
+    known = rows.finite_target_rows(p, "target_b_20")
+    parts = {
+        "predictions": p.select("era", "era_num", "id", F.col("pred_a").alias("prediction")), "meta": p.select("era", "era_num", "id", META),
+        "targets": known.select("era", "era_num", "id", "target"), "features": p.select("era", "era_num", "id", "f_qty"),
+    }
+    stored_ = [layout.write_bucketed(df, f"{name}_{uuid.uuid4().hex[:12]}", f"{folder}/{name}", 8) for name, df in parts.items()]
+    some = [t.where(layout.eras_between(9, 50)).drop("era_num", "era_bucket") for t in stored_]
+    return tidy(rows.evaluation_base(*some))
+
+
 @register("join_benchmark", q.query([], "SELECT era, id, round(pred_a, 6) + 0.0 AS pred_a, round(bench_a20, 6) + 0.0 AS bench_a20 FROM panel"))
 def join_benchmark(spark, sf):
     p = customer_month(spark, sf)

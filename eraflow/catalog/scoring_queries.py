@@ -113,15 +113,17 @@ def _three_feature_residual() -> list[str]:
     ]
 
 
-@register(
-    "score_fnc_three_features",
-    q.query([q.MODELS,
-             f"nk AS (SELECT model_id, era, id, prediction, target, {', '.join(THREE)}, ({q.avg_rank('prediction', 'model_id, era')} - 0.5) / count(*) OVER (PARTITION BY model_id, era) AS u FROM models)",
-             f"nz AS (SELECT *, {q.ppf('u')} AS z FROM nk)", *_three_feature_residual(),
-             "nd AS (SELECT model_id, era, id, CASE WHEN abs(res) > 1e-9 THEN res ELSE 0.0 END AS res, t FROM nr)",
-             q.corr_scores("s", "nd", "res", "t", "model_id, era")],
-            q.rounded("s", ["model_id", "era"], ["value"], 5)),
-)
+def fnc_three_sql(target: str) -> list[str]:
+    """CTEs up to ``s`` (model_id, era, value): scores of ``models`` neutral to three features."""
+    return [
+        f"nk AS (SELECT model_id, era, id, prediction, {target} AS target, {', '.join(THREE)}, ({q.avg_rank('prediction', 'model_id, era')} - 0.5) / count(*) OVER (PARTITION BY model_id, era) AS u FROM models)",
+        f"nz AS (SELECT *, {q.ppf('u')} AS z FROM nk)", *_three_feature_residual(),
+        "nd AS (SELECT model_id, era, id, CASE WHEN abs(res) > 1e-9 THEN res ELSE 0.0 END AS res, t FROM nr)",
+        q.corr_scores("s", "nd", "res", "t", "model_id, era"),
+    ]
+
+
+@register("score_fnc_three_features", q.query([q.MODELS, *fnc_three_sql("target")], q.rounded("s", ["model_id", "era"], ["value"], 5)))
 def score_fnc_three_features(spark, sf):
     df = model_predictions(spark, sf).select(*MODEL_ERA, "id", "prediction")
     return tidy(scoring.per_era_fnc_models(df, customer_month(spark, sf), THREE, "target"), 5)

@@ -49,17 +49,18 @@ def side_totals(counts: DataFrame) -> DataFrame:
 def quantile_edges(counts: DataFrame, totals: DataFrame, n_bins: int) -> DataFrame:
     """Interior train quantiles per feature, linear between order statistics.
     ``counts`` carries ``before_t``, the train rows below each value."""
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(i / n_bins).alias("q")) for i in range(1, n_bins)]))
-    wanted = totals.where("n_train > 0").select("feature", "n_train", steps.alias("s")).select(
-        "feature", "s.k", (F.col("s.q") * (F.col("n_train") - 1)).alias("h")
-    )
+    # One row of wanted positions per feature: of the values, only those that hold one of
+    # them give rows.
+    steps = F.array(*[F.struct(F.lit(i).alias("k"), (F.lit(i / n_bins) * (F.col("n_train") - 1)).alias("h")) for i in range(1, n_bins)])
+    wanted = totals.where("n_train > 0").select("feature", steps.alias("wanted"))
     rows = counts.where("nt > 0").join(broadcast_checked(wanted), "feature")
     first, last = F.col("before_t"), F.col("before_t") + F.col("nt")
 
     def holds(position: Column) -> Column:
         return (position >= first) & (position < last)
 
-    hit = rows.where(holds(F.floor("h")) | holds(F.ceil("h")))
+    held = F.filter("wanted", lambda w: holds(F.floor(w["h"])) | holds(F.ceil(w["h"])))
+    hit = rows.select("feature", "v", "before_t", "nt", F.explode(held).alias("w")).select("feature", "v", "before_t", "nt", "w.k", "w.h")
     edges = hit.groupBy("feature", "k", "h").agg(
         F.max(F.when(holds(F.floor("h")), F.col("v"))).alias("low"),
         F.max(F.when(holds(F.ceil("h")), F.col("v"))).alias("high"),

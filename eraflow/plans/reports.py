@@ -8,7 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.operators import analysis, correlation, drift, fits, inference, series
+from eraflow.functions.stats import is_finite
+from eraflow.operators import analysis, compare, correlation, drift, fits, inference, series
 from eraflow.operators.neutralize import neutralized_ic
 from eraflow.plans import scorecard
 from eraflow.session import broadcast_checked, materialize
@@ -42,12 +43,19 @@ def hierarchy_predictions(
 
 def hierarchy(
     train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, meta: str,
-    benchmarks: Sequence[str], n_boot: int = 200, **options,
+    benchmarks: Sequence[str], n_boot: int = 200, fleet: Sequence[tuple[str, int, DataFrame, bool]] = (), **options,
 ) -> DataFrame:
-    """Scorecards of all cells from a single evaluation, with tier and group label."""
-    predictions = materialize(
-        hierarchy_predictions(train, rows, features, target, benchmarks, **options), "hierarchy"
-    )
+    """Scorecards of all cells from a single evaluation: tier, group label, where the cell
+    falls on the ladder of the tiers' best (``placement``), its verdict at the gate with
+    the fields it fails (one that is not finite, as a ratio without losses, is
+    unavailable), and whether it was chosen on the rows it is scored on.
+
+    ``fleet`` adds cells: (model_id, tier, predictions, selection_bias); a search over
+    candidates scored on ``rows`` is biased."""
+    cells = hierarchy_predictions(train, rows, features, target, benchmarks, **options)
+    for name, tier, found, _ in fleet:
+        cells = cells.unionByName(found.select(F.lit(name).alias("model_id"), F.lit(tier).alias("tier"), "era", "id", "prediction"))
+    predictions = materialize(cells, "hierarchy")
     tiers = predictions.select("model_id", "tier").distinct()
     base = scorecard.evaluation_rows(
         predictions.drop("tier"), rows.select("era", "id", meta), rows.select("era", "id", target),
@@ -57,7 +65,17 @@ def hierarchy(
         base, target=target, meta=meta, features=features, benchmark="reference", n_boot=n_boot, feature_rows=rows
     )
     flat = scorecard.flatten(cards).join(tiers, "model_id", "left")
-    return flat.withColumn("strategy_group", F.concat(F.lit("tier"), F.col("tier").cast("string")))
+    flat = materialize(flat.withColumn("strategy_group", F.concat(F.lit("tier"), F.col("tier").cast("string"))), "hierarchy-cards")
+    fields = [f for f, op, _ in compare.GATE if op != "display" and f in flat.columns]
+    finite = flat.withColumns({f: F.when(is_finite(f), F.col(f)) for f in fields})
+    report = compare.gate_report(finite, compare.gate_table(flat.sparkSession), fields)
+    failed = compare.gate_violations(report).groupBy("model_id").agg(F.sort_array(F.collect_list("field")).alias("gate_failed"))
+    placed = compare.place(flat, flat.groupBy("tier").agg(F.max("corr").alias("corr")))
+    biased = F.col("model_id").isin([name for name, _, _, bias in fleet if bias]) if fleet else F.lit(False)
+    none = F.array().cast("array<string>")
+    return placed.join(failed, "model_id", "left").withColumns(
+        {"gate_failed": F.coalesce("gate_failed", none), "gate_pass": F.col("gate_failed").isNull(), "selection_bias": biased}
+    )
 
 
 def campaign_evidence(
@@ -76,7 +94,8 @@ def campaign_evidence(
     fne = neutralized_ic(joined, ["prediction"], features, target, [1.0], ["variant", "era"])
     fne = series.with_era_num(fne.select("variant", "era", F.col("ic").alias("value")))
     stats = series.series_stats(ic, by)
-    options = {"n_boot": n_boot, "seed": seed, "short": "one_block"}
+    # A series below the block floor has no interval.
+    options = {"n_boot": n_boot, "seed": seed, "short": "null"}
     ic_ci = inference.mean_interval(ic, by, "20D", **options).select(
         *by, F.col("ci_low").alias("ic_ci_lo"), F.col("ci_high").alias("ic_ci_hi")
     )
@@ -97,7 +116,9 @@ def campaign_evidence(
         F.when(F.col("status") != "recorded", F.coalesce("error", F.concat(F.lit("status="), "status")))
         .when(missing, F.concat(F.lit("predictions missing for "), F.coalesce("run_id", F.lit("?"))))
     )
-    return table.withColumn("error", error), ic
+    short = F.col("n_eras").isNotNull() & F.col("ic_ci_lo").isNull()
+    reason = F.when(short, "series is shorter than its block floor")
+    return table.withColumn("error", error).withColumn("ic_ci_reason", reason), ic
 
 
 def _plain_ic(joined: DataFrame, target: str) -> DataFrame:
