@@ -505,9 +505,9 @@ def campaign_evidence(spark, sf):
 def _evidence(spark, sf):
     preds = model_predictions(spark, sf).select(F.col("model_id").alias("run_id"), "era", "id", "prediction")
     runs = spark.createDataFrame(
-        [("gbt_v2", "pred_a", "recorded", None), ("gbt_v3", "pred_b", "recorded", None), ("gbt_v4", "pred_c", "recorded", None),
-         ("gbt_v5", None, "failed", "out of memory"), ("gbt_v6", "pred_z", "recorded", None)],
-        "variant string, run_id string, status string, error string",
+        [("gbt_v2", "pred_a", "recorded", None, None, "gpu"), ("gbt_v3", "pred_b", "recorded", None, "boosted", None), ("gbt_v4", "pred_c", "recorded", None, "other", None),
+         ("gbt_v5", None, "failed", "out of memory", "boosted", "gpu"), ("gbt_v6", "pred_z", "recorded", None, None, None)],
+        "variant string, run_id string, status string, error string, backend string, device string",
     )
     rows_ = customer_month(spark, sf).select("era", "id", "target", *FEATURES)
     return reports.campaign_evidence(runs, preds, rows_, "target", FEATURES)
@@ -518,11 +518,11 @@ def _evidence(spark, sf):
                    "pr AS (SELECT * FROM (VALUES ('gbt_v2 vs gbt_v3', 'pred_a', 'pred_b'), ('gbt_v2 vs gbt_v4', 'pred_a', 'pred_c'), ('gbt_v3 vs gbt_v4', 'pred_b', 'pred_c')) p(pair, ma, mb))",
                    "di AS (SELECT pair, x.era_num, x.v - y.v AS value FROM pr JOIN ic x ON x.model_id = ma JOIN ic y ON y.model_id = mb AND y.era_num = x.era_num)",
                    *bootstrap_ctes("di", "pair", BLOCK20, 200, 0),
-                   "o AS (SELECT pair, point AS mean_diff, ci_low, ci_high, n::BIGINT AS n_eras, NULL::VARCHAR AS error FROM bo)"],
-                  q.rounded("o", ["pair", "n_eras", "error"], ["mean_diff", "ci_low", "ci_high"])))
+                   "o AS (SELECT pair, 'boosted' AS backend, point AS mean_diff, ci_low, ci_high, n::BIGINT AS n_eras, NULL::VARCHAR AS error FROM bo)"],
+                  q.rounded("o", ["pair", "backend", "n_eras", "error"], ["mean_diff", "ci_low", "ci_high"])))
 def campaign_pairs(spark, sf):
-    _, ic = _evidence(spark, sf)
-    return tidy(reports.campaign_pairs(ic))
+    variants, ic = _evidence(spark, sf)
+    return tidy(reports.campaign_pairs(ic, variants))
 
 
 @register("dataset_report")

@@ -104,7 +104,7 @@ def campaign_evidence(
     )
     deflated = inference.attach_deflation(stats.where("std > 0 and n >= 4"), by).select(*by, "dsr", F.col("reason").alias("dsr_reason"))
     table = (
-        runs.select("variant", "run_id", "status", "error")
+        runs.select("variant", "run_id", "status", "error", *_made_of(runs))
         .join(stats.select(*by, F.col("n").alias("n_eras"), F.col("mean").alias("mean_ic"), F.col("sharpe").alias("ic_sharpe"), F.col("std").alias("ic_std"), F.col("skew").alias("ic_skew"), F.col("kurt").alias("ic_kurt")), by, "left")
         .join(ic_ci, by, "left")
         .join(series.centred_drawdown(ic, by), by, "left")
@@ -121,6 +121,14 @@ def campaign_evidence(
     return table.withColumn("error", error).withColumn("ic_ci_reason", reason), ic
 
 
+def _made_of(runs: DataFrame) -> list[Column]:
+    """The backend and the device a recorded run was meant for; other runs have none."""
+    recorded = F.col("status") == "recorded"
+    backend = F.col("backend") if "backend" in runs.columns else F.lit(None).cast("string")
+    device = F.col("device") if "device" in runs.columns else F.lit(None).cast("string")
+    return [F.when(recorded, backend).alias("backend"), F.when(recorded, F.coalesce(device, F.lit("auto"))).alias("device")]
+
+
 def _plain_ic(joined: DataFrame, target: str) -> DataFrame:
     """Plain per-era correlation; a constant prediction counts 0, a constant target not at all."""
     from eraflow.functions.stats import none_null, safe_corr
@@ -134,9 +142,12 @@ def _plain_ic(joined: DataFrame, target: str) -> DataFrame:
     )
 
 
-def campaign_pairs(ic: DataFrame, n_boot: int = 200, seed: int = 0, min_overlap_eras: int = 20) -> DataFrame:
+def campaign_pairs(
+    ic: DataFrame, variants: DataFrame, n_boot: int = 200, seed: int = 0, min_overlap_eras: int = 20
+) -> DataFrame:
     """Mean IC differences of the screen-defining variant pairs (v2/v3/v4 of a prefix).
-    Pairs with too few shared eras get an error instead of an interval."""
+    Pairs with too few shared eras get an error instead of an interval. A pair's backend
+    is that of the prefix's v2 run, else of its v3 run, else the prefix itself."""
     tagged = ic.select(
         F.regexp_extract("variant", r"^(.*)_v\d+$", 1).alias("prefix"),
         F.regexp_extract("variant", r"_(v\d+)$", 1).alias("version"), "era", "era_num", "value",
@@ -146,14 +157,21 @@ def campaign_pairs(ic: DataFrame, n_boot: int = 200, seed: int = 0, min_overlap_
     ).alias("w")
     left = tagged.select("*", wanted).where("version = w.a").select("prefix", "w", "era", "era_num", F.col("value").alias("va"))
     right = tagged.select("*", wanted).where("version = w.b").select("prefix", "w", "era", F.col("value").alias("vb"))
+    version = F.regexp_extract("variant", r"_(v\d+)$", 1)
+    backends = variants.where("backend is not null").select(F.regexp_extract("variant", r"^(.*)_v\d+$", 1).alias("prefix"), version.alias("version"), "backend")
+    backends = backends.where("version in ('v2', 'v3')").groupBy("prefix").agg(F.min_by("backend", "version").alias("backend"))
     diffs = left.join(right, ["prefix", "w", "era"]).select(
+        "prefix",
         F.concat("prefix", F.lit("_"), "w.a", F.lit(" vs "), "prefix", F.lit("_"), "w.b").alias("pair"),
         "era", "era_num", (F.col("va") - F.col("vb")).alias("value"),
     )
-    tested = inference.mean_interval(diffs, ["pair"], "20D", short="one_block", n_boot=n_boot, seed=seed)
+    named = diffs.select("pair", "prefix").distinct().join(broadcast_checked(backends), "prefix", "left")
+    named = named.select("pair", F.coalesce("backend", "prefix").alias("backend"))
+    tested = inference.mean_interval(diffs.drop("prefix"), ["pair"], "20D", short="one_block", n_boot=n_boot, seed=seed).join(named, "pair")
     enough = F.col("n") >= min_overlap_eras
     return tested.select(
         "pair",
+        "backend",
         F.when(enough, F.col("point")).alias("mean_diff"),
         F.when(enough, F.col("ci_low")).alias("ci_low"),
         F.when(enough, F.col("ci_high")).alias("ci_high"),
