@@ -15,8 +15,9 @@ join, so a passage that a document repeats, or that a third of the corpus shares
 row per document there; the benchmark side is broadcast only within a measured bound.
 
 Null and empty texts have no words and are clean. Rows repeating an id are judged each by
-its own text. Repeated items count once per item id; items without words never occur.
-Clashing column names are replaced in the result. Empty tables give no hits.
+its own text. Repeated items count once per item id; items without words never occur. A
+very long text is one array of words in its row. Columns of the input, whatever they are
+called, play no part; where rows are dropped they stay. Empty tables give no hits.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ the same weights.
 
 Null texts and texts without a letter get the label ``und`` with score 0. Rows that repeat
 an id are labelled each by its own text. Labels of null are never learned. Without any
-labelled row every text is ``und``.
+labelled row every text is ``und``. Columns named like a result are replaced; all others
+stay, whatever they are called. An empty table gives an empty table.
 """
 
 from __future__ import annotations

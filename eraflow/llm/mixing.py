@@ -8,8 +8,9 @@ exploded by their counts, and all copies are dealt to partitions and ordered ins
 by a hash of (seed, document, copy): a global shuffle with one exchange.
 
 A source is a value of the source column, null included. A source without any size
-(only empty or null texts) has rate 1. Rows that repeat an id get equal counts. An
-empty table gives an empty mix.
+(only empty or null texts) has rate 1. Rows that repeat an id get equal counts. Texts of
+any length are copied as they are. ``copy`` and ``shuffle_key`` of the input are replaced;
+all other columns stay, whatever they are called. An empty table gives an empty mix.
 """
 
 from __future__ import annotations

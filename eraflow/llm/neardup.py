@@ -24,8 +24,9 @@ it must agree in ``AGREEMENT`` of its table minhashes and, in the last step, in
 with probability 3e-5 and 1e-4, one of 0.77 with less than 1e-6.
 
 Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id
-count as documents of their own; equal ones are copies of each other. Clashing columns
-are ignored. An empty table has no components.
+count as documents of their own; equal ones are copies of each other. A very long text is
+hashed in pieces. Columns of the input, whatever they are called, play no part; where
+rows are dropped they stay. An empty table has no components.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ the words lie in 3-word windows that occur again.
 
 Null and empty texts have no words and fail. Rows that repeat an id are judged each by its
 own text. Texts without a language count in no reference but are judged. Without any
-reference the base rules alone decide. Columns the result adds are replaced.
+reference the base rules alone decide. A very long text is counted in pieces. Columns the
+result adds are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ tasks that read it; only lines of shared leaves are taken apart into tokens; doc
 are joined with the numbers of their dropped lines and put together in their own rows.
 
 Null texts stay null and have no lines. A document is its id with its text: rows that repeat
-both are one document and are treated alike. Columns of the added names are replaced.
-Empty tables give empty results.
+both are one document and are treated alike. A very long text is parsed line by line in its
+own row. Columns of the added names are replaced; all others stay, whatever they are
+called. Empty tables give empty results.
 """
 
 from __future__ import annotations

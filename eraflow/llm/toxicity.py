@@ -16,7 +16,8 @@ not used for the fit); scoring reads every word of every text.
 Null and empty texts, and texts without words, have no sentence and score 0. A document
 labelled twice counts as toxic if one label says so; null labels are not learned. Rows
 that repeat an id are scored each by its own text. Without labelled rows of both kinds
-every score is 0.
+every score is 0. Columns named like a result are replaced. An empty table gives an empty
+table.
 """
 
 from __future__ import annotations

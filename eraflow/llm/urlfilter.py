@@ -12,7 +12,9 @@ levels hold about as many keys as are listed: the filters grow with the list and
 logarithm of the universe, never with the corpus.
 
 Addresses without ``://``, null or empty have empty host and path, fit no rule and get the
-default verdict. Repeated rows are judged alike. Other columns are left alone.
+default verdict. Repeated rows are judged alike. Very long addresses have no more keys than
+short ones. Columns named like a result are replaced; all others stay, whatever they are
+called. An empty table has an empty universe and gives an empty table.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ them.
 A null payload is empty. Null page ids sort first and never become the response of a group
 that has an id; in a group without ids, all are responses. Rows that repeat the page id of
 a group's response are responses too. A null address is stored as empty. Rows that repeat
-an address and a page id are captures of their own. An empty table gives no file.
+an address and a page id are captures of their own. A very long page is one record, of
+which a task holds one at a time. Other columns, whatever they are called, are ignored.
+An empty table gives no file.
 """
 
 from __future__ import annotations
