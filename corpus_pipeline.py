@@ -1,6 +1,8 @@
 """The training-data pipeline over ``documents``: language, near-duplicates, benchmark
 passages, mixing, token files. Every stage's result is written as Parquet to the shared
-folder and read again, so a lost executor costs at most the stage that runs."""
+folder and read again, so a lost executor costs at most the stage that runs. What the stages
+do with nulls, empty and very long texts, ties, repeated rows, empty tables and further
+columns is stated in ``eraflow.llm.pipeline``."""
 
 from __future__ import annotations
 
