@@ -121,6 +121,11 @@ def leaderboard(spark, sf):
     return stored(spark, sf, "leaderboard", lambda s, d: documents.registry_leaderboard(run_records(s, d), full_versions(s, d)))
 
 
+def scored_runs(spark, sf):
+    """The runs of the leaderboard; full versions have no scores to place or gate."""
+    return compare.evaluable_rows(leaderboard(spark, sf))
+
+
 def full_versions(spark, sf):
     """Manifests of full versions, one text line each: of every third nation's family, with
     rehearsals, an older version and a broken line among them."""
@@ -246,7 +251,7 @@ def tier_ladder(spark, sf):
                   "SELECT model_id, CASE WHEN corr < f THEN 'below tier ' || ft::VARCHAR WHEN corr > l THEN 'above tier ' || lt::VARCHAR ELSE coalesce(label, 'tier' || lt::VARCHAR) END AS placement "
                   "FROM cards LEFT JOIN hit USING (model_id), ft", panel=False))
 def placement(spark, sf):
-    placed = compare.place(leaderboard(spark, sf), documents.tier_rungs(benchmark_board(spark, sf)))
+    placed = compare.place(scored_runs(spark, sf), documents.tier_rungs(benchmark_board(spark, sf)))
     return placed.select("model_id", "placement")
 
 
@@ -259,7 +264,7 @@ GATE_LONG = "gl AS (" + " UNION ALL ".join(f"SELECT model_id, '{f}' AS field, {f
                                  q.rounded("o", ["model_id", "field", "pass::VARCHAR AS pass"], ["threshold", "measured"], 10), panel=False))
 def gate_report(spark, sf):
     fields = [f for f, _, _ in compare.GATE]
-    report = compare.gate_report(leaderboard(spark, sf), compare.gate_table(spark), fields)
+    report = compare.gate_report(scored_runs(spark, sf), compare.gate_table(spark), fields)
     return tidy(report.withColumn("pass", F.col("pass").cast("string")), 10)
 
 
@@ -267,7 +272,7 @@ def gate_report(spark, sf):
                                      "SELECT field, count(*)::BIGINT AS n FROM o WHERE NOT coalesce(pass, true) GROUP BY field", panel=False))
 def gate_violations(spark, sf):
     fields = [f for f, _, _ in compare.GATE]
-    report = compare.gate_report(leaderboard(spark, sf), compare.gate_table(spark), fields)
+    report = compare.gate_report(scored_runs(spark, sf), compare.gate_table(spark), fields)
     return compare.gate_violations(report).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -275,7 +280,7 @@ def gate_violations(spark, sf):
           q.query([CARDS], "SELECT model_id, 'corr' AS metric, round(corr, 10) + 0.0 AS observed, 0.005::DOUBLE AS tolerance FROM cards WHERE abs(corr) > 0.005 UNION ALL "
                   "SELECT model_id, 'corr_sharpe_ac', round(corr_sharpe_ac, 10) + 0.0, 0.15::DOUBLE FROM cards WHERE abs(corr_sharpe_ac) > 0.15::DOUBLE", panel=False))
 def null_floor_violations(spark, sf):
-    return tidy(compare.null_floor_violations(leaderboard(spark, sf)), 10)
+    return tidy(compare.null_floor_violations(scored_runs(spark, sf)), 10)
 
 
 def _receipt_sql(f: str, op: str, t: float) -> str:
@@ -322,24 +327,24 @@ def fleet_summary(spark, sf):
           q.query([CARDS, "ch AS (SELECT corr_sharpe_ac_ci_low AS lo, corr_sharpe_ac_ci_high AS hi FROM cards WHERE model_id = 'Customer#000000007')"],
                   "SELECT model_id, CASE WHEN corr_sharpe_ac_ci_low IS NULL OR corr_sharpe_ac_ci_high IS NULL THEN 'caution' WHEN corr_sharpe_ac_ci_low > hi THEN 'promote' WHEN corr_sharpe_ac_ci_high < lo THEN 'hold' ELSE 'caution' END AS verdict FROM cards, ch", panel=False))
 def promotion_verdicts(spark, sf):
-    board = leaderboard(spark, sf)
+    board = scored_runs(spark, sf)
     return compare.verdicts(board, board.where("model_id = 'Customer#000000007'"))
 
 
 @register("best_run", q.query([CARDS], "SELECT model_id, round(corr, 10) + 0.0 AS corr FROM cards ORDER BY corr DESC, model_id DESC LIMIT 1", panel=False))
 def best_run(spark, sf):
-    return tidy(compare.best_run(leaderboard(spark, sf), "corr"), 10)
+    return tidy(compare.best_run(scored_runs(spark, sf), "corr"), 10)
 
 
 @register("better_than_champion", q.query([CARDS], "SELECT model_id, round(max_drawdown, 6) + 0.0 AS max_drawdown FROM cards WHERE max_drawdown < (SELECT max_drawdown FROM cards WHERE model_id = 'Customer#000000025')", panel=False))
 def better_than_champion(spark, sf):
-    board = leaderboard(spark, sf)
+    board = scored_runs(spark, sf)
     return tidy(compare.better_than(board, board.where("model_id = 'Customer#000000025'"), "max_drawdown").select("model_id", "max_drawdown"))
 
 
 @register("robustness_cells", q.query([CARDS], "SELECT model_id, bmc IS NOT NULL AS has_bmc, false AS has_horizon, false AS has_perturb, false AS has_regime FROM cards", panel=False))
 def robustness_cells(spark, sf):
-    return leaderboard(spark, sf).select("model_id", "has_bmc", "has_horizon", "has_perturb", "has_regime")
+    return scored_runs(spark, sf).select("model_id", "has_bmc", "has_horizon", "has_perturb", "has_regime")
 
 
 @register("tier_metadata", q.query([CARDS, "md AS (SELECT model_id, nation::BIGINT AS tier, 'tier' || nation::VARCHAR AS strategy_group FROM cards WHERE a >= 0)"],
@@ -347,7 +352,7 @@ def robustness_cells(spark, sf):
 def tier_metadata(spark, sf):
     from eraflow.operators.rows import with_metadata
 
-    cards = leaderboard(spark, sf).select("model_id")
+    cards = scored_runs(spark, sf).select("model_id")
     meta = table(spark, sf, "customer").where("c_acctbal >= 0").select(
         F.col("c_name").alias("model_id"), F.col("c_nationkey").cast("bigint").alias("tier"),
         F.concat(F.lit("tier"), F.col("c_nationkey").cast("string")).alias("strategy_group"),
