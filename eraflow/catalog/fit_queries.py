@@ -109,7 +109,7 @@ def horizon_stability(spark, sf):
                    "o AS (SELECT model_id, regime, n::BIGINT AS n_eras, point AS mean_corr, ci_low, ci_high FROM bo)"],
                   q.rounded("o", ["model_id", "regime", "n_eras"], ["mean_corr", "ci_low", "ci_high"])))
 def regime_corr(spark, sf):
-    return tidy(robustness.regime_corr(corr_series(spark, sf), era_labels(spark, sf), ["model_id"], min_eras=10, n_boot=N_BOOT, seed=SEED))
+    return tidy(robustness.regime_corr(corr_series(spark, sf), era_labels(spark, sf), ["model_id"], min_eras=None, n_boot=N_BOOT, seed=SEED))
 
 
 NULLS = [f"nu AS (SELECT DISTINCT era, id FROM panel)", f"ng AS (SELECT era, id, {md5_uniform("'3|' || era || '|' || id")} AS u FROM nu)"]

@@ -113,19 +113,20 @@ def block_bootstrap(
     seed: int = 0,
     alpha: float = 0.05,
     out: str = "boot",
+    least: int = 2,
 ) -> DataFrame:
     """Circular block bootstrap of each packed series: point, percentile interval and
     (for the mean) the two-sided p-value against a zero mean.
 
     ``statistic`` is "mean", "ac_sharpe" (needs ``lags``) or a function from a matrix
     of resampled rows to one number per row. An interval needs at least half of the
-    replicates finite; fewer than two values give NULLs and a p-value of NULL.
+    replicates finite; fewer than ``least`` values give NULLs and a p-value of NULL.
     """
     name = statistic if isinstance(statistic, str) else "custom"
 
     def one(values: np.ndarray, size: int, n_lags: int) -> tuple:
         x = np.asarray(values, dtype=float)
-        if x.size < 2 or not 1 <= size <= x.size:
+        if x.size < least or not 1 <= size <= x.size:
             return (None, None, None, None, 0)
         p_value = None
         if name == "mean":

@@ -244,16 +244,20 @@ def regime_corr(
     labels: DataFrame,
     by: Sequence[str] = (),
     horizon: str = "20D",
-    min_eras: int = scoring.MIN_OVERLAP_ERAS,
+    min_eras: int | None = scoring.MIN_OVERLAP_ERAS,
     strict: bool = True,
     **options,
 ) -> DataFrame:
     """Mean score and bootstrap interval per regime. Labels are one row per era. A regime
     with too few eras fails, as its interval would mean nothing; with ``strict`` off it
-    keeps a row with its number of eras and NULL scores."""
+    keeps a row with its number of eras and NULL scores. Without ``min_eras`` every regime
+    keeps its scores: one shorter than the block floor is resampled as one block."""
     from eraflow.operators.rows import with_labels
 
     labelled = with_labels(with_era_num(series), labels.select("era", "regime"))
+    if min_eras is None:
+        out = inference.mean_interval(labelled, [*by, "regime"], horizon, short="one_block", least=1, **options)
+        return out.select(*by, "regime", F.col("n").alias("n_eras"), F.col("point").alias("mean_corr"), "ci_low", "ci_high")
     out = inference.mean_interval(labelled, [*by, "regime"], horizon, short="error" if strict else "null", **options)
     if not strict:
         known = F.col("n") >= min_eras
