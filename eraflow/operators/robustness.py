@@ -219,7 +219,13 @@ def horizon_stability(
     keys = [*by, "side", "horizon"]
     groups, largest = group_shape(df, [*by, "era"])
     series = scoring.per_era_corr(long, "p", "t", [*keys, "era"], (4 * groups, largest))
-    series = series.join(resolved, [*by, "era"])
+    return horizon_ratios(series.join(resolved, [*by, "era"]), by, min_overlap_eras)
+
+
+def horizon_ratios(series: DataFrame, by: Sequence[str], min_overlap_eras: int = scoring.MIN_OVERLAP_ERAS) -> DataFrame:
+    """:func:`horizon_stability` from the scores of the eras that count: (by, side, horizon,
+    era, value)."""
+    keys = [*by, "side", "horizon"]
     series = with_era_num(series)
     ratios = inference.ac_adjusted_sharpe(series.where("horizon = '20D'"), keys, "20D").unionByName(
         inference.ac_adjusted_sharpe(series.where("horizon = '60D'"), keys, "60D")

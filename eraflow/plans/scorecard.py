@@ -1,7 +1,8 @@
 """Full evaluation of many models at once: one scorecard row per model.
 
-All models share one joined base. Every per-era metric is one pass over it, grouped by
-model and era; what follows works on the small (model, metric, era) table.
+All models share one base. An era's features meet its models in one task, which gives every
+per-era score in one pass; eras too large for a task take a pass per metric. What
+follows works on the small (model, metric, era) table.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eraflow.functions import groups
 from eraflow.functions.stats import all_finite, is_finite
 from eraflow.operators import inference, normal, robustness, scoring, series
 from eraflow.session import materialize
@@ -63,6 +65,34 @@ def per_era_scores(
     return series.with_era_num(out)
 
 
+def scores_in_tasks(
+    base: DataFrame, target: str, meta: str, benchmark: str | None, horizon_pair: tuple[str, str] | None,
+    features: DataFrame, dealt: tuple[list, int],
+) -> DataFrame:
+    """(model_id, era, one column per score): every score of every model in one pass, an
+    era's rows beside its models (``scoring.card_scores``); ``features`` has era, id, t, x."""
+    sources = {"p": "prediction", "m": meta, "y": target}
+    if benchmark is not None:
+        sources["b"] = benchmark
+        if horizon_pair is not None:
+            sources |= {"short": horizon_pair[0], "long": horizon_pair[1]}
+    # a column that has two parts is sent once
+    first = {source: name for name, source in reversed(sources.items())}
+    work = base.select("model_id", "era", "id", *[F.col(source).cast("double").alias(name) for source, name in first.items()])
+
+    def scores(models: list, t: np.ndarray, x: np.ndarray) -> list[dict]:
+        sets = [({n: columns[first[source]] for n, source in sources.items()}, place) for columns, place in models]
+        return scoring.card_scores(sets, t, x)
+
+    return groups.by_models(work, features, list(first.values()), "model_id", dealt, scores, scoring.CARD_TYPES)
+
+
+def _long(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(model_id, metric, era, value) of the scores that there are."""
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("c")
+    return wide.select("model_id", "era", cells).select("model_id", "c.metric", "era", "c.value").where("value is not null")
+
+
 def max_exposure(predictions: DataFrame, feature_rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """The largest size of a correlation of a model's predictions with a feature in an era.
     Predictions are put together per row, and one scan folds their products with the
@@ -160,9 +190,18 @@ def evaluate_models(
     if feature_rows is None:
         feature_rows = base.select("era", "id", target, *features).dropDuplicates(["era", "id"])
     feature_rows = materialize(feature_rows.select("era", "id", target, *features), "feature-rows")
-    complete = feature_rows.select("era", "id", all_finite(features).alias("features_ok"))
-    base = materialize(base.drop(*features).join(complete, ["era", "id"], "left"), "evaluation-base")
-    scores = materialize(per_era_scores(base, target, meta, features, benchmark, feature_rows), "scores")
+    complete = scoring.complete_features(feature_rows, features, target)
+    dealt = groups.models_a_task(base, complete, 6, len(features), "model_id")
+    wide = None
+    if dealt[1]:
+        needed = ["prediction", meta, target, *([] if benchmark is None else [benchmark]), *(horizon_pair or ())]
+        base = materialize(base.select("model_id", "era", "id", *dict.fromkeys(needed)), "evaluation-base")
+        wide = materialize(scores_in_tasks(base, target, meta, benchmark, horizon_pair, complete, dealt), "era-scores")
+        scores = series.with_era_num(_long(wide, ["corr", "meta_corr", "mmc", "cwmm", "fnc", "bmc"]))
+    else:
+        present = feature_rows.select("era", "id", all_finite(features).alias("features_ok"))
+        base = materialize(base.drop(*features).join(present, ["era", "id"], "left"), "evaluation-base")
+        scores = materialize(per_era_scores(base, target, meta, features, benchmark, feature_rows), "scores")
 
     def metric(name: str) -> DataFrame:
         return scores.where(F.col("metric") == name).drop("metric")
@@ -199,18 +238,30 @@ def evaluate_models(
         n_down.alias("mmc_down_n_eras"),
         F.when(n_down < scoring.MIN_DOWNSIDE_ERAS, "insufficient_downside_eras").alias("mmc_down_reason"),
     )
-    with_features = base.withColumn("prediction", F.when(F.col("features_ok"), F.col("prediction")))
-    degenerate = scoring.degenerate_eras(with_features, "prediction", target, meta, by=KEYS)
+    if wide is not None:
+        degenerate = wide.where("degenerate").select(*KEYS)
+        exposure = wide.groupBy(*BY).agg(F.max("exposure").alias("max_feature_exposure"))
+    else:
+        with_features = base.withColumn("prediction", F.when(F.col("features_ok"), F.col("prediction")))
+        degenerate = scoring.degenerate_eras(with_features, "prediction", target, meta, by=KEYS)
+        exposure = max_exposure(base, feature_rows, features)
     degenerate = degenerate.groupBy(*BY).agg(F.count(F.lit(1)).alias("n_degenerate_eras"))
     mmc_sharpe = inference.ac_adjusted_sharpe(metric("mmc"), BY, horizon)
     parts = [
-        sharpe, report, means, turnover, mmc_down, max_exposure(base, feature_rows, features), degenerate,
+        sharpe, report, means, turnover, mmc_down, exposure, degenerate,
         mmc_sharpe.select(*BY, F.col("ac_sharpe").alias("mmc_sharpe_ac")),
     ]
     if benchmark is not None and horizon_pair is not None:
-        stability = robustness.horizon_stability(
-            base, "prediction", benchmark, *horizon_pair, by=BY, min_overlap_eras=min_overlap_eras
-        )
+        if wide is not None:
+            names = F.split("metric", "_")
+            horizon_of = F.when(names[1] == "short", "20D").otherwise("60D")
+            sides = _long(wide, ["model_short", "model_long", "bench_short", "bench_long"])
+            sides = sides.select("model_id", "era", names[0].alias("side"), horizon_of.alias("horizon"), "value")
+            stability = robustness.horizon_ratios(sides, BY, min_overlap_eras)
+        else:
+            stability = robustness.horizon_stability(
+                base, "prediction", benchmark, *horizon_pair, by=BY, min_overlap_eras=min_overlap_eras
+            )
         parts.append(stability.select(*BY, *[F.col(c).alias(f"horizon_{c}") for c in stability.columns if c != "model_id"]))
     if regimes is not None:
         per = robustness.regime_corr(metric("corr"), regimes, BY, horizon, min_overlap_eras, strict=False, **options)
