@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from eraflow.functions.hashing import multiset_digest
 from eraflow.functions.stats import is_finite
 from eraflow.operators import scoring, series
+from eraflow.session import broadcast_checked
 
 # Fields of the production gate. Operators: at least, above, at most,
 # and fields that are only displayed.
@@ -61,7 +62,8 @@ def gate_report(cards: DataFrame, gate: DataFrame, fields: Sequence[str]) -> Dat
     checked = F.when(
         bad, F.raise_error(F.concat(F.lit("non-finite value in scorecard "), "model_id", F.lit("."), "field")).cast("double")
     ).otherwise(F.col("measured"))
-    joined = long.withColumn("measured", checked).join(gate, "field")
+    # a gate has a handful of rows: dealt by field, one task would hold a field of all models
+    joined = long.withColumn("measured", checked).join(broadcast_checked(gate), "field")
     return joined.select(
         "model_id", "field", "threshold", "measured",
         _receipt(F.col("measured"), F.col("op"), F.col("threshold")).alias("pass"),

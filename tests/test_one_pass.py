@@ -82,3 +82,15 @@ def test_turnover_with_nulls_nan_and_repeated_ids(spark):
         assert got == found() and len(got) == 2
     finally:
         spark.conf.unset("spark.eraflow.maxGroupRows")
+
+
+def test_gate_report_leaves_the_rows_where_they_are(spark):
+    """A join dealt by field would give one task a field of all models."""
+    from eraflow.operators import compare
+
+    fields = [f for f, _, _ in compare.GATE]
+    cards = spark.range(3).select(F.col("id").cast("string").alias("model_id"), *[F.lit(0.5).alias(f) for f in fields])
+    report = compare.gate_report(cards, compare.gate_table(spark), fields)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert report.count() == 3 * len(fields)
