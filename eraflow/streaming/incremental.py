@@ -45,14 +45,23 @@ def run_feature_moments(
     def replace(batch: DataFrame, number: int) -> None:
         snapshots.publish(batch, out, number)
 
-    query = (
-        feature_moments(stream, features)
-        .writeStream.outputMode("complete")
-        .foreachBatch(replace)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    # the state is a row per feature: more parts of it than that would be committed empty by
+    # every batch. A query keeps the number it was started with, also when it is restarted.
+    parts = "spark.sql.shuffle.partitions"
+    spark = stream.sparkSession
+    usual = spark.conf.get(parts)
+    spark.conf.set(parts, str(max(1, min(int(usual), len(features)))))
+    try:
+        query = (
+            feature_moments(stream, features)
+            .writeStream.outputMode("complete")
+            .foreachBatch(replace)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(parts, usual)
     query.awaitTermination()
 
 
