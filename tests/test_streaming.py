@@ -21,6 +21,17 @@ def test_moments_grow_file_by_file(spark, sf_dir, tmp_path):
             assert abs(got[r["feature"]][field] - r[field]) < 1e-9
 
 
+def test_the_state_has_no_more_parts_than_features(spark, sf_dir, tmp_path):
+    panel = customer_month(spark, sf_dir)
+    source, out, mark = (f"{tmp_path}/{n}" for n in ("in", "out", "mark"))
+    panel.write.parquet(source)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    incremental.run_feature_moments(incremental.era_stream(spark, source, panel.schema, 100), FEATURES[:2], out, mark)
+    kept = [p.name for p in (tmp_path / "mark" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert sorted(kept) == ["0", "1"] and spark.conf.get("spark.sql.shuffle.partitions") == parts
+    assert snapshots.current(spark, out).count() == 2
+
+
 def test_a_failure_in_mid_write_leaves_the_old_moments(spark, sf_dir, tmp_path, monkeypatch):
     panel = customer_month(spark, sf_dir)
     source, out, mark = (f"{tmp_path}/{n}" for n in ("in", "out", "mark"))
