@@ -8,9 +8,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eraflow.functions import groups
 from eraflow.functions.stats import is_finite
-from eraflow.operators import analysis, compare, correlation, drift, fits, inference, series
-from eraflow.operators.neutralize import neutralized_ic
+from eraflow.operators import analysis, compare, correlation, drift, fits, inference, scoring, series
+from eraflow.operators.neutralize import feature_vector, neutralized_ic
 from eraflow.plans import scorecard
 from eraflow.session import broadcast_checked, materialize
 
@@ -84,15 +85,12 @@ def campaign_evidence(
 ) -> tuple[DataFrame, DataFrame]:
     """(variants, ic series). Per recorded run: IC mean with interval, moments, drawdown,
     fully neutralized IC with interval, and the fleet-deflated ratio. Runs that were not
-    recorded, or have no predictions, keep a row with an error."""
+    recorded, or have no predictions, keep a row with an error. ``rows`` has an (era, id)
+    once."""
     recorded = runs.where("status = 'recorded' and run_id is not null").select("variant", "run_id")
     preds = predictions.join(broadcast_checked(recorded), "run_id").select("variant", "era", "id", "prediction")
-    joined = materialize(preds.join(rows.select("era", "id", target, *features), ["era", "id"]), "campaign")
     by = ["variant"]
-    ic = _plain_ic(joined, target)
-    ic = materialize(series.with_era_num(ic), "campaign-ic")
-    fne = neutralized_ic(joined, ["prediction"], features, target, [1.0], ["variant", "era"])
-    fne = series.with_era_num(fne.select("variant", "era", F.col("ic").alias("value")))
+    ic, fne = (series.with_era_num(found) for found in _ics(preds, rows, target, features))
     stats = series.series_stats(ic, by)
     # A series below the block floor has no interval.
     options = {"n_boot": n_boot, "seed": seed, "short": "null"}
@@ -129,6 +127,22 @@ def _made_of(runs: DataFrame) -> list[Column]:
     return [F.when(recorded, backend).alias("backend"), F.when(recorded, F.coalesce(device, F.lit("auto"))).alias("device")]
 
 
+def _ics(preds: DataFrame, rows: DataFrame, target: str, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(variant, era, value) of the plain and the fully neutralized correlations, stored. An
+    era's rows meet its variants in one task; larger eras are joined and take a pass each."""
+    ours = preds.where("prediction is not null").withColumn("prediction", F.col("prediction").cast("double"))
+    theirs = rows.where(F.col(target).isNotNull()).select("era", "id", F.col(target).cast("double").alias("t"), feature_vector(features).alias("x"))
+    dealt = groups.models_a_task(ours, theirs, 1, len(features), "variant")
+    if dealt[1]:
+        work = ours.withColumnRenamed("prediction", "p")
+        found = groups.by_models(work, theirs, ["p"], "variant", dealt, scoring.plain_and_neutral_ic, "ic double, neutral double")
+        found = materialize(found, "campaign-ic")
+        return tuple(found.where(F.col(c).isNotNull()).select("variant", "era", F.col(c).alias("value")) for c in ("ic", "neutral"))
+    joined = materialize(preds.join(rows.select("era", "id", target, *features), ["era", "id"]), "campaign")
+    fne = neutralized_ic(joined, ["prediction"], features, target, [1.0], ["variant", "era"])
+    return materialize(_plain_ic(joined, target), "campaign-ic"), materialize(fne.select("variant", "era", F.col("ic").alias("value")), "campaign-neutral")
+
+
 def _plain_ic(joined: DataFrame, target: str) -> DataFrame:
     """Plain per-era correlation; a constant prediction counts 0, a constant target not at all."""
     from eraflow.functions.stats import none_null, safe_corr

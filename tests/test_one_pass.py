@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eraflow.functions import groups
 from eraflow.operators import scoring
-from eraflow.plans import scorecard
+from eraflow.plans import reports, scorecard
 
 FEATURES = ["f0", "f1"]
 BASE = "model_id string, era string, id string, prediction double, meta double, y double, y60 double, bench double"
@@ -67,6 +67,34 @@ def test_cards_are_those_of_the_layouts_of_large_eras(spark, monkeypatch, models
             assert got[model][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (model, name)
 
 
+def test_campaign_correlations_are_those_of_the_joined_rows(spark, monkeypatch):
+    base, features = frames(spark)
+    nan = math.nan
+    odd = [("m0", "0090", "a", nan), ("m0", "0090", "b", 0.5), ("m1", "0091", "a", 0.1), ("m1", "0092", "z", 0.1), ("m2", "0093", "a", 1.0), ("m2", "0093", "b", 2.0)]
+    preds = base.select(F.col("model_id").alias("variant"), "era", "id", "prediction").unionByName(spark.createDataFrame(odd, "variant string, era string, id string, prediction double"))
+    more = [(e, i, y, 1.0, 2.0) for e, i, y in [("0090", "a", 0.0), ("0090", "b", 1.0), ("0091", "a", 0.5), ("0093", "a", nan), ("0093", "b", 1.0)]]
+    rows = features.unionByName(spark.createDataFrame(more, features.schema)).withColumn("y", F.when((F.col("era") != "0006") | (F.col("id") > "003"), F.col("y")))
+
+    def found():
+        return [{(r["variant"], r["era"]): r["value"] for r in df.collect()} for df in reports._ics(preds, rows, "y", FEATURES)]
+
+    spark.conf.set("spark.eraflow.maxGroupRows", "20")
+    try:
+        want = found()
+    finally:
+        spark.conf.unset("spark.eraflow.maxGroupRows")
+
+    def joined(*_):
+        raise AssertionError("joined the rows of an era that a task can hold")
+
+    monkeypatch.setattr(reports, "neutralized_ic", joined)
+    got = found()
+    assert len(want[0]) == 74 and len(want[1]) == 72 and want[0]["m0", "0090"] == 0.0
+    for mine, theirs in zip(got, want, strict=True):
+        assert mine.keys() == theirs.keys()
+        assert all(mine[k] == pytest.approx(v, abs=1e-9) for k, v in theirs.items())
+
+
 def test_turnover_with_nulls_nan_and_repeated_ids(spark):
     nan, inf = math.nan, math.inf
     values = [0.1, None, nan, inf, 0.3, None, nan, -inf, 0.3, 0.2, 0.7, 0.1]
