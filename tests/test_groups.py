@@ -48,3 +48,26 @@ def test_equal_hashes(spark, rows, monkeypatch):
     want = SCORES["mmc"](rows).orderBy(*BY).toPandas()
     monkeypatch.setattr(groups.F, "xxhash64", lambda *_: F.lit(1).cast("bigint"))
     assert SCORES["mmc"](rows).orderBy(*BY).toPandas().equals(want)
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Groups are dealt once, over tasks that do not grow with the rows."""
+    rows = [(f"{e:04d}", float((i * 7 + e) % 11), float(i % 3), float(i % 5)) for e in range(40) for i in range(30)]
+    df = spark.createDataFrame(rows, "era string, p double, m double, t double")
+
+    def found():
+        frames = scoring.per_era_corr(df, "p", "t"), scoring.per_era_mmc(df, "p", "m", "t")
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in frames]
+        return plans, [sorted((r["era"], round(r["value"], 9)) for r in f.collect()) for f in frames]
+
+    _, want = found()
+    monkeypatch.setattr(groups, "TASK_ROWS", 60)
+    plans, got = found()
+    assert got == want
+    for plan in plans:
+        assert "20), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
+    spark.conf.set("spark.eraflow.maxGroupRows", "20")  # no task takes a group that is too large for it
+    try:
+        assert "REPARTITION_BY_NUM" not in scoring.per_era_corr(df, "p", "t")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.eraflow.maxGroupRows")
