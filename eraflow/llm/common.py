@@ -74,12 +74,19 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df.select(sum(sizes[1:], sizes[0])).first()[0])
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Join ``df`` by shuffle, whatever size Spark takes it for: it counts files as they are
+    compressed, an array as one value and what Python makes of a row as one row, so that
+    it would send tables of gigabytes through the driver."""
+    return df.hint("merge")
+
+
 def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Hint a broadcast when the measured size is within the bound; otherwise the join
     shuffles, and adaptive execution splits its hot keys."""
     if estimated_bytes(df) <= (BROADCAST_BYTES if limit is None else limit):
         return F.broadcast(df)
-    return df
+    return by_shuffle(df)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -4,7 +4,8 @@ Each step links every neighbour of a node to the smallest node around it, first
 larger neighbours, then for the smaller ones; the table turns into stars around the
 components' smallest nodes in a number of steps that grows with the logarithm of the
 longest path. Minima are aggregated before they are shuffled, and nothing is gathered
-per node, so a node with very many links is only a skewed join key.
+per node, so a node with very many links is only a skewed join key. No side of a join goes
+through the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import remove, store
+from eraflow.llm.common import by_shuffle, remove, store
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -21,10 +22,10 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     if larger:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        moved = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        moved = both.where("b > a").join(by_shuffle(low), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
         low = edges.groupBy("a").agg(F.min("b").alias("low"))
-        moved = edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        moved = edges.join(by_shuffle(low), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         moved = moved.unionByName(low.select("a", F.col("low").alias("b")))
     return moved.where("a > b").distinct()
 

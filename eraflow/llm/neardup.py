@@ -23,6 +23,10 @@ it must agree in ``AGREEMENT`` of its table minhashes and, in the last step, in
 ``SKETCH_AGREEMENT`` of ``SKETCH`` further ones. A pair of similarity 0.75 fails these tests
 with probability 3e-5 and 1e-4, one of 0.77 with less than 1e-6.
 
+Tables that grow with the corpus are joined by shuffle, or broadcast if they are measured to
+be small; Spark's own sizes are not relied on (a node has ``SIDE**2`` keys, which it counts
+as one row).
+
 Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id
 count as documents of their own; equal ones are copies of each other. A very long text is
 hashed in pieces. Columns of the input, whatever they are called, play no part; where
@@ -38,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eraflow.llm.common import broadcast_if_small, hidden, release_memory, remove, store
+from eraflow.llm.common import broadcast_if_small, by_shuffle, hidden, release_memory, remove, store
 from eraflow.llm.components import components
 from eraflow.llm.shingles import mix, set_digest, shingle_set, similar
 
@@ -138,7 +142,7 @@ def hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = lambda c: facts.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
     agree = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
     able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = pairs.join(by_shuffle(side("a")), "a").join(by_shuffle(side("b")), "b")
     return joined.where(able & (agree >= AGREEMENT * HASHES)).select("a", "b")
 
 
@@ -146,7 +150,7 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, folder: str)
     """(node, text) of the distinct nodes of ``wanted``, written. ``docs`` has doc_id,
     text_hash and text."""
     rep = [F.col("rep.doc_id").alias("_i"), F.col("rep.text_hash").alias("_h"), F.col("rep.n_rows").alias("n_rows")]
-    places = store(nodes.join(wanted.distinct(), "node", "left_semi").select("node", *rep), f"{folder}/places")
+    places = store(nodes.join(by_shuffle(wanted.distinct()), "node", "left_semi").select("node", *rep), f"{folder}/places")
     same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h"))
     # Only rows that are repeated with their id have to be made one again.
     once, several = (docs.join(broadcast_if_small(places.where(which)), same).select("node", "text") for which in ("n_rows = 1", "n_rows > 1"))
@@ -173,8 +177,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, folder: str,
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     texts = texts_of(ends, nodes, docs, folder)
     full = (
-        pairs.join(texts.withColumnsRenamed({"node": "b", "text": "right"}), "b")
-        .join(texts.withColumnsRenamed({"node": "a", "text": "left"}), "a")
+        pairs.join(by_shuffle(texts.withColumnsRenamed({"node": "b", "text": "right"})), "b")
+        .join(by_shuffle(texts.withColumnsRenamed({"node": "a", "text": "left"})), "a")
         .select("a", "b", "left", "right")
     )
     links = store(full.mapInArrow(check, "a long, b long"), f"{folder}/links")
@@ -266,13 +270,13 @@ def screened(open_nodes: DataFrame, nodes: DataFrame, docs: DataFrame, folder: s
 
     texts = texts_of(open_nodes.select("node"), nodes, docs, folder)
     sketches = store(texts.mapInArrow(draw, "node long, sketch binary"), f"{folder}/sketches")
-    facts = nodes.select("node", "n_shingles", "signature").join(broadcast_if_small(sketches), "node").join(open_nodes, "node")
+    facts = nodes.select("node", "n_shingles", "signature").join(broadcast_if_small(sketches), "node").join(by_shuffle(open_nodes), "node")
     bands = [F.xxhash64(*[F.get("signature", F.lit(i * ROWS + r)) for r in range(ROWS)]) for i in range(SIDE)]
     listed = store(facts.select("*", F.posexplode(F.array(*bands)).alias("own", "band")), f"{folder}/bands")
     sizes = listed.groupBy("own", "band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = (
-        listed.join(sizes, ["own", "band"])
+        listed.join(by_shuffle(sizes), ["own", "band"])
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("own", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
@@ -304,9 +308,9 @@ def cluster(
     nodes = store(nodes, f"{folder}/nodes")
     keys = keyed(nodes)
     buckets = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = store(keys.join(buckets.select("key"), "key"), f"{folder}/members")
+    members = store(keys.join(by_shuffle(buckets.select("key")), "key"), f"{folder}/members")
     heads = members.groupBy("key").agg(F.min("node").alias("a"))
-    first = members.join(heads, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    first = members.join(by_shuffle(heads), "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
     tested = store(hopeful(first, nodes, percent), f"{folder}/pairs-0")
     links = confirmed(tested, nodes, rows, f"{folder}/round-0", percent)
     found = store(components(links, f"{folder}/steps-0"), f"{folder}/found-0")
@@ -314,13 +318,13 @@ def cluster(
     while not last:
         step += 1
         known = found.select("node", "component")
-        labelled = members.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        labelled = members.join(by_shuffle(known), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         open_buckets = (
             labelled.groupBy("key")
             .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
             .where("low < high").select("key", "n")
         )
-        members = store(labelled.join(open_buckets, "key"), f"{folder}/members-{step}")
+        members = store(labelled.join(by_shuffle(open_buckets), "key"), f"{folder}/members-{step}")
         nodes_open, joined = members.select("node").distinct().count(), links.count()
         if not nodes_open:
             break
@@ -334,23 +338,23 @@ def cluster(
             by = F.xxhash64("key", "node", F.lit(step))
             heads = looked.groupBy("key").agg(F.min_by(F.struct("node", "component"), by).alias("head"))
             pairs = (
-                looked.join(heads, "key").where("component <> head.component")
+                looked.join(by_shuffle(heads), "key").where("component <> head.component")
                 .select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
             )
             pairs = hopeful(pairs, nodes, percent)
-        fresh = store(pairs.join(tested, ["a", "b"], "left_anti"), f"{folder}/pairs-{step}")
+        fresh = store(pairs.join(by_shuffle(tested), ["a", "b"], "left_anti"), f"{folder}/pairs-{step}")
         more = confirmed(fresh, nodes, rows, f"{folder}/round-{step}", percent)
         links, tested = links.unionByName(more), tested.unionByName(fresh)
         members = members.select("key", "node")
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = store(components(known.unionByName(more), f"{folder}/steps-{step}"), f"{folder}/found-{step}")
     lowest = (
-        nodes.join(found, "node", "left")
+        nodes.join(by_shuffle(found), "node", "left")
         .select("set_hash", "first_id", F.coalesce("component", "node").alias("component"))
     )
     ids = lowest.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = lowest.join(ids, "component").select("set_hash", "component", "component_id")
-    out = sets.join(labels, "set_hash", "left").select(
+    labels = lowest.join(by_shuffle(ids), "component").select("set_hash", "component", "component_id")
+    out = sets.join(by_shuffle(labels), "set_hash", "left").select(
         "doc_id", "text_hash", "set_hash", "n_shingles", "component",
         F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )

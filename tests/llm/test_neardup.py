@@ -184,3 +184,22 @@ def test_share_of_equal_minhashes_estimates_similarity():
     a, b = shingles.shingle_set(base), shingles.shingle_set(other)
     share = np.mean([neardup.minhashes(a) == neardup.minhashes(b)])
     assert abs(share - 296 / 496) < 0.25
+
+
+def test_nothing_that_is_not_measured_is_broadcast(spark, folder, monkeypatch):
+    """Spark takes every table of this test for small, so it would send all of them through
+    the driver; at sizes where it is wrong that is gigabytes."""
+    plans = {}
+
+    def planned(df, path):
+        plans[path.rsplit("/", 1)[-1]] = df._jdf.queryExecution().executedPlan().toString()
+        return common.store(df, path)
+
+    for module in (neardup, components):
+        monkeypatch.setattr(module, "store", planned)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    rows = [(i, t, "en", "a", 0) for i, t in corpus(random.Random(3))]
+    found = neardup.cluster(spark.createDataFrame(rows, SCHEMA).repartition(4), folder)
+    planned(found, f"{folder}/clusters")
+    assert {"members", "pairs-0", "places", "texts", "links", "members-1", "screened", "clusters"} <= set(plans)
+    assert not [path for path, plan in plans.items() if "Broadcast" in plan]
