@@ -373,8 +373,8 @@ def keep_one(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "
     every = found.where("set_hash IS NOT NULL").groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
     every = every.agg(F.count(F.lit(1)).alias("n"))
     head_of = F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_h"))
-    dropped = broadcast_if_small(store(every.join(heads, head_of, "left_anti"), f"{folder}/dropped"))
-    twice = broadcast_if_small(store(every.where("n > 1").join(heads, head_of, "left_semi"), f"{folder}/twice"))
+    dropped = broadcast_if_small(store(every.join(by_shuffle(heads), head_of, "left_anti"), f"{folder}/dropped"))
+    twice = broadcast_if_small(store(every.where("n > 1").join(by_shuffle(heads), head_of, "left_semi"), f"{folder}/twice"))
     docs, now, back = hidden(docs, ["_d", "_t"])
     doc_id, text = now(doc_id), now(text)
     this = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t"))

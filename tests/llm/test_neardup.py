@@ -199,7 +199,7 @@ def test_nothing_that_is_not_measured_is_broadcast(spark, folder, monkeypatch):
         monkeypatch.setattr(module, "store", planned)
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     rows = [(i, t, "en", "a", 0) for i, t in corpus(random.Random(3))]
-    found = neardup.cluster(spark.createDataFrame(rows, SCHEMA).repartition(4), folder)
-    planned(found, f"{folder}/clusters")
-    assert {"members", "pairs-0", "places", "texts", "links", "members-1", "screened", "clusters"} <= set(plans)
+    kept = neardup.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(4), folder)
+    planned(kept, f"{folder}/kept")
+    assert {"members", "pairs-0", "places", "texts", "links", "members-1", "screened", "clusters", "dropped", "twice"} <= set(plans)
     assert not [path for path, plan in plans.items() if "Broadcast" in plan]
